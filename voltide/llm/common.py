@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,23 @@ BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors' Python workers, once a session, where PYTHONPATH doesn't."""
+    context, top = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if getattr(context, "_voltide_shipped", False) or os.path.dirname(top) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="voltide-package-"), "voltide_package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for at, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    out.write(os.path.join(at, name), os.path.relpath(os.path.join(at, name), os.path.dirname(top)))
+    context.addPyFile(path)
+    context._voltide_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_rules
+from . import byte_bpe, exact_dedup, mixing, quality_knn, quality_rules, secrets, toxicity
 
 QUERIES = {
     "op2_source_mix": mixing.op2_source_mix,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_quality_knn": quality_knn.op5_quality_knn,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op9_byte_bpe": byte_bpe.op9_byte_bpe,
+    "op10_secret_scan": secrets.op10_secret_scan,
 }
 
 ORACLE_SQL = {
