@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, mixing, quality_knn, quality_rules, secrets, toxicity
+from . import byte_bpe, exact_dedup, mixing, quality_knn, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_source_mix": mixing.op2_source_mix,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_knn": quality_knn.op5_quality_knn,
     "op6_quality_rules": quality_rules.op6_quality_rules,
@@ -16,5 +18,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_source_mix": mixing.SQL,
+    "op3_substring_dedup": substring_dedup.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
 }
