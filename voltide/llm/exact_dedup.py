@@ -81,6 +81,7 @@ class DigestIndex:
             "group_size",
             ((F.col("row") == F.col("index_row")) & (F.col("of_batch") == batch)).alias("kept"),
             F.col("digest").alias("text_sha256"),
+            "row",
         )
 
 
@@ -89,8 +90,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", i
     return DigestIndex(df.sparkSession, index or f"digest_index_{uuid.uuid4().hex}").add(df, id_col, text_col)
 
 
+def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: str | None = None) -> DataFrame:
+    """The rows of `df` that stay, with all of its columns. `df` is a scan, whose rows are numbered alike each time."""
+    kept = exact_dedup(df, id_col, text_col, index).where("kept").select(F.col("row").alias("__row"))
+    return df.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(table(spark, sf_dir, "documents")).drop("row")
 
 
 SQL = r"""

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words_of, table, text_of
+from .common import cut, n_words_of, table, text_of, words_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -56,7 +56,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 
 def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """sizes: doc_id, source, size (words). Returns doc_id, source, size, source_size, target, taken, block_words."""
+    """sizes: doc_id, source, size (words). Returns doc_id, source, size, source_size, target, taken, block_words, row."""
     rows = cut(sizes.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.col("size").cast("long").alias("size")))
     words = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     block = max(1, min(MOST_WORDS, words // BLOCKS))
@@ -81,10 +81,10 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     laid = laid.join(plan, (F.col("shard") == F.col("p_shard")) & F.col("source").eqNullSafe(F.col("p_source")), "left")
     rounds, last = F.floor(F.col("take") / F.col("held")), F.col("take") % F.col("held")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("end"), last) - (F.col("end") - F.col("size")))
-    laid = laid.select("doc_id", "source", "size", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
+    laid = laid.select("row", "doc_id", "source", "size", F.coalesce(taken, F.lit(0)).cast("long").alias("taken"))
     t = targets.withColumnRenamed("source", "t_source")
     laid = laid.join(F.broadcast(t) if _few(targets) else t, F.col("source").eqNullSafe(F.col("t_source")), "left")
-    return laid.select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "taken", F.lit(block).cast("long").alias("block_words"))
+    return laid.select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), "taken", F.lit(block).cast("long").alias("block_words"), "row")
 
 
 def _few(targets: DataFrame, most: int = 50_000) -> bool:
@@ -96,6 +96,22 @@ def sizes_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", n_words_of(text_of()).alias("size"))
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The mix as documents, with the columns of `docs`: a row for each whole round that takes a document, and one, with
+    the words that are taken joined by spaces, where the mix ends within it. `docs` is a scan, whose rows are numbered
+    alike each time.
+    """
+    taken = mix(sizes_of(docs), **how).where("taken > 0").select(F.col("row").alias("__row"), "size", "taken")
+    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(taken.withColumnsRenamed({"size": "__size", "taken": "__taken"}), "__row")
+    rows = rows.withColumn("__round", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / F.col("__size")))))
+    rest = F.col("__taken") - F.col("__round") * F.col("__size")
+    text = F.when(rest >= F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(words_of(text_of()), F.lit(1), rest.cast("int")), " "))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(docs.columns)
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(sizes_of(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, mixing, quality_knn, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity
+from . import byte_bpe, exact_dedup, jaccard_join, mixing, quality_knn, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_knn": quality_knn.op5_quality_knn,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
@@ -20,4 +21,5 @@ ORACLE_SQL = {
     "op2_source_mix": mixing.SQL,
     "op3_substring_dedup": substring_dedup.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
+    "op8_jaccard_join": jaccard_join.SQL,
 }
