@@ -3,19 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from voltide.llm import exact_dedup, quality_rules
+from voltide.llm import byte_bpe, exact_dedup, jaccard_join, mixing, quality_rules
 from voltide.llm.common import table, written
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the log-likelihood ratio reject go."""
-    ratios = quality_rules.fit(docs, quality_rules.trusted(docs, table(spark, sf_dir, "labels")))
+    """Documents that the base rules or the log-likelihood ratio reject go; trusted text comes from the labelled documents."""
+    ratios = quality_rules.fit(docs, quality_rules.trusted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
     return quality_rules.judge(docs, ratios).where("kept").select(docs.columns)
 
 
-STAGES = [("quality_rules", rules)]
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents equal up to blanks one stays."""
+    return exact_dedup.kept_rows(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 on five-word shingles one stays."""
+    return jaccard_join.one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's quota takes them; those that it doesn't reach go."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, as counts and digests, and the digest of what they decode to."""
+    return byte_bpe.encode_digests(docs)
+
+
+STAGES = [("quality_rules", rules), ("exact_dedup", exact), ("jaccard_join", near), ("source_mix", mix), ("byte_bpe", encode)]
 
 #: The last stage encodes by a vocabulary file, which SQL can't express.
 ORACLE_SQL = None
