@@ -113,6 +113,16 @@ def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, te
     return a.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("__text", "__words", "__lines", "__cells", "__windows", "__sorted", "__places")
 
 
+def keep(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents that all rules keep, with their own columns.
+
+    The filter names a column that isn't deterministic, so that the optimizer doesn't push it below the staged arrays,
+    each of which it would then compute again and again.
+    """
+    judged = judge(docs, ratios, threshold, text_col).withColumn("__row", F.monotonically_increasing_id())
+    return judged.where("kept AND __row >= 0").select(docs.columns)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ratios = fit(docs, trusted(docs, table(spark, sf_dir, "labels")))
