@@ -11,7 +11,7 @@ from voltide.llm.common import table, written
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the log-likelihood ratio reject go; trusted text comes from the labelled documents."""
     ratios = quality_rules.fit(docs, quality_rules.trusted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
-    return quality_rules.judge(docs, ratios).where("kept").select(docs.columns)
+    return quality_rules.keep(docs, ratios)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
