@@ -40,18 +40,19 @@ def carry_scan(df: DataFrame, at: str, by: list[str], a: Column, b: Column, out:
     # within a chunk the map up to t is (A_t, B_t): A_t the product of a, B_t folded in order
     fold = F.aggregate(F.collect_list(F.struct("__a", "__b")).over(so_far), F.struct(F.lit(1.0).alias("A"), F.lit(0.0).alias("B")), lambda s, x: F.struct((s["A"] * x["__a"]).alias("A"), (s["B"] * x["__a"] + x["__b"]).alias("B")))
     rows = rows.withColumn("__map", fold)
-    ends = rows.groupBy(*by, F.col("__chunk").alias("__k")).agg(F.max_by("__map", at).alias("m"))
+    k = f"__k{levels}"
+    ends = rows.groupBy(*by, F.col("__chunk").alias(k)).agg(F.max_by("__map", at).alias("m"))
     if levels:
         # the chunks' maps are a recurrence of the same kind; a chunk's carry is the value after the chunk before it
-        scanned = carry_scan(ends, "__k", by, F.col("m.A"), F.col("m.B"), "__after", 256, levels=levels - 1)
-        before = F.lag("__after", 1, 0.0).over(Window.partitionBy(*by).orderBy("__k"))
-        carries = scanned.select(*[F.col(c).alias(f"__k_{c}") for c in by], "__k", before.alias("__carry"))
+        scanned = carry_scan(ends, k, by, F.col("m.A"), F.col("m.B"), "__after", 256, levels=levels - 1)
+        before = F.lag("__after", 1, 0.0).over(Window.partitionBy(*by).orderBy(k))
+        carries = scanned.select(*[F.col(c).alias(f"{k}_{c}") for c in by], k, before.alias("__carry"))
     else:
-        order = Window.partitionBy(*by).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+        order = Window.partitionBy(*by).orderBy(k).rowsBetween(Window.unboundedPreceding, -1)
         carry = F.aggregate(F.coalesce(F.collect_list("m").over(order), F.array()), F.lit(0.0), lambda y, m: m["A"] * y + m["B"])
-        carries = ends.select(*[F.col(c).alias(f"__k_{c}") for c in by], "__k", carry.alias("__carry"))
-    on = F.col("__chunk") == F.col("__k")
+        carries = ends.select(*[F.col(c).alias(f"{k}_{c}") for c in by], k, carry.alias("__carry"))
+    on = F.col("__chunk") == F.col(k)
     for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+        on = on & F.col(c).eqNullSafe(F.col(f"{k}_{c}"))
     done = rows.join(carries, on).withColumn(out, F.col("__map.A") * F.col("__carry") + F.col("__map.B"))
     return done.select(*df.columns, out)
