@@ -66,13 +66,13 @@ def implied_vol(quotes: DataFrame, keys: list[str], rounds: int = 6, least: int
         points = 161 if r == 0 else 41
         step = (F.col("high") - F.col("low")) / (points - 1)
         each = state.withColumn("step", step).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("sigma", F.col("low") + F.col("i") * F.col("step"))
-        each = each.select(*keys, "sigma", "step", "i", F.explode("quotes").alias("q"))
-        v = F.col("sigma") * F.col("q.s")
-        each = each.withColumn("e", F.abs(normal_cdf(F.col("q.m") / v - v / 2) - F.col("q.mid")))
-        loss = F.sum(F.col("q.w") * F.when(F.col("e") <= 0.02, 0.5 * F.col("e") ** 2).otherwise(0.02 * (F.col("e") - 0.01)))
-        best = each.groupBy(*keys, "i", "sigma", "step").agg(loss.alias("loss")).groupBy(*keys).agg(F.min_by(F.struct("sigma", "step", "loss"), F.struct("loss", "i")).alias("b"))
+        # each step of the formula in an array of its own, so that no expression is written out many times
+        each = each.withColumn("x", F.transform("quotes", lambda q: q["m"] / (F.col("sigma") * q["s"]) - F.col("sigma") * q["s"] / 2))
+        each = each.withColumn("e", F.zip_with("x", "quotes", lambda x, q: F.abs(normal_cdf(x) - q["mid"])))
+        each = each.withColumn("loss", F.aggregate(F.zip_with("e", "quotes", lambda e, q: q["w"] * F.when(e <= 0.02, 0.5 * e * e).otherwise(0.02 * (e - 0.01))), F.lit(0.0), lambda a, x: a + x))
+        best = each.groupBy(*keys).agg(F.min_by(F.struct("sigma", "step"), F.struct("loss", "i")).alias("b"), F.first("quotes").alias("quotes"))
         low, high = F.greatest(F.lit(0.01), F.col("b.sigma") - F.col("b.step")), F.least(F.lit(5.0), F.col("b.sigma") + F.col("b.step"))
-        state = state.select(*keys, "quotes").join(best.select(*keys, low.alias("low"), high.alias("high"), F.col("b.sigma").alias("sigma")), keys)
+        state = best.select(*keys, "quotes", low.alias("low"), high.alias("high"), F.col("b.sigma").alias("sigma"))
     return state.select(*keys, "sigma", F.size("quotes").alias("n_quotes"))
 
 

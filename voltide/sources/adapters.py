@@ -63,7 +63,7 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("spot") * F.exp(F.col("j") * 0.0005)).alias("strike"),
         F.round(mid - 0.01, 4).alias("bid"), F.round(mid + 0.01, 4).alias("ask"),
         ((F.floor(F.col("hour") / 3600) * 31 + F.abs("j") * 17) % 100).cast("long").alias("open_interest"),
-        (F.col("hour") + 3600).alias("expiry"), (F.col("hour") + 1800).alias("asof"),
+        (F.col("hour") + 3600).alias("expiry"), (F.col("hour") + 1800).alias("quoted_on"),
     )
 
 
@@ -88,6 +88,6 @@ quotes AS (
   SELECT hour, j, 'SER-' || strftime(make_timestamp(hour * 1000000), '%Y%m%d%H') AS event_ticker,
     'SER-' || strftime(make_timestamp(hour * 1000000), '%Y%m%d%H') || '-T' || (j + 8) AS market_ticker, spot,
     spot * exp(j * 0.0005::DOUBLE) AS strike, round(1 / (1 + exp(0.27::DOUBLE * j)) - 0.01, 4) AS bid, round(1 / (1 + exp(0.27::DOUBLE * j)) + 0.01, 4) AS ask,
-    ((hour // 3600 * 31 + abs(j) * 17) % 100)::BIGINT AS open_interest, hour + 3600 AS expiry, hour + 1800 AS asof
+    ((hour // 3600 * 31 + abs(j) * 17) % 100)::BIGINT AS open_interest, hour + 3600 AS expiry, hour + 1800 AS quoted_on
   FROM s, (SELECT unnest(range(-8, 9)) AS j))
 """
