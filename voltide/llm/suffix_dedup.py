@@ -87,7 +87,9 @@ def _ranks(keys: list[np.ndarray]) -> np.ndarray:
 def _star_order(t: np.ndarray, star: np.ndarray, depth: int) -> np.ndarray:
     """S* suffixes sorted, to `depth` symbols: substrings named, then the string of names doubled."""
     length = np.diff(np.r_[star, len(t) - 1]) + 1
-    padded = np.r_[t, np.zeros(4, dtype=t.dtype)].astype(np.uint64)
+    # a symbol of S type sorts after the same one of L type; with types, no S* substring is the start of another
+    padded = np.r_[t, np.zeros(4, dtype=t.dtype)].astype(np.uint64) * np.uint64(2)
+    padded[: len(t)] += _types(t)
     names = np.zeros(len(star), dtype=np.int64)
     for k in range(0, int(length.max()), 4):
         chunk = np.zeros(len(star), dtype=np.uint64)
