@@ -105,7 +105,7 @@ def _star_order(t: np.ndarray, star: np.ndarray, depth: int) -> np.ndarray:
 
 
 def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes of t in order of their first `depth` symbols at least. t: symbols below 2**16, its last the least."""
+    """The suffixes of t in order of their first `depth` symbols at least. t: symbols below 2**15, its last the least."""
     small = _types(t)
     star = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     size = int(t.max()) + 1
