@@ -8,7 +8,7 @@ from voltide.operators import bars as B
 from voltide.operators import joins as J
 from voltide.sources.adapters import book_levels, trades
 
-from .base import BARS, BUCKET, HOUR, TRADE_BARS, query, secs
+from .base import BARS, BUCKET, HOUR, TRADE_BARS, query
 
 
 def flat(df):

@@ -16,7 +16,7 @@ from voltide.sources.adapters import book_levels, quotes, trades
 
 from .bars import clean, flat, hourly
 from .base import BARS, HOUR, SYNTHETIC, TRADE_BARS, query
-from .features import EWMA, FEATURES, LABELS, YEAR, features, prices, returns, training
+from .features import EWMA, FEATURES, LABELS, YEAR, features, returns
 
 # -- books: the latest venue books of each hour, consolidated by hour
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from voltide.operators import bars as B
 from voltide.operators import features as X
-from voltide.sources.adapters import trades
 
 from .bars import clean, flat, hourly
 from .base import BARS, HOUR, SYNTHETIC, query

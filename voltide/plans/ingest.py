@@ -6,15 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from voltide.operators import bars as B
 from voltide.operators import ingest as G
 from voltide.sources import lake
-from voltide.sources.adapters import book_levels, events, quotes, read, trades
+from voltide.sources.adapters import book_levels, events, quotes, trades
 
-from .bars import clean, flat
-from .base import BARS, BUCKET, TRADE_BARS, query
-from .features import FEATURES, features, labels, LABELS
-from .base import SYNTHETIC
-from voltide.operators import bars as B
+from .bars import clean
+from .base import BUCKET, SYNTHETIC, query
+from .features import FEATURES, LABELS, features, labels
 
 DAY = "(epoch_us(event_timestamp) // 86400000000)"
 

@@ -7,11 +7,10 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltide.operators import features as X
 from voltide.sources.adapters import later
 from voltide.streaming import bars as S
 
-from .base import BARS, HOUR, SYNTHETIC, TRADE_BARS, query
+from .base import HOUR, SYNTHETIC, query
 from .features import prices
 
 
@@ -106,3 +105,77 @@ def stream_features(spark, d):
 def stream_candles(spark, d):
     out = finished(S.stream_candles(S.stream_bars(trades_stream(spark, d), HOUR), 4 * HOUR), "candles")
     return out.withColumn("bucket", F.unix_seconds("bucket"))
+
+
+MIDDLE = 1704067200 + 15 * 86_400
+LATE = f"""mark AS (SELECT max(epoch_us(event_timestamp)) - 5000000 AS us FROM one WHERE event_id % 2 = 0 AND epoch_us(event_timestamp) < {MIDDLE}000000),
+seen AS (SELECT epoch_us(event_timestamp) // 3600000000 * 3600 AS bucket, venue, price FROM one, mark
+  WHERE (event_id % 2 = 0 AND epoch_us(event_timestamp) < {MIDDLE}000000) OR (epoch_us(event_timestamp) // 3600000000 + 1) * 3600000000 > us)"""
+
+
+@query("late_drop", "SELECT bucket, venue, count(*) AS n FROM seen, last_hour WHERE bucket < h GROUP BY ALL", ONE + "," + LATE)
+def late_drop(spark, d):
+    """Half of the earlier trades come too late: their buckets are final, so the watermark drops them."""
+    from voltide.sources.adapters import trades
+
+    rows = trades(spark, d).where("ingested_at = received_timestamp").select("event_timestamp", "received_timestamp", "venue", "trade_id", "event_id", "price", "quantity", "taker_side")
+    even, early = F.col("event_id") % 2 == 0, F.unix_seconds("event_timestamp") < MIDDLE
+    at = folder(spark, "late")
+    # late rows are told by the watermark of the batch before, so they come two batches after it was raised
+    for i, part in enumerate((rows.where(even & early), rows.where(even & ~early), rows.where(~even))):
+        part.coalesce(1).write.parquet(f"{at}/in/{i}")  # one file a batch: the batches' content is what is tested
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+    marked = stream.withWatermark("event_timestamp", "5 seconds").groupBy(F.window("event_timestamp", f"{HOUR} seconds").alias("w"), "venue").agg(F.count(F.lit(1)).alias("n"))
+    return finished(marked.select(F.unix_seconds("w.start").alias("bucket"), "venue", "n"), "late")
+
+
+@query("warmup_replay", f"SELECT bucket, log_return FROM returns WHERE bucket >= {MIDDLE} AND synthetic_price IS NOT NULL", SYNTHETIC)
+def warmup_replay(spark, d):
+    """Live features after a replay of the history that their windows need, equal to those of a stream that never stopped."""
+    at = folder(spark, "replay")
+    p = prices(spark, d).where("synthetic_price IS NOT NULL").select("asset", "bucket", "synthetic_price")
+    p.where((F.col("bucket") >= MIDDLE - 4 * HOUR) & (F.col("bucket") < MIDDLE)).write.parquet(f"{at}/in/0")
+    p.where(F.col("bucket") >= MIDDLE).coalesce(1).write.parquet(f"{at}/in/1")
+    stream = spark.readStream.schema(p.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+    return finished(S.stream_returns(stream, HOUR, 3 * HOUR), "replayed").where(F.col("bucket") >= MIDDLE).select("bucket", "log_return")
+
+
+@query("event_rollover", "SELECT event_ticker, min(quoted_on) AS started, lead(min(quoted_on)) OVER (ORDER BY min(quoted_on)) AS ended FROM quotes GROUP BY event_ticker")
+def event_rollover(spark, d):
+    """When each event of the series became the active one, by its first message, and when the next took over."""
+    from pyspark.sql import Window
+
+    from voltide.sources.adapters import quotes
+
+    first = quotes(spark, d).groupBy(F.lit("SER").alias("series"), "event_ticker").agg(F.min("quoted_on").alias("started"))
+    return first.select("event_ticker", "started", F.lead("started").over(Window.partitionBy("series").orderBy("started")).alias("ended"))
+
+
+def _stream_pricing(spark, d):
+    """Each micro-batch of tickers joined with contract metadata and the curve, and priced."""
+    from voltide.operators import pricing as P
+    from voltide.sources.adapters import quotes
+
+    from .book import curve, metadata
+
+    at = folder(spark, "pricing")
+    tickers = quotes(spark, d).withColumn("quoted_at", F.col("quoted_on") - F.when(F.col("j") % 4 == 0, 100).otherwise(10)).drop("strike", "expiry")
+    tickers.write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(tickers.schema).parquet(f"{at}/in")
+
+    def price(batch, _):
+        P.price_contracts(batch, metadata(spark, d), curve(spark), F.col("quoted_on")).select("market_ticker", "reason", "model", "edge").write.mode("append").parquet(f"{at}/out")
+
+    stream.writeStream.foreachBatch(price).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
+def _register_pricing():
+    from .base import ORACLE_SQL, QUERIES
+    from . import book  # noqa: F401  its SQL is the batch form's
+
+    QUERIES["stream_pricing"] = _stream_pricing
+    ORACLE_SQL["stream_pricing"] = ORACLE_SQL["price_contracts"]
+
+
+_register_pricing()
