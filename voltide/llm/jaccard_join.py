@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 from .substring_dedup import word_hashes
-from .superkmers import _double, mix, numbered, packed_texts
+from .superkmers import mix, numbered, packed_texts
 
 CELLS = 1 << 17  # of each of the sketch's two rows
 FEW = 4

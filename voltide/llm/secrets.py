@@ -13,7 +13,6 @@ result; further columns are ignored.
 from __future__ import annotations
 
 import functools
-import hashlib
 import re
 import zlib
 from collections.abc import Iterator
