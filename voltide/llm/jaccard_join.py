@@ -5,9 +5,11 @@ have a shingle gives all shingles one order, rare ones first. Linked sets share
 n - ceil(t * n) + 1 of either (prefix filter), so the texts that share one are a block. Blocks of the FEW first
 shingles settle most copies: each text is verified against the block's earliest text and its neighbour in size. The
 links found join texts into components, and only blocks of whole prefixes that still hold two components go on: there
-a signature tree stands over the block's texts (nodes: OR-combined bitmaps, size ranges, component ranges), a dual
-traversal drops node pairs that can't hold a link between components, and the pairs that are left are verified on
-their whole sets. What a block emits depends on how many of its pairs can be links, not on its size squared.
+a signature tree stands over the block's texts (nodes: OR-combined bitmaps, size ranges, component ranges) and a dual
+traversal drops node pairs that can't hold a link between components. Of the pairs that are left, the one that the
+bounds rate highest for each of a block's components is verified first, which is linear in the block and joins most of
+what is linked; texts without such a pair leave the block. Then all pairs are verified that may still link two
+components.
 
 Defined cases: a text of fewer than `words` words is one shingle; a null or empty text has none and is linked with
 nothing; repeated rows form a class; ids may be null or repeat (a component's id is the smallest that is not null, if
@@ -172,12 +174,36 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return cut(nodes.join(new.select(F.col("node").alias("comp"), "to"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
 
 
+def rate(level: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """The largest overlap that pairs of a level's nodes can have, as a part of both sizes.
+
+    0 where it is too small for a link, and for pairs within one component.
+    """
+    _, _, least, most, more, mask, low, high = level
+    fits = (100 * most[i] >= percent * least[j]) & (100 * most[j] >= percent * least[i])
+    fits &= ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
+    rated = np.zeros(len(i))
+    some = np.flatnonzero(fits)
+    for k in range(0, len(some), 65_536):
+        s = some[k : k + 65_536]
+        shared = np.bitwise_count(mask[i[s]] & mask[j[s]]).sum(axis=1, dtype=np.int64)
+        bound, both = np.minimum(more[i[s]], more[j[s]]) + shared, least[i[s]] + least[j[s]]
+        # overlap >= t / (1 + t) of both sizes together
+        rated[s] = np.where((100 + percent) * bound >= percent * both, bound / np.maximum(both, 1), 0)
+    return rated
+
+
+def leaves(n: np.ndarray, bits: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, ...]:
+    """A tree's lowest level: first and last text, least and most size, shingles that share a bit, bits, component range."""
+    extra = n - np.bitwise_count(bits).sum(axis=1)
+    return np.arange(len(n)), np.arange(1, len(n) + 1), n, n, extra, bits, comp, comp
+
+
 class SignatureTree:
     """A block's texts in order of size, in leaves of LEAF, under nodes of FANOUT children."""
 
     def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray):
-        extra = n - np.bitwise_count(bits).sum(axis=1)  # shingles that share a bit with another
-        level = (np.arange(len(n)), np.arange(1, len(n) + 1), n, n, extra, bits, comp, comp)
+        level = leaves(n, bits, comp)
         self.levels = [level]
         for size in (LEAF, *[FANOUT] * 40):
             if len(level[0]) == 1:
@@ -188,60 +214,110 @@ class SignatureTree:
             self.levels.append(level)
         self.sizes = [LEAF, *[FANOUT] * 40][: len(self.levels) - 1]
 
-    def _may_link(self, depth: int, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-        """Whether node pairs can hold a link between two components: sizes fit, and shared bits allow the overlap."""
-        _, _, least, most, more, mask, low, high = self.levels[depth]
-        fits = (100 * most[i] >= percent * least[j]) & (100 * most[j] >= percent * least[i])
-        fits &= ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
-        some = np.flatnonzero(fits)
-        for k in range(0, len(some), 65_536):
-            s = some[k : k + 65_536]
-            shared = np.bitwise_count(mask[i[s]] & mask[j[s]]).sum(axis=1, dtype=np.int64)
-            bound = np.minimum(more[i[s]], more[j[s]]) + shared
-            # overlap >= t / (1 + t) of both sizes together
-            fits[s] = (100 + percent) * bound >= percent * (least[i[s]] + least[j[s]])
-        return fits
-
     def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Text pairs (i < j) that bounds don't exclude, by a traversal of the tree against itself, in portions."""
+        for i, j, _ in self.rated_pairs(percent):
+            yield i, j
+
+    def rated_pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Text pairs (i < j) that bounds don't exclude, rated, by a traversal of the tree against itself, in portions."""
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
             depth, i, j = stack.pop()
-            keep = self._may_link(depth, i, j, percent)
-            i, j = i[keep], j[keep]
+            rated = rate(self.levels[depth], i, j, percent)
+            keep = rated > 0
+            i, j, rated = i[keep], j[keep], rated[keep]
             if not depth:
                 keep = i != j
                 if keep.any():
-                    yield i[keep], j[keep]
+                    yield i[keep], j[keep], rated[keep]
                 continue
             width, below = self.sizes[depth - 1], len(self.levels[depth - 1][0])
             a, b = np.meshgrid(np.arange(width), np.arange(width), indexing="ij")
-            for k in range(0, len(i), 4096):
-                x = (i[k : k + 4096, None] * width + a.ravel()).ravel()
-                y = (j[k : k + 4096, None] * width + b.ravel()).ravel()
+            for k in range(0, len(i), 1024):
+                x = (i[k : k + 1024, None] * width + a.ravel()).ravel()
+                y = (j[k : k + 1024, None] * width + b.ravel()).ravel()
                 ok = (x < below) & (y < below) & (x <= y)
                 stack.append((depth - 1, x[ok], y[ok]))
 
 
-def _unsettled_pairs(rule: Rule):
+def leaf_pairs(level: tuple[np.ndarray, ...], edges: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What `rated_pairs` gives, for all blocks that fill one leaf at most and so need no tree, together."""
+    size = np.diff(edges)
+    rows = np.flatnonzero(np.repeat(size <= LEAF, size))
+    after = np.repeat(edges[1:], size)[rows] - rows - 1  # texts that follow in the block
+    for k in range(0, len(rows), 65_536):
+        row, count = rows[k : k + 65_536], after[k : k + 65_536]
+        i = np.repeat(row, count)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        rated = rate(level, i, j, percent)
+        keep = rated > 0
+        yield i[keep], j[keep], rated[keep]
+
+
+def best_pairs(portions: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each component the pair rated highest, as two arrays, and which texts have any pair."""
+    names, label = np.unique(comp, return_inverse=True)
+    high, one, two = np.zeros(len(names)), np.full(len(names), -1), np.full(len(names), -1)
+    alive = np.zeros(len(comp), dtype=bool)
+    for i, j, rated in portions:
+        alive[i] = alive[j] = True
+        order = np.argsort(rated, kind="stable")
+        for own in (label[i], label[j]):
+            top = np.full(len(names), -1)
+            top[own[order]] = order  # the last one, rated highest, stays
+            better = np.flatnonzero(top >= 0)
+            better = better[rated[top[better]] > high[better]]
+            at = top[better]
+            high[better], one[better], two[better] = rated[at], i[at], j[at]
+    has = one >= 0
+    return one[has], two[has], alive
+
+
+def _unsettled_pairs(rule: Rule, best: bool):
+    """pair, key, a, b: candidate pairs of a task's blocks, and if only the best are wanted also the (key, id a) that have any."""
+
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "n", "id"], ignore_index=True)
         key, n, ids, comp = (rows[c].to_numpy() for c in ("key", "n", "id", "comp"))
-        bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), -1)
+        level = leaves(n, np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), -1), comp)
         edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, b in zip(edges[:-1], edges[1:]):
-            tree = SignatureTree(n[a:b], bits[a:b], comp[a:b])
-            for i, j in tree.pairs(rule.percent):
+        alive = np.zeros(len(rows), dtype=bool)
+
+        def found(portions, a: int, b: int, part: np.ndarray) -> None:
+            if best:
+                i, j, seen = best_pairs(portions, part)
+                alive[a:b] |= seen
+                portions = [(i, j, None)]
+            for i, j, _ in portions:
                 left.append(ids[a + i])
                 right.append(ids[a + j])
+
+        names, label = np.unique(comp, return_inverse=True)
+        block = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        found(leaf_pairs(level, edges, rule.percent), 0, len(rows), block * len(names) + label)
+        for e in np.flatnonzero(np.diff(edges) > LEAF):
+            a, b = edges[e], edges[e + 1]
+            found(SignatureTree(n[a:b], level[5][a:b], comp[a:b]).rated_pairs(rule.percent), a, b, comp[a:b])
         x, y = np.concatenate(left), np.concatenate(right)
-        found = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-        return pd.DataFrame({"a": found[0], "b": found[1]})
+        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        return pd.concat([pd.DataFrame({"pair": True, "key": 0, "a": both[0], "b": both[1]}), pd.DataFrame({"pair": False, "key": key[alive], "a": ids[alive], "b": ids[alive]})])
 
     return pairs
 
 
+def _candidates(blocks: DataFrame, reps: DataFrame, rule: Rule, best: bool) -> DataFrame:
+    tasks = max(1, blocks.count() // BLOCKS_ROWS)
+    described = blocks.join(reps.select("id", "n", "bits"), "id")
+    return described.groupBy(F.pmod("key", F.lit(tasks))).applyInPandas(_unsettled_pairs(rule, best), "pair boolean, key long, a long, b long")
+
+
+def _unsettled(blocks: DataFrame) -> DataFrame:
+    """Rows of the blocks that hold two components. blocks: key, id, comp."""
+    of_key = Window.partitionBy("key")
+    return blocks.select("*", (F.min("comp").over(of_key) != F.max("comp").over(of_key)).alias("open")).where("open").select("key", "id", "comp")
+
+
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id."""
     docs = numbered(docs, text_col)
@@ -269,13 +345,13 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
             yield pd.DataFrame({"key": np.concatenate(keys or [np.zeros(0, np.int64)])} | {c: np.repeat(batch[c].to_numpy(), size) for c in ("id", "comp")})
 
     blocks = texts.join(known, F.col("id") == F.col("of")).select("id", "comp", "packed").mapInPandas(prefixes, "key long, id long, comp long")
-    of_key = Window.partitionBy("key")
-    open_ = blocks.select("*", (F.min("comp").over(of_key) != F.max("comp").over(of_key)).alias("open")).where("open").select("key", "id", "comp")
-    open_ = cut(open_)
-    tasks = max(1, open_.count() // BLOCKS_ROWS)
-    described = open_.join(reps.select("id", "n", "bits"), "id")
-    candidates = described.groupBy(F.pmod("key", F.lit(tasks))).applyInPandas(_unsettled_pairs(rule), "a long, b long").distinct()
-    comps = components(comps, verified(candidates, texts, rule))
+    open_ = cut(_unsettled(blocks))
+    found = cut(_candidates(open_, reps, rule, best=True))
+    tried = found.where("pair").select("a", "b").distinct()
+    comps = components(comps, verified(tried, texts, rule))
+    open_ = cut(_unsettled(found.where("NOT pair").select("key", F.col("a").alias("id")).join(comps, "id")))
+    rest = _candidates(open_, reps, rule, best=False).select("a", "b").distinct()
+    comps = components(comps, verified(rest.join(tried, ["a", "b"], "left_anti"), texts, rule))
     # every text has its class's representative, and that one its component
     own = rows.join(classes.select("n", "digest", F.col("id").alias("rep")), ["n", "digest"], "left").select("id", F.col("doc_id").cast("long").alias("doc_id"), "n", F.coalesce("rep", "id").alias("rep"))
     own = own.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("id", "doc_id", "n", F.coalesce("comp", "id").alias("comp"))
