@@ -122,6 +122,18 @@ def test_mix(docs, edge, empty):
     assert mixing.mix(mixing.sizes_of(empty)).count() == 0
 
 
+def test_mix_reaches_tiny_sources_over_shards(spark):
+    groups = [("a", 4000, 300), ("b", 2600, 300), ("few", 260, 3), ("mid", 200, 4), ("one", 1, 9), ("tiny", 3, 7)]
+    rows = [(f"{s}{i}", s, n) for s, docs, n in groups for i in range(docs)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id string, source string, size long")).collect()
+    words = sum(r.size for r in out)
+    assert out[0].block_words > 1 and words > 10 * mixing.SHARD_BLOCKS * out[0].block_words
+    assert len(out) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in out)
+    for s, _, n in groups:
+        taken, target = sum(r.taken for r in out if r.source == s), next(r.target for r in out if r.source == s)
+        assert target > 0 and abs(taken - target) < n
+
+
 def test_mixed_documents_hold_the_words_taken(docs):
     taken = mixing.mix(mixing.sizes_of(docs)).agg(F.sum("taken")).first()[0]
     out = mixing.mixed(docs)

@@ -4,6 +4,9 @@ Documents are dealt to shards by a seeded digest of their id. In each shard the
 equal-token blocks by highest quotients (target over 1, 3, 5, ...), which gives integer quotas; then the quota's
 blocks are taken along the documents of the shard and source in seeded order, once round and again where the quota
 asks for more. A source never gets more blocks than twice its words hold, so no document exceeds `cap` times its size.
+Whole blocks a shard can miss a source's target, and sources of less than half a block a shard get none: where all shards
+together miss it by a word or more that is also the length of the source's longest document or a `NEAR`th of the target,
+the source's words are apportioned instead, with the rounding rest carried from shard to shard.
 
 Defined cases: a null text has size 0 and takes 0 words; a null source is a source of its own, sorted last; repeated
 rows are documents of their own; an empty table gives an empty result; further columns are ignored.
@@ -22,6 +25,8 @@ CAP = 2
 SEED = "mix-1"
 #: A block has a 50,000th of all words, at least 1 and at most 1,024; a shard has 4,096 blocks' worth of words.
 BLOCKS, MOST_WORDS, SHARD_BLOCKS = 50_000, 1024, 4096
+#: Quotas of whole blocks stay where a source's total is nearer to its target than a hundredth of it and one document.
+NEAR = 100
 
 
 def _draw(seed: str, what: str) -> Column:
@@ -64,7 +69,7 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     rows = rows.withColumn("shard", _draw(seed, "shard") % shards)
     targets = source_targets(rows, weights, share, cap)
     # quotas: a row for each seat that a source can take in a shard, ranked by quotient within the shard
-    held = rows.groupBy("shard", "source").agg(F.sum("size").alias("held"))
+    held = rows.groupBy("shard", "source").agg(F.sum("size").alias("held"), F.max("size").alias("longest"))
     held = held.join(F.broadcast(targets) if _few(targets) else targets, held["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     held = held.where("held > 0").withColumn("share", F.col("target") * F.col("held") / F.col("source_size"))
     seats = held.withColumn("most", F.least(F.floor(cap * F.col("held") / block), F.ceil(F.col("share") / block) + 1).cast("long")).where("most > 0")
@@ -74,7 +79,15 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     quotas = seats.withColumn("place", F.row_number().over(ranked)).join(blocks, F.col("shard") == F.col("s"))
     quotas = quotas.where("place <= n_blocks").groupBy("shard", "source").agg(F.count(F.lit(1)).alias("quota"))
     plan = held.join(quotas.withColumnsRenamed({"shard": "q_shard", "source": "q_source"}), (F.col("shard") == F.col("q_shard")) & F.col("source").eqNullSafe(F.col("q_source")), "left")
-    plan = plan.select(F.col("shard").alias("p_shard"), F.col("source").alias("p_source"), "held", (F.coalesce("quota", F.lit(0)) * block).alias("take"))
+    plan = plan.select(F.col("shard").alias("p_shard"), F.col("source").alias("p_source"), "held", "longest", "source_size", "target", (F.coalesce("quota", F.lit(0)) * block).alias("take"))
+    # a row for each shard and source reaches these windows; words up to a shard less words before it leave no rest behind
+    whole = Window.partitionBy("p_source")
+    upto = F.sum("held").over(whole.orderBy("p_shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    plan = plan.select("*", F.abs(F.sum("take").over(whole) - F.col("target")).alias("miss"), F.max("longest").over(whole).alias("document"), upto.alias("upto"))
+    by_words = lambda n: F.round(F.col("target") * (n / F.col("source_size"))).cast("long")
+    missed = (F.col("miss") >= 1) & (F.col("miss") >= F.least("document", F.col("target") / NEAR))
+    take = F.when(missed, by_words(F.col("upto")) - by_words(F.col("upto") - F.col("held"))).otherwise(F.col("take"))
+    plan = plan.select("p_shard", "p_source", "held", F.least(take, cap * F.col("held")).alias("take"))
     # blocks lie end to end along the seeded order; whole rounds take every word, the last one the words before its end
     line = Window.partitionBy("shard", "source").orderBy(_draw(seed, "order"), "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = rows.withColumn("end", F.sum("size").over(line))
