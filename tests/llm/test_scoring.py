@@ -151,6 +151,15 @@ def test_toxicity_decodes_obfuscation(docs):
     assert "therrrr" not in restore("therrrre")
 
 
+def test_toxicity_decodes_long_spans(docs):
+    model = toxicity.language_model(docs)
+    restore = toxicity.restorer(model)
+    sentence = "there is no reason to leave this passage as it stands"
+    assert restore(" ".join(sentence.replace(" ", ""))) == sentence.replace(" ", "")
+    assert restore("the" + "r" * 100 + "e") == restore("the" + "r" * 10 + "e") != "the" + "r" * 100 + "e"
+    assert restore("a " * 20_000 + "a") == "a" * 20_001
+
+
 def scored(out, labels, label):
     rows = out.join(labels, "doc_id").where(held_out(F.col("doc_id"))).select(label, "score").collect()
     return np.array([r[0] for r in rows]), np.array([r.score for r in rows])

@@ -15,7 +15,9 @@ each; an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
+import operator
 import re
 from collections.abc import Iterator
 
@@ -35,6 +37,7 @@ LETTERS = 28  # 0: all but letters, 1-26: a-z, 27: bytes of letters beyond ASCII
 # The letters that a sign resembles.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SIGN_COST, RUN_COST, GAP_COST = 0.7, 0.5, 0.1
+CACHED = 60
 SIGN = re.escape("".join(LEET))
 SUSPECT = re.compile(
     rf"[a-z{SIGN}]*(?:[a-z][{SIGN}]+[a-z]|([a-z])\1\1)[a-z{SIGN}]*"  # signs within a word, long runs
@@ -75,9 +78,9 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return -np.log(n / n.sum(axis=2, keepdims=True)).astype(np.float32)
 
 
-def _lattice(span: str) -> list[tuple[int, int, str, float]]:
-    """Arcs (from, to, letters, cost) over the span's characters."""
-    arcs, i = [], 0
+def _lattice(span: str) -> Iterator[tuple[int, int, str, float]]:
+    """Arcs (from, to, letters, cost) over the span's characters, in order of `from`."""
+    i = 0
     while i < len(span):
         j = i + 1
         while j < len(span) and span[j] == span[i]:
@@ -85,41 +88,48 @@ def _lattice(span: str) -> list[tuple[int, int, str, float]]:
         ch = span[i]
         stands = [(ch, 0.0)] if ch.isalpha() else [(x, SIGN_COST) for x in LEET.get(ch, "")]
         if not stands:
-            arcs.append((i, j, "", GAP_COST))  # a separator, however often
+            yield i, j, "", GAP_COST  # a separator, however often
         elif j - i >= 3:
-            arcs += [(i, j, x * k, cost + RUN_COST) for x, cost in stands for k in (1, 2)]
+            yield from ((i, j, x * k, cost + RUN_COST) for x, cost in stands for k in (1, 2))
         else:
-            arcs += [(k, k + 1, x, cost) for k in range(i, j) for x, cost in stands]
+            yield from ((k, k + 1, x, cost) for k in range(i, j) for x, cost in stands)
         i = j
-    return arcs
 
 
 def decode(span: str, model: np.ndarray) -> str:
-    """The cheapest restored span: channel costs plus the trigram model, from word start to word end."""
-    leaving: dict[int, list] = {}
-    for a, b, letters, cost in _lattice(span):
-        leaving.setdefault(a, []).append((b, letters, cost))
-    best: dict[int, dict] = {0: {(0, 0): (0.0, "")}}
-    for at in range(len(span)):
-        for (p, q), (cost, text) in best.pop(at, {}).items():
-            for to, letters, extra in leaving.get(at, ()):
+    """The cheapest restored span: channel costs plus the trigram model, from word start to word end.
+
+    A state has its cost, its last letters and the state before it, so that time and memory grow with the span's length.
+    """
+    best: dict[int, dict] = {0: {(0, 0): (0.0, "", None)}}
+    for at, arcs in itertools.groupby(_lattice(span), key=operator.itemgetter(0)):
+        arcs = list(arcs)
+        for (p, q), state in best.pop(at, {}).items():
+            cost = state[0]
+            for _, to, letters, extra in arcs:
                 a, b, c = p, q, cost + extra
                 for x in letters:
                     k = ord(x) - 96 if "a" <= x <= "z" else 27
                     c += float(model[a, b, k])
                     a, b = b, k
                 states = best.setdefault(to, {})
-                if (a, b) not in states or (c, text + letters) < states[a, b]:
-                    states[a, b] = (c, text + letters)
-    ends = [(cost + float(model[a, b, 0]), text) for (a, b), (cost, text) in best.get(len(span), {}).items()]
-    return min(ends)[1] if ends else span
+                if (a, b) not in states or c < states[a, b][0]:
+                    states[a, b] = (c, letters, state)
+    ends = [(state[0] + float(model[a, b, 0]), a, b, state) for (a, b), state in best.get(len(span), {}).items()]
+    if not ends:
+        return span
+    state, parts = min(ends)[-1], []
+    while state:
+        parts.append(state[1])
+        state = state[2]
+    return "".join(reversed(parts))
 
 
 def restorer(model: np.ndarray):
     """text -> lower-cased text with its suspicious spans decoded."""
     known = functools.lru_cache(100_000)(lambda span: decode(span, model))
-    # long runs of signs and separators are no words: spans of more than 60 characters stay as they are
-    return lambda text: SUSPECT.sub(lambda m: known(m[0]) if len(m[0]) <= 60 else m[0], text.lower())
+    # spans of more than CACHED characters seldom come again and aren't kept
+    return lambda text: SUSPECT.sub(lambda m: known(m[0]) if len(m[0]) <= CACHED else decode(m[0], model), text.lower())
 
 
 def restored(docs: DataFrame, model: np.ndarray, columns: list[str], text_col: str = "text") -> DataFrame:
