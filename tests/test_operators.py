@@ -159,6 +159,16 @@ def test_upsert_and_slices(spark):
     assert {tuple(r) for r in ingest.append_dedup(a, b, ["k"]).collect()} == {(1, "a"), (2, "c"), (3, "d")}
 
 
+def test_archive_order_across_a_million_ids(spark):
+    at = 1_704_067_200_000_000  # microseconds; every other row in milliseconds
+    times = {999_998: 5000, 999_999: 9000, 1_000_000: 8000, 1_000_001: 8000, 4_000_000: 7000, 4_000_001: 9000, 5_000_000: 9000}
+    rows = [(i, 1.0, 1.0, at + t if i % 2 else (at + t) // 1000, i % 3 == 0) for i, t in times.items()]
+    out = ingest.archive_trade_csv(spark.createDataFrame(rows, "id long, price double, qty double, time long, is_buyer_maker boolean"), "V", "I")
+    got = {int(r.trade_id): (r.us - at, r.in_order) for r in out.withColumn("us", F.unix_micros("event_timestamp")).collect()}
+    late = {1_000_000, 4_000_000}
+    assert got == {i: (t, i not in late) for i, t in times.items()}
+
+
 def normal(v):
     if isinstance(v, float):
         return None if math.isnan(v) else float(f"{v:.7g}")

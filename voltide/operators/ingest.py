@@ -30,14 +30,20 @@ def load_book_levels(landing: DataFrame) -> DataFrame:
 def archive_trade_csv(rows: DataFrame, venue: str, instrument: str) -> DataFrame:
     """Columns of a public trade archive (id, price, qty, quote_qty, time, is_buyer_maker) to canonical trades.
 
-    Times of 1e14 or more are microseconds. `in_order` tells whether a row's time is no earlier than its predecessor's.
+    Times of 1e14 or more are microseconds. `in_order` tells whether a row's time is no earlier than its predecessor's by
+    id: within a million ids by a window, for the first row of these from the last row of the nearest million before.
     """
     us = F.when(F.col("time") >= 100_000_000_000_000, F.col("time")).otherwise(F.col("time") * 1000)
-    by_id = Window.partitionBy(F.floor(F.col("id") / 1_000_000)).orderBy("id")  # the order check is local to a million ids
-    out = rows.select(
-        F.timestamp_micros(us).alias("event_timestamp"), F.lit(venue).alias("venue"), F.lit(instrument).alias("instrument"), F.col("id").cast("string").alias("trade_id"),
+    rows = rows.withColumns({"__us": us, "__chunk": F.floor(F.col("id") / 1_000_000)})
+    # the table of chunks has a row for each million ids
+    ends = rows.groupBy("__chunk").agg(F.max_by("__us", "id").alias("__last"))
+    ends = ends.select(F.col("__chunk").alias("__k"), F.lag("__last").over(Window.orderBy("__chunk")).alias("__carried"))
+    by_id = Window.partitionBy("__chunk").orderBy("id")
+    before = F.when(F.row_number().over(by_id) == 1, F.col("__carried")).otherwise(F.lag("__us").over(by_id))
+    out = rows.join(ends, F.col("__chunk") == F.col("__k"), "left").select(
+        F.timestamp_micros("__us").alias("event_timestamp"), F.lit(venue).alias("venue"), F.lit(instrument).alias("instrument"), F.col("id").cast("string").alias("trade_id"),
         F.concat_ws(":", F.lit(venue), F.lit(instrument), F.col("id")).alias("event_id"), F.col("price").cast("double").alias("price"), F.col("qty").cast("double").alias("quantity"),
-        F.when(F.col("is_buyer_maker"), "sell").otherwise("buy").alias("taker_side"), F.coalesce(us >= F.lag(us).over(by_id), F.lit(True)).alias("in_order"))
+        F.when(F.col("is_buyer_maker"), "sell").otherwise("buy").alias("taker_side"), F.coalesce(F.col("__us") >= before, F.lit(True)).alias("in_order"))
     return out
 
 

@@ -142,7 +142,7 @@ def load_book_levels(spark, d):
 @query("archive_trade_csv", "SELECT event_id::VARCHAR AS trade_id, epoch_us(ts) AS us, value AS price, CASE WHEN user_id % 2 = 0 THEN 'sell' ELSE 'buy' END AS taker_side, true AS in_order FROM events")
 def archive_trade_csv(spark, d):
     us = F.unix_micros("ts")
-    rows = events(spark, d).select(F.col("event_id").alias("id"), F.col("value").alias("price"), F.lit(1.0).alias("qty"), F.when(F.col("event_id") % 2 == 0, us).otherwise(us).alias("time"), (F.col("user_id") % 2 == 0).alias("is_buyer_maker"))
+    rows = events(spark, d).select(F.col("event_id").alias("id"), F.col("value").alias("price"), F.lit(1.0).alias("qty"), F.when(us % 1000 == 0, F.floor(us / 1000)).otherwise(us).alias("time"), (F.col("user_id") % 2 == 0).alias("is_buyer_maker"))
     out = G.archive_trade_csv(rows, "archive", "SYN")
     return out.select("trade_id", F.unix_micros("event_timestamp").alias("us"), "price", "taker_side", "in_order")
 
