@@ -179,3 +179,11 @@ def test_exact_dedup_appends_only_what_is_new(edge, spark):
 
 
 PASSAGE_TEXT = " ".join(f"word{i} größe" for i in range(60))
+
+
+def test_exact_dedup_compares_the_first_batch_with_its_index(edge, spark, monkeypatch):
+    reads, read = [], exact_dedup.DigestIndex.read
+    monkeypatch.setattr(exact_dedup.DigestIndex, "read", lambda self: (reads.append(read(self).count()), read(self))[1])
+    index = exact_dedup.DigestIndex(spark, "digest_index_first")
+    kept = index.add(edge).where("kept").count()
+    assert reads == [0, kept]

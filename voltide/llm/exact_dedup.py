@@ -61,13 +61,11 @@ class DigestIndex:
             F.max_by(F.struct("doc_id", "row"), F.struct("n_chars", (-F.col("doc_id")).alias("by_id"), (-F.col("row")).alias("by_row"))).alias("best"),
         )
         best = cut(best.select("digest", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row")))
-        if self.exists():
-            fresh = best.join(self.read().hint("merge"), "digest", "left_anti")
-        else:
-            fresh = best
-        fresh = fresh.select("digest", "keep_id", F.col("keep_row").alias("index_row"), F.lit(uuid.uuid4().hex).alias("batch"))
         batch = uuid.uuid4().hex
-        self.append(fresh.withColumn("batch", F.lit(batch)))
+        entries = lambda rows: rows.select("digest", "keep_id", F.col("keep_row").alias("index_row"), F.lit(batch).alias("batch"))
+        if not self.exists():
+            self.append(entries(best.limit(0)))  # a new index is empty, and its first batch takes the way of all others
+        self.append(entries(best.join(self.read().hint("merge"), "digest", "left_anti")))
         index = self.read().select("digest", F.col("keep_id").alias("index_id"), "index_row", F.col("batch").alias("of_batch"))
         groups = best.select("digest", "group_size").join(index.hint("merge"), "digest")
         total = rows.count()
