@@ -57,6 +57,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines of the cluster share; a folder of our own only where none is named, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         named = tempfile.mkdtemp(prefix="voltide-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     context = spark.sparkContext
@@ -82,3 +84,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """The rows, and a column that tells each from all others in every later scan and sorts as `id_col` does (nulls last).
+
+    It is `id_col` where that is unique and never null; else the rows are sorted, numbered and written down once. Rows of
+    one id are numbered by their text's hash.
+    """
+    spread = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count(F.when(F.col(id_col).isNull(), 1))).first()
+    if (spread[0] or 0) <= 1 and not spread[1]:
+        return df, id_col
+    name = "__row"
+    while name in df.columns:
+        name += "_"
+    order = [F.col(id_col).asc_nulls_last(), F.xxhash64(text_col)]
+    rows = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    return written(rows.withColumn(name, F.monotonically_increasing_id()), "numbered"), name

@@ -1,15 +1,12 @@
 """N-gram Jaccard join with signature trees; no link between different texts is lost.
 
-Texts with equal shingle sets form a class, of which one representative goes on. A fixed-size sketch of how many texts
-have a shingle gives all shingles one order, rare ones first. Linked sets share a shingle among the first
-n - ceil(t * n) + 1 of either (prefix filter), so the texts that share one are a block. Blocks of the FEW first
-shingles settle most copies: each text is verified against the block's earliest text and its neighbour in size. The
-links found join texts into components, and only blocks of whole prefixes that still hold two components go on: there
-a signature tree stands over the block's texts (nodes: OR-combined bitmaps, size ranges, component ranges) and a dual
-traversal drops node pairs that can't hold a link between components. Of the pairs that are left, the one that the
-bounds rate highest for each of a block's components is verified first, which is linear in the block and joins most of
-what is linked; texts without such a pair leave the block. Then all pairs are verified that may still link two
-components.
+Texts with equal shingle sets form a class, of which one representative goes on. The trees' first level is the shingle:
+a fixed-size sketch of how many texts have one gives all shingles one order, rare ones first, and linked sets share a
+shingle among the first n - ceil(t * n) + 1 of either, so texts that share none can't overlap enough. The texts that share
+one are a block; blocks of the same texts count once. Over each block stands a signature tree (nodes: OR-combined bitmaps,
+size ranges, component ranges), and a dual traversal drops node pairs that can't hold a link between components. In each
+of ROUNDS rounds every component has the one pair verified that the bounds rate highest of all its blocks, which is linear
+and joins most of what is linked. Then all pairs are verified that may still link two components, and those alone.
 
 Defined cases: a text of fewer than `words` words is one shingle; a null or empty text has none and is linked with
 nothing; repeated rows form a class; ids may be null or repeat (a component's id is the smallest that is not null, if
@@ -26,18 +23,20 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .substring_dedup import word_hashes
-from .superkmers import mix, numbered, packed_texts
+from .common import cut, identified, shuffle_partitions, table, written
+from .shingling import shingle_sets, slices
+from .superkmers import numbered
 
 CELLS = 1 << 17  # of each of the sketch's two rows
-FEW = 4
-BITS = 2048
+BITS = 2048  # of the smallest bitmap; larger sets have one of four bits a shingle or more
 LEAF, FANOUT = 16, 8
-BLOCKS_ROWS = 50_000  # rows of unsettled blocks that a task has, on average
+TILE = 4096  # texts of a block that one tree stands over; larger blocks are pairs of tiles
+TASK_BYTES = 8 << 20  # bitmaps of a task's blocks, on average
+ROUNDS = 2
+Portion = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 @dataclass(frozen=True)
@@ -56,17 +55,7 @@ class Rule:
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles, A-Z lower-cased."""
-    h = word_hashes(np.frombuffer(text.lower(), dtype=np.uint8))  # bytes.lower() changes A-Z alone
-    n = len(h)
-    if not n:
-        return h
-    size = min(n, words)
-    out, have = h.copy(), 1
-    while have < size:
-        step = min(have, size - have)
-        out, have = mix(out[:-step] * np.uint64(0x9E3779B97F4A7C15) + out[step:] + np.uint64(have * 64 + step)), have + step
-    return np.unique(mix(out + np.uint64(size)))
+    return shingle_sets([text], words)[0]
 
 
 def _spots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,10 +69,10 @@ def sketch(docs: DataFrame, rule: Rule) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, CELLS), dtype=np.int64)
         for batch in batches:
-            held = [shingles(t, rule.words) for t in batch.column(0).to_pylist()]
-            h = np.concatenate(held) if held else np.zeros(0, np.uint64)
-            for row, spot in zip(total, _spots(h)):
-                row += np.bincount(spot, minlength=CELLS)
+            texts = batch.column(0).to_pylist()
+            for a, b in slices(texts):
+                for row, spot in zip(total, _spots(shingle_sets(texts[a:b], rule.words)[0])):
+                    row += np.bincount(spot, minlength=CELLS)
         flat = total.reshape(parts, width)
         yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([x.tobytes() for x in flat], pa.binary())], names=["part", "counts"])
 
@@ -98,35 +87,51 @@ def sketch(docs: DataFrame, rule: Rule) -> np.ndarray:
     return out.reshape(2, CELLS)
 
 
-def ordered(h: np.ndarray, counts: np.ndarray, first: int) -> np.ndarray:
-    """The `first` shingles in the order that all texts share: rare cells first, then by hash."""
+def ordered(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Numbers that sort shingles in the order that all texts share: the count's power of two, halves told apart, then the hash.
+
+    Shingles that happen to share a number meet in one block, which only adds pairs to look at.
+    """
     a, b = _spots(h)
     seen = np.minimum(counts[0][a], counts[1][b])
-    return h[np.lexsort((h, seen))[:first]].view(np.int64)
+    level = np.floor(2 * np.log2(np.maximum(seen, 1))).astype(np.uint64)
+    return (level << np.uint64(56)) | (h >> np.uint64(8))
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, dtype=bool)
-    bits[((h >> np.uint64(20)) & np.uint64(BITS - 1)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.uint64)
+    """At least four bits a shingle; the width is a power of two, so that a wider one can be folded."""
+    width = max(BITS, 1 << (4 * len(h) - 1).bit_length()) if len(h) else BITS
+    bits = np.zeros(width, dtype=bool)
+    bits[((h >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
 def _described(docs: DataFrame, rule: Rule, spread) -> DataFrame:
-    """id, doc_id, n, digest, few (first shingles in order), bits: a small row a text."""
+    """A row a text: id, doc_id, n, digest, keys (the prefix), bits, packed (the text, compressed)."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = spread.value
+        counts, press = spread.value, zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            sets = [shingles(t, rule.words) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([len(h) for h in sets], pa.int64()),
-                pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], pa.binary()),
-                pa.array([ordered(h, counts, min(FEW, rule.prefix(len(h)))) for h in sets], pa.list_(pa.int64())),
-                pa.array([bitmap(h).tobytes() for h in sets], pa.binary()),
-            ], names=["id", "doc_id", "n", "digest", "few", "bits"])
+            texts = batch.column(2).to_pylist()
+            for a, b in slices(texts):
+                flat, begin = shingle_sets(texts[a:b], rule.words)
+                place, size = ordered(flat, counts), np.diff(begin)
+                sets = [flat[x:y] for x, y in zip(begin[:-1].tolist(), begin[1:].tolist())]
+                keys = []
+                for x, n in zip(begin[:-1].tolist(), size.tolist()):
+                    place[x : x + n].sort()
+                    keys.append(place[x : x + rule.prefix(n)].view(np.int64))
+                edges = pa.array(np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size, pa.int64()),
+                    pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], pa.binary()),
+                    pa.ListArray.from_arrays(edges, pa.array(np.concatenate(keys))),
+                    pa.array([bitmap(h).tobytes() for h in sets], pa.binary()),
+                    pa.array([press.compress(t) for t in texts[a:b]], pa.binary()),
+                ], names=["id", "doc_id", "n", "digest", "keys", "bits", "packed"])
 
     given = docs.select("id", F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return given.mapInArrow(describe, "id long, doc_id string, n long, digest binary, few array<long>, bits binary")
+    return given.mapInArrow(describe, "id long, doc_id string, n long, digest binary, keys array<long>, bits binary, packed binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -137,41 +142,44 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            last, own = None, None
-            keep = []
-            for b, left, right in zip(batch["b"], batch["left"], batch["right"]):
-                if b != last:
-                    last, own = b, shingles(unpack.decompress(right), rule.words)
-                keep.append(rule.linked(shingles(unpack.decompress(left), rule.words), own))
-            yield batch.loc[np.array(keep, dtype=bool), ["a", "b"]]
+            packed = dict(zip(batch["a"], batch["left"])) | dict(zip(batch["b"], batch["right"]))
+            pairs, k = list(zip(batch["a"].tolist(), batch["b"].tolist())), 0
+            keep = np.zeros(len(pairs), dtype=bool)
+            while k < len(pairs):  # as many pairs at once as have about a slice of text
+                first, texts, size = k, {}, 0
+                while k < len(pairs) and (k == first or size < 1 << 20):
+                    for i in pairs[k]:
+                        if i not in texts:
+                            texts[i] = unpack.decompress(packed[i])
+                            size += len(texts[i])
+                    k += 1
+                flat, begin = shingle_sets(list(texts.values()), rule.words)
+                at = {i: flat[x:y] for i, x, y in zip(texts, begin[:-1].tolist(), begin[1:].tolist())}
+                for p in range(first, k):
+                    keep[p] = rule.linked(at[pairs[p][0]], at[pairs[p][1]])
+            yield batch.loc[keep, ["a", "b"]]
 
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
     return both.mapInPandas(check, "a long, b long")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """id, comp: the smallest id that links reach. nodes: id, comp so far; links: a, b.
+def components(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """id, comp with the components that links (u, v: labels of linked components) join given one label, the smallest.
 
-    Each round takes the smallest label among neighbours, then the label's own label; rounds grow with the logarithm
-    of the longest way, and only nodes that links touch take part.
+    Each round takes the smallest label among neighbours, then that label's own; rounds grow with the logarithm of the
+    longest way, and only labels that links touch take part.
     """
-    both = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    both = cut(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))))
-    touched = nodes.join(both.select(F.col("x").alias("id")).distinct(), "id").select("comp").distinct()
-    # links between components so far: their labels are the graph's nodes
-    label = nodes.select("id", "comp")
-    edges = both.join(label.withColumnsRenamed({"id": "x", "comp": "u"}), "x").join(label.withColumnsRenamed({"id": "y", "comp": "v"}), "y")
-    edges = cut(edges.where("u <> v").select("u", "v").distinct())
-    state = cut(touched.select(F.col("comp").alias("node"), F.col("comp").alias("to")))
+    edges = cut(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    state = edges.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("to"))
     while True:
-        near = edges.join(state.withColumnsRenamed({"node": "v", "to": "t"}), "v").groupBy("u").agg(F.min("t").alias("t"))
-        new = state.join(near, F.col("node") == F.col("u"), "left").select("node", F.least("to", F.coalesce("t", "to")).alias("new"), F.col("to").alias("old"))
-        hop = new.select(F.col("node").alias("h"), F.col("new").alias("of_h"))
-        new = cut(new.join(hop, F.col("new") == F.col("h")).select("node", F.least("new", "of_h").alias("to"), "old"))
-        if new.where("to <> old").isEmpty():
-            break
+        seen = edges.join(state, F.col("v") == F.col("node")).select("u", "to", F.lit(None).cast("long").alias("own"))
+        seen = seen.unionByName(state.select(F.col("node").alias("u"), "to", F.col("to").alias("own")))
+        new = seen.groupBy("u").agg(F.min("to").alias("new"), F.max("own").alias("old"))
+        hop = new.select(F.col("u").alias("h"), F.col("new").alias("of_h"))
+        new = cut(new.join(hop, F.col("new") == F.col("h")).select(F.col("u").alias("node"), F.col("of_h").alias("to"), (F.col("of_h") != F.col("old")).alias("changed")))
         state = new.select("node", "to")
-    return cut(nodes.join(new.select(F.col("node").alias("comp"), "to"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
+        if not new.agg(F.max("changed")).first()[0]:
+            return cut(comps.join(state, F.col("comp") == F.col("node"), "left").select("id", F.coalesce("to", "comp").alias("comp")))
 
 
 def rate(level: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -184,8 +192,9 @@ def rate(level: tuple[np.ndarray, ...], i: np.ndarray, j: np.ndarray, percent: i
     fits &= ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
     rated = np.zeros(len(i))
     some = np.flatnonzero(fits)
-    for k in range(0, len(some), 65_536):
-        s = some[k : k + 65_536]
+    step = max(1, (1 << 21) // mask.shape[1])
+    for k in range(0, len(some), step):
+        s = some[k : k + step]
         shared = np.bitwise_count(mask[i[s]] & mask[j[s]]).sum(axis=1, dtype=np.int64)
         bound, both = np.minimum(more[i[s]], more[j[s]]) + shared, least[i[s]] + least[j[s]]
         # overlap >= t / (1 + t) of both sizes together
@@ -218,7 +227,7 @@ class SignatureTree:
         for i, j, _ in self.rated_pairs(percent):
             yield i, j
 
-    def rated_pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def rated_pairs(self, percent: int) -> Iterator[Portion]:
         """Text pairs (i < j) that bounds don't exclude, rated, by a traversal of the tree against itself, in portions."""
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
         while stack:
@@ -240,8 +249,8 @@ class SignatureTree:
                 stack.append((depth - 1, x[ok], y[ok]))
 
 
-def leaf_pairs(level: tuple[np.ndarray, ...], edges: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """What `rated_pairs` gives, for all blocks that fill one leaf at most and so need no tree, together."""
+def leaf_pairs(level: tuple[np.ndarray, ...], edges: np.ndarray, percent: int) -> Iterator[Portion]:
+    """What `rated_pairs` gives, for all blocks whose tree is a single leaf, together."""
     size = np.diff(edges)
     rows = np.flatnonzero(np.repeat(size <= LEAF, size))
     after = np.repeat(edges[1:], size)[rows] - rows - 1  # texts that follow in the block
@@ -254,107 +263,134 @@ def leaf_pairs(level: tuple[np.ndarray, ...], edges: np.ndarray, percent: int) -
         yield i[keep], j[keep], rated[keep]
 
 
-def best_pairs(portions: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each component the pair rated highest, as two arrays, and which texts have any pair."""
-    names, label = np.unique(comp, return_inverse=True)
-    high, one, two = np.zeros(len(names)), np.full(len(names), -1), np.full(len(names), -1)
-    alive = np.zeros(len(comp), dtype=bool)
-    for i, j, rated in portions:
-        alive[i] = alive[j] = True
+class Best:
+    """For each of a task's components the pair rated highest so far."""
+
+    def __init__(self, comp: np.ndarray):
+        self.names, self.label = np.unique(comp, return_inverse=True)
+        self.high, self.one, self.two = np.zeros(len(self.names)), np.full(len(self.names), -1), np.full(len(self.names), -1)
+
+    def add(self, i: np.ndarray, j: np.ndarray, rated: np.ndarray) -> None:
         order = np.argsort(rated, kind="stable")
-        for own in (label[i], label[j]):
-            top = np.full(len(names), -1)
+        for own in (self.label[i], self.label[j]):
+            top = np.full(len(self.names), -1)
             top[own[order]] = order  # the last one, rated highest, stays
             better = np.flatnonzero(top >= 0)
-            better = better[rated[top[better]] > high[better]]
+            better = better[rated[top[better]] > self.high[better]]
             at = top[better]
-            high[better], one[better], two[better] = rated[at], i[at], j[at]
-    has = one >= 0
-    return one[has], two[has], alive
+            self.high[better], self.one[better], self.two[better] = rated[at], i[at], j[at]
+
+
+def task_pairs(n: np.ndarray, bits: list[bytes], comp: np.ndarray, key: np.ndarray, percent: int) -> Iterator[Portion]:
+    """Rated pairs of the rows (in order of key and size) of a task's blocks; bitmaps are compared in the smaller set's width."""
+    width = np.array([len(x) for x in bits])
+    for w in np.unique(width).tolist():
+        # sets of the next width take part where they are small enough for a link, folded
+        next_ = np.flatnonzero((width == 2 * w) & (n * percent <= 100 * 2 * w))
+        own = np.flatnonzero(width == w)
+        at = np.sort(np.r_[own, next_])
+        wide = width[at] != w
+        mask = np.empty((len(at), w // 8), dtype=np.uint64)
+        mask[~wide] = np.frombuffer(b"".join(bits[k] for k in at[~wide]), dtype=np.uint64).reshape(-1, w // 8)
+        if wide.any():
+            both = np.frombuffer(b"".join(bits[k] for k in at[wide]), dtype=np.uint64).reshape(-1, 2, w // 8)
+            mask[wide] = both[:, 0] | both[:, 1]
+        level = leaves(n[at], mask, comp[at])
+        own_key = key[at]
+        edges = np.flatnonzero(np.r_[True, own_key[1:] != own_key[:-1], True])
+        for i, j, rated in leaf_pairs(level, edges, percent):
+            yield at[i], at[j], rated
+        for e in np.flatnonzero(np.diff(edges) > LEAF):
+            a, b = edges[e], edges[e + 1]
+            for i, j, rated in SignatureTree(n[at[a:b]], mask[a:b], comp[at[a:b]]).rated_pairs(percent):
+                yield at[a + i], at[a + j], rated
 
 
-def _unsettled_pairs(rule: Rule, best: bool):
-    """pair, key, a, b: candidate pairs of a task's blocks, and if only the best are wanted also the (key, id a) that have any."""
+def _admitted(rule: Rule, best: bool):
+    """u, v, a, b, rated: pairs of texts (a, b) of components (u, v) that bounds don't exclude; if `best`, one for each component."""
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "n", "id"], ignore_index=True)
         key, n, ids, comp = (rows[c].to_numpy() for c in ("key", "n", "id", "comp"))
-        level = leaves(n, np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), -1), comp)
-        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        alive = np.zeros(len(rows), dtype=bool)
-
-        def found(portions, a: int, b: int, part: np.ndarray) -> None:
-            if best:
-                i, j, seen = best_pairs(portions, part)
-                alive[a:b] |= seen
-                portions = [(i, j, None)]
-            for i, j, _ in portions:
-                left.append(ids[a + i])
-                right.append(ids[a + j])
-
-        names, label = np.unique(comp, return_inverse=True)
-        block = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
-        found(leaf_pairs(level, edges, rule.percent), 0, len(rows), block * len(names) + label)
-        for e in np.flatnonzero(np.diff(edges) > LEAF):
-            a, b = edges[e], edges[e + 1]
-            found(SignatureTree(n[a:b], level[5][a:b], comp[a:b]).rated_pairs(rule.percent), a, b, comp[a:b])
-        x, y = np.concatenate(left), np.concatenate(right)
-        both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-        return pd.concat([pd.DataFrame({"pair": True, "key": 0, "a": both[0], "b": both[1]}), pd.DataFrame({"pair": False, "key": key[alive], "a": ids[alive], "b": ids[alive]})])
+        portions = task_pairs(n, rows["bits"].tolist(), comp, key, rule.percent)
+        if best:
+            top = Best(comp)
+            for portion in portions:
+                top.add(*portion)
+            has = top.one >= 0
+            i, j, rated = top.one[has], top.two[has], top.high[has]
+        else:
+            held = [p for p in portions if len(p[0])]
+            i, j, rated = (np.concatenate([p[k] for p in held]) if held else np.zeros(0, np.int64) for k in range(3))
+        a, b = np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])
+        swap = ids[i] < ids[j]
+        out = pd.DataFrame({"u": np.where(swap, comp[j], comp[i]), "v": np.where(swap, comp[i], comp[j]), "a": a, "b": b, "rated": rated.astype(float)})
+        return out.drop_duplicates(["a", "b"])
 
     return pairs
 
 
 def _candidates(blocks: DataFrame, reps: DataFrame, rule: Rule, best: bool) -> DataFrame:
-    tasks = max(1, blocks.count() // BLOCKS_ROWS)
-    described = blocks.join(reps.select("id", "n", "bits"), "id")
-    return described.groupBy(F.pmod("key", F.lit(tasks))).applyInPandas(_unsettled_pairs(rule, best), "pair boolean, key long, a long, b long")
+    tasks = max(shuffle_partitions(blocks.sparkSession), (blocks.agg(F.sum(F.greatest(F.col("n"), F.lit(BITS // 8)))).first()[0] or 0) // TASK_BYTES)
+    described = blocks.join(reps.select("id", "bits"), "id")
+    return described.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks))).applyInPandas(_admitted(rule, best), "u long, v long, a long, b long, rated double")
+
 
+def _blocks(reps: DataFrame) -> DataFrame:
+    """key, id, n: the blocks of two texts or more, each set of texts once.
+
+    A block's texts are told by the exclusive or of their hashes, which is combined before the shuffle, so that no shingle
+    is one task's work; blocks that happen to have the same one are laid together. Blocks above TILE texts become pairs
+    of tiles.
+    """
+    each = reps.select("id", "n", F.explode("keys").alias("key"))
+    of_key = each.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("same")).where("m > 1")
+    blocks = each.join(of_key, "key").select("same", "m", "id", "n").distinct()
+    tiles = F.ceil(F.col("m") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(1)), tiles).cast("int")
+    with_tile = F.when(tiles == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), tiles - 1))
+    blocks = blocks.select("*", own.alias("own"), F.explode(with_tile).alias("other"))
+    return blocks.select(F.xxhash64("same", "m", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "n")
 
-def _unsettled(blocks: DataFrame) -> DataFrame:
-    """Rows of the blocks that hold two components. blocks: key, id, comp."""
-    of_key = Window.partitionBy("key")
-    return blocks.select("*", (F.min("comp").over(of_key) != F.max("comp").over(of_key)).alias("open")).where("open").select("key", "id", "comp")
+
+def _open(blocks: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of the blocks that hold two components."""
+    rows = blocks.join(comps, "id")
+    two = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    return rows.join(two, "key", "left_semi").select("key", "id", "n", "comp")
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id."""
     docs = numbered(docs, text_col)
     spread = docs.sparkSession.sparkContext.broadcast(sketch(docs, rule))
-    rows = cut(_described(docs, rule, spread))
-    texts = packed_texts(docs).select("id", "packed")
+    rows = written(_described(docs, rule, spread), "jaccard-texts")
     classes = rows.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("id"))
-    reps = cut(rows.join(classes.select("id"), "id", "left_semi").select("id", "n", "few", "bits"))
-    # first blocks: each text against the block's earliest, and its neighbour in size
-    block = reps.select("id", "n", F.explode("few").alias("key"))
-    of_block = Window.partitionBy("key")
-    near = block.select("id", "n", F.min(F.struct("id", "n")).over(of_block).alias("p"), F.lag(F.struct("id", "n")).over(of_block.orderBy("n", "id")).alias("q"))
-    pairs = near.select("id", "n", F.explode(F.array("p", "q")).alias("o")).where("o IS NOT NULL AND o.id <> id")
-    pairs = pairs.where((100 * F.col("n") >= rule.percent * F.col("o.n")) & (100 * F.col("o.n") >= rule.percent * F.col("n")))
-    pairs = pairs.select(F.greatest("id", "o.id").alias("a"), F.least("id", "o.id").alias("b")).distinct()
-    comps = components(reps.select("id", F.col("id").alias("comp")), verified(pairs, texts, rule))
-    # whole prefixes: only blocks that still hold two components go on
-    known = reps.select("id", "n").join(comps, "id").select(F.col("id").alias("of"), "n", "comp")
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, unpack = spread.value, zstandard.ZstdDecompressor()
-        for batch in batches:
-            keys = [ordered(h, counts, rule.prefix(len(h))) for h in (shingles(unpack.decompress(p), rule.words) for p in batch["packed"])]
-            size = [len(k) for k in keys]
-            yield pd.DataFrame({"key": np.concatenate(keys or [np.zeros(0, np.int64)])} | {c: np.repeat(batch[c].to_numpy(), size) for c in ("id", "comp")})
-
-    blocks = texts.join(known, F.col("id") == F.col("of")).select("id", "comp", "packed").mapInPandas(prefixes, "key long, id long, comp long")
-    open_ = cut(_unsettled(blocks))
-    found = cut(_candidates(open_, reps, rule, best=True))
-    tried = found.where("pair").select("a", "b").distinct()
-    comps = components(comps, verified(tried, texts, rule))
-    open_ = cut(_unsettled(found.where("NOT pair").select("key", F.col("a").alias("id")).join(comps, "id")))
-    rest = _candidates(open_, reps, rule, best=False).select("a", "b").distinct()
-    comps = components(comps, verified(rest.join(tried, ["a", "b"], "left_anti"), texts, rule))
+    reps = rows.join(classes.select("id"), "id", "left_semi")
+    blocks = cut(_blocks(reps))
+    held = written(rows.join(blocks.select("id").distinct(), "id", "left_semi").select("id", "bits", "packed"), "jaccard-blocks")
+    comps = held.select("id", F.col("id").alias("comp"))
+    tried = None
+    for k in range(ROUNDS + 1):
+        open_ = cut(_open(blocks, comps)) if k else blocks.select("*", F.col("id").alias("comp"))
+        if open_.isEmpty():
+            break
+        pairs = _candidates(open_, held, rule, best=k < ROUNDS)
+        if k < ROUNDS:
+            # the best pair of each component, of all its blocks
+            sides = pairs.select(F.explode(F.array("u", "v")).alias("of"), F.struct("rated", "a", "b", "u", "v").alias("pair"))
+            pairs = sides.groupBy("of").agg(F.max("pair").alias("pair")).select("pair.*")
+        pairs = pairs.select("a", "b", "u", "v").dropDuplicates(["a", "b"])
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = cut(pairs)
+        found = verified(pairs.select("a", "b"), held, rule)
+        found = pairs.join(found, ["a", "b"]).select("u", "v")
+        comps = components(comps, found)
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
     # every text has its class's representative, and that one its component
     own = rows.join(classes.select("n", "digest", F.col("id").alias("rep")), ["n", "digest"], "left").select("id", F.col("doc_id").cast("long").alias("doc_id"), "n", F.coalesce("rep", "id").alias("rep"))
-    own = own.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("id", "doc_id", "n", F.coalesce("comp", "id").alias("comp"))
+    own = own.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("id", "doc_id", "n", F.coalesce("comp", "rep").alias("comp"))
     names = own.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return own.join(names, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "id")
 
@@ -362,13 +398,12 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
 def one_of_each(df: DataFrame, rule: Rule = Rule(), text_col: str = "text") -> DataFrame:
     """The rows of `df` without near duplicates: of a component the row with the smallest doc_id stays; all columns.
 
-    Texts without words are no near duplicates of anything. `df` is a scan, whose rows are numbered alike each time.
+    Texts without words are no near duplicates of anything; null ids sort after all others.
     """
-    rows = df.withColumn("__row", F.monotonically_increasing_id())
-    found = jaccard_components(rows.select(F.col("__row").alias("doc_id"), F.col(text_col).alias("text")), rule)
-    ids = rows.select(F.col("__row").alias("r"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("order"))
-    best = found.join(ids, F.col("doc_id") == F.col("r")).groupBy("component_id").agg(F.min(F.struct("none", "order", "r")).alias("best"))
-    return rows.join(best.select(F.col("best.r").alias("__row")), "__row", "left_semi").drop("__row")
+    rows, row = identified(df)
+    found = jaccard_components(rows.select(F.col(row).alias("doc_id"), F.col(text_col).alias("text")), rule)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(row))
+    return rows.join(kept, row, "left_semi").select(*df.columns)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,35 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
-from .superkmers import Shape, by_id, merged, mix, numbered, packed_texts, repeated, runs_of
+from .shingling import word_edges, word_hashes
+from .superkmers import Shape, by_id, merged, numbered, packed_texts, repeated, runs_of
 
 SHAPE = Shape(width=35, gram=8, cover=32)
 #: Representatives a bucket, on average; keys with more of them than MOST are counted window by window instead.
 BUCKET, MOST = 20_000, 50_000
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-_ODD, _BACK = np.uint64(0x5851F42D4C957F2D), np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
-
-
-def word_edges(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words of a UTF-8 text; blanks are ASCII, so no character is cut."""
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.diff(np.r_[True, blank, True].astype(np.int8))
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-
-
-def word_hashes(raw: np.ndarray) -> np.ndarray:
-    """A 64-bit hash a word: differences of a running polynomial over bytes, brought back to the word's start."""
-    starts, ends = word_edges(raw)
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    powers = np.full(len(raw) + 1, _ODD, dtype=np.uint64)
-    powers[0] = 1
-    back = np.full(len(raw) + 1, _BACK, dtype=np.uint64)
-    back[0] = 1
-    powers, back = np.cumprod(powers, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
-    total = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_TABLE[raw] * powers[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,9 +18,9 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import identified, text_of
+from .shingling import A, C, mix
 
-A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 PLACE = np.uint64(0xFFFFFF)  # the low bits hold a gram's place in its block
 #: Symbols of one block of work; longer documents are cut, and the cut's windows go with the later part.
 BLOCK = 1 << 20
@@ -39,11 +39,6 @@ class Shape:
         return self.width - self.gram + 1
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(29))) * B
-    return x ^ (x >> np.uint64(32))
-
-
 def _double(h: np.ndarray, step: int) -> np.ndarray:
     """Hashes of twice the symbols from hashes of `step` symbols."""
     return mix(h[:-step] * A + h[step:])
@@ -99,12 +94,8 @@ def block_runs(symbols: np.ndarray, ends: np.ndarray, shape: Shape) -> tuple[np.
 
 def numbered(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """id, doc_id, text: a unique id that sorts as doc_id does (null ids last), the doc_id itself where it is unique."""
-    spread = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
-    if (spread[0] or 0) <= 1 and not spread[1]:
-        return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    # ids that repeat or miss: places in a range-partitioned sort, written down once so that they stay
-    rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text_col).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_last()).withColumn("id", F.monotonically_increasing_id()))
-    return rows.select("id", "doc_id", "text")
+    rows, row = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(text_col).alias("text")))
+    return rows.select(F.col(row).alias("id"), "doc_id", "text")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
