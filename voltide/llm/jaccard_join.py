@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, identified, shuffle_partitions, table, written
+from .common import cut, identified, shuffle_partitions, swept, table, written
 from .shingling import shingle_sets, slices
 from .superkmers import numbered
 
@@ -365,13 +365,16 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
     docs = numbered(docs, text_col)
     spread = docs.sparkSession.sparkContext.broadcast(sketch(docs, rule))
     rows = written(_described(docs, rule, spread), "jaccard-texts")
+    swept(docs.sparkSession)
     classes = rows.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("id"))
     reps = rows.join(classes.select("id"), "id", "left_semi")
     blocks = cut(_blocks(reps))
+    swept(docs.sparkSession)
     held = written(rows.join(blocks.select("id").distinct(), "id", "left_semi").select("id", "bits", "packed"), "jaccard-blocks")
     comps = held.select("id", F.col("id").alias("comp"))
     tried = None
     for k in range(ROUNDS + 1):
+        swept(docs.sparkSession)
         open_ = cut(_open(blocks, comps)) if k else blocks.select("*", F.col("id").alias("comp"))
         if open_.isEmpty():
             break

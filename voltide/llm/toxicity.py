@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, held_out, table, text_of
+from .shingling import SLICE, slices
 
 #: At most so many labelled rows of each class are learned from, and so many n-grams kept.
 TOXIC_ROWS, CLEAN_ROWS, GRAMS = 1500, 3000, 1200
@@ -37,17 +38,17 @@ LETTERS = 28  # 0: all but letters, 1-26: a-z, 27: bytes of letters beyond ASCII
 # The letters that a sign resembles.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 SIGN_COST, RUN_COST, GAP_COST = 0.7, 0.5, 0.1
-CACHED = 60
+CACHED = 60  # characters of a part that a worker keeps decoded
 SIGN = re.escape("".join(LEET))
-SUSPECT = re.compile(
-    rf"[a-z{SIGN}]*(?:[a-z][{SIGN}]+[a-z]|([a-z])\1\1)[a-z{SIGN}]*"  # signs within a word, long runs
-    rf"|(?<!\S)[{SIGN}]+[a-z]{{2,}}[a-z{SIGN}]*"  # signs at the start of a word
-    rf"|(?<![a-z0-9])(?:[a-z{SIGN}][ ._*-]){{3,}}[a-z{SIGN}](?![a-z0-9])"  # spaced letters
-)
+#: Single letters with separators between them, or a run of letters and signs; one pass, linear in the text.
+TOKEN = re.compile(rf"(?P<spaced>(?<![a-z0-9])(?:[a-z{SIGN}][ ._*-]){{3,}}[a-z{SIGN}](?![a-z0-9]))|[a-z{SIGN}]+")
+INSIDE = re.compile(rf"[a-z][{SIGN}]+[a-z]|([a-z])\1\1")  # signs within a word, long runs
+LEADING = re.compile(rf"[{SIGN}]+[a-z]{{2,}}")  # signs at the start of a word
+OPEN = re.compile(rf"(?:[{SIGN}]|([a-z])\1\1+)(?:[a-z]?(?:[{SIGN}]|([a-z])\2\2+))*")  # what has a choice, less than two fixed letters apart
 
 
 def _codes() -> np.ndarray:
-    codes = np.zeros(256, dtype=np.int64)
+    codes = np.zeros(256, dtype=np.uint8)
     for i in range(26):
         codes[ord("a") + i] = codes[ord("A") + i] = i + 1
     codes[128:] = 27
@@ -55,18 +56,22 @@ def _codes() -> np.ndarray:
 
 
 def trigram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """code, n: character trigrams of every text, at most LETTERS**3 rows."""
+    """code, n: character trigrams of every text, at most LETTERS**3 rows. A text of any length is counted slice by slice."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, total = _codes(), np.zeros(LETTERS**3, dtype=np.int64)
         for batch in batches:
-            text = "\n\n".join(t for t in batch.column(0).to_pylist() if t)
-            c = codes[np.frombuffer(f"\n\n{text}\n\n".encode("utf-8", "surrogatepass"), dtype=np.uint8)]
-            total += np.bincount((c[:-2] * LETTERS + c[1:-1]) * LETTERS + c[2:], minlength=len(total))
+            texts = batch.column(0).to_pylist()
+            for a, b in slices(texts):
+                c = codes[np.frombuffer(b"\n\n".join([b"", *texts[a:b], b""]), dtype=np.uint8)]
+                for k in range(0, len(c) - 2, SLICE):
+                    part = c[k : k + SLICE + 2].astype(np.int32)
+                    total += np.bincount((part[:-2] * LETTERS + part[1:-1]) * LETTERS + part[2:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
 
-    return docs.select(text_of(text_col).alias("text")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    given = docs.select(text_of(text_col).cast("binary").alias("text")).where(F.length("text") > 0)
+    return given.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -96,12 +101,18 @@ def _lattice(span: str) -> Iterator[tuple[int, int, str, float]]:
         i = j
 
 
-def decode(span: str, model: np.ndarray) -> str:
-    """The cheapest restored span: channel costs plus the trigram model, from word start to word end.
+def _code(letter: str) -> int:
+    return ord(letter) - 96 if "a" <= letter <= "z" else 27
 
-    A state has its cost, its last letters and the state before it, so that time and memory grow with the span's length.
+
+def decode(span: str, model: np.ndarray, before: str = "", after: str = "") -> str:
+    """The cheapest restored span: channel costs plus the trigram model, from the fixed letters before it to those after it.
+
+    Without letters before or after, a word starts or ends there. A state has its cost, its last letters and the state
+    before it, so that time and memory grow with the span's length.
     """
-    best: dict[int, dict] = {0: {(0, 0): (0.0, "", None)}}
+    first = (0, 0, *map(_code, before[-2:]))[-2:]
+    best: dict[int, dict] = {0: {first: (0.0, "", None)}}
     for at, arcs in itertools.groupby(_lattice(span), key=operator.itemgetter(0)):
         arcs = list(arcs)
         for (p, q), state in best.pop(at, {}).items():
@@ -109,13 +120,19 @@ def decode(span: str, model: np.ndarray) -> str:
             for _, to, letters, extra in arcs:
                 a, b, c = p, q, cost + extra
                 for x in letters:
-                    k = ord(x) - 96 if "a" <= x <= "z" else 27
+                    k = _code(x)
                     c += float(model[a, b, k])
                     a, b = b, k
                 states = best.setdefault(to, {})
                 if (a, b) not in states or c < states[a, b][0]:
                     states[a, b] = (c, letters, state)
-    ends = [(state[0] + float(model[a, b, 0]), a, b, state) for (a, b), state in best.get(len(span), {}).items()]
+    ends = []
+    for (a, b), state in best.get(len(span), {}).items():
+        c = state[0]
+        for k in (*map(_code, after[:2]), 0)[:2]:
+            c += float(model[a, b, k])
+            a, b = b, k
+        ends.append((c, len(ends), state))
     if not ends:
         return span
     state, parts = min(ends)[-1], []
@@ -126,10 +143,29 @@ def decode(span: str, model: np.ndarray) -> str:
 
 
 def restorer(model: np.ndarray):
-    """text -> lower-cased text with its suspicious spans decoded."""
-    known = functools.lru_cache(100_000)(lambda span: decode(span, model))
-    # spans of more than CACHED characters seldom come again and aren't kept
-    return lambda text: SUSPECT.sub(lambda m: known(m[0]) if len(m[0]) <= CACHED else decode(m[0], model), text.lower())
+    """text -> lower-cased text with its suspicious spans decoded, in time linear in the text.
+
+    Two fixed letters leave one state of the model, so a word is decoded part by part between such pairs, exactly.
+    """
+    known = functools.lru_cache(50_000)(lambda part, before, after: decode(part, model, before, after))
+
+    def part_of(word: str, m: re.Match) -> str:
+        before, after = word[max(0, m.start() - 2) : m.start()], word[m.end() : m.end() + 2]
+        return (known if len(m[0]) <= CACHED else decode_long)(m[0], before, after)
+
+    decode_long = lambda part, before, after: decode(part, model, before, after)  # noqa: E731  long parts seldom come again
+
+    def restore(m: re.Match) -> str:
+        span = m[0]
+        if m["spaced"]:
+            return decode(span, model)
+        starts = m.start() == 0 or m.string[m.start() - 1].isspace()
+        if not (INSIDE.search(span) or starts and LEADING.match(span)):
+            return span
+        word = span.rstrip("!|+")  # punctuation
+        return OPEN.sub(lambda part: part_of(word, part), word) + span[len(word) :]
+
+    return lambda text: TOKEN.sub(restore, text.lower())
 
 
 def restored(docs: DataFrame, model: np.ndarray, columns: list[str], text_col: str = "text") -> DataFrame:
