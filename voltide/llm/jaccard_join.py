@@ -31,7 +31,7 @@ from .shingling import shingle_sets, slices
 from .superkmers import numbered
 
 CELLS = 1 << 17  # of each of the sketch's two rows
-BITS = 2048  # of the smallest bitmap; larger sets have one of four bits a shingle or more
+BITS, SPREAD = 1024, 2  # of the smallest bitmap; larger sets have one of SPREAD bits a shingle or more
 LEAF, FANOUT = 16, 8
 TILE = 4096  # texts of a block that one tree stands over; larger blocks are pairs of tiles
 TASK_BYTES = 8 << 20  # bitmaps of a task's blocks, on average
@@ -99,8 +99,8 @@ def ordered(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def bitmap(h: np.ndarray) -> np.ndarray:
-    """At least four bits a shingle; the width is a power of two, so that a wider one can be folded."""
-    width = max(BITS, 1 << (4 * len(h) - 1).bit_length()) if len(h) else BITS
+    """At least SPREAD bits a shingle; the width is a power of two, so that a wider one can be folded."""
+    width = max(BITS, 1 << (SPREAD * len(h) - 1).bit_length()) if len(h) else BITS
     bits = np.zeros(width, dtype=bool)
     bits[((h >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -286,7 +286,7 @@ def task_pairs(n: np.ndarray, bits: list[bytes], comp: np.ndarray, key: np.ndarr
     width = np.array([len(x) for x in bits])
     for w in np.unique(width).tolist():
         # sets of the next width take part where they are small enough for a link, folded
-        next_ = np.flatnonzero((width == 2 * w) & (n * percent <= 100 * 2 * w))
+        next_ = np.flatnonzero((width == 2 * w) & (n * percent <= 100 * (8 * w // SPREAD)))
         own = np.flatnonzero(width == w)
         at = np.sort(np.r_[own, next_])
         wide = width[at] != w
@@ -331,7 +331,8 @@ def _admitted(rule: Rule, best: bool):
 
 
 def _candidates(blocks: DataFrame, reps: DataFrame, rule: Rule, best: bool) -> DataFrame:
-    tasks = max(shuffle_partitions(blocks.sparkSession), (blocks.agg(F.sum(F.greatest(F.col("n"), F.lit(BITS // 8)))).first()[0] or 0) // TASK_BYTES)
+    size = blocks.agg(F.sum(F.greatest(F.col("n") / 2, F.lit(BITS // 8)))).first()[0] or 0
+    tasks = max(shuffle_partitions(blocks.sparkSession), int(size) // TASK_BYTES)
     described = blocks.join(reps.select("id", "bits"), "id")
     return described.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks))).applyInPandas(_admitted(rule, best), "u long, v long, a long, b long, rated double")
 
@@ -387,6 +388,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = cut(pairs)
+        swept(docs.sparkSession)
         found = verified(pairs.select("a", "b"), held, rule)
         found = pairs.join(found, ["a", "b"]).select("u", "v")
         comps = components(comps, found)
