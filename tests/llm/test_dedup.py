@@ -147,9 +147,13 @@ def test_signature_tree_drops_no_link():
     rng = np.random.default_rng(3)
     base = [np.unique(rng.integers(0, 2**63, 120).astype(np.uint64)) for _ in range(20)]
     sets = [np.unique(np.r_[base[k % 20][: 120 - k // 20], rng.integers(0, 2**63, k // 20).astype(np.uint64)]) for k in range(300)]
-    tree = jaccard_join.SignatureTree(np.array([len(s) for s in sets]), np.stack([jaccard_join.bitmap(s) for s in sets]), np.arange(300))
+    order = sorted(range(300), key=lambda i: len(sets[i]))  # as blocks are laid out
+    sets = [sets[i] for i in order]
     rule = jaccard_join.Rule(5, 80)
-    found = {tuple(sorted(p)) for i, j in tree.pairs(80) for p in zip(i.tolist(), j.tolist())}
+    marks = [jaccard_join.marks(s) for s in sets]
+    found = set()
+    for i, j, _ in jaccard_join.task_pairs(np.array([len(s) for s in sets]), marks, np.arange(300), np.zeros(300, np.int64), 80):
+        found |= {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if rule.linked(sets[i], sets[j])}
     assert want <= found and len(found) < 300 * 299 / 4
 

@@ -5,8 +5,9 @@ a fixed-size sketch of how many texts have one gives all shingles one order, rar
 shingle among the first n - ceil(t * n) + 1 of either, so texts that share none can't overlap enough. The texts that share
 one are a block; blocks of the same texts count once. Over each block stands a signature tree (nodes: OR-combined bitmaps,
 size ranges, component ranges), and a dual traversal drops node pairs that can't hold a link between components. In each
-of ROUNDS rounds every component has the one pair verified that the bounds rate highest of all its blocks, which is linear
-and joins most of what is linked. Then all pairs are verified that may still link two components, and those alone.
+of ROUNDS rounds every component has the one pair verified that the bounds rate highest in its texts' FEW first blocks,
+which is linear and joins most of what is linked. Then all pairs of all blocks are verified that may still link two
+components, and those alone.
 
 Defined cases: a text of fewer than `words` words is one shingle; a null or empty text has none and is linked with
 nothing; repeated rows form a class; ids may be null or repeat (a component's id is the smallest that is not null, if
@@ -23,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, identified, shuffle_partitions, swept, table, written
@@ -31,11 +32,11 @@ from .shingling import shingle_sets, slices
 from .superkmers import numbered
 
 CELLS = 1 << 17  # of each of the sketch's two rows
-BITS, SPREAD = 1024, 2  # of the smallest bitmap; larger sets have one of SPREAD bits a shingle or more
+BITS, SPREAD, MOST_BITS = 2048, 32, 1 << 16  # least bits of a bitmap, bits a shingle, most bits
 LEAF, FANOUT = 16, 8
 TILE = 4096  # texts of a block that one tree stands over; larger blocks are pairs of tiles
-TASK_BYTES = 8 << 20  # bitmaps of a task's blocks, on average
-ROUNDS = 2
+TASK_BYTES = 32 << 20  # bitmaps of a task's blocks, on average
+ROUNDS, FEW = 2, 3  # rounds of best pairs, on each text's FEW first blocks
 Portion = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -98,16 +99,24 @@ def ordered(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return (level << np.uint64(56)) | (h >> np.uint64(8))
 
 
-def bitmap(h: np.ndarray) -> np.ndarray:
-    """At least SPREAD bits a shingle; the width is a power of two, so that a wider one can be folded."""
-    width = max(BITS, 1 << (SPREAD * len(h) - 1).bit_length()) if len(h) else BITS
-    bits = np.zeros(width, dtype=bool)
-    bits[((h >> np.uint64(20)) & np.uint64(width - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").view(np.uint64)
+def marks(h: np.ndarray) -> np.ndarray:
+    """A set's bits in the widest bitmap, one a shingle; a narrower bitmap takes their low bits."""
+    return np.sort(((h >> np.uint64(20)) & np.uint64(MOST_BITS - 1)).astype(np.uint16))
+
+
+def width(n: np.ndarray | int) -> np.ndarray:
+    """Bits of the bitmap of a set of n shingles: a power of two."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(np.asarray(n) * SPREAD, 1))).astype(np.int64), BITS, MOST_BITS)
+
+
+def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
+    out = np.zeros(bits, dtype=bool)
+    out[own & (bits - 1)] = True
+    return np.packbits(out).view(np.uint64)
 
 
 def _described(docs: DataFrame, rule: Rule, spread) -> DataFrame:
-    """A row a text: id, doc_id, n, digest, keys (the prefix), bits, packed (the text, compressed)."""
+    """A row a text: id, doc_id, n, digest, keys (the prefix), packed (the text, compressed)."""
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, press = spread.value, zstandard.ZstdCompressor(level=3)
@@ -126,12 +135,26 @@ def _described(docs: DataFrame, rule: Rule, spread) -> DataFrame:
                     batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(size, pa.int64()),
                     pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], pa.binary()),
                     pa.ListArray.from_arrays(edges, pa.array(np.concatenate(keys))),
-                    pa.array([bitmap(h).tobytes() for h in sets], pa.binary()),
                     pa.array([press.compress(t) for t in texts[a:b]], pa.binary()),
-                ], names=["id", "doc_id", "n", "digest", "keys", "bits", "packed"])
+                ], names=["id", "doc_id", "n", "digest", "keys", "packed"])
 
     given = docs.select("id", F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return given.mapInArrow(describe, "id long, doc_id string, n long, digest binary, keys array<long>, bits binary, packed binary")
+    return given.mapInArrow(describe, "id long, doc_id string, n long, digest binary, keys array<long>, packed binary")
+
+
+def _marked(texts: DataFrame, rule: Rule) -> DataFrame:
+    """id, packed, marks."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts = [unpack.decompress(x) for x in batch.column(1).to_pylist()]
+            for a, b in slices(texts):
+                flat, begin = shingle_sets(texts[a:b], rule.words)
+                own = [marks(flat[x:y]).tobytes() for x, y in zip(begin[:-1].tolist(), begin[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(own, pa.binary())], names=["id", "packed", "marks"])
+
+    return texts.select("id", "packed").mapInArrow(mark, "id long, packed binary, marks binary")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -281,20 +304,13 @@ class Best:
             self.high[better], self.one[better], self.two[better] = rated[at], i[at], j[at]
 
 
-def task_pairs(n: np.ndarray, bits: list[bytes], comp: np.ndarray, key: np.ndarray, percent: int) -> Iterator[Portion]:
-    """Rated pairs of the rows (in order of key and size) of a task's blocks; bitmaps are compared in the smaller set's width."""
-    width = np.array([len(x) for x in bits])
-    for w in np.unique(width).tolist():
-        # sets of the next width take part where they are small enough for a link, folded
-        next_ = np.flatnonzero((width == 2 * w) & (n * percent <= 100 * (8 * w // SPREAD)))
-        own = np.flatnonzero(width == w)
-        at = np.sort(np.r_[own, next_])
-        wide = width[at] != w
-        mask = np.empty((len(at), w // 8), dtype=np.uint64)
-        mask[~wide] = np.frombuffer(b"".join(bits[k] for k in at[~wide]), dtype=np.uint64).reshape(-1, w // 8)
-        if wide.any():
-            both = np.frombuffer(b"".join(bits[k] for k in at[wide]), dtype=np.uint64).reshape(-1, 2, w // 8)
-            mask[wide] = both[:, 0] | both[:, 1]
+def task_pairs(n: np.ndarray, own: list[np.ndarray], comp: np.ndarray, key: np.ndarray, percent: int) -> Iterator[Portion]:
+    """Rated pairs of the rows (in order of key and size) of a task's blocks; two sets are compared in the smaller one's width."""
+    bits = width(n)
+    for w in np.unique(bits).tolist():
+        # sets of the next width take part where they are small enough for a link
+        at = np.flatnonzero((bits == w) | ((bits == 2 * w) & (n * percent <= 100 * (w // SPREAD))))
+        mask = np.stack([bitmap(own[k], w) for k in at])
         level = leaves(n[at], mask, comp[at])
         own_key = key[at]
         edges = np.flatnonzero(np.r_[True, own_key[1:] != own_key[:-1], True])
@@ -312,7 +328,7 @@ def _admitted(rule: Rule, best: bool):
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "n", "id"], ignore_index=True)
         key, n, ids, comp = (rows[c].to_numpy() for c in ("key", "n", "id", "comp"))
-        portions = task_pairs(n, rows["bits"].tolist(), comp, key, rule.percent)
+        portions = task_pairs(n, [np.frombuffer(x, dtype=np.uint16) for x in rows["marks"]], comp, key, rule.percent)
         if best:
             top = Best(comp)
             for portion in portions:
@@ -331,14 +347,14 @@ def _admitted(rule: Rule, best: bool):
 
 
 def _candidates(blocks: DataFrame, reps: DataFrame, rule: Rule, best: bool) -> DataFrame:
-    size = blocks.agg(F.sum(F.greatest(F.col("n") / 2, F.lit(BITS // 8)))).first()[0] or 0
+    size = blocks.agg(F.sum(F.least(F.greatest(F.col("n") * (SPREAD // 4), F.lit(BITS // 8)), F.lit(MOST_BITS // 8)))).first()[0] or 0
     tasks = max(shuffle_partitions(blocks.sparkSession), int(size) // TASK_BYTES)
-    described = blocks.join(reps.select("id", "bits"), "id")
+    described = blocks.join(reps.select("id", "marks"), "id")
     return described.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks))).applyInPandas(_admitted(rule, best), "u long, v long, a long, b long, rated double")
 
 
 def _blocks(reps: DataFrame) -> DataFrame:
-    """key, id, n: the blocks of two texts or more, each set of texts once.
+    """key, id, n, place: the blocks of two texts or more, each set of texts once; place: 1 for a text's first block, and so on.
 
     A block's texts are told by the exclusive or of their hashes, which is combined before the shuffle, so that no shingle
     is one task's work; blocks that happen to have the same one are laid together. Blocks above TILE texts become pairs
@@ -346,12 +362,21 @@ def _blocks(reps: DataFrame) -> DataFrame:
     """
     each = reps.select("id", "n", F.explode("keys").alias("key"))
     of_key = each.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("same")).where("m > 1")
-    blocks = each.join(of_key, "key").select("same", "m", "id", "n").distinct()
+    blocks = each.join(of_key, "key").groupBy("same", "m", "id", "n").agg(F.min("key").alias("first"))
+    blocks = blocks.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("first", "same")))  # at most a prefix each
     tiles = F.ceil(F.col("m") / TILE).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit(1)), tiles).cast("int")
     with_tile = F.when(tiles == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), tiles - 1))
     blocks = blocks.select("*", own.alias("own"), F.explode(with_tile).alias("other"))
-    return blocks.select(F.xxhash64("same", "m", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "n")
+    return blocks.select(F.xxhash64("same", "m", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "n", "place")
+
+
+def _sized(blocks: DataFrame, rule: Rule) -> DataFrame:
+    """Without texts whose size is too far from all others of the block: in order of size, the next one is then too far."""
+    by_size = Window.partitionBy("key").orderBy("n", "id")  # a block has two tiles at most
+    near = lambda a, b: F.coalesce(100 * a >= rule.percent * b, F.lit(False))
+    rows = blocks.select("*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
+    return rows.where(near(F.col("less"), F.col("n")) | near(F.col("n"), F.col("more"))).drop("less", "more")
 
 
 def _open(blocks: DataFrame, comps: DataFrame) -> DataFrame:
@@ -369,16 +394,17 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
     swept(docs.sparkSession)
     classes = rows.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("id"))
     reps = rows.join(classes.select("id"), "id", "left_semi")
-    blocks = cut(_blocks(reps))
+    blocks = cut(_sized(_blocks(reps), rule))
     swept(docs.sparkSession)
-    held = written(rows.join(blocks.select("id").distinct(), "id", "left_semi").select("id", "bits", "packed"), "jaccard-blocks")
+    held = written(_marked(rows.select("id", "packed").join(blocks.select("id").distinct(), "id", "left_semi"), rule), "jaccard-blocks")
     comps = held.select("id", F.col("id").alias("comp"))
     tried = None
     for k in range(ROUNDS + 1):
         swept(docs.sparkSession)
-        open_ = cut(_open(blocks, comps)) if k else blocks.select("*", F.col("id").alias("comp"))
+        some = blocks if k == ROUNDS else _sized(blocks.where(F.col("place") <= FEW), rule)
+        open_ = cut(_open(some, comps))
         if open_.isEmpty():
-            break
+            continue
         pairs = _candidates(open_, held, rule, best=k < ROUNDS)
         if k < ROUNDS:
             # the best pair of each component, of all its blocks
