@@ -1,13 +1,14 @@
 """N-gram Jaccard join with signature trees; no link between different texts is lost.
 
 Texts with equal shingle sets form a class, of which one representative goes on. The trees' first level is the shingle:
-a fixed-size sketch of how many texts have one gives all shingles one order, rare ones first, and linked sets share a
-shingle among the first n - ceil(t * n) + 1 of either, so texts that share none can't overlap enough. The texts that share
-one are a block; blocks of the same texts count once. Over each block stands a signature tree (nodes: OR-combined bitmaps,
-size ranges, component ranges), and a dual traversal drops node pairs that can't hold a link between components. In each
-of ROUNDS rounds every component has the one pair verified that the bounds rate highest in its texts' FEW first blocks,
-which is linear and joins most of what is linked. Then all pairs of all blocks are verified that may still link two
-components, and those alone.
+a fixed-size sketch of how many texts have one gives all shingles one order, rare ones first, and linked sets share c
+shingles among the first n - ceil(t * n) + c of either, so texts that share fewer can't overlap enough. The texts that
+share one are a block; shingles with the same texts and blocks with the same smallest text count as one, and texts leave
+that share too few of their first shingles or have none of like size beside them. Over each block stands a signature tree
+(nodes: OR-combined bitmaps, size ranges, component ranges), and a dual traversal drops node pairs that can't hold a link
+between components. In each of ROUNDS rounds every component has the one pair verified that the bounds rate highest, which
+is linear and joins most of what is linked. Then all pairs are verified that may still link two components, and those
+alone.
 
 Defined cases: a text of fewer than `words` words is one shingle; a null or empty text has none and is linked with
 nothing; repeated rows form a class; ids may be null or repeat (a component's id is the smallest that is not null, if
@@ -34,9 +35,10 @@ from .superkmers import numbered
 CELLS = 1 << 17  # of each of the sketch's two rows
 BITS, SPREAD, MOST_BITS = 2048, 32, 1 << 16  # least bits of a bitmap, bits a shingle, most bits
 LEAF, FANOUT = 16, 8
+COMMON = 40  # so many shingles of a set ask for one more that its prefix shares
 TILE = 4096  # texts of a block that one tree stands over; larger blocks are pairs of tiles
 TASK_BYTES = 32 << 20  # bitmaps of a task's blocks, on average
-ROUNDS, FEW = 2, 3  # rounds of best pairs, on each text's FEW first blocks
+ROUNDS = 2  # of best pairs
 Portion = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -48,7 +50,12 @@ class Rule:
     percent: int = 80
 
     def prefix(self, n: int) -> int:
-        return n - -(-self.percent * n // 100) + 1 if n else 0
+        """Among so many first shingles of either, linked sets share `common` of the smaller one."""
+        return min(n, n - -(-self.percent * n // 100) + self.common(n)) if n else 0
+
+    def common(self, n):
+        """Shingles that the prefix of a set of n must share, for a number or a column of them."""
+        return 1 + (n // COMMON if isinstance(n, int) else F.floor(n / COMMON))
 
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
@@ -353,22 +360,36 @@ def _candidates(blocks: DataFrame, reps: DataFrame, rule: Rule, best: bool) -> D
     return described.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks))).applyInPandas(_admitted(rule, best), "u long, v long, a long, b long, rated double")
 
 
-def _blocks(reps: DataFrame) -> DataFrame:
-    """key, id, n, place: the blocks of two texts or more, each set of texts once; place: 1 for a text's first block, and so on.
+def _tiled(blocks: DataFrame, *of: str) -> DataFrame:
+    """Adds key: the block `of` where its m texts are TILE at most, else each pair of its tiles."""
+    tiles = F.ceil(F.col("m") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(1)), tiles).cast("int")
+    with_tile = F.when(tiles == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), tiles - 1))
+    rows = blocks.select("*", own.alias("own"), F.explode(with_tile).alias("other"))
+    return rows.withColumn("key", F.xxhash64(*of, F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other")
+
+
+def _blocks(reps: DataFrame, rule: Rule) -> DataFrame:
+    """key, id, n: blocks of two texts or more, so that any two linked texts share one.
 
-    A block's texts are told by the exclusive or of their hashes, which is combined before the shuffle, so that no shingle
-    is one task's work; blocks that happen to have the same one are laid together. Blocks above TILE texts become pairs
-    of tiles.
+    A shingle's texts are told by the exclusive or of their hashes, which is combined before the shuffle, so that no
+    shingle is one task's work; shingles with the same texts are one block. Then all blocks with the same smallest text
+    are laid together, which only adds pairs to look at and leaves far fewer rows.
     """
     each = reps.select("id", "n", F.explode("keys").alias("key"))
     of_key = each.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("same")).where("m > 1")
-    blocks = each.join(of_key, "key").groupBy("same", "m", "id", "n").agg(F.min("key").alias("first"))
-    blocks = blocks.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("first", "same")))  # at most a prefix each
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(1)), tiles).cast("int")
-    with_tile = F.when(tiles == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), tiles - 1))
-    blocks = blocks.select("*", own.alias("own"), F.explode(with_tile).alias("other"))
-    return blocks.select(F.xxhash64("same", "m", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "n", "place")
+    blocks = each.join(of_key, "key").groupBy("same", "m", "id", "n").agg(F.count(F.lit(1)).alias("shared"))
+    blocks = _tiled(blocks, "same", "m").select("key", "id", "n", "shared")
+    blocks = _sized(_sharing(_sized(_sharing(blocks, rule), rule), rule), rule)
+    least = F.min("id").over(Window.partitionBy("key"))  # a block has two tiles at most
+    blocks = blocks.select(least.alias("least"), "id", "n").distinct()
+    return _tiled(blocks.join(blocks.groupBy("least").agg(F.count(F.lit(1)).alias("m")), "least"), "least").select("key", "id", "n")
+
+
+def _sharing(blocks: DataFrame, rule: Rule) -> DataFrame:
+    """Without texts that share fewer of their first shingles with others than a link to the smallest text in reach asks for."""
+    all_shared = F.sum("shared").over(Window.partitionBy("id"))  # a row a text and block: a prefix at most
+    return blocks.withColumn("all", all_shared).where(F.col("all") >= rule.common(F.floor(rule.percent * F.col("n") / 100))).drop("all")
 
 
 def _sized(blocks: DataFrame, rule: Rule) -> DataFrame:
@@ -394,15 +415,14 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
     swept(docs.sparkSession)
     classes = rows.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("id"))
     reps = rows.join(classes.select("id"), "id", "left_semi")
-    blocks = cut(_sized(_blocks(reps), rule))
+    blocks = cut(_blocks(reps, rule))
     swept(docs.sparkSession)
     held = written(_marked(rows.select("id", "packed").join(blocks.select("id").distinct(), "id", "left_semi"), rule), "jaccard-blocks")
     comps = held.select("id", F.col("id").alias("comp"))
     tried = None
     for k in range(ROUNDS + 1):
         swept(docs.sparkSession)
-        some = blocks if k == ROUNDS else _sized(blocks.where(F.col("place") <= FEW), rule)
-        open_ = cut(_open(some, comps))
+        open_ = cut(_open(blocks, comps))
         if open_.isEmpty():
             continue
         pairs = _candidates(open_, held, rule, best=k < ROUNDS)
