@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from voltide.functions.columns import time_bucket
 
+from .timeseries import DAY, before_chunk, carried
+
 KEYS = ("venue", "instrument")
 SIDES = ("bid", "ask")
 
@@ -42,11 +44,13 @@ def volume_by_side(trades: DataFrame, seconds: int) -> DataFrame:
     return trades.groupBy(time_bucket("event_timestamp", seconds).alias("bucket"), *KEYS).agg(*volume_aggregates())
 
 
-def with_fill_interval(trades: DataFrame) -> DataFrame:
+def with_fill_interval(trades: DataFrame, chunk: int = DAY) -> DataFrame:
     """Adds dt_ms, the milliseconds since the previous trade of the venue and instrument, across buckets."""
-    order = Window.partitionBy(*KEYS).orderBy("event_timestamp", "received_timestamp", "trade_id")
     us = F.unix_micros("event_timestamp")
-    return trades.withColumn("dt_ms", (us - F.lag(us).over(order)) / 1000)
+    rows = trades.withColumns({"__us": us, "__chunk": F.floor(us / (chunk * 1_000_000))})
+    rows = before_chunk(rows, list(KEYS), {"__carried": F.max("__us")})
+    order = Window.partitionBy(*KEYS, "__chunk").orderBy("event_timestamp", "received_timestamp", "trade_id")
+    return rows.withColumn("dt_ms", (F.col("__us") - F.coalesce(F.lag("__us").over(order), "__carried")) / 1000).drop("__us", "__chunk", "__carried")
 
 
 def fill_aggregates() -> list[Column]:
@@ -85,10 +89,15 @@ def book_wide(book: DataFrame, depth: int = 10) -> DataFrame:
     return book.groupBy("bucket", *KEYS).agg(*pick)
 
 
-def time_grid(keys: DataFrame, bounds: DataFrame, seconds: int) -> DataFrame:
-    """Every bucket from the first to the last of `bounds` (one row: low, high in epoch seconds), for each key."""
-    whole = bounds.select(F.explode(F.sequence("low", "high", F.lit(seconds).cast("long"))).alias("s"))
-    return keys.join(F.broadcast(whole)).select(F.timestamp_seconds("s").alias("bucket"), *KEYS)
+def time_grid(keys: DataFrame, bounds: DataFrame, seconds: int, run: int = 4096, by: list[str] | tuple[str, ...] = KEYS) -> DataFrame:
+    """Every bucket from the first to the last of `bounds` (one row: low, high in epoch seconds), for each key.
+
+    Keys meet the bounds alone; buckets are made in runs of `run`, which are dealt out.
+    """
+    span = seconds * run
+    starts = keys.join(F.broadcast(bounds)).select(*by, "high", F.explode(F.sequence("low", "high", F.lit(span).cast("long"))).alias("start")).repartition(*by, "start")
+    buckets = F.sequence("start", F.least(F.col("high"), F.col("start") + (span - seconds)), F.lit(seconds).cast("long"))
+    return starts.select(F.explode(buckets).alias("s"), *by).select(F.timestamp_seconds("s").alias("bucket"), *by)
 
 
 def bounds_of(df: DataFrame, seconds: int) -> DataFrame:
@@ -96,10 +105,9 @@ def bounds_of(df: DataFrame, seconds: int) -> DataFrame:
     return df.agg(F.min(at).alias("low"), F.max(at).alias("high"))
 
 
-def ffill(df: DataFrame, columns: list[str], by: list[str], order: str = "bucket") -> DataFrame:
-    """The last value that isn't null, up to each row."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+def ffill(df: DataFrame, columns: list[str], by: list[str], order: str = "bucket", chunk: int = DAY) -> DataFrame:
+    """The last value that isn't null, up to each row; `order` is a timestamp."""
+    return carried(df.withColumn("__at", F.unix_seconds(order)), "__at", by, columns, chunk).drop("__at")
 
 
 FLOW = ("v_trade", "v_buy", "v_sell", "cnt_trade")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import asof
+from .timeseries import DAY
+
 
 def normalize_levels(levels: DataFrame, keys: list[str], depth: int = 15) -> DataFrame:
     """Best first, `depth` a side; negative or non-finite levels are left out."""
@@ -13,15 +16,13 @@ def normalize_levels(levels: DataFrame, keys: list[str], depth: int = 15) -> Dat
     return good.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "side").orderBy(best))).where(F.col("rank") <= depth)
 
 
-def fresh_books(levels: DataFrame, asof: DataFrame, most_us: int) -> DataFrame:
-    """For each moment of `asof` (one column asof_us): each venue's latest book published by then, and whether it is fresh."""
-    books = levels.select("venue", F.unix_micros("received_timestamp").alias("us"), "event_id").distinct()
-    at = asof.withColumn("side", F.lit(1))
-    grid = books.select("venue").distinct().join(F.broadcast(at))
-    both = books.withColumn("side", F.lit(0)).withColumn("match", F.struct("us", "event_id")).unionByName(grid.withColumnRenamed("asof_us", "us"), allowMissingColumns=True)
-    w = Window.partitionBy("venue").orderBy("us", "side", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = both.withColumn("match", F.last("match", True).over(w)).where("side = 1 AND match IS NOT NULL")
-    return held.select(F.col("us").alias("asof_us"), "venue", F.col("match.event_id").alias("event_id"), (F.col("us") - F.col("match.us") <= most_us).alias("fresh"))
+def fresh_books(levels: DataFrame, asof_us: DataFrame, most_us: int) -> DataFrame:
+    """For each moment of `asof_us` (one column of that name): each venue's latest book published by then, and whether it is fresh."""
+    books = levels.select("venue", F.unix_micros("received_timestamp").alias("us"), "event_id").groupBy("venue", "us").agg(F.max("event_id").alias("event_id"))
+    venues = books.agg(F.collect_set("venue").alias("venues"))  # one row
+    moments = asof_us.join(F.broadcast(venues)).select(F.explode("venues").alias("venue"), F.col("asof_us").alias("us"))
+    held = asof(moments, books, ["venue"], "us", ["event_id"], chunk=DAY * 1_000_000).where("matched_at IS NOT NULL")
+    return held.select(F.col("us").alias("asof_us"), "venue", "event_id", (F.col("us") - F.col("matched_at") <= most_us).alias("fresh"))
 
 
 def effective_price(levels: DataFrame, fees: DataFrame) -> DataFrame:
@@ -30,10 +31,17 @@ def effective_price(levels: DataFrame, fees: DataFrame) -> DataFrame:
     return levels.join(fees, "venue", "left").withColumn("price", F.col("price") * F.when(F.col("side") == "bid", 1 - fee).otherwise(1 + fee)).drop("fee")
 
 
-def tick_bucket(levels: DataFrame, tick: float) -> DataFrame:
-    """Bids down, asks up to the tick, in exact decimals."""
-    n = F.round(F.col("price"), 9).cast("decimal(28,9)") / F.lit(tick).cast("decimal(18,9)")
-    return levels.withColumn("price", (F.when(F.col("side") == "bid", F.floor(n)).otherwise(F.ceil(n)) * F.lit(tick).cast("decimal(18,9)")).cast("double"))
+def finest_tick(levels: DataFrame, by: list[str]) -> DataFrame:
+    """tick of each group: one unit of the finest decimal place that its prices use, up to nine."""
+    digits = F.length(F.rtrim(F.substring_index(F.round(F.col("price"), 9).cast("decimal(28,9)").cast("string"), ".", -1), F.lit("0")))
+    return levels.groupBy(*by).agg(F.max(digits).alias("n")).select(*by, F.pow(F.lit(10.0), -F.col("n")).cast("decimal(18,9)").alias("tick"))
+
+
+def tick_bucket(levels: DataFrame, tick: float | None = None, by: list[str] | None = None) -> DataFrame:
+    """Bids down, asks up to the tick, in exact decimals; without a tick, to the finest one that each group `by` uses."""
+    rows = levels.withColumn("__tick", F.lit(tick).cast("decimal(18,9)")) if tick else levels.join(finest_tick(levels, by).withColumnRenamed("tick", "__tick"), by)
+    n = F.round(F.col("price"), 9).cast("decimal(28,9)") / F.col("__tick")
+    return rows.withColumn("price", (F.when(F.col("side") == "bid", F.floor(n)).otherwise(F.ceil(n)) * F.col("__tick")).cast("double")).select(*levels.columns)
 
 
 def consolidate(levels: DataFrame, asof: list[str]) -> DataFrame:
@@ -85,14 +93,16 @@ def apply_level_updates(updates: DataFrame, key: list[str]) -> DataFrame:
 def apply_book_deltas(updates: DataFrame, key: list[str]) -> DataFrame:
     """The book after the last snapshot and the signed deltas behind it, each sequence once, gaps allowed; empty levels go.
 
-    A level that falls below 0 would have been rejected; it is told by `rejected`.
+    A delta that would take its level below 0 is refused, and the level stays as it was: `rejected` tells how many were.
     """
     epoch = updates.where("kind = 'snapshot'").groupBy(*key).agg(F.max("seq").alias("epoch"))
     live = updates.join(epoch, key).where("seq = epoch OR (seq > epoch AND kind = 'delta')").dropDuplicates([*key, "seq", "side", "price"])
-    run = Window.partitionBy(*key, "side", "price").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = live.withColumn("running", F.sum("quantity").over(run))
-    out = run.groupBy(*key, "side", "price").agg(F.max_by("running", "seq").alias("quantity"), (F.min("running") < 0).alias("rejected"))
-    return out.where("quantity > 0 OR rejected")
+    # a level's updates in order, folded: the running quantity, and how many were refused
+    steps = live.groupBy(*key, "side", "price").agg(F.array_sort(F.collect_list(F.struct("seq", "quantity"))).alias("steps"))
+    start = F.struct(F.lit(0.0).alias("quantity"), F.lit(0).alias("rejected"))
+    apply = lambda s, x: F.when(s["quantity"] + x["quantity"] < 0, F.struct(s["quantity"].alias("quantity"), (s["rejected"] + 1).alias("rejected"))).otherwise(F.struct((s["quantity"] + x["quantity"]).alias("quantity"), s["rejected"].alias("rejected")))
+    out = steps.select(*key, "side", "price", F.aggregate("steps", start, apply).alias("x")).select(*key, "side", "price", "x.*")
+    return out.where("quantity > 0 OR rejected > 0")
 
 
 def ladder(levels: DataFrame, asof: list[str], depth: int = 10) -> DataFrame:

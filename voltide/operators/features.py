@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from voltide.functions.columns import YEAR_SECONDS, log_ratio, ratio
 
-from .bars import KEYS
-from .timeseries import DAY, carry_scan, halo_window
+from .bars import KEYS, time_grid
+from .timeseries import DAY, carried, carry_scan, halo_window, in_chunks
 
 
 def synthetic(bars: DataFrame, asset: str = "SYN") -> DataFrame:
@@ -86,8 +86,9 @@ def ewma_variance(returns: DataFrame, decay: float = 0.96, chunk: int = DAY) ->
     out = ewma(returns, "bucket", ["asset"], F.col("log_return") ** 2, decay, "variance", chunk)
     # variance_t = decay * before + (1 - decay) * r^2, so the one before needs no neighbour
     r2 = F.coalesce(F.col("log_return") ** 2, F.lit(0.0))
-    nth = F.row_number().over(Window.partitionBy("asset").orderBy("bucket"))
-    return out.withColumn("__n", nth).withColumn("forecast", F.when(F.col("__n") == 1, r2).otherwise((F.col("variance") - (1 - decay) * r2) / decay)).drop("__n")
+    begins = returns.groupBy("asset").agg(F.min("bucket").alias("bucket")).withColumn("__begins", F.lit(True))
+    out = out.join(begins, ["asset", "bucket"], "left")
+    return out.withColumn("forecast", F.when(F.col("__begins"), r2).otherwise((F.col("variance") - (1 - decay) * r2) / decay)).drop("__begins")
 
 
 def annualized(variance: Column, bar: int, horizon: int) -> Column:
@@ -104,21 +105,26 @@ def sampled_ewma(prices: DataFrame, horizon: int, bar: int, decay: float) -> Dat
     return out.select("asset", "bucket", "log_return", "variance", F.lag("variance").over(w).alias("published"))
 
 
-def rows_back(n: int):
-    return Window.partitionBy(*KEYS).orderBy("bucket").rowsBetween(-(n - 1), 0)
+def rows_back(n: int, by: list[str] | tuple[str, ...] = KEYS):
+    return Window.partitionBy(*by).orderBy("bucket").rowsBetween(-(n - 1), 0)
 
 
-def filled_return(price: str = "p_close") -> Column:
+def filled_return(price: str = "p_close", by: list[str] | tuple[str, ...] = KEYS) -> Column:
     """ln of the ratio to the bar before; 0 where there is none."""
-    return F.coalesce(log_ratio(price, F.lag(price).over(Window.partitionBy(*KEYS).orderBy("bucket"))), F.lit(0.0))
+    return F.coalesce(log_ratio(price, F.lag(price).over(Window.partitionBy(*by).orderBy("bucket"))), F.lit(0.0))
 
 
-def rolling(bars: DataFrame, bar: int, window: int) -> DataFrame:
-    """log_return (filled), rv, bv, jump and gk over the last window's rows, from a fifth of them on."""
+def rolling(bars: DataFrame, bar: int, window: int, chunk: int = DAY) -> DataFrame:
+    """log_return (filled), rv, bv, jump and gk over the last window's rows, from a fifth of them on; `bars` is a full grid."""
+    back = (math.ceil(window / bar) + 2) * bar
+    return in_chunks(bars, "bucket", list(KEYS), lambda rows, by: _rolling(rows, by, bar, window), back, chunk=max(chunk, back))
+
+
+def _rolling(bars: DataFrame, by: list[str], bar: int, window: int) -> DataFrame:
     n = math.ceil(window / bar)
     least = min(n, max(2, n // 5))
-    w, order = rows_back(n), Window.partitionBy(*KEYS).orderBy("bucket")
-    out = bars.withColumn("log_return", filled_return())
+    w, order = rows_back(n, by), Window.partitionBy(*by).orderBy("bucket")
+    out = bars.withColumn("log_return", filled_return(by=by))
     pair = F.abs("log_return") * F.abs(F.lag("log_return").over(order))
     hl, co = log_ratio("p_high", "p_low"), log_ratio("p_close", "p_open")
     out = out.withColumns({"__bv": math.pi / 2 * pair, "__gk": F.greatest(0.5 * hl * hl - (2 * math.log(2) - 1) * co * co, F.lit(0.0)), "__gk_null": hl + co})
@@ -132,6 +138,13 @@ def rolling(bars: DataFrame, bar: int, window: int) -> DataFrame:
     return out.withColumn("jump", F.greatest(F.col("rv") ** 2 - F.col("bv") ** 2, F.lit(0.0))).withColumn("jump_ratio", F.col("jump") / (F.col("rv") ** 2 + 1e-8)).drop("__bv", "__gk", "__gk_null")
 
 
+def parkinson(bars: DataFrame, bar: int, window: int, chunk: int = DAY) -> DataFrame:
+    """Adds parkinson, the volatility of highs over lows of the last window's rows; `bars` is a full grid."""
+    n = math.ceil(window / bar)
+    steps = lambda rows, by: rows.withColumn("parkinson", F.sqrt(F.avg(F.log(F.col("p_high") / F.col("p_low")) ** 2).over(rows_back(n, by)) / (4 * math.log(2))))
+    return in_chunks(bars, "bucket", list(KEYS), steps, n * bar, chunk=max(chunk, n * bar))
+
+
 def wap(k: int) -> Column:
     """Price at level k, weighted by the other side's quantity."""
     bp, bq, ap, aq = (F.col(f"{x}_{s}_{k}") for s in ("bid", "ask") for x in "pq")
@@ -167,9 +180,9 @@ def multi_level_microprice(depth: int) -> Column:
     return out / sum(1 / k for k in range(1, depth + 1))
 
 
-def ofi() -> Column:
+def ofi(by: list[str] | tuple[str, ...] = KEYS) -> Column:
     """Order flow imbalance at the top of the book. The first row has no change: its bid flow is 0, its ask flow the quantity."""
-    w = Window.partitionBy(*KEYS).orderBy("bucket")
+    w = Window.partitionBy(*by).orderBy("bucket")
     def flow(side: str, better_up: bool) -> Column:
         p, q = F.col(f"p_{side}_1"), F.col(f"q_{side}_1")
         dp, dq = p - F.lag(p).over(w), q - F.lag(q).over(w)
@@ -178,7 +191,12 @@ def ofi() -> Column:
     return flow("bid", True) - flow("ask", False)
 
 
-def microstructure(bars: DataFrame) -> DataFrame:
+def microstructure(bars: DataFrame, bar: int, chunk: int = DAY) -> DataFrame:
+    """All measures of a bar's book and flow; `bars` is a full grid."""
+    return in_chunks(bars, "bucket", list(KEYS), lambda rows, by: _microstructure(rows, by), bar, chunk=chunk)
+
+
+def _microstructure(bars: DataFrame, by: list[str]) -> DataFrame:
     out = bars
     for k in (1, 5, 10):
         out = out.withColumns({f"wap_{k}": wap(k), f"microprice_{k}": wap(k), f"obi_{k}": obi(k)})
@@ -186,7 +204,7 @@ def microstructure(bars: DataFrame) -> DataFrame:
         "spread": F.col("p_ask_1") - F.col("p_bid_1"), "relative_spread": ratio(F.col("p_ask_1") - F.col("p_bid_1"), F.col("wap_1")),
         "bid_slope": book_slope("bid"), "ask_slope": book_slope("ask"),
         "liquidity_consumption": ratio("v_trade", F.col("q_bid_1") + F.col("q_ask_1")),
-        "aggressor_imbalance": ratio(F.col("v_buy") - F.col("v_sell"), F.col("v_buy") + F.col("v_sell")), "ofi": ofi(),
+        "aggressor_imbalance": ratio(F.col("v_buy") - F.col("v_sell"), F.col("v_buy") + F.col("v_sell")), "ofi": ofi(by),
     })
 
 
@@ -199,19 +217,24 @@ def venue_means(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def features_v1(bars: DataFrame, bar: int, window: int) -> DataFrame:
     """All of a venue's features, then their means over venues."""
-    return venue_means(rolling(microstructure(bars), bar, window), FEATURES_V1)
+    back = (math.ceil(window / bar) + 2) * bar
+    both = in_chunks(bars, "bucket", list(KEYS), lambda rows, by: _rolling(_microstructure(rows, by), by, bar, window), back, chunk=max(DAY, back))
+    return venue_means(both, FEATURES_V1)
 
 
-def fresh_venue_spot(trades: DataFrame, seconds: int, fresh: int) -> DataFrame:
-    """At each bucket's end: the mean of the venues' latest prices that are at most `fresh` seconds old, and who they are."""
+def fresh_venue_spot(trades: DataFrame, seconds: int, fresh: int, chunk: int = DAY) -> DataFrame:
+    """At each bucket's end: the mean of the venues' latest prices that are at most `fresh` seconds old, who they are, and
+    the log return against the spot one bucket before.
+    """
     ends = trades.select(((F.floor(F.unix_seconds("event_timestamp") / seconds) + 1) * seconds).alias("end"), "venue", "price", F.unix_micros("event_timestamp").alias("us"))
     latest = ends.groupBy("end", "venue").agg(F.max_by("price", "us").alias("price"), F.max("us").alias("us"))
     bounds = latest.agg(F.min("end").alias("low"), F.max("end").alias("high"))
-    grid = latest.select("venue").distinct().join(F.broadcast(bounds.select(F.explode(F.sequence("low", "high", F.lit(seconds).cast("long"))).alias("end"))))
-    w = Window.partitionBy("venue").orderBy("end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = grid.join(latest, ["end", "venue"], "left").select("end", "venue", F.last(F.struct("price", "us"), True).over(w).alias("x"), F.last("us", True).over(w).alias("us"), F.last("price", True).over(w).alias("price")).where("us IS NOT NULL")
+    grid = time_grid(latest.select("venue").distinct(), bounds, seconds, by=["venue"]).select(F.unix_seconds("bucket").alias("end"), "venue")
+    held = carried(grid.join(latest, ["end", "venue"], "left"), "end", ["venue"], ["price", "us"], chunk).where("us IS NOT NULL")
     is_fresh = F.col("end") * 1_000_000 - F.col("us") <= fresh * 1_000_000
-    return held.groupBy("end").agg(
+    spots = held.groupBy("end").agg(
         F.avg(F.when(is_fresh, F.col("price"))).alias("spot"), F.count_if(is_fresh).alias("venue_count"),
         F.array_join(F.array_sort(F.collect_list(F.when(is_fresh, F.col("venue")))), ",").alias("used"),
         F.array_join(F.array_sort(F.collect_list(F.when(~is_fresh, F.col("venue")))), ",").alias("stale"))
+    before = lambda w: F.max("spot").over(w.rangeBetween(-seconds, -seconds))
+    return halo_window(spots, "end", [], {"__spot": before}, seconds, chunk=chunk).withColumn("log_return", log_ratio("spot", "__spot")).drop("__spot")

@@ -144,30 +144,6 @@ def validate_features(rows: DataFrame, required: list[str], as_of: int) -> DataF
     return one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*kinds))).alias("violation", "n"))
 
 
-#: Trade frames by venue: the field of price, quantity, id and time in milliseconds, and the taker's side.
-FRAMES = {
-    "purchase": ("p", "q", "t", "T", lambda s: F.when(F.lower(s) == "true", "sell").otherwise("buy"), "m"),
-    "click": ("price", "amount", "id", "ts", lambda s: F.when(s == "0", "buy").otherwise("sell"), "type"),
-    None: ("price", "size", "trade_id", "time", F.lower, "side"),
-}
-
-
-def normalize_trade_frames(frames: DataFrame) -> DataFrame:
-    """venue, received_ts_ms, raw to canonical trades; frames that can't be read have an error."""
-    def pick(i: int) -> Column:
-        out = F.get_json_object("raw", f"$.{FRAMES[None][i]}")
-        for venue, f in FRAMES.items():
-            if venue:
-                out = F.when(F.col("venue") == venue, F.get_json_object("raw", f"$.{f[i]}")).otherwise(out)
-        return out
-    side = FRAMES[None][4](F.get_json_object("raw", "$.side"))
-    for venue, f in FRAMES.items():
-        if venue:
-            side = F.when(F.col("venue") == venue, f[4](F.get_json_object("raw", f"$.{f[5]}"))).otherwise(side)
-    out = frames.select("venue", "received_ts_ms", pick(0).alias("price"), pick(1).alias("quantity"), pick(2).alias("trade_id"), pick(3).cast("long").alias("exchange_ts_ms"), side.alias("taker_side"))
-    return out.withColumn("error", first_error(("price", number_bad("price")), ("quantity", number_bad("quantity")), ("taker_side", ~F.coalesce(F.col("taker_side").isin("buy", "sell"), F.lit(False)))))
-
-
 def contract_metadata(rows: DataFrame) -> DataFrame:
     """Strike from the first field that has one, checked against the ticker's suffix; only above-strike types."""
     strike = F.coalesce(*[F.expr(f"try_cast({c} AS DOUBLE)") for c in ("floor_strike", "functional_strike", "strike")])

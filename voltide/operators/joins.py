@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import KEYS, SIDES
+from .timeseries import DAY, before_chunk
 
 
 def book_grid(grid: DataFrame, book: DataFrame, depth: int = 10) -> DataFrame:
@@ -14,16 +15,20 @@ def book_grid(grid: DataFrame, book: DataFrame, depth: int = 10) -> DataFrame:
     return long.join(book, ["bucket", *KEYS, "side", "level"], "left")
 
 
-def asof(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], strict: bool = False) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, by: list[str], at: str, values: list[str], strict: bool = False, chunk: int = DAY) -> DataFrame:
     """Each left row with the values of the last right row at or before it (before it, if strict), and matched_at.
 
-    One union, one sort: right rows sort before left rows of the same time, or after them if strict.
+    One union, sorted in chunks of `chunk` units of `at` (seconds, for timestamps); a chunk begins with the last right row
+    of those before it. Right rows sort before left rows of the same time, or after them if strict.
     """
     first, second = (1, 0) if strict else (0, 1)
     r = right.select(*by, at, F.lit(first).alias("__side"), F.struct(F.col(at).alias("matched_at"), *values).alias("__match"))
     l = left.withColumn("__row", F.struct(*left.columns)).select(*by, at, F.lit(second).alias("__side"), "__row")
-    w = Window.partitionBy(*by).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = r.unionByName(l, allowMissingColumns=True).withColumn("__match", F.last("__match", ignorenulls=True).over(w))
+    units = F.unix_seconds(at) if dict(left.dtypes)[at].startswith("timestamp") else F.col(at)
+    both = r.unionByName(l, allowMissingColumns=True).withColumn("__chunk", F.floor(units / chunk))
+    both = before_chunk(both, by, {"__before": F.max_by("__match", F.when(F.col("__side") == first, F.col(at)))})
+    w = Window.partitionBy(*by, "__chunk").orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("__match", F.coalesce(F.last("__match", ignorenulls=True).over(w), "__before"))
     return both.where(F.col("__side") == second).select("__row.*", "__match.*")
 
 

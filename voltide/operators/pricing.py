@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from voltide.functions.columns import YEAR_SECONDS, normal_cdf
 
+from .joins import asof
+
 HORIZONS = (300, 900, 1800, 3600)
 
 
@@ -52,7 +54,7 @@ def implied_vol(quotes: DataFrame, keys: list[str], rounds: int = 6, least: int
     """The volatility whose digital prices fit the nearest quotes best, by weighted Huber loss.
 
     quotes: keys, spot, strike, bid, ask, open_interest, tau. A grid of 161 points, then 41 points between its
-    neighbours, again and again; each round is one aggregation over (group, point).
+    neighbours, again and again. A group has at most `nearest` quotes, so all rounds are one expression over its row.
     """
     mid = (F.col("bid") + F.col("ask")) / 2
     good = quotes.where("bid > 0 AND bid <= ask AND ask < 1").withColumn("mid", mid).where("mid BETWEEN 0.01 AND 0.99")
@@ -60,20 +62,21 @@ def implied_vol(quotes: DataFrame, keys: list[str], rounds: int = 6, least: int
     good = good.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= nearest)
     group = Window.partitionBy(*keys)
     good = good.withColumns({"n": F.count(F.lit(1)).over(group), "w": (F.col("open_interest") + 1) / F.sum(F.col("open_interest") + 1).over(group)}).where(F.col("n") >= least)
-    packed = good.groupBy(*keys).agg(F.collect_list(F.struct("mid", "w", F.log(F.col("spot") / F.col("strike")).alias("m"), F.sqrt(F.col("tau") / YEAR_SECONDS).alias("s"))).alias("quotes"))  # at most `nearest` each
-    state = packed.select(*keys, "quotes", F.lit(0.01).alias("low"), F.lit(5.0).alias("high"))
-    for r in range(rounds):
-        points = 161 if r == 0 else 41
-        step = (F.col("high") - F.col("low")) / (points - 1)
-        each = state.withColumn("step", step).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("sigma", F.col("low") + F.col("i") * F.col("step"))
-        # each step of the formula in an array of its own, so that no expression is written out many times
-        each = each.withColumn("x", F.transform("quotes", lambda q: q["m"] / (F.col("sigma") * q["s"]) - F.col("sigma") * q["s"] / 2))
-        each = each.withColumn("e", F.zip_with("x", "quotes", lambda x, q: F.abs(normal_cdf(x) - q["mid"])))
-        each = each.withColumn("loss", F.aggregate(F.zip_with("e", "quotes", lambda e, q: q["w"] * F.when(e <= 0.02, 0.5 * e * e).otherwise(0.02 * (e - 0.01))), F.lit(0.0), lambda a, x: a + x))
-        best = each.groupBy(*keys).agg(F.min_by(F.struct("sigma", "step"), F.struct("loss", "i")).alias("b"), F.first("quotes").alias("quotes"))
-        low, high = F.greatest(F.lit(0.01), F.col("b.sigma") - F.col("b.step")), F.least(F.lit(5.0), F.col("b.sigma") + F.col("b.step"))
-        state = best.select(*keys, "quotes", low.alias("low"), high.alias("high"), F.col("b.sigma").alias("sigma"))
-    return state.select(*keys, "sigma", F.size("quotes").alias("n_quotes"))
+    packed = good.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "mid", "w", F.log(F.col("spot") / F.col("strike")).alias("m"), F.sqrt(F.col("tau") / YEAR_SECONDS).alias("s")))).alias("quotes"))
+
+    def loss(sigma: Column) -> Column:
+        misses = F.transform(F.transform("quotes", lambda q: F.struct((q["m"] / (sigma * q["s"]) - sigma * q["s"] / 2).alias("x"), q["mid"].alias("mid"), q["w"].alias("w"))), lambda r: F.struct(F.abs(normal_cdf(r["x"]) - r["mid"]).alias("e"), r["w"].alias("w")))
+        return F.aggregate(misses, F.lit(0.0), lambda total, r: total + r["w"] * F.when(r["e"] <= 0.02, 0.5 * r["e"] * r["e"]).otherwise(0.02 * (r["e"] - 0.01)))
+
+    def closer(s: Column, points: Column) -> Column:
+        step = (s["high"] - s["low"]) / (points - 1)
+        tried = F.transform(F.transform(F.sequence(F.lit(0), points - 1), lambda i: s["low"] + i * step), lambda sigma, i: F.struct(loss(sigma).alias("loss"), i.alias("i"), sigma.alias("sigma")))
+        best = F.transform(F.array(F.array_min(tried)), lambda b: F.struct(F.greatest(F.lit(0.01), b["sigma"] - step).alias("low"), F.least(F.lit(5.0), b["sigma"] + step).alias("high"), b["sigma"].alias("sigma")))
+        return F.get(best, F.lit(0))
+
+    start = F.struct(F.lit(0.01).alias("low"), F.lit(5.0).alias("high"), F.lit(None).cast("double").alias("sigma"))
+    found = F.aggregate(F.array(F.lit(161), *[F.lit(41)] * (rounds - 1)), start, closer, lambda s: s["sigma"])
+    return packed.select(*keys, found.alias("sigma"), F.size("quotes").alias("n_quotes"))
 
 
 def atm_window(quotes: DataFrame, keys: list[str], each_side: int = 6) -> DataFrame:
@@ -88,17 +91,26 @@ def price_contracts(tickers: DataFrame, metadata: DataFrame, curve: DataFrame, n
     """One row a contract: probability and edges, or one reason why not. A stale quote is priced without edges.
 
     tickers: event_ticker, market_ticker, bid, ask, quoted_at, spot; metadata: event_ticker, market_ticker, strike, expiry, status.
+    curve: one row, or a row for each `feature_at` (epoch seconds), of which the last one at or before now counts. Several
+    rows without times are an error.
     """
-    rows = tickers.join(metadata, ["event_ticker", "market_ticker"], "left").join(F.broadcast(valid_curve(curve).limit(1)))
-    tau = F.col("expiry") - now
+    rows = tickers.join(metadata, ["event_ticker", "market_ticker"], "left").withColumn("__now", now)
+    knots = valid_curve(curve)
+    if "feature_at" in curve.columns:
+        names = [c for c in knots.columns if c != "feature_at"]
+        rows = asof(rows.withColumn("__curve", F.lit(1)), knots.withColumns({"__now": F.col("feature_at"), "__curve": F.lit(1)}), ["__curve"], "__now", names).drop("__curve", "matched_at")
+    else:
+        one = knots.agg(*[F.any_value(c).alias(c) for c in knots.columns], F.count(F.lit(1)).alias("__n"))
+        rows = rows.join(F.broadcast(one)).where(F.when(F.col("__n") > 1, F.raise_error(F.lit("the curve has several rows without feature_at"))).otherwise(F.lit("")).isNotNull()).drop("__n")
+    tau = F.col("expiry") - F.col("__now")
     rows = rows.withColumn("tau", tau).withColumn("sigma", interpolate_vol(F.col("tau")))
     reason = (F.when(F.col("strike").isNull(), "no_metadata").when(~F.col("status").isin("open", "active"), "not_open").when(F.col("spot").isNull(), "no_spot")
               .when(~F.col("valid"), "bad_curve").when(F.col("tau") <= 0, "expired").when(F.col("sigma").isNull(), "beyond_curve"))
     rows = rows.withColumn("reason", reason)
     rows = rows.withColumn("model", F.when(F.col("reason").isNull(), above_strike(F.col("spot"), F.col("strike"), deviation(F.col("sigma"), F.col("tau")))))
     rows = with_edges(rows)
-    late = now - F.col("quoted_at") > stale
-    return rows.withColumns({c: F.when(~late, F.col(c)) for c in ("edge", "buy_edge", "sell_edge")})
+    late = F.col("__now") - F.col("quoted_at") > stale
+    return rows.withColumns({c: F.when(~late, F.col(c)) for c in ("edge", "buy_edge", "sell_edge")}).drop("__now")
 
 
 def last_distinct_trade(rows: DataFrame, key: str, at: str, fingerprint: list[str]) -> DataFrame:
@@ -107,3 +119,34 @@ def last_distinct_trade(rows: DataFrame, key: str, at: str, fingerprint: list[st
     f = F.struct(*fingerprint)
     changed = rows.withColumn("new", F.coalesce((F.lag(f).over(w) != f).cast("int"), F.lit(1)))
     return changed.where("new = 1").groupBy(key).agg(F.max(at).alias("since"))
+
+
+def contract_monitor(tickers: DataFrame, trades: DataFrame, books: DataFrame, now_ms: int, most_ms: int = 300_000) -> DataFrame:
+    """A row a market of the active event, from what arrived in the last `most_ms` milliseconds.
+
+    The active event is that of the newest arrival. Prices are cents; the last trade is the newest, and stands since its
+    price, quantity and side were first seen in a row; activity is counted from that, or without a trade from the newest
+    quote or book. Columns beside the market: strike (from its name), bid, ask, spread, last, volume, open_interest,
+    last_trade, last_trade_qty, last_trade_side, activity_ms, has_trade, place (by strike, those without last).
+    """
+    fresh = lambda df: df.where(F.col("received_ts_ms").isNotNull() & (now_ms - F.col("received_ts_ms") <= most_ms) & (F.coalesce("market_ticker", F.lit("")) != ""))
+    tickers, trades, books = fresh(tickers), fresh(trades), fresh(books)
+    arrivals = [df.select("event_ticker", "received_ts_ms") for df in (tickers, trades, books)]
+    active = arrivals[0].unionByName(arrivals[1]).unionByName(arrivals[2]).agg(F.max_by("event_ticker", "received_ts_ms").alias("event_ticker"))
+    ours = lambda df: df.join(F.broadcast(active), "event_ticker", "left_semi")  # noqa: E731  one row
+    newest = ours(tickers).groupBy("event_ticker", "market_ticker").agg(F.max_by(F.struct("yes_bid_dollars", "yes_ask_dollars", "last_price_dollars", "volume", "open_interest", "received_ts_ms"), "received_ts_ms").alias("t"))
+    whole = ours(trades).where("yes_price_dollars IS NOT NULL AND count IS NOT NULL AND taker_side IS NOT NULL")
+    mark = F.struct("yes_price_dollars", "count", "taker_side")
+    w = Window.partitionBy("market_ticker").orderBy("received_ts_ms")
+    begins = whole.withColumn("new", F.coalesce(F.lag(mark).over(w) != mark, F.lit(True)))
+    last = begins.where("new").groupBy("market_ticker").agg(F.max_by(F.struct("yes_price_dollars", "count", "taker_side", "received_ts_ms"), "received_ts_ms").alias("x"))
+    book = ours(books).groupBy("market_ticker").agg(F.max("received_ts_ms").alias("booked"))
+    cents = lambda c: F.round(100 * c.try_cast("double"), 6)
+    out = newest.join(last, "market_ticker", "left").join(book, "market_ticker", "left")
+    out = out.select(
+        "event_ticker", "market_ticker", F.expr(r"try_cast(nullif(regexp_extract(market_ticker, '-T(\\d+(?:\\.\\d+)?)$', 1), '') AS DOUBLE)").alias("strike"),
+        cents(F.col("t.yes_bid_dollars")).alias("bid"), cents(F.col("t.yes_ask_dollars")).alias("ask"), cents(F.col("t.yes_ask_dollars").try_cast("double") - F.col("t.yes_bid_dollars").try_cast("double")).alias("spread"), cents(F.col("t.last_price_dollars")).alias("last"),
+        F.col("t.volume").try_cast("double").alias("volume"), F.col("t.open_interest").try_cast("double").alias("open_interest"),
+        cents(F.col("x.yes_price_dollars")).alias("last_trade"), F.col("x.count").try_cast("double").alias("last_trade_qty"), F.upper("x.taker_side").alias("last_trade_side"),
+        (now_ms - F.coalesce("x.received_ts_ms", F.greatest("t.received_ts_ms", "booked"))).alias("activity_ms"), F.col("x").isNotNull().alias("has_trade"))
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("event_ticker").orderBy(F.col("strike").asc_nulls_last(), "market_ticker")))

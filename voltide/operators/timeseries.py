@@ -1,5 +1,8 @@
 """Windows over globally ordered series, without one task for a whole series.
 
+in_chunks: any steps that look back or ahead by a bounded time, run on chunks of time with a halo. carried, before_chunk:
+the last value so far, from a window inside the chunk and a small table with a row a chunk.
+
 halo_window: bounded frames. Each row goes to the chunk of time that owns it and to those whose frames reach it; the
 window runs inside chunks, and only owned rows stay. carry_scan: running recurrences of the affine kind y = a*y' + b
 (cumulative sums: a = 1; exponential averages: a constant a). A chunk's rows give one affine map; maps are scanned
@@ -8,22 +11,58 @@ over the small table of chunks, and each chunk finishes from its carry.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY = 86_400
 
 
-def halo_window(df: DataFrame, at: str, by: list[str], columns: dict, back: int, ahead: int = 0, chunk: int = DAY) -> DataFrame:
-    """Adds `columns` (name: function from a window specification to a Column), computed over rows at most `back`
-    seconds before and `ahead` seconds after; `at` holds whole epoch seconds. Every frame must lie within those bounds.
+def in_chunks(df: DataFrame, at: str, by: list[str], steps: Callable[[DataFrame, list[str]], DataFrame], back: int, ahead: int = 0, chunk: int = DAY) -> DataFrame:
+    """steps(rows, keys) on the rows of each chunk of time and those at most `back` seconds before and `ahead` seconds after.
+
+    `at` holds whole epoch seconds. The steps partition their windows by the keys that they are given, and no window of
+    theirs may reach beyond those bounds; rows outside a chunk are only there to be looked at.
     """
     own = F.floor(F.col(at) / chunk)
     first, last = F.floor((F.col(at) - ahead) / chunk), F.floor((F.col(at) + back) / chunk)
     spread = df.withColumn("__own", own).withColumn("__chunk", F.explode(F.sequence(first, last)))
-    w = Window.partitionBy(*by, "__chunk").orderBy(at)
-    out = spread.select("*", *[f(w).alias(name) for name, f in columns.items()])
-    return out.where("__chunk = __own").drop("__own", "__chunk")
+    return steps(spread, [*by, "__chunk"]).where("__chunk = __own").drop("__own", "__chunk")
+
+
+def halo_window(df: DataFrame, at: str, by: list[str], columns: dict, back: int, ahead: int = 0, chunk: int = DAY) -> DataFrame:
+    """Adds `columns` (name: function from a window specification to a Column), by `in_chunks`. Every frame must lie within the bounds."""
+
+    def steps(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(at)
+        return rows.select("*", *[f(w).alias(name) for name, f in columns.items()])
+
+    return in_chunks(df, at, by, steps, back, ahead, chunk)
+
+
+def before_chunk(rows: DataFrame, by: list[str], ends: dict[str, Column], chunk: str = "__chunk") -> DataFrame:
+    """Adds, for each of `ends` (name: aggregate over a chunk), its last value that isn't null among the chunks before.
+
+    One row a key and chunk reaches the window, not one a row.
+    """
+    table = rows.groupBy(*by, chunk).agg(*[e.alias(name) for name, e in ends.items()])
+    before = Window.partitionBy(*by).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, chunk]
+    table = table.select(*[F.col(c).alias(f"__of_{c}") for c in keys], *[F.last(name, ignorenulls=True).over(before).alias(name) for name in ends])
+    on = F.lit(True)
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return rows.join(table, on, "left").drop(*[f"__of_{c}" for c in keys])
+
+
+def carried(df: DataFrame, at: str, by: list[str], columns: list[str], chunk: int = DAY) -> DataFrame:
+    """The columns filled with their last value that isn't null, up to each row in order of `at` (epoch seconds)."""
+    rows = df.withColumn("__chunk", F.floor(F.col(at) / chunk))
+    rows = before_chunk(rows, by, {f"__before_{c}": F.max_by(c, F.when(F.col(c).isNotNull(), F.col(at))) for c in columns})
+    so_far = Window.partitionBy(*by, "__chunk").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = rows.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), f"__before_{c}") for c in columns})
+    return filled.select(*df.columns)
 
 
 def carry_scan(df: DataFrame, at: str, by: list[str], a: Column, b: Column, out: str, chunk: int = DAY, first: Column | None = None, levels: int = 1) -> DataFrame:
@@ -33,8 +72,9 @@ def carry_scan(df: DataFrame, at: str, by: list[str], a: Column, b: Column, out:
     """
     rows = df.select("*", F.floor(F.col(at) / chunk).alias("__chunk"), a.cast("double").alias("__a"), b.cast("double").alias("__b"))
     if first is not None:
-        nth = F.row_number().over(Window.partitionBy(*by).orderBy(at))  # a rank alone; the recurrence below stays in chunks
-        rows = rows.withColumn("__n", nth).withColumn("__b", F.when(F.col("__n") == 1, first).otherwise(F.col("__b"))).drop("__n")
+        rows = before_chunk(rows, by, {"__seen": F.count(F.lit(1))})
+        begins = F.col("__seen").isNull() & (F.row_number().over(Window.partitionBy(*by, "__chunk").orderBy(at)) == 1)
+        rows = rows.withColumn("__begins", begins).withColumn("__b", F.when(F.col("__begins"), first).otherwise(F.col("__b"))).drop("__begins", "__seen")
     inside = Window.partitionBy(*by, "__chunk").orderBy(at)
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # within a chunk the map up to t is (A_t, B_t): A_t the product of a, B_t folded in order

@@ -76,6 +76,16 @@ def tick_bucket(spark, d):
     return ticked(spark, d).select("bucket", "venue", "side", "level", "price")
 
 
+@query("tick_inferred", """SELECT venue, side, bucket, level, CASE side WHEN 'bid' THEN floor(round(price / tick, 6)) ELSE ceil(round(price / tick, 6)) END * tick AS price
+  FROM (SELECT * REPLACE (round(price, places) AS price) FROM coarse) JOIN (SELECT venue, pow(10.0::DOUBLE, -max(places)) AS tick FROM coarse GROUP BY venue) USING (venue)""",
+       TRADE_BARS + ", coarse AS (SELECT *, CASE venue WHEN 'click' THEN 0 WHEN 'view' THEN 2 ELSE 1 END AS places FROM (SELECT bucket, venue, side, level, CASE venue WHEN 'click' THEN floor(price) WHEN 'view' THEN floor(price) + 0.25 ELSE floor(price) + 0.5 END AS price FROM latest))")
+def tick_inferred(spark, d):
+    """Prices on a grid of their venue's own: whole, quarter or half numbers; the finest decimal place in use is the tick."""
+    rest = F.when(F.col("venue") == "click", 0.0).when(F.col("venue") == "view", 0.25).otherwise(0.5)
+    rows = latest(spark, d).withColumn("price", F.floor("price") + rest)
+    return K.tick_bucket(rows, by=["venue"]).select("bucket", "venue", "side", "level", "price")
+
+
 @query("consolidate_book", """SELECT bucket, side, price, sum(q) AS quantity, string_agg(venue || ':' || q::INT, ',' ORDER BY venue) AS venues FROM (SELECT bucket, side, price, venue, sum(quantity) AS q FROM ticked GROUP BY ALL) GROUP BY ALL""", TRADE_BARS + "," + TICKED)
 def consolidate_book(spark, d):
     out = K.consolidate(ticked(spark, d), ["bucket"])
@@ -127,10 +137,10 @@ def apply_level_updates(spark, d):
     return K.apply_level_updates(updates(spark, d), ["venue"])
 
 
-@query("apply_book_deltas", """SELECT venue, side, price, arg_max(running, seq) AS quantity, min(running) < 0 AS rejected FROM (SELECT *, sum(quantity) OVER (PARTITION BY venue, side, price ORDER BY seq) AS running FROM live)
-  GROUP BY ALL HAVING arg_max(running, seq) > 0 OR min(running) < 0""", UPDATES)
+@query("apply_book_deltas", """SELECT venue, side, price, quantity, quantity <> plain AS rejected FROM (SELECT venue, side, price, sum(quantity) AS plain,
+  list_reduce(list_prepend(0.0::DOUBLE, list(quantity::DOUBLE ORDER BY seq)), lambda a, x: CASE WHEN a + x < 0 THEN a ELSE a + x END) AS quantity FROM live GROUP BY ALL) WHERE quantity > 0 OR quantity <> plain""", UPDATES)
 def apply_book_deltas(spark, d):
-    return K.apply_book_deltas(updates(spark, d), ["venue"])
+    return K.apply_book_deltas(updates(spark, d), ["venue"]).withColumn("rejected", F.col("rejected") > 0)
 
 
 # -- contracts
@@ -186,9 +196,28 @@ def quote_edges(spark, d):
     return P.with_edges(quotes(spark, d).withColumn("model", F.lit(0.5))).select("market_ticker", "mid", "edge", "buy_edge", "sell_edge")
 
 
-@query("implied_vol")
+def _implied_rounds(rounds=6):
+    """The grid search as a chain of tables: each round's points, their losses, and the best point's neighbours."""
+    out, before = [f"""nearest AS (SELECT event_ticker, (bid + ask) / 2 AS mid, ln(spot / strike) AS m, sqrt((expiry - quoted_on) / {YEAR}) AS s, open_interest + 1 AS oi FROM quotes
+  WHERE bid > 0 AND bid <= ask AND ask < 1 AND (bid + ask) / 2 BETWEEN 0.01 AND 0.99 QUALIFY row_number() OVER (PARTITION BY event_ticker ORDER BY abs(ln(spot / strike)), strike) <= 7),
+weighed AS (SELECT *, oi / sum(oi) OVER (PARTITION BY event_ticker) AS w FROM nearest QUALIFY count(*) OVER (PARTITION BY event_ticker) >= 5),
+r0 AS (SELECT event_ticker, 0.01::DOUBLE AS low, 5.0::DOUBLE AS high FROM weighed GROUP BY event_ticker)"""], "r0"
+    for k in range(1, rounds + 1):
+        n = 160 if k == 1 else 40
+        out.append(f"""p{k} AS (SELECT event_ticker, i, (high - low) / {n} AS step, low + i * (high - low) / {n} AS sigma FROM {before}, (SELECT unnest(range({n + 1})) AS i)),
+x{k} AS (SELECT p.*, w, mid, m / (sigma * s) - sigma * s / 2 AS x FROM p{k} p JOIN weighed USING (event_ticker)),
+e{k} AS (SELECT *, abs({cdf('x')} - mid) AS e FROM x{k}),
+l{k} AS (SELECT event_ticker, i, step, sigma, sum(w * CASE WHEN e <= 0.02 THEN 0.5::DOUBLE * e * e ELSE 0.02::DOUBLE * (e - 0.01) END) AS loss FROM e{k} GROUP BY ALL),
+r{k} AS (SELECT event_ticker, greatest(0.01, sigma - step) AS low, least(5.0, sigma + step) AS high, sigma FROM l{k} QUALIFY row_number() OVER (PARTITION BY event_ticker ORDER BY loss, i) = 1)""")
+        before = f"r{k}"
+    return ",\n".join(out)
+
+
+@query("implied_vol", "SELECT event_ticker, round(sigma, 3) AS sigma, n_quotes FROM r6 JOIN (SELECT event_ticker, count(*)::INT AS n_quotes FROM weighed GROUP BY 1) USING (event_ticker)", _implied_rounds())
 def implied_vol(spark, d):
-    return P.implied_vol(quotes(spark, d).withColumn("tau", F.col("expiry") - F.col("quoted_on")), ["event_ticker"])
+    """To three digits: the last rounds' points differ by less than sums of seven losses can tell."""
+    out = P.implied_vol(quotes(spark, d).withColumn("tau", F.col("expiry") - F.col("quoted_on")), ["event_ticker"])
+    return out.withColumn("sigma", F.round("sigma", 3))
 
 
 @query("active_event", "SELECT first(event_ticker ORDER BY quoted_on DESC) AS event_ticker FROM quotes")
@@ -264,12 +293,24 @@ def monitored(spark, d):
     return q.join(F.broadcast(q.agg(F.max_by("event_ticker", "quoted_on").alias("event_ticker"))), "event_ticker")
 
 
-@query("contract_monitor", f"SELECT market_ticker, strike, round(100 * bid)::BIGINT AS bid_cents, round(100 * ask)::BIGINT AS ask_cents, ask - bid AS spread, open_interest, row_number() OVER (ORDER BY strike) AS place FROM {MONITOR}")
-def contract_monitor(spark, d):
-    from pyspark.sql import Window
+NOW = "(SELECT max(quoted_on) * 1000 AS now FROM quotes)"
 
-    m = monitored(spark, d)
-    return m.select("market_ticker", "strike", F.round(100 * F.col("bid")).cast("long").alias("bid_cents"), F.round(100 * F.col("ask")).cast("long").alias("ask_cents"), (F.col("ask") - F.col("bid")).alias("spread"), "open_interest", F.row_number().over(Window.partitionBy("event_ticker").orderBy(F.col("strike").asc_nulls_last())).alias("place"))
+
+@query("contract_monitor", f"""SELECT event_ticker, market_ticker, j + 8.0::DOUBLE AS strike, round(100 * bid, 6) AS bid, round(100 * ask, 6) AS ask, round(100 * (ask - bid), 6) AS spread, open_interest::DOUBLE AS open_interest,
+  CASE WHEN j % 2 = 0 THEN 30.0::DOUBLE END AS last_trade, CASE WHEN j % 2 = 0 THEN 2.0::DOUBLE END AS last_trade_qty, CASE WHEN j % 2 = 0 THEN 'YES' END AS last_trade_side,
+  CASE WHEN j % 2 = 0 THEN 200000 WHEN j % 3 = 0 THEN 500 ELSE 1000 + (j + 8) * 10 END AS activity_ms, j % 2 = 0 AS has_trade, row_number() OVER (ORDER BY j) AS place
+  FROM {MONITOR}, {NOW} WHERE j <> -8""")
+def contract_monitor(spark, d):
+    """Tickers (one of them stale), runs of trades of the even markets, and books of every third."""
+    q = quotes(spark, d)
+    now = q.agg(F.max(F.col("quoted_on") * 1000)).first()[0]
+    at, text = F.col("quoted_on") * 1000, F.lit(None).cast("string")
+    tickers = q.select("event_ticker", "market_ticker", F.col("bid").cast("string").alias("yes_bid_dollars"), F.col("ask").cast("string").alias("yes_ask_dollars"), text.alias("last_price_dollars"), text.alias("volume"), F.col("open_interest").cast("string").alias("open_interest"),
+                       (at - F.when(F.col("j") == -8, 400_000).otherwise(1000 + (F.col("j") + 8) * 10)).alias("received_ts_ms"))
+    runs = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(ago).alias("ago")) for p, ago in (("0.3", 290_000), ("0.4", 250_000), ("0.3", 200_000), ("0.3", 100_000), ("0.3", 7_000))]))
+    trades = q.where("j % 2 = 0").select("event_ticker", "market_ticker", "quoted_on", runs.alias("x")).select("event_ticker", "market_ticker", F.col("x.p").alias("yes_price_dollars"), F.lit("2").alias("count"), F.lit("yes").alias("taker_side"), (at - F.col("x.ago")).alias("received_ts_ms"))
+    books = q.where("j % 3 = 0").select("event_ticker", "market_ticker", (at - 500).alias("received_ts_ms"))
+    return P.contract_monitor(tickers, trades, books, now).drop("last", "volume")
 
 
 @query("monitor_summary", f"SELECT arg_min(market_ticker, abs(strike - spot)) AS atm, arg_min((bid + ask) / 2, abs(strike - spot)) AS atm_mid, max(bid) AS best_bid, min(ask) AS best_ask FROM {MONITOR}")
@@ -430,27 +471,3 @@ def backfill_ranges(spark, d):
 
     done = flat(B.ohlc(clean(spark, d), HOUR)).where(F.floor(F.col("bucket") / HOUR) % 2 == 0).select("venue", "bucket")
     return flat(_grid(spark, d)).select("venue", "bucket").join(done, ["venue", "bucket"], "left_anti")
-
-
-CONTRACT_EVENTS = "SELECT market_ticker, CASE WHEN j % 5 = 0 THEN 'price' WHEN j % 7 = 0 THEN 'side' END AS error FROM quotes"
-
-
-@query("validate_contract_events", CONTRACT_EVENTS)
-def validate_contract_events(spark, d):
-    rows = quotes(spark, d).select("market_ticker", F.when(F.col("j") % 5 == 0, "x").otherwise("0.5").alias("yes_price_dollars"), F.when(F.col("j") % 7 == 0, "maybe").otherwise("yes").alias("taker_side"))
-    return rows.select("market_ticker", G.first_error(("price", G.number_bad("yes_price_dollars")), ("side", ~F.col("taker_side").isin("yes", "no"))).alias("error"))
-
-
-@query("normalize_contract_frames", "SELECT market_ticker, bid AS yes_bid, CASE WHEN j % 2 = 0 THEN quoted_on * 1000 + 5 ELSE quoted_on * 1000 END AS ts_ms FROM quotes")
-def normalize_contract_frames(spark, d):
-    raw = quotes(spark, d).select(F.to_json(F.struct("market_ticker", F.col("bid").alias("yes_bid"), F.when(F.col("j") % 2 == 0, F.col("quoted_on") * 1000 + 5).alias("ts_ms"), F.col("quoted_on").alias("ts"))).alias("raw"))
-    x = raw.select(F.from_json("raw", "market_ticker string, yes_bid double, ts_ms long, ts long").alias("x"))
-    return x.select("x.market_ticker", "x.yes_bid", F.coalesce("x.ts_ms", F.col("x.ts") * 1000).alias("ts_ms"))
-
-
-@query("normalize_book_frames", "SELECT event_id, count(*) FILTER (side = 'bid' AND level <= 5) AS n_bids, max(price) FILTER (side = 'bid') AS best_bid FROM book_levels GROUP BY event_id")
-def normalize_book_frames(spark, d):
-    pairs = F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == "bid", F.struct("level", "price", "quantity")))), lambda x: F.array(x["price"].cast("string"), x["quantity"].cast("string")))
-    frames = book_levels(spark, d).groupBy("event_id").agg(F.to_json(F.struct(pairs.alias("bids"))).alias("raw"))
-    x = frames.select("event_id", F.slice(F.from_json("raw", "bids array<array<string>>")["bids"], 1, 5).alias("bids"))
-    return x.select("event_id", F.size("bids").cast("long").alias("n_bids"), F.get(F.get("bids", F.lit(0)), F.lit(0)).cast("double").alias("best_bid"))

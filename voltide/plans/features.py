@@ -211,7 +211,7 @@ MICRO = {
 
 
 def micro(spark, d):
-    return X.microstructure(bars_of(spark, d))
+    return X.microstructure(bars_of(spark, d), HOUR)
 
 
 for _name, _cols in (("wap", ["wap_1", "wap_5", "wap_10", "microprice_1"]), ("obi", ["obi_1", "obi_5", "obi_10"]), ("spread", ["spread", "relative_spread"]), ("book_slope", ["bid_slope", "ask_slope"]), ("liquidity_consumption", ["liquidity_consumption"]), ("aggressor_imbalance", ["aggressor_imbalance"])):
@@ -263,9 +263,7 @@ def cumulative_obi(spark, d):
 
 @query("parkinson", "SELECT bucket, venue, sqrt(avg(ln(p_high / p_low) * ln(p_high / p_low)) OVER (PARTITION BY venue, instrument ORDER BY bucket ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) / (4 * ln(2))) AS parkinson FROM bars", BARS)
 def parkinson(spark, d):
-    import math
-
-    return bars_of(spark, d).select("bucket", "venue", F.sqrt(F.avg(F.log(F.col("p_high") / F.col("p_low")) ** 2).over(X.rows_back(24)) / (4 * math.log(2))).alias("parkinson"))
+    return X.parkinson(bars_of(spark, d), HOUR, 86400).select("bucket", "venue", "parkinson")
 
 
 WAPS = f"(SELECT bucket, venue, {_wap(1)} AS wap, q_bid_1 + q_ask_1 AS depth FROM bars)"
@@ -314,8 +312,8 @@ def regime_features(spark, d):
     return out.select("bucket", F.sin(turn).alias("day_sin"), F.cos(turn).alias("day_cos"), X.ratio("a", "b").alias("rv_ratio"), "n_large")
 
 
-@query("fresh_venue_spot", """SELECT "end", avg(price) FILTER (fresh) AS spot, count(*) FILTER (fresh) AS venue_count, coalesce(string_agg(venue, ',' ORDER BY venue) FILTER (fresh), '') AS used, coalesce(string_agg(venue, ',' ORDER BY venue) FILTER (NOT fresh), '') AS stale
+@query("fresh_venue_spot", """SELECT *, ln(spot / lag(spot) OVER (ORDER BY "end")) AS log_return FROM (SELECT "end", avg(price) FILTER (fresh) AS spot, count(*) FILTER (fresh) AS venue_count, coalesce(string_agg(venue, ',' ORDER BY venue) FILTER (fresh), '') AS used, coalesce(string_agg(venue, ',' ORDER BY venue) FILTER (NOT fresh), '') AS stale
   FROM (SELECT "end", g.venue, t.price, "end" * 1000000 - epoch_us(t.event_timestamp) <= 7200000000 AS fresh FROM
-    (SELECT bucket + 3600 AS "end", venue FROM grid) g ASOF JOIN deduped t ON g.venue = t.venue AND make_timestamp(g."end" * 1000000) > t.event_timestamp) GROUP BY "end" """, BARS)
+    (SELECT bucket + 3600 AS "end", venue FROM grid) g ASOF JOIN deduped t ON g.venue = t.venue AND make_timestamp(g."end" * 1000000) > t.event_timestamp) GROUP BY "end")""", BARS)
 def fresh_venue_spot(spark, d):
     return X.fresh_venue_spot(clean(spark, d), HOUR, 7200)

@@ -189,20 +189,6 @@ def fresh_only(spark, d):
     return events(spark, d).select("event_id", G.fresh(F.unix_seconds("ts"), F.lit(1704067200 + 86400), 3600, 2).alias("reason"))
 
 
-FRAME = """CASE event_type WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END"""
-
-
-@query("normalize_trade_frames", "SELECT event_type AS venue, event_id::VARCHAR AS trade_id, value AS price, epoch_us(ts) // 1000 AS exchange_ts_ms, CASE WHEN user_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS taker_side, NULL::VARCHAR AS error FROM events")
-def normalize_trade_frames(spark, d):
-    e = events(spark, d)
-    ms, buy, k = F.unix_millis("ts"), F.col("user_id") % 2 == 0, F.get_json_object("props", "$.k")
-    raw = F.when(F.col("event_type") == "purchase", F.to_json(F.struct(F.col("value").cast("string").alias("p"), k.alias("q"), F.col("event_id").alias("t"), ms.alias("T"), (~buy).alias("m"))))
-    raw = raw.when(F.col("event_type") == "click", F.to_json(F.struct(F.col("value").alias("price"), k.alias("amount"), F.col("event_id").alias("id"), ms.alias("ts"), F.when(buy, 0).otherwise(1).alias("type"))))
-    raw = raw.otherwise(F.to_json(F.struct(F.col("value").alias("price"), k.alias("size"), F.col("event_id").cast("string").alias("trade_id"), ms.alias("time"), F.when(buy, "BUY").otherwise("SELL").alias("side"))))
-    out = G.normalize_trade_frames(e.select(F.col("event_type").alias("venue"), ms.alias("received_ts_ms"), raw.alias("raw")))
-    return out.select("venue", "trade_id", F.col("price").cast("double").alias("price"), "exchange_ts_ms", "taker_side", "error")
-
-
 @query("parse_contract_metadata", "SELECT market_ticker, CASE WHEN j % 3 = 0 THEN (j + 8)::DOUBLE WHEN j % 3 IN (1, -2) THEN (j + 8)::DOUBLE ELSE 999.0 END AS parsed, CASE WHEN j % 3 NOT IN (0, 1, -2) THEN 'mismatch' WHEN abs(j) = 6 THEN 'type' END AS error FROM quotes")
 def parse_contract_metadata(spark, d):
     q = quotes(spark, d)

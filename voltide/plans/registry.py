@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import bars, book, features, ingest, streams  # noqa: F401  register their queries
+from . import bars, book, features, frames, ingest, streams  # noqa: F401  register their queries
 from .base import ORACLE_SQL, QUERIES  # noqa: F401
