@@ -15,17 +15,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK, cut, table, text_of
+from .common import BLANK, cut, identified, table, text_of, written
 
 #: Digests that more than one in HEAVY of the rows share are joined by broadcast; there are fewer than HEAVY of them.
 HEAVY = 1000
 
 
-def digests_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One narrow row a document: id, digest of the text without blanks, code points of the original text."""
+def digests_of(df: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One narrow row a document: row, id, digest of the text without blanks, code points of the original text."""
     text = text_of(text_col)
     return df.select(
-        F.monotonically_increasing_id().alias("row"),
+        F.col(row_col).alias("row"),
         F.col(id_col).alias("doc_id"),
         F.sha2(F.regexp_replace(text, f"{BLANK}+", "").cast("binary"), 256).alias("digest"),
         F.length(text).cast("long").alias("n_chars"),
@@ -50,18 +50,20 @@ class DigestIndex:
         (rows.repartition(self.buckets, "digest").write.format("parquet").mode("append")
          .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
 
-    def add(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Adds a batch; returns a row for each of its rows: doc_id, keep_id, group_size (in the batch), kept, text_sha256.
 
         Of a new digest the row with most code points, then smallest id, stays; of a known digest none of the batch stays.
+        A named batch may be added again, after a failure: what it appended before counts as its own.
         """
-        rows = cut(digests_of(df, id_col, text_col))
+        rows, row = identified(df, id_col, text_col)
+        rows = cut(digests_of(rows, row, id_col, text_col))
         best = rows.groupBy("digest").agg(
             F.count(F.lit(1)).alias("group_size"),
-            F.max_by(F.struct("doc_id", "row"), F.struct("n_chars", (-F.col("doc_id")).alias("by_id"), (-F.col("row")).alias("by_row"))).alias("best"),
+            F.max_by(F.struct("doc_id", "row"), F.struct("n_chars", (-F.col("row")).alias("by_row"))).alias("best"),
         )
         best = cut(best.select("digest", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row")))
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         entries = lambda rows: rows.select("digest", "keep_id", F.col("keep_row").alias("index_row"), F.lit(batch).alias("batch"))
         if not self.exists():
             self.append(entries(best.limit(0)))  # a new index is empty, and its first batch takes the way of all others
@@ -83,15 +85,22 @@ class DigestIndex:
         )
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: str | None = None) -> DataFrame:
-    """Verdicts of a batch against a named index, or against a new one."""
-    return DigestIndex(df.sparkSession, index or f"digest_index_{uuid.uuid4().hex}").add(df, id_col, text_col)
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: str | None = None, batch: str | None = None) -> DataFrame:
+    """Verdicts of a batch against a named index, or against a new one, which goes when the verdicts are written."""
+    spark = df.sparkSession
+    if index:
+        return DigestIndex(spark, index).add(df, id_col, text_col, batch)
+    name = f"digest_index_{uuid.uuid4().hex}"
+    out = written(DigestIndex(spark, name).add(df, id_col, text_col), "exact-dedup")
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def kept_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: str | None = None) -> DataFrame:
-    """The rows of `df` that stay, with all of its columns. `df` is a scan, whose rows are numbered alike each time."""
-    kept = exact_dedup(df, id_col, text_col, index).where("kept").select(F.col("row").alias("__row"))
-    return df.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    """The rows of `df` that stay, with all of its columns."""
+    rows, row = identified(df, id_col, text_col)
+    kept = exact_dedup(rows, row, text_col, index).where("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*df.columns)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

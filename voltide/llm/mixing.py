@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words_of, table, text_of, words_of
+from .common import cut, identified, n_words_of, table, text_of, words_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -61,8 +61,12 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 
 def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """sizes: doc_id, source, size (words). Returns doc_id, source, size, source_size, target, taken, block_words, row."""
-    rows = cut(sizes.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", F.col("size").cast("long").alias("size")))
+    """sizes: doc_id, source, size (words), and row, which tells rows apart, if they have it already.
+
+    Returns doc_id, source, size, source_size, target, taken, block_words, row.
+    """
+    row = F.col("row") if "row" in sizes.columns else F.monotonically_increasing_id().alias("row")
+    rows = cut(sizes.select(row, "doc_id", "source", F.col("size").cast("long").alias("size")))
     words = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     block = max(1, min(MOST_WORDS, words // BLOCKS))
     shards = max(1, -(-words // (block * SHARD_BLOCKS)))
@@ -111,18 +115,20 @@ def sizes_of(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents, with the columns of `docs`: a row for each whole round that takes a document, and one, with
-    the words that are taken joined by spaces, where the mix ends within it. `docs` is a scan, whose rows are numbered
-    alike each time.
+    the words that are taken joined by spaces, where the mix ends within it.
     """
-    taken = mix(sizes_of(docs), **how).where("taken > 0").select(F.col("row").alias("__row"), "size", "taken")
-    rows = docs.withColumn("__row", F.monotonically_increasing_id()).join(taken.withColumnsRenamed({"size": "__size", "taken": "__taken"}), "__row")
+    rows, row = identified(docs)
+    sizes = rows.select(F.col(row).alias("row"), "doc_id", "source", n_words_of(text_of()).alias("size"))
+    taken = mix(sizes, **how).where("taken > 0").select(F.col("row").alias("__of"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    own = [F.col(c).alias(f"__own_{c}") for c in docs.columns]  # so that no name of theirs is in the way
+    rows = rows.select(F.col(row).alias("__at"), *own).join(taken, F.col("__at") == F.col("__of"))
     rows = rows.withColumn("__round", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__taken") - 1) / F.col("__size")))))
     rest = F.col("__taken") - F.col("__round") * F.col("__size")
-    text = F.when(rest >= F.col("__size"), F.col("text")).otherwise(F.array_join(F.slice(words_of(text_of()), F.lit(1), rest.cast("int")), " "))
-    rows = rows.withColumn("text", text)
+    cut_text = F.array_join(F.slice(words_of(text_of("__own_text")), F.lit(1), rest.cast("int")), " ")
+    rows = rows.withColumn("__own_text", F.when(rest >= F.col("__size"), F.col("__own_text")).otherwise(cut_text))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(docs.columns)
+        rows = rows.withColumn("__own_n_chars", F.length("__own_text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[F.col(f"__own_{c}").alias(c) for c in docs.columns])
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,51 +1,49 @@
 """Quality rules: text statistics, then a hashed n-gram log-likelihood ratio of trusted text against the corpus.
 
-The n-grams are the last three characters of each word, and those of each two neighbouring words, hashed into
-UNIGRAMS and BIGRAMS cells. The target multinomial is counted over trusted documents (labelled good, at most `trusted_rows` of them, by
-smallest draw), the raw multinomial over every document of the corpus. A document's verdict is the mean over its
-n-grams of ln(p_target / p_raw), held against one fixed threshold.
+The n-grams are the words and the pairs of neighbouring words, hashed into CELLS cells each. The target multinomial is
+counted over trusted documents (labelled good, at most `rows` of them, by smallest draw) and mixed with a share FLOOR of
+the raw one, which is counted over every document of the corpus. A document's verdict is the mean over its n-grams of
+ln(p_target / p_raw), held against one fixed threshold. An n-gram that no trusted document has is worth ln(FLOOR),
+whatever its raw count, so only the trusted documents' cells are kept: their number is bounded by `rows`.
 
 Defined cases: a null or empty text has no words, fails the base rules and has a ratio of 0; without trusted
 documents both multinomials are the same and the ratio is 0; repeated rows are judged each; an empty table gives an
-empty result; further columns are ignored.
+empty result; further columns, whatever their names, are ignored or, by `keep`, left as they are.
 """
 
 from __future__ import annotations
 
-import json
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of, words_of
+from .common import cut, identified, table, text_of, words_of
 
-TAIL = 3
-UNIGRAMS, BIGRAMS = 4096, 16384
-PRIOR = 0.05
+CELLS = 1 << 24
+FLOOR = 0.05
 WINDOW = 8  # a power of two
 LEAST_WORDS = 20
 REPEAT_PERCENT = 30
-THRESHOLD = -0.6
+THRESHOLD = -2.0
 TRUSTED_ROWS = 2000
+STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _with_cells(df: DataFrame, words: str, out: str) -> DataFrame:
-    """Adds the cells of a text's n-grams: one for each word's tail, one for each pair of neighbouring tails.
+def _by_word(df: DataFrame) -> DataFrame:
+    """A row for each of a text's `__words` (one without, for a text without words): the cells of the word, and of the pair with the next."""
+    rest = F.slice("__words", 2, F.greatest(F.size("__words") - 1, F.lit(0)))
+    # explode_outer: for a plain explode the optimizer would compute the arrays once more, in a filter below
+    df = df.withColumn("__next", rest).withColumn("__gram", F.explode_outer(F.arrays_zip("__words", "__next")))
+    word, after = F.col("__gram.__words"), F.col("__gram.__next")
+    pair = F.when(after.isNotNull(), F.lit(CELLS) + F.pmod(F.xxhash64(word, after), F.lit(CELLS)))
+    return df.withColumns({"__word": F.when(word.isNotNull(), F.pmod(F.xxhash64(word), F.lit(CELLS))), "__pair": pair}).drop("__words", "__next", "__gram")
 
-    Each step is a column of its own, since an array that a later expression names twice would be computed twice.
-    """
-    df = df.withColumn("__tails", F.transform(words, lambda w: F.xxhash64(F.right(w, F.lit(TAIL)))))
-    n = F.greatest(F.size("__tails") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("__tails", 1, n), F.slice("__tails", 2, n), lambda a, b: F.lit(UNIGRAMS) + F.pmod(F.xxhash64(a, b), F.lit(BIGRAMS)))
-    return df.withColumn(out, F.concat(F.transform("__tails", lambda t: F.pmod(t, F.lit(UNIGRAMS))), pairs)).drop("__tails")
 
-
-def _counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """Cell, n: n-grams of all the documents by cell, at most UNIGRAMS + BIGRAMS rows."""
-    cells = _with_cells(docs.select(words_of(text_of(text_col)).alias("__words")), "__words", "__cells")
-    # explode_outer: for a plain explode the optimizer would compute the arrays once more, in a filter below
-    return cells.select(F.explode_outer("__cells").alias("cell")).where("cell IS NOT NULL").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+def _grams(docs: DataFrame, text_col: str) -> DataFrame:
+    """cell: every n-gram of all the documents."""
+    grams = _by_word(docs.select(words_of(text_of(text_col)).alias("__words")))
+    return grams.select(F.explode_outer(F.array("__word", "__pair")).alias("cell")).where("cell IS NOT NULL")
 
 
 def trusted(docs: DataFrame, labels: DataFrame, rows: int = TRUSTED_ROWS) -> DataFrame:
@@ -55,21 +53,19 @@ def trusted(docs: DataFrame, labels: DataFrame, rows: int = TRUSTED_ROWS) -> Dat
     return docs.join(F.broadcast(ids), "doc_id", "left_semi")  # `rows` bounds the broadcast
 
 
-def fit(corpus: DataFrame, target: DataFrame, text_col: str = "text") -> list[float]:
-    """ln(p_target / p_raw) of each cell, by kind of n-gram; a fixed number of cells, whatever the input.
-
-    Target counts are smoothed by PRIOR pseudo-counts a cell, spread as the raw shares are.
-    """
-    raw = {r.cell: r.n for r in _counts(corpus, text_col).collect()}
-    good = {r.cell: r.n for r in _counts(target, text_col).collect()}
-    ratios: list[float] = []
-    for first, cells in ((0, UNIGRAMS), (UNIGRAMS, BIGRAMS)):
-        own = range(first, first + cells)
-        n_raw, n_good = sum(raw.get(c, 0) for c in own) + cells, sum(good.get(c, 0) for c in own)
-        share = [(raw.get(c, 0) + 1) / n_raw for c in own]
-        prior = PRIOR * cells
-        ratios += [math.log((good.get(c, 0) + prior * p) / (n_good + prior) / p) if n_good else 0.0 for c, p in zip(own, share)]
-    return ratios
+def fit(corpus: DataFrame, target: DataFrame, text_col: str = "text") -> DataFrame:
+    """cell, ratio: ln(p_target / p_raw) of each cell that the target has, by kind of n-gram."""
+    good = cut(_grams(target, text_col).groupBy("cell").agg(F.count(F.lit(1)).alias("good")))
+    pair = F.col("cell") >= CELLS
+    # raw counts of the target's cells, and of all others of a kind together (cell -1 and -2)
+    known = _grams(corpus, text_col).join(F.broadcast(good.select("cell", F.lit(True).alias("__known"))), "cell", "left")
+    raw = cut(known.groupBy(F.when(F.col("__known"), F.col("cell")).otherwise(F.when(pair, -2).otherwise(-1)).alias("cell")).agg(F.count(F.lit(1)).alias("raw")))
+    kind = (F.col("cell") >= CELLS) | (F.col("cell") == -2)
+    n_raw = raw.groupBy(kind.alias("pair")).agg(F.sum("raw").alias("n_raw"))
+    n_good = good.groupBy(pair.alias("pair")).agg(F.sum("good").alias("n_good"))
+    both = good.join(raw, "cell").withColumn("pair", pair).join(F.broadcast(n_raw), "pair").join(F.broadcast(n_good), "pair")
+    share = (F.col("good") / F.col("n_good")) / (F.col("raw") / F.col("n_raw"))
+    return cut(both.select("cell", F.log((1 - FLOOR) * share + FLOOR).alias("ratio")))
 
 
 def _with_windows(df: DataFrame, words: str, out: str) -> DataFrame:
@@ -82,13 +78,12 @@ def _with_windows(df: DataFrame, words: str, out: str) -> DataFrame:
     return df.withColumnRenamed(f"__run{WINDOW}", out)
 
 
-def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept to `docs`.
+def _with_statistics(a: DataFrame) -> DataFrame:
+    """Adds STATISTICS to rows of `__text` and `__words`.
 
-    Their names replace columns of the same names.
+    Each step is a column of its own, since an array that a later expression names twice would be computed twice.
     """
-    a = docs.withColumn("__text", text_of(text_col)).withColumn("__words", words_of(F.col("__text")))
-    a = _with_windows(_with_cells(a, "__words", "__cells"), "__words", "__windows")
+    a = _with_windows(a, "__words", "__windows")
     a = a.withColumns({
         "n_words": F.size("__words").cast("long"),
         "word_chars": F.length(F.array_join("__words", "")).cast("long"),
@@ -103,27 +98,38 @@ def judge(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, te
     })
     a = a.withColumn("__places", F.array_sort(F.transform(F.filter("__sorted", lambda x, k: F.coalesce(x["w"] == F.get("__sorted", k - 1)["w"], F.lit(False)) | F.coalesce(x["w"] == F.get("__sorted", k + 1)["w"], F.lit(False))), lambda x: x["i"])))
     covered = F.aggregate("__places", F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n")), lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n")), lambda s: s["n"])
-    ratio = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
-    total = F.aggregate("__cells", F.lit(0.0), lambda acc, c: acc + F.get(ratio, c.cast("int")))
-    a = a.withColumns({
-        "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-        "llr": F.when(F.col("n_words") > 0, total / F.size("__cells")).otherwise(0.0),
-    })
-    a = a.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")))
-    return a.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("__text", "__words", "__lines", "__cells", "__windows", "__sorted", "__places")
+    return a.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("__text", "__lines", "__windows", "__sorted", "__places")
+
 
+def base_failed() -> Column:
+    return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
-def keep(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The documents that all rules keep, with their own columns.
 
-    The filter names a column that isn't deterministic, so that the optimizer doesn't push it below the staged arrays,
-    each of which it would then compute again and again.
+def judge(docs: DataFrame, ratios: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """A row a document: doc_id, STATISTICS, base_failed, llr (the mean ratio of its n-grams), kept.
+
+    A text's words are looked up in one pass and summed before anything is shuffled, so that one narrow row a document is.
     """
-    judged = judge(docs, ratios, threshold, text_col).withColumn("__row", F.monotonically_increasing_id())
-    return judged.where("kept AND __row >= 0").select(docs.columns)
+    unknown = F.lit(math.log(FLOOR)) if not ratios.isEmpty() else F.lit(0.0)  # without trusted text nothing tells texts apart
+    a = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("__row"), text_of(text_col).alias("__text"))
+    a = _by_word(_with_statistics(a.withColumn("__words", words_of(F.col("__text")))))
+    # the trusted rows bound the cells
+    of = lambda name, kind: F.broadcast(ratios.where(kind).select(F.col("cell").alias(f"{name}_cell"), F.col("ratio").alias(f"{name}_ratio")))
+    a = a.join(of("__word", F.col("cell") < CELLS), F.col("__word") == F.col("__word_cell"), "left").join(of("__pair", F.col("cell") >= CELLS), F.col("__pair") == F.col("__pair_cell"), "left")
+    worth = lambda name: F.when(F.col(name).isNotNull(), F.coalesce(f"{name}_ratio", unknown)).otherwise(0.0)
+    a = a.groupBy("__row").agg(*[F.first(c).alias(c) for c in ("doc_id", *STATISTICS)], F.sum(worth("__word") + worth("__pair")).alias("total"))
+    a = a.withColumn("llr", F.when(F.col("n_words") > 0, F.col("total") / (2 * F.col("n_words") - 1)).otherwise(0.0)).withColumn("base_failed", base_failed())
+    return a.select("doc_id", *STATISTICS, "base_failed", "llr", (~F.col("base_failed") & (F.col("llr") >= threshold)).alias("kept"))
+
+
+def keep(docs: DataFrame, ratios: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents that all rules keep, with their own columns."""
+    rows, row = identified(docs, text_col=text_col)
+    kept = judge(rows, ratios, threshold, text_col, row).where("kept").select(F.col("doc_id").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ratios = fit(docs, trusted(docs, table(spark, sf_dir, "labels")))
-    return judge(docs.select("doc_id", "text"), ratios).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(docs, ratios).select("doc_id", *STATISTICS, "base_failed", "kept")
