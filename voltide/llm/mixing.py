@@ -1,12 +1,12 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Documents are dealt to shards by a seeded digest of their id. In each shard the sources' targets are apportioned as
-equal-token blocks by highest quotients (target over 1, 3, 5, ...), which gives integer quotas; then the quota's
-blocks are taken along the documents of the shard and source in seeded order, once round and again where the quota
-asks for more. A source never gets more blocks than twice its words hold, so no document exceeds `cap` times its size.
-Whole blocks a shard can miss a source's target, and sources of less than half a block a shard get none: where all shards
-together miss it by a word or more that is also the length of the source's longest document or a `NEAR`th of the target,
-the source's words are apportioned instead, with the rounding rest carried from shard to shard.
+Documents are dealt to shards by a seeded digest of their id. A source's targets over the shards so far are apportioned as
+equal-token blocks: its i-th block has the quotient target / (2 i + 1), and it gets those blocks whose quotients are the
+highest, above half a block's words. What a shard adds to them is its integer quota, so quotas miss by less than a block
+wherever the shards are cut, and the last shard's last block is a part of one, so that the source's total is its target
+to the word. A source never gets more than `cap` times the words that a shard has of it; where whole blocks would (or would
+take some back), as with sources at their cap, its blocks are of one word. Then the quota's words are taken along the
+documents of the shard and source in seeded order, once round and again where the quota asks for more.
 
 Defined cases: a null text has size 0 and takes 0 words; a null source is a source of its own, sorted last; repeated
 rows are documents of their own; an empty table gives an empty result; further columns are ignored.
@@ -25,8 +25,6 @@ CAP = 2
 SEED = "mix-1"
 #: A block has a 50,000th of all words, at least 1 and at most 1,024; a shard has 4,096 blocks' worth of words.
 BLOCKS, MOST_WORDS, SHARD_BLOCKS = 50_000, 1024, 4096
-#: Quotas of whole blocks stay where a source's total is nearer to its target than a hundredth of it and one document.
-NEAR = 100
 
 
 def _draw(seed: str, what: str) -> Column:
@@ -72,26 +70,16 @@ def mix(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP,
     shards = max(1, -(-words // (block * SHARD_BLOCKS)))
     rows = rows.withColumn("shard", _draw(seed, "shard") % shards)
     targets = source_targets(rows, weights, share, cap)
-    # quotas: a row for each seat that a source can take in a shard, ranked by quotient within the shard
-    held = rows.groupBy("shard", "source").agg(F.sum("size").alias("held"), F.max("size").alias("longest"))
-    held = held.join(F.broadcast(targets) if _few(targets) else targets, held["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    held = held.where("held > 0").withColumn("share", F.col("target") * F.col("held") / F.col("source_size"))
-    seats = held.withColumn("most", F.least(F.floor(cap * F.col("held") / block), F.ceil(F.col("share") / block) + 1).cast("long")).where("most > 0")
-    seats = seats.select("shard", "source", F.col("share"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("most") - 1)).alias("seat"))
-    ranked = Window.partitionBy("shard").orderBy(F.desc(F.col("share") / (2 * F.col("seat") + 1)), F.col("source").asc_nulls_last(), "seat")
-    blocks = held.groupBy("shard").agg(F.sum("share").alias("of_shard")).select(F.col("shard").alias("s"), F.round(F.col("of_shard") / block).alias("n_blocks"))
-    quotas = seats.withColumn("place", F.row_number().over(ranked)).join(blocks, F.col("shard") == F.col("s"))
-    quotas = quotas.where("place <= n_blocks").groupBy("shard", "source").agg(F.count(F.lit(1)).alias("quota"))
-    plan = held.join(quotas.withColumnsRenamed({"shard": "q_shard", "source": "q_source"}), (F.col("shard") == F.col("q_shard")) & F.col("source").eqNullSafe(F.col("q_source")), "left")
-    plan = plan.select(F.col("shard").alias("p_shard"), F.col("source").alias("p_source"), "held", "longest", "source_size", "target", (F.coalesce("quota", F.lit(0)) * block).alias("take"))
-    # a row for each shard and source reaches these windows; words up to a shard less words before it leave no rest behind
-    whole = Window.partitionBy("p_source")
-    upto = F.sum("held").over(whole.orderBy("p_shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    plan = plan.select("*", F.abs(F.sum("take").over(whole) - F.col("target")).alias("miss"), F.max("longest").over(whole).alias("document"), upto.alias("upto"))
-    by_words = lambda n: F.round(F.col("target") * (n / F.col("source_size"))).cast("long")
-    missed = (F.col("miss") >= 1) & (F.col("miss") >= F.least("document", F.col("target") / NEAR))
-    take = F.when(missed, by_words(F.col("upto")) - by_words(F.col("upto") - F.col("held"))).otherwise(F.col("take"))
-    plan = plan.select("p_shard", "p_source", "held", F.least(take, cap * F.col("held")).alias("take"))
+    # quotas: a row for each shard and source reaches these windows
+    held = rows.groupBy("shard", "source").agg(F.sum("size").alias("held"))
+    held = held.join(F.broadcast(targets) if _few(targets) else targets, held["source"].eqNullSafe(targets["source"])).drop(targets["source"]).where("held > 0")
+    plan = held.withColumn("upto", F.sum("held").over(Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    due = lambda n: F.col("target") * (n / F.col("source_size"))
+    blocks = lambda n: F.when(n == F.col("source_size"), F.round(F.col("target"))).otherwise(F.round(due(n) / block) * block).cast("long")
+    plan = plan.select("*", (blocks(F.col("upto")) - blocks(F.col("upto") - F.col("held"))).alias("quota"), (F.round(due(F.col("upto"))) - F.round(due(F.col("upto") - F.col("held")))).cast("long").alias("words"))
+    fits = F.min(F.col("quota").between(0, cap * F.col("held"))).over(Window.partitionBy("source"))
+    take = F.when(fits, F.col("quota")).otherwise(F.col("words"))
+    plan = plan.select(F.col("shard").alias("p_shard"), F.col("source").alias("p_source"), "held", F.least(take, cap * F.col("held")).alias("take"))
     # blocks lie end to end along the seeded order; whole rounds take every word, the last one the words before its end
     line = Window.partitionBy("shard", "source").orderBy(_draw(seed, "order"), "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = rows.withColumn("end", F.sum("size").over(line))
@@ -154,15 +142,12 @@ v AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE
       FROM w),
 l AS (SELECT arg_min(level, ratio) AS level FROM v WHERE level <= ratio),
 t AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, l.level * weight) AS target FROM v, l),
-h AS (SELECT shard, r.source, any_value(block) AS block, any_value(source_size) AS source_size, any_value(target) AS target,
-             sum(size)::BIGINT AS held, any_value(target) * sum(size)::BIGINT / any_value(source_size) AS share
+h AS (SELECT shard, r.source, any_value(block) AS block, any_value(source_size) AS size, any_value(target) AS target, sum(size)::BIGINT AS held
       FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source GROUP BY shard, r.source HAVING sum(size) > 0),
-m AS (SELECT *, unnest(range(least(2 * held // block, ceil(share / block)::BIGINT + 1))) AS seat FROM h),
-p AS (SELECT shard, source, row_number() OVER (PARTITION BY shard ORDER BY share / (2 * seat + 1) DESC, source NULLS LAST, seat) AS place FROM m),
-b AS (SELECT shard, round(sum(share) / any_value(block)) AS n_blocks FROM h GROUP BY shard),
-q AS (SELECT p.shard, source, count(*) AS quota FROM p JOIN b USING (shard) WHERE place <= n_blocks GROUP BY p.shard, source),
-e AS (SELECT h.shard, h.source, held, coalesce(quota, 0) * block AS take FROM h
-      LEFT JOIN q ON h.shard = q.shard AND h.source IS NOT DISTINCT FROM q.source),
+g AS (SELECT *, sum(held) OVER (PARTITION BY source ORDER BY shard)::BIGINT AS upto FROM h),
+q AS (SELECT *, round(target * (upto / size)) - round(target * ((upto - held) / size)) AS words,
+             CASE WHEN upto = size THEN round(target) ELSE round(target * (upto / size) / block) * block END - round(target * ((upto - held) / size) / block) * block AS quota FROM g),
+e AS (SELECT shard, source, held, least(CASE WHEN bool_and(quota BETWEEN 0 AND 2 * held) OVER (PARTITION BY source) THEN quota ELSE words END, 2 * held)::BIGINT AS take FROM q),
 a AS (SELECT *, sum(size) OVER (PARTITION BY shard, source ORDER BY place, doc_id)::BIGINT AS stop FROM r)
 SELECT a.doc_id, a.size::BIGINT AS size, t.source_size, t.target,
        coalesce((take // held) * size + greatest(0, least(stop, take % held) - (stop - size)), 0)::BIGINT AS taken
