@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltide.operators import bars as B
 from voltide.sources.adapters import later
 from voltide.streaming import bars as S
+from voltide.streaming import features as L
 
-from .base import HOUR, SYNTHETIC, query
-from .features import prices
+from .bars import clean
+from .base import HOUR, TRADE_BARS, query
 
 
 def folder(spark, name: str) -> str:
@@ -47,6 +49,7 @@ def finished(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
+MIDDLE = 1704067200 + 15 * 86_400
 ONE = "one AS (SELECT * FROM trades WHERE ingested_at = received_timestamp), last_hour AS (SELECT max(epoch_us(event_timestamp)) // 3600000000 * 3600 AS h FROM one)"
 
 
@@ -79,35 +82,72 @@ def archive_stream(spark, d):
     return spark.read.parquet(f"{at}/out").groupBy("venue").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))
 
 
-@query("stale_entry_skip", "SELECT count(*) AS n FROM one", ONE)
+@query("stale_entry_skip", f"SELECT count(*) AS n, min(event_id) AS first_id FROM one WHERE epoch_us(received_timestamp) >= {MIDDLE - 5}000000", ONE)
 def stale_entry_skip(spark, d):
-    return finished(S.stale_entry_skip(trades_stream(spark, d), None).select("event_id"), "stale").agg(F.count(F.lit(1)).alias("n"))
+    """As a reader at a fixed moment would see the stream: entries that arrived more than 5 seconds before it are skipped."""
+    kept = S.stale_entry_skip(trades_stream(spark, d), 5, F.timestamp_seconds(F.lit(MIDDLE)))
+    return finished(kept.select("event_id"), "stale").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query("coalesce_latest", "SELECT venue, last(price ORDER BY event_timestamp) AS price FROM one GROUP BY venue", ONE)
+@query("coalesce_latest", "SELECT 'trade' AS kind, count(*) AS n, max(price) AS price FROM one UNION ALL SELECT 'book', count(*), sum(price) FROM (SELECT venue, arg_max(price, event_timestamp) AS price FROM one GROUP BY venue)", ONE)
 def coalesce_latest(spark, d):
+    """Every event is a trade and a book of its venue: a flush keeps all trades, and of each venue's books the last."""
     at = folder(spark, "latest")
-    each = lambda batch, _: S.coalesce_latest(batch.select("venue", "event_timestamp", "price"), ["venue"], ["event_timestamp"]).write.mode("append").parquet(f"{at}/out")
-    trades_stream(spark, d).writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return S.coalesce_latest(spark.read.parquet(f"{at}/out"), ["venue"], ["event_timestamp"]).select("venue", "price")
-
-
-@query("stream_features", """SELECT bucket, CASE WHEN bucket - lag(bucket) OVER w = 3600 THEN ln(synthetic_price / lag(synthetic_price) OVER w) END AS log_return FROM synthetic WHERE synthetic_price IS NOT NULL WINDOW w AS (ORDER BY bucket)""", SYNTHETIC)
+    kinds = F.explode(F.array(F.lit("trade"), F.lit("book")))
+    rows = trades_stream(spark, d).select(kinds.alias("kind"), "venue", "event_timestamp", "price")
+    each = lambda batch, _: S.flush(batch, F.col("kind") == "trade", ["venue"], ["event_timestamp"]).write.mode("append").parquet(f"{at}/out")
+    rows.writeStream.foreachBatch(each).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{at}/out")
+    # the last flush wins for books
+    books = S.coalesce_latest(out.where("kind = 'book'"), ["venue"], ["event_timestamp"]).agg(F.lit("book").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("price").alias("price"))
+    return out.where("kind = 'trade'").agg(F.lit("trade").alias("kind"), F.count(F.lit(1)).alias("n"), F.max("price").alias("price")).unionByName(books)
+
+
+LIVE = """sy AS (SELECT bucket, avg(p_trade_mean) AS p, count(*) AS n, sum(v_buy) AS vb FROM trade_bars GROUP BY bucket),
+sr AS (SELECT *, ln(p / lag(p) OVER (ORDER BY bucket)) AS r, row_number() OVER (ORDER BY bucket) AS k FROM sy),
+sv AS (WITH RECURSIVE v AS (SELECT k, NULL::DOUBLE AS before, NULL::DOUBLE AS after FROM sr WHERE k = 1
+  UNION ALL SELECT sr.k, v.after, CASE WHEN v.after IS NULL THEN sr.r * sr.r ELSE 0.96::DOUBLE * v.after + 0.04::DOUBLE * sr.r * sr.r END FROM v JOIN sr ON sr.k = v.k + 1) SELECT k, before FROM v),
+live AS (SELECT bucket, p AS synthetic_price, n AS venue_count, r AS log_return, before AS variance, CASE WHEN count(r) OVER w = 3 THEN sqrt(sum(r * r) OVER w * 31536000 / 10800) END AS realized_vol_10800s,
+  CASE WHEN count(*) OVER w = 3 THEN ln(1 + sum(vb) OVER w) END AS log_buy_volume_10800s, k = max(k) OVER () AS open FROM sr JOIN sv USING (k) WINDOW w AS (ORDER BY bucket ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
+LIVE_COLUMNS = ["bucket", "synthetic_price", "venue_count", "log_return", "variance", "realized_vol_10800s", "log_buy_volume_10800s"]
+
+
+def live_bars(spark, d) -> DataFrame:
+    t = clean(spark, d)
+    bars = B.ohlc(t, HOUR).join(B.volume_by_side(t, HOUR), ["bucket", *B.KEYS])
+    return bars.select(F.lit("SYN").alias("asset"), "venue", F.unix_seconds("bucket").alias("bucket"), F.col("p_trade_mean").alias("price"), "v_buy")
+
+
+def _live(spark, at: str, schema, history=None) -> None:
+    """One run of the live features over what lies in the input folder, from the state of the run before."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = L.stream_features(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{at}/in"), HOUR, [3 * HOUR], [3 * HOUR], history=history)
+        out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+@query("stream_features", f"SELECT {', '.join(LIVE_COLUMNS)} FROM live WHERE NOT open AND realized_vol_10800s IS NOT NULL AND log_buy_volume_10800s IS NOT NULL", TRADE_BARS + "," + LIVE)
 def stream_features(spark, d):
-    at = folder(spark, "prices")
-    p = prices(spark, d).where("synthetic_price IS NOT NULL").select("asset", "bucket", "synthetic_price")
-    p.write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(p.schema).parquet(f"{at}/in")
-    return finished(S.stream_returns(stream, HOUR, 3 * HOUR), "features").select("bucket", "log_return")
-
-
-@query("stream_candles")
+    """Two runs, the second from the first one's state; bars of completed buckets, sent again with other prices, change nothing."""
+    at, bars = folder(spark, "live"), live_bars(spark, d)
+    early = F.col("bucket") < MIDDLE
+    bars.where(early).write.parquet(f"{at}/in/0")
+    _live(spark, at, bars.schema)
+    bars.where(~early).unionByName(bars.where(early & (F.col("bucket") < MIDDLE - HOUR)).withColumn("price", F.col("price") * 2)).write.parquet(f"{at}/in/1")
+    _live(spark, at, bars.schema)
+    return spark.read.parquet(f"{at}/out").select(*LIVE_COLUMNS)
+
+
+@query("stream_candles", """SELECT bucket // 14400 * 14400 AS bucket, venue, arg_min(p_open, bucket) AS p_open, max(p_high) AS p_high, min(p_low) AS p_low, arg_max(p_close, bucket) AS p_close, sum(v_trade) AS v_trade
+  FROM (SELECT epoch_us(event_timestamp) // 3600000000 * 3600 AS bucket, venue, first(price ORDER BY event_timestamp) AS p_open, max(price) AS p_high, min(price) AS p_low, last(price ORDER BY event_timestamp) AS p_close, sum(quantity) AS v_trade FROM one GROUP BY ALL), done
+  WHERE bucket // 14400 * 14400 + 14400 <= until GROUP BY ALL""", ONE + ", done AS (SELECT (max(epoch_us(event_timestamp)) - 5000000) // 1000000 AS until FROM one)")
 def stream_candles(spark, d):
     out = finished(S.stream_candles(S.stream_bars(trades_stream(spark, d), HOUR), 4 * HOUR), "candles")
     return out.withColumn("bucket", F.unix_seconds("bucket"))
 
 
-MIDDLE = 1704067200 + 15 * 86_400
 LATE = f"""mark AS (SELECT max(epoch_us(event_timestamp)) - 5000000 AS us FROM one WHERE event_id % 2 = 0 AND epoch_us(event_timestamp) < {MIDDLE}000000),
 seen AS (SELECT epoch_us(event_timestamp) // 3600000000 * 3600 AS bucket, venue, price FROM one, mark
   WHERE (event_id % 2 = 0 AND epoch_us(event_timestamp) < {MIDDLE}000000) OR (epoch_us(event_timestamp) // 3600000000 + 1) * 3600000000 > us)"""
@@ -121,23 +161,23 @@ def late_drop(spark, d):
     rows = trades(spark, d).where("ingested_at = received_timestamp").select("event_timestamp", "received_timestamp", "venue", "trade_id", "event_id", "price", "quantity", "taker_side")
     even, early = F.col("event_id") % 2 == 0, F.unix_seconds("event_timestamp") < MIDDLE
     at = folder(spark, "late")
-    # late rows are told by the watermark of the batch before, so they come two batches after it was raised
-    for i, part in enumerate((rows.where(even & early), rows.where(even & ~early), rows.where(~even))):
-        part.coalesce(1).write.parquet(f"{at}/in/{i}")  # one file a batch: the batches' content is what is tested
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{at}/in")
-    marked = stream.withWatermark("event_timestamp", "5 seconds").groupBy(F.window("event_timestamp", f"{HOUR} seconds").alias("w"), "venue").agg(F.count(F.lit(1)).alias("n"))
-    return finished(marked.select(F.unix_seconds("w.start").alias("bucket"), "venue", "n"), "late")
+    for i, part in enumerate((rows.where(even & early), rows.where(~(even & early)))):
+        part.write.parquet(f"{at}/in/{i}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+        marked = stream.withWatermark("event_timestamp", "5 seconds").groupBy(F.window("event_timestamp", f"{HOUR} seconds").alias("w"), "venue").agg(F.count(F.lit(1)).alias("n"))
+        # a run for each part, from the state of the run before
+        marked.select(F.unix_seconds("w.start").alias("bucket"), "venue", "n").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
 
 
-@query("warmup_replay", f"SELECT bucket, log_return FROM returns WHERE bucket >= {MIDDLE} AND synthetic_price IS NOT NULL", SYNTHETIC)
+@query("warmup_replay", f"SELECT bucket, synthetic_price, log_return, realized_vol_10800s, log_buy_volume_10800s FROM live WHERE NOT open AND bucket >= {MIDDLE} AND realized_vol_10800s IS NOT NULL", TRADE_BARS + "," + LIVE)
 def warmup_replay(spark, d):
-    """Live features after a replay of the history that their windows need, equal to those of a stream that never stopped."""
-    at = folder(spark, "replay")
-    p = prices(spark, d).where("synthetic_price IS NOT NULL").select("asset", "bucket", "synthetic_price")
-    p.where((F.col("bucket") >= MIDDLE - 4 * HOUR) & (F.col("bucket") < MIDDLE)).write.parquet(f"{at}/in/0")
-    p.where(F.col("bucket") >= MIDDLE).coalesce(1).write.parquet(f"{at}/in/1")
-    stream = spark.readStream.schema(p.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
-    return finished(S.stream_returns(stream, HOUR, 3 * HOUR), "replayed").where(F.col("bucket") >= MIDDLE).select("bucket", "log_return")
+    """A new stream whose state starts from the history that its windows need, equal to one that never stopped."""
+    at, bars = folder(spark, "warm"), live_bars(spark, d)
+    bars.where(F.col("bucket") >= MIDDLE).write.parquet(f"{at}/in/0")
+    bars.where((F.col("bucket") < MIDDLE) & (F.col("bucket") >= MIDDLE - 48 * HOUR)).write.parquet(f"{at}/history")
+    _live(spark, at, bars.schema, spark.read.parquet(f"{at}/history"))
+    return spark.read.parquet(f"{at}/out").where(F.col("bucket") >= MIDDLE).select("bucket", "synthetic_price", "log_return", "realized_vol_10800s", "log_buy_volume_10800s")
 
 
 @query("event_rollover", "SELECT event_ticker, min(quoted_on) AS started, lead(min(quoted_on)) OVER (ORDER BY min(quoted_on)) AS ended FROM quotes GROUP BY event_ticker")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def stream_dedup(trades: DataFrame, lateness: str = "5 seconds") -> DataFrame:
@@ -15,9 +13,11 @@ def stream_dedup(trades: DataFrame, lateness: str = "5 seconds") -> DataFrame:
     return trades.withWatermark("event_timestamp", lateness).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def stale_entry_skip(trades: DataFrame, seconds: int | None) -> DataFrame:
-    """Live recency over completeness: entries that arrived too long ago are skipped; None keeps all, as in batch."""
-    return trades if seconds is None else trades.where(F.col("received_timestamp") >= F.current_timestamp() - F.expr(f"INTERVAL {seconds} SECONDS"))
+def stale_entry_skip(trades: DataFrame, seconds: int | None, now: Column | None = None) -> DataFrame:
+    """Live recency over completeness: entries that arrived too long before `now` (the clock) are skipped; None keeps all, as in batch."""
+    if seconds is None:
+        return trades
+    return trades.where(F.col("received_timestamp") >= (F.current_timestamp() if now is None else now) - F.expr(f"INTERVAL {seconds} SECONDS"))
 
 
 def stream_bars(trades: DataFrame, seconds: int, lateness: str = "5 seconds") -> DataFrame:
@@ -54,6 +54,11 @@ def coalesce_latest(batch: DataFrame, keys: list[str], order: list[str]) -> Data
     return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(*keys, "x.*")
 
 
+def flush(batch: DataFrame, lossless: Column, keys: list[str], order: list[str]) -> DataFrame:
+    """A flush window's rows: all that must not be lost (trades), and of the rest (books) the last of each key."""
+    return batch.where(lossless).unionByName(coalesce_latest(batch.where(~lossless), keys, order))
+
+
 def archive_stream(events: DataFrame, root: str, checkpoint: str, by: list[str], trigger: dict | None = None):
     """Exactly-once archive to partitioned Parquet."""
     return events.writeStream.format("parquet").option("path", root).option("checkpointLocation", checkpoint).partitionBy(*by).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
@@ -66,28 +71,3 @@ def split_stream(events: DataFrame, checkpoint: str, good: Callable[[DataFrame],
         dead(batch.where("error IS NOT NULL"))
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
-
-
-def stream_returns(prices: DataFrame, bar: int, window: int) -> DataFrame:
-    """Log returns and realised volatility from streaming synthetic prices (asset, bucket in epoch seconds, synthetic_price).
-
-    State: the last bucket, its price and the returns of the window. Rows that aren't later than the state are
-    refused; a gap empties the returns.
-    """
-    import numpy as np
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, price, kept = state.get if state.exists else (-1, 0.0, [])
-        kept, out = list(kept), []
-        for row in pd.concat(list(batches)).sort_values("bucket").itertuples():
-            if row.bucket <= last:
-                continue
-            r = float(np.log(row.synthetic_price / price)) if row.bucket == last + bar and price > 0 else None
-            kept = [*kept, r][-(window // bar):] if r is not None else []
-            full = len(kept) == window // bar
-            out.append((key[0], int(row.bucket), r, float(np.sqrt(np.sum(np.square(kept)) * 31_536_000 / window)) if full else None))
-            last, price = int(row.bucket), float(row.synthetic_price)
-        state.update((last, price, kept))
-        yield pd.DataFrame(out, columns=["asset", "bucket", "log_return", "realized_vol"])
-
-    return prices.groupBy("asset").applyInPandasWithState(step, "asset string, bucket long, log_return double, realized_vol double", "last long, price double, kept array<double>", "append", GroupStateTimeout.NoTimeout)
