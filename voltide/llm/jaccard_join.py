@@ -369,16 +369,26 @@ def _tiled(blocks: DataFrame, *of: str) -> DataFrame:
     return rows.withColumn("key", F.xxhash64(*of, F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other")
 
 
-def _blocks(reps: DataFrame, rule: Rule) -> DataFrame:
+def often(counts: np.ndarray) -> int:
+    """The level of shingles that may be in more texts than a few cells of the sketch hold on average, and than a thousand."""
+    return int(2 * np.log2(max(1000, 4 * counts[0].sum() / CELLS)))
+
+
+def _blocks(reps: DataFrame, rule: Rule, hot: int) -> DataFrame:
     """key, id, n: blocks of two texts or more, so that any two linked texts share one.
 
-    A shingle's texts are told by the exclusive or of their hashes, which is combined before the shuffle, so that no
-    shingle is one task's work; shingles with the same texts are one block. Then all blocks with the same smallest text
-    are laid together, which only adds pairs to look at and leaves far fewer rows.
+    A shingle's texts are told by the exclusive or of their hashes; shingles with the same texts are one block. Shingles of
+    a level above `hot` are counted before the shuffle, so that none is one task's work; the sketch never counts too few,
+    so windows over the others are bounded. Then all blocks with the same smallest text are laid together, which only
+    adds pairs to look at and leaves far fewer rows.
     """
     each = reps.select("id", "n", F.explode("keys").alias("key"))
-    of_key = each.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("same")).where("m > 1")
-    blocks = each.join(of_key, "key").groupBy("same", "m", "id", "n").agg(F.count(F.lit(1)).alias("shared"))
+    count, same, of_key = F.count(F.lit(1)), F.bit_xor(F.xxhash64("id")), Window.partitionBy("key")
+    is_hot = F.shiftright("key", 56) > hot
+    rare = each.where(~is_hot).select("key", "id", "n", count.over(of_key).alias("m"), same.over(of_key).alias("same")).where("m > 1")
+    common = each.where(is_hot)
+    common = common.join(common.groupBy("key").agg(count.alias("m"), same.alias("same")).where("m > 1"), "key").select(rare.columns)
+    blocks = rare.unionByName(common).groupBy("same", "m", "id", "n").agg(F.count(F.lit(1)).alias("shared"))
     blocks = _tiled(blocks, "same", "m").select("key", "id", "n", "shared")
     blocks = _sized(_sharing(_sized(_sharing(blocks, rule), rule), rule), rule)
     least = F.min("id").over(Window.partitionBy("key"))  # a block has two tiles at most
@@ -410,12 +420,13 @@ def _open(blocks: DataFrame, comps: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id."""
     docs = numbered(docs, text_col)
-    spread = docs.sparkSession.sparkContext.broadcast(sketch(docs, rule))
+    counts = sketch(docs, rule)
+    spread = docs.sparkSession.sparkContext.broadcast(counts)
     rows = written(_described(docs, rule, spread), "jaccard-texts")
     swept(docs.sparkSession)
     classes = rows.where("n > 0").groupBy("n", "digest").agg(F.min("id").alias("id"))
     reps = rows.join(classes.select("id"), "id", "left_semi")
-    blocks = cut(_blocks(reps, rule))
+    blocks = cut(_blocks(reps, rule, often(counts)))
     swept(docs.sparkSession)
     held = written(_marked(rows.select("id", "packed").join(blocks.select("id").distinct(), "id", "left_semi"), rule), "jaccard-blocks")
     comps = held.select("id", F.col("id").alias("comp"))
