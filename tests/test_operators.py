@@ -215,3 +215,37 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_staged_events_switch_on_their_first_message(spark):
+    staged = spark.createDataFrame([("s", "A", 0), ("s", "B", 10), ("s", "C", 30), ("s", "D", 35)], "series string, event_ticker string, at int")
+    messages = [("s", "A", 5), ("s", "A", 12), ("s", "B", 15), ("s", "A", 16), ("s", "B", 31), ("s", "C", 36), ("s", "D", 40), ("s", "B", 41), ("s", "X", 42)]
+    out = pricing.rollover(staged, spark.createDataFrame(messages, "series string, event_ticker string, at int")).orderBy("at").collect()
+    # A stays accepted while B waits; C was replaced by D before it said anything
+    assert [r.accepted for r in out] == [True, True, True, False, True, False, True, False, False]
+    assert [r.active for r in out] == ["A", "A", "B", "B", "B", "B", "D", "D", "D"] and out[-1].generation == 3
+
+
+def test_several_curves_need_their_times(spark):
+    tickers = spark.createDataFrame([("e", "m", 0.4, 0.5, 100, 50.0)], "event_ticker string, market_ticker string, bid double, ask double, quoted_at long, spot double")
+    meta = spark.createDataFrame([("e", "m", 50.0, 400, "active")], "event_ticker string, market_ticker string, strike double, expiry long, status string")
+    curves = spark.createDataFrame([(0, 0.3, 0.3, 0.3, 0.3), (90, 0.6, 0.6, 0.6, 0.6), (200, 0.9, 0.9, 0.9, 0.9)], "feature_at long, sigma_300 double, sigma_900 double, sigma_1800 double, sigma_3600 double")
+    assert pricing.price_contracts(tickers, meta, curves, F.lit(100)).first().sigma == 0.6
+    with pytest.raises(Exception, match="several rows"):
+        pricing.price_contracts(tickers, meta, curves.drop("feature_at"), F.lit(100)).collect()
+
+
+def test_asof_looks_back_over_chunks(spark):
+    left = spark.createDataFrame([("v", 10 * 86_400 + 5), ("w", 5)], "venue string, at long")
+    right = spark.createDataFrame([("v", 3, 1.0), ("v", 86_400 + 1, 2.0), ("v", 11 * 86_400, 3.0)], "venue string, at long, price double")
+    assert {r.venue: r.price for r in joins.asof(left, right, ["venue"], "at", ["price"]).collect()} == {"v": 2.0, "w": None}
+
+
+def test_frames_of_several_trades(spark):
+    from voltide.operators import frames
+
+    rows = [("bybit", 1, '{"topic":"publicTrade.X","data":[{"s":"x","i":"1","p":"2","v":"3","T":4,"S":"Buy"},{"s":"x","i":"2","p":"2","v":"3","T":5,"S":"Sell"}]}'), ("kraken", 1, '{"channel":"trade","data":[]}'), ("other", 1, "{}"), ("gemini", 1, '{"s":"X","t":7,"p":"1","q":"1","E":1700000000000000000}')]
+    out = frames.normalize_trade_frames(spark.createDataFrame(rows, "venue string, received_ts_ms long, raw string")).collect()
+    assert sorted((r.venue, r.trade_id, r.taker_side, r.error) for r in out if r.venue == "bybit") == [("bybit", "1", "buy", None), ("bybit", "2", "sell", None)]
+    assert {r.venue for r in out} == {"bybit", "gemini"}
+    assert [r.exchange_ts_ms for r in out if r.venue == "gemini"] == [1_700_000_000_000]

@@ -68,7 +68,8 @@ def _items(frames: DataFrame, layouts: dict[str, Layout]) -> DataFrame:
             body = F.when(F.col("venue") == venue, F.get_json_object("raw", k.body)).otherwise(body)
     ours = ours.where(F.col("__unread") | kind).withColumn("__body", F.when(~F.col("__unread"), body))
     listed = F.when(F.col("__body").startswith("["), F.col("__body")).otherwise(F.concat(F.lit("["), F.col("__body"), F.lit("]")))
-    return ours.withColumn("x", F.explode_outer(F.from_json(listed, "array<map<string,string>>"))).drop("__body")
+    items = F.coalesce(F.from_json(listed, "array<map<string,string>>"), F.array(F.lit(None).cast("map<string,string>")))
+    return ours.withColumn("x", F.explode(items)).drop("__body")
 
 
 def _field(name: str | Column) -> Column:

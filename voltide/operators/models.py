@@ -57,12 +57,13 @@ def predict(model: dict[str, float]) -> Column:
     return F.greatest(out, F.lit(0.0))
 
 
-def train_boosted(rows: DataFrame, inputs: list[str], trees: int = 20, depth: int = 3):
+def train_boosted(rows: DataFrame, inputs: list[str], trees: int = 500, depth: int = 6, step: float = 0.05, subsample: float = 0.8):
+    """Gradient-boosted trees; returns the model and the rows with its input vector."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     data = VectorAssembler(inputCols=inputs, outputCol="inputs").transform(rows)
-    return GBTRegressor(featuresCol="inputs", labelCol="target", maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=7).fit(data), data
+    return GBTRegressor(featuresCol="inputs", labelCol="target", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=subsample, seed=7).fit(data), data
 
 
 def metrics(actual: Column, forecast: Column) -> list[Column]:
@@ -89,3 +90,46 @@ def purged(split: DataFrame, gap: int, at: str = "bucket") -> DataFrame:
     firsts = {r.part: r.start for r in starts.collect()}
     limit = F.when(F.col("part") == "train", F.lit(firsts.get("valid"))).when(F.col("part") == "valid", F.lit(firsts.get("test")))
     return split.where(limit.isNull() | (F.col(at) + gap < limit))
+
+
+def evaluate(rows: DataFrame, forecasts: list[str], newest: int, at: str = "bucket") -> DataFrame:
+    """Metrics of each forecast column, side by side, over the newest rows on which all of them and the target can be used."""
+    usable = F.lit(True)
+    for c in ("target", *forecasts):
+        usable = usable & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    last = rows.where(usable).orderBy(F.desc(at)).limit(newest)  # the limit is the report's
+    long = last.select("target", F.explode(F.map_from_arrays(F.array(*map(F.lit, forecasts)), F.array(*forecasts))).alias("kind", "forecast"))
+    return long.groupBy("kind").agg(*metrics(F.col("target"), F.col("forecast")))
+
+
+HORIZONS = (300, 900, 1800, 3600)
+
+
+def score_curve(rows: DataFrame, models: dict[int, dict[str, float]], variances: dict[int, str], legacy: tuple[str, int] | None = None) -> DataFrame:
+    """Adds sigma_<h> for each horizon, and error: the first reason why a row has no curve.
+
+    A horizon with a linear model has its prediction, which needs all of its inputs; the others have the square root of
+    the annualised variance in their column of `variances`, or, where a row hasn't all of these, of the one `legacy`
+    (column, seconds of its bars) for all; an hour without a model has the half hour's. Every value must be above 0.
+    """
+    year = 365 * DAY
+    good = lambda c: c.isNotNull() & ~F.isnan(c) & (c < float("inf"))
+    own = {h: F.col(variances[h]) for h in HORIZONS[:-1]}
+    whole = F.lit(True)
+    for c in own.values():
+        whole = whole & c.isNotNull()
+    out, error = {}, F.lit(None).cast("string")
+    for h in HORIZONS:
+        if h in models:
+            inputs = F.lit(True)
+            for n in models[h]:
+                inputs = inputs & good(F.col(n)) if n != "intercept" else inputs
+            value, reason = F.when(inputs, predict(models[h])), f"model_{h}"
+        else:
+            k = HORIZONS[-2] if h == HORIZONS[-1] else h
+            old = F.lit(None).cast("double") if legacy is None else F.when(F.col(legacy[0]) > 0, F.sqrt(F.col(legacy[0]) * year / legacy[1]))
+            value, reason = F.when(whole, F.when(own[k] > 0, F.sqrt(own[k] * year / k))).otherwise(old), f"variance_{k}"
+        value = F.when(good(value) & (value > 0), value)
+        out[f"sigma_{h}"] = value
+        error = F.coalesce(error, F.when(value.isNull(), reason))
+    return rows.withColumns({**out, "error": error})

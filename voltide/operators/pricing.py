@@ -150,3 +150,25 @@ def contract_monitor(tickers: DataFrame, trades: DataFrame, books: DataFrame, no
         cents(F.col("x.yes_price_dollars")).alias("last_trade"), F.col("x.count").try_cast("double").alias("last_trade_qty"), F.upper("x.taker_side").alias("last_trade_side"),
         (now_ms - F.coalesce("x.received_ts_ms", F.greatest("t.received_ts_ms", "booked"))).alias("activity_ms"), F.col("x").isNotNull().alias("has_trade"))
     return out.withColumn("place", F.row_number().over(Window.partitionBy("event_ticker").orderBy(F.col("strike").asc_nulls_last(), "market_ticker")))
+
+
+def rollover(staged: DataFrame, messages: DataFrame) -> DataFrame:
+    """Messages (series, event_ticker, at) with accepted, switches and generation, by the rule of a staged change of events.
+
+    staged: series, event_ticker, at. A staged event waits until its first message, which makes it the active one and ends
+    the one before; meanwhile messages of both are accepted. A later candidate takes the waiting one's place; staging the
+    event that is active already is ignored. Times of a series differ; messages at the time of a staging come after it.
+    """
+    series = Window.partitionBy("series").orderBy("at")
+    # an event is confirmed by its first message while it waits: after its staging and before the next one
+    until = staged.withColumn("until", F.lead("at").over(series)).withColumnsRenamed({"at": "from", "event_ticker": "candidate"})
+    hit = messages.join(until, "series").where((F.col("event_ticker") == F.col("candidate")) & (F.col("at") >= F.col("from")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    turns = hit.groupBy("series", F.col("candidate").alias("event_ticker"), "from").agg(F.min("at").alias("at"))
+    # of turns in a row to the same event the first counts: the others staged what was active
+    turns = turns.withColumn("again", F.coalesce(F.lag("event_ticker").over(series) == F.col("event_ticker"), F.lit(False))).where("NOT again")
+    turns = turns.withColumn("generation", F.row_number().over(series)).select("series", "at", F.col("event_ticker").alias("active"), "generation")
+    rows = asof(messages, turns, ["series"], "at", ["active", "generation"]).drop("matched_at")
+    rows = asof(rows, staged.select("series", "at", F.col("event_ticker").alias("pending")), ["series"], "at", ["pending"]).drop("matched_at")
+    own = F.coalesce(F.col("event_ticker") == F.col("active"), F.lit(False))
+    waiting = F.coalesce(F.col("event_ticker") == F.col("pending"), F.lit(False))
+    return rows.select("series", "event_ticker", "at", (own | waiting).alias("accepted"), F.coalesce("active", F.lit("")).alias("active"), F.coalesce("generation", F.lit(0)).alias("generation"))

@@ -41,11 +41,52 @@ def close_to(a, b, rel: float, most: float):
     return F.abs(a - b) <= F.greatest(rel * F.greatest(F.abs(a), F.abs(b)), F.lit(most))
 
 
-def parity(offline: DataFrame, online: DataFrame, newest: int = 30, least: int = 12) -> DataFrame:
-    """The newest offline rows against online ones by time: matched, missing, mismatched, passed."""
-    top = offline.orderBy(F.desc("bucket")).limit(newest)  # the limit is the report's
-    b = online.select("bucket", F.col("synthetic_price").alias("p"), F.col("log_return").alias("r"), F.col("venue_count").alias("n"))
+def parity(offline: DataFrame, online: DataFrame, newest: int = 30, least: int = 12, now: int | None = None, online_age: int = 180, offline_age: int = 10_800) -> DataFrame:
+    """The newest usable offline rows against online ones by time: matched, missing, mismatched, stale_online,
+    stale_offline (against `now` in epoch seconds; false without one), passed.
+
+    Rows are usable with a price and a venue at least; venue counts must be equal, prices and returns close, or both null.
+    """
+    usable = offline.where("synthetic_price IS NOT NULL AND venue_count > 0")
+    top = usable.orderBy(F.desc("bucket")).limit(newest)  # the limit is the report's
+    b = online.select("bucket", F.lit(True).alias("there"), F.col("synthetic_price").alias("p"), F.col("log_return").alias("r"), F.col("venue_count").alias("n"))
     both = top.join(b, "bucket", "left")
-    same = (F.col("venue_count") == F.col("n")) & close_to(F.col("synthetic_price"), F.col("p"), 1e-9, 1e-10) & close_to(F.coalesce("log_return", F.lit(0.0)), F.coalesce("r", F.lit(0.0)), 1e-9, 1e-10)
-    out = both.agg(F.count_if(F.col("p").isNull()).alias("missing"), F.count_if(F.col("p").isNotNull() & ~same).alias("mismatched"), F.count_if(F.col("p").isNotNull() & same).alias("matched"))
-    return out.withColumn("passed", (F.col("missing") == 0) & (F.col("mismatched") == 0) & (F.col("matched") >= least))
+    alike = lambda x, y: F.coalesce(close_to(F.col(x), F.col(y), 1e-9, 1e-10), F.col(x).isNull() & F.col(y).isNull())
+    same = F.col("venue_count").eqNullSafe(F.col("n")) & alike("synthetic_price", "p") & alike("log_return", "r")
+    out = both.agg(F.count(F.lit(1)).alias("checked"), F.count_if(F.col("there").isNull()).alias("missing"), F.count_if(F.col("there") & ~same).alias("mismatched"), F.count_if(F.col("there") & same).alias("matched"), F.max("bucket").alias("last_offline"))
+    last = online.agg(F.max("bucket").alias("last_online"))
+    stale = lambda c, most: F.lit(False) if now is None else F.coalesce(F.lit(now) - F.col(c) > most, F.lit(True))
+    out = out.join(F.broadcast(last)).withColumns({"stale_online": stale("last_online", online_age), "stale_offline": stale("last_offline", offline_age)})  # a row each
+    passed = (F.col("missing") == 0) & (F.col("mismatched") == 0) & (F.col("checked") - F.col("missing") >= least) & ~F.col("stale_online") & ~F.col("stale_offline")
+    return out.select("missing", "mismatched", "matched", "stale_online", "stale_offline", passed.alias("passed"))
+
+
+PHASES = ("resample", "features", "targets")
+
+
+def backfill_plan(hours: DataFrame, done: DataFrame, phases: tuple[str, ...] = PHASES) -> DataFrame:
+    """hour, phase, state: what is left of a backfill, phase by phase.
+
+    hours: hour; done: hour, phase, state (complete or failed) of runs so far. A complete phase is left alone; one whose
+    phase before isn't complete is blocked unless that one is pending in the same run; others are pending.
+    """
+    states = done.groupBy("hour").agg(*[F.max(F.when(F.col("phase") == p, F.col("state") == "complete")).alias(p) for p in phases])
+    wide = hours.join(states, "hour", "left").select("hour", *[F.coalesce(p, F.lit(False)).alias(p) for p in phases])
+    return wide.select("hour", F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(p).alias("phase"), F.when(F.col(p), "complete").otherwise("pending").alias("state")) for i, p in enumerate(phases)])).alias("x")).select("hour", "x.*")
+
+
+def blocked(plan: DataFrame, failed: DataFrame) -> DataFrame:
+    """The plan after phases failed (hour, phase): they, and all pending phases of their hour behind them, change state."""
+    first = plan.join(failed, ["hour", "phase"]).groupBy("hour").agg(F.min("place").alias("broken"))
+    out = plan.join(first, "hour", "left")
+    state = F.when((F.col("state") == "pending") & (F.col("place") == F.col("broken")), "failed").when((F.col("state") == "pending") & (F.col("place") > F.col("broken")), "blocked").otherwise(F.col("state"))
+    return out.withColumn("state", state).drop("broken")
+
+
+def ranges(plan: DataFrame, state: str = "pending", step: int = 3600) -> DataFrame:
+    """phase, start, end (exclusive), n: runs of consecutive hours of a state, a job each; days in chunks meet at midnight."""
+    w = Window.partitionBy("phase", F.floor(F.col("hour") / 86_400)).orderBy("hour")
+    new = F.coalesce(F.col("hour") - F.lag("hour").over(w) != step, F.lit(True)).cast("int")
+    rows = plan.where(F.col("state") == state).withColumn("new", new)
+    rows = rows.withColumn("run", F.sum("new").over(w))
+    return rows.groupBy("phase", F.floor(F.col("hour") / 86_400).alias("day"), "run").agg(F.min("hour").alias("start"), (F.max("hour") + step).alias("end"), F.count(F.lit(1)).alias("n")).drop("day", "run")

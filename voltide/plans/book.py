@@ -348,7 +348,16 @@ def purged_split(spark, d):
     return M.purged(M.chronological_split(matrix(spark, d)), 3600).select("bucket", "part")
 
 
-@query("train_har")
+#: Least squares with coefficients of 0 or more, from sums over the training part: the best of the four sets of inputs.
+HAR = """hm AS (SELECT count(*)::DOUBLE AS n, sum(realized_vol_10800s) AS a, sum(log_buy_volume_10800s) AS b, sum(target) AS y, sum(realized_vol_10800s * realized_vol_10800s) AS aa, sum(realized_vol_10800s * log_buy_volume_10800s) AS ab,
+  sum(log_buy_volume_10800s * log_buy_volume_10800s) AS bb, sum(realized_vol_10800s * target) AS ay, sum(log_buy_volume_10800s * target) AS by_, sum(target * target) AS yy FROM split WHERE part = 'train'),
+hc AS (SELECT *, aa - a * a / n AS caa, bb - b * b / n AS cbb, ab - a * b / n AS cab, ay - a * y / n AS cay, by_ - b * y / n AS cby, yy - y * y / n AS cyy FROM hm),
+hs AS (SELECT unnest([0, cay / caa, 0, (cay * cbb - cby * cab) / (caa * cbb - cab * cab)]) AS wa, unnest([0, 0, cby / cbb, (cby * caa - cay * cab) / (caa * cbb - cab * cab)]) AS wb, hc.* FROM hc),
+hw AS (SELECT wa, wb, (y - wa * a - wb * b) / n AS w0, cyy - 2 * wa * cay - 2 * wb * cby + wa * wa * caa + 2 * wa * wb * cab + wb * wb * cbb AS loss FROM hs WHERE wa >= 0 AND wb >= 0),
+har AS (SELECT arg_min(w0, loss) AS w0, arg_min(wa, loss) AS wa, arg_min(wb, loss) AS wb FROM hw)"""
+
+
+@query("train_har", "SELECT bucket, part, target, greatest(w0 + wa * realized_vol_10800s + wb * log_buy_volume_10800s, 0) AS forecast FROM split, har", SYNTHETIC + "," + SPLIT + "," + HAR)
 def train_har(spark, d):
     rows = M.chronological_split(matrix(spark, d))
     model = M.train_har(rows.where("part = 'train'"), INPUTS)
@@ -357,7 +366,8 @@ def train_har(spark, d):
 
 @query("train_boosted")
 def train_boosted(spark, d):
-    model, data = M.train_boosted(matrix(spark, d), INPUTS)
+    """Fewer, shallower trees than the defaults, so that the query ends in seconds."""
+    model, data = M.train_boosted(matrix(spark, d), INPUTS, trees=20, depth=3)
     return model.transform(data).select("bucket", "target", F.col("prediction").alias("forecast"))
 
 
@@ -385,12 +395,11 @@ def benched(spark, d):
     return M.chronological_split(matrix(spark, d)).join(e, "bucket")
 
 
-@query("evaluate_model")
+@query("evaluate_model", f"SELECT kind, {SCORES} FROM (SELECT a, unnest(['model', 'benchmark']) AS kind, unnest([m, f]) AS f FROM (SELECT s.bucket, s.target AS a, greatest(w0 + wa * realized_vol_10800s + wb * log_buy_volume_10800s, 0) AS m, sqrt(greatest(e.forecast * {YEAR} / 3600, 1e-18::DOUBLE)) AS f FROM split s JOIN e USING (bucket), har ORDER BY s.bucket DESC LIMIT 120)) GROUP BY kind", SYNTHETIC + EWMA + "," + SPLIT + "," + HAR)
 def evaluate_model(spark, d):
     rows = benched(spark, d)
     model = M.train_har(rows.where("part = 'train'"), INPUTS)
-    test = rows.where("part = 'test'").select("target", F.explode(F.map_from_arrays(F.array(F.lit("model"), F.lit("benchmark")), F.array(M.predict(model), F.col("ewma")))).alias("kind", "forecast"))
-    return test.groupBy("kind").agg(*M.metrics(F.col("target"), F.col("forecast")))
+    return M.evaluate(rows.withColumns({"model": M.predict(model), "benchmark": F.col("ewma")}), ["model", "benchmark"], 120)
 
 
 DECIDE = """dm AS (SELECT venue, stddev_samp(price) AS rmse, 25.0::DOUBLE AS champion_rmse, 28.0::DOUBLE AS benchmark_rmse, count(*) % 2 AS failed_before, 30000 AS since_training FROM deduped GROUP BY venue),
@@ -406,11 +415,19 @@ query("retrain_decision", "SELECT venue, change, change >= 0.05 AS degraded, CAS
 query("promotion_gate", "SELECT venue, (rmse - 28) / 28 <= -0.02 AND NOT change >= 0.05 AS promote FROM dd", DECIDE)(lambda spark, d: decided(spark, d).select("venue", "promote"))
 
 
-@query("score_curve", f"SELECT bucket, greatest(0.01::DOUBLE + 0.5::DOUBLE * realized_vol_10800s + 0.001::DOUBLE * log_buy_volume_10800s, 0) AS sigma_model, sqrt(greatest(variance * {YEAR} / 3600, 1e-18::DOUBLE)) AS sigma_ewma FROM training JOIN e USING (bucket)", SYNTHETIC + EWMA + "," + TRAINING)
+CURVED = """cv AS (SELECT t.bucket, realized_vol_10800s AS rv, log_buy_volume_10800s AS vb, CASE WHEN t.bucket // 3600 % 5 <> 0 THEN variance END AS v3, CASE WHEN t.bucket // 3600 % 10 <> 0 THEN variance ELSE -1 END AS old, variance AS v FROM training t JOIN e USING (bucket)),
+cs AS (SELECT bucket, CASE WHEN v3 IS NULL THEN l ELSE sqrt(v * 31536000 / 300) END AS sigma_300, greatest(0.01::DOUBLE + 0.5::DOUBLE * rv + 0.001::DOUBLE * vb, 0) AS sigma_900, CASE WHEN v3 IS NULL THEN l ELSE sqrt(v3 * 31536000 / 1800) END AS sigma_1800
+  FROM (SELECT *, CASE WHEN old > 0 THEN sqrt(old * 31536000 / 3600) END AS l FROM cv))"""
+
+
+@query("score_curve", "SELECT *, sigma_1800 AS sigma_3600, CASE WHEN sigma_300 IS NULL THEN 'variance_300' END AS error FROM cs", SYNTHETIC + EWMA + "," + TRAINING + "," + CURVED)
 def score_curve(spark, d):
-    model = {"intercept": 0.01, INPUTS[0]: 0.5, INPUTS[1]: 0.001}
-    e = X.ewma_variance(returns(spark, d)).select("bucket", X.annualized(F.col("variance"), HOUR, HOUR).alias("sigma_ewma"))
-    return matrix(spark, d).join(e, "bucket").select("bucket", M.predict(model).alias("sigma_model"), "sigma_ewma")
+    """A model for one horizon, variances for the others; some rows lack one of these and fall back, and some have nothing to fall back on."""
+    h = F.floor(F.col("bucket") / 3600)
+    e = X.ewma_variance(returns(spark, d)).select("bucket", "variance")
+    rows = matrix(spark, d).join(e, "bucket").withColumns({"v30": F.when(h % 5 != 0, F.col("variance")), "old": F.when(h % 10 != 0, F.col("variance")).otherwise(-1.0)})
+    out = M.score_curve(rows, {900: {"intercept": 0.01, INPUTS[0]: 0.5, INPUTS[1]: 0.001}}, {300: "variance", 900: "variance", 1800: "v30"}, ("old", HOUR))
+    return out.select("bucket", *[f"sigma_{k}" for k in M.HORIZONS], "error")
 
 
 # -- quality
@@ -418,12 +435,12 @@ def score_curve(spark, d):
 CONS = "raw AS (SELECT count(*) FILTER (quantity > 0)::DOUBLE AS cnt_trade, sum(quantity) AS v_trade, sum(quantity) FILTER (taker_side = 'buy') AS v_buy, sum(quantity) FILTER (taker_side = 'sell') AS v_sell FROM deduped), own AS (SELECT sum(cnt_trade)::DOUBLE AS cnt_trade, sum(v_trade) AS v_trade, sum(v_buy) AS v_buy, sum(v_sell) AS v_sell FROM bars)"
 
 
-@query("conservation_check", " UNION ALL ".join(f"SELECT '{m}' AS measure, raw.{m} AS raw, own.{m} AS bars, true AS equal FROM raw, own" for m in ("cnt_trade", "v_trade", "v_buy", "v_sell")), BARS + "," + CONS)
+@query("conservation_check", " UNION ALL ".join(f"SELECT '{m}' AS measure, raw.{m} AS raw, own.{m} AS bars, abs(raw.{m} - own.{m}) <= 1e-3 + 1e-7 * abs(own.{m}) AS equal FROM raw, own" for m in ("cnt_trade", "v_trade", "v_buy", "v_sell")), BARS + "," + CONS)
 def conservation_check(spark, d):
     return Q.conservation(clean(spark, d), hourly(spark, d))
 
 
-@query("bar_invariants", "SELECT unnest(['high', 'low', 'book', 'fill', 'cadence', 'volume']) AS violation, unnest([count(*) FILTER (p_high < p_close OR p_high < p_open), count(*) FILTER (p_low > p_close OR p_low > p_open), count(*) FILTER (p_bid_1 > p_ask_1), 0, 0, count(*) FILTER (abs(v_buy + v_sell - v_trade) > 1e-6)]) AS n FROM bars", BARS)
+@query("bar_invariants", "SELECT unnest(['high', 'low', 'book', 'fill', 'cadence', 'volume']) AS violation, unnest([count(*) FILTER (p_high < p_close OR p_high < p_open), count(*) FILTER (p_low > p_close OR p_low > p_open), count(*) FILTER (p_bid_1 > p_ask_1), count(*) FILTER (dt_fill_min_ms > dt_fill_mean_ms + 1e-6 OR dt_fill_mean_ms > dt_fill_max_ms + 1e-6), count(*) FILTER (gap <> 3600), count(*) FILTER (abs(v_buy + v_sell - v_trade) > 1e-6)]) AS n FROM (SELECT *, bucket - lag(bucket) OVER (PARTITION BY venue, instrument ORDER BY bucket) AS gap FROM bars)", BARS)
 def bar_invariants(spark, d):
     return Q.invariants(flat(hourly(spark, d)), HOUR)
 
@@ -449,9 +466,13 @@ def online(spark, d):
     return returns(spark, d).where(h % 7 != 0).withColumn("synthetic_price", F.when(h % 9 == 0, F.col("synthetic_price") + 1).otherwise(F.col("synthetic_price")))
 
 
-@query("feature_parity", "SELECT count(*) FILTER (p IS NULL) AS missing, count(*) FILTER (p <> synthetic_price) AS mismatched, count(*) FILTER (p = synthetic_price) AS matched, false AS passed FROM (SELECT * FROM returns ORDER BY bucket DESC LIMIT 30) LEFT JOIN online USING (bucket)", SYNTHETIC + "," + ONLINE)
+@query("feature_parity", """SELECT *, missing = 0 AND mismatched = 0 AND 30 - missing >= 12 AND NOT stale_online AND NOT stale_offline AS passed FROM (SELECT count(*) FILTER (o.bucket IS NULL) AS missing, count(*) FILTER (p <> synthetic_price) AS mismatched, count(*) FILTER (p = synthetic_price) AS matched,
+  any_value(now - last_online > 180) AS stale_online, any_value(now - 100 - last_offline > 10800) AS stale_offline FROM (SELECT *, max(bucket) OVER () + 100 AS now, max(bucket) OVER () AS last_offline FROM returns WHERE synthetic_price IS NOT NULL ORDER BY bucket DESC LIMIT 30) r
+  LEFT JOIN online o USING (bucket), (SELECT max(bucket) AS last_online FROM online))""", SYNTHETIC + "," + ONLINE)
 def feature_parity(spark, d):
-    return Q.parity(returns(spark, d), online(spark, d))
+    offline = returns(spark, d)
+    now = offline.agg(F.max("bucket")).first()[0] + 100
+    return Q.parity(offline, online(spark, d), now=now)
 
 
 @query("parity_left_join", "SELECT bucket, CASE WHEN p IS NULL THEN 'missing' WHEN abs(p - synthetic_price) > 1e-9 * p THEN 'mismatched' ELSE 'matched' END AS state FROM returns LEFT JOIN online USING (bucket)", SYNTHETIC + "," + ONLINE)
@@ -465,9 +486,19 @@ def dataset_profile(spark, d):
     return trades(spark, d).groupBy("venue", F.floor(F.unix_seconds("event_timestamp") / 86400).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
 
 
-@query("backfill_ranges", "SELECT venue, bucket FROM grid ANTI JOIN (SELECT bucket, venue FROM trade_bars WHERE bucket // 3600 % 2 = 0) USING (venue, bucket)", TRADE_BARS)
-def backfill_ranges(spark, d):
-    from .bars import _grid
+RUNS = """hs AS (SELECT DISTINCT hour // 3600 AS h, hour FROM quotes),
+pl AS (SELECT h, hour, 'resample' AS phase, CASE WHEN h % 2 = 0 THEN 'complete' WHEN h % 9 = 0 THEN 'failed' ELSE 'pending' END AS state FROM hs
+  UNION ALL SELECT h, hour, 'features', CASE WHEN h % 4 = 0 THEN 'complete' WHEN h % 2 <> 0 AND h % 9 = 0 THEN 'blocked' ELSE 'pending' END FROM hs
+  UNION ALL SELECT h, hour, 'targets', CASE WHEN h % 2 <> 0 AND h % 9 = 0 THEN 'blocked' ELSE 'pending' END FROM hs),
+pr AS (SELECT phase, hour, hour // 86400 AS day, hour - 3600 * row_number() OVER (PARTITION BY phase, hour // 86400 ORDER BY hour) AS run FROM pl WHERE state = 'pending')"""
 
-    done = flat(B.ohlc(clean(spark, d), HOUR)).where(F.floor(F.col("bucket") / HOUR) % 2 == 0).select("venue", "bucket")
-    return flat(_grid(spark, d)).select("venue", "bucket").join(done, ["venue", "bucket"], "left_anti")
+
+@query("backfill_ranges", "SELECT phase, 'pending' AS state, min(hour) AS start, max(hour) + 3600 AS \"end\", count(*) AS n FROM pr GROUP BY phase, day, run UNION ALL SELECT phase, state, hour, hour + 3600, 1 FROM pl WHERE state IN ('failed', 'blocked')", RUNS)
+def backfill_ranges(spark, d):
+    """A resumed backfill: ranges of hours that are left, phase by phase, after every ninth hour's first phase has failed."""
+    hours = quotes(spark, d).select("hour").distinct()
+    h = F.floor(F.col("hour") / 3600)
+    done = hours.where(h % 2 == 0).select("hour", F.lit("resample").alias("phase"), F.lit("complete").alias("state")).unionByName(hours.where(h % 4 == 0).select("hour", F.lit("features").alias("phase"), F.lit("complete").alias("state")))
+    plan = Q.blocked(Q.backfill_plan(hours, done), hours.where((h % 2 != 0) & (h % 9 == 0)).select("hour", F.lit("resample").alias("phase")))
+    rest = plan.where("state IN ('failed', 'blocked')").select("phase", "state", F.col("hour").alias("start"), (F.col("hour") + 3600).alias("end"), F.lit(1).cast("long").alias("n"))
+    return Q.ranges(plan).select("phase", F.lit("pending").alias("state"), "start", "end", "n").unionByName(rest)

@@ -26,10 +26,14 @@ def lake_of(spark, d):
     return root
 
 
-@query("scan_partitioned", f"SELECT venue, {DAY} AS day, trade_id, price FROM deduped WHERE {DAY} BETWEEN 19727 AND 19730 AND venue IN ('click', 'view')")
+@query("scan_partitioned", "SELECT venue, epoch_us(event_timestamp) // 3600000000 AS hour, trade_id, price FROM deduped WHERE epoch_us(event_timestamp) // 3600000000 BETWEEN 19727 * 24 + 20 AND 19728 * 24 + 3 AND venue IN ('click', 'view')")
 def scan_partitioned(spark, d):
-    rows = lake.scan_partitioned(spark, lake_of(spark, d), "2024-01-05", "2024-01-08", ["click", "view"])
-    return rows.select("venue", F.floor(F.unix_seconds("event_timestamp") / 86400).alias("day"), "trade_id", "price")
+    """Eight hours across midnight, of a lake by date, hour and venue that has three days."""
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/hours-{uuid.uuid4().hex}"
+    rows = clean(spark, d).where("event_timestamp >= TIMESTAMP '2024-01-05 00:00:00' AND event_timestamp < TIMESTAMP '2024-01-08 00:00:00'")
+    lake.write_hive(G.partition_keys(rows.drop("source_object"), "venue"), root, ["date", "hour", "venue"])
+    found = lake.scan_partitioned(spark, root, "2024-01-05 20", "2024-01-06 03", ["click", "view"])
+    return found.select("venue", F.floor(F.unix_seconds("event_timestamp") / 3600).alias("hour"), "trade_id", "price")
 
 
 @query("write_hive", f"SELECT venue, {DAY} AS day, count(*) AS n, sum(price) AS total FROM deduped GROUP BY ALL")
@@ -139,17 +143,20 @@ def load_book_levels(spark, d):
     return G.load_book_levels(landed)
 
 
-@query("archive_trade_csv", "SELECT event_id::VARCHAR AS trade_id, epoch_us(ts) AS us, value AS price, CASE WHEN user_id % 2 = 0 THEN 'sell' ELSE 'buy' END AS taker_side, true AS in_order FROM events")
+@query("archive_trade_csv", """SELECT trade_id, us, price, taker_side, coalesce(us >= lag(us) OVER (ORDER BY event_id), true) AS in_order FROM (SELECT event_id, event_id::VARCHAR AS trade_id, value AS price, CASE WHEN user_id % 2 = 0 THEN 'sell' ELSE 'buy' END AS taker_side,
+  CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) // 1000 * 1000 ELSE epoch_us(ts) END - CASE WHEN event_id % 97 = 0 THEN 3600000000 ELSE 0 END AS us FROM events)""")
 def archive_trade_csv(spark, d):
-    us = F.unix_micros("ts")
-    rows = events(spark, d).select(F.col("event_id").alias("id"), F.col("value").alias("price"), F.lit(1.0).alias("qty"), F.when(us % 1000 == 0, F.floor(us / 1000)).otherwise(us).alias("time"), (F.col("user_id") % 2 == 0).alias("is_buyer_maker"))
+    """Every other time in milliseconds, and one in 97 an hour too early."""
+    us = F.unix_micros("ts") - F.when(F.col("event_id") % 97 == 0, 3_600_000_000).otherwise(0)
+    rows = events(spark, d).select(F.col("event_id").alias("id"), F.col("value").alias("price"), F.lit(1.0).alias("qty"), F.when(F.col("event_id") % 2 == 0, F.floor(us / 1000)).otherwise(us).alias("time"), (F.col("user_id") % 2 == 0).alias("is_buyer_maker"))
     out = G.archive_trade_csv(rows, "archive", "SYN")
     return out.select("trade_id", F.unix_micros("event_timestamp").alias("us"), "price", "taker_side", "in_order")
 
 
 @query("drop_path_columns", "SELECT event_id, price FROM deduped")
 def drop_path_columns(spark, d):
-    return lake.drop_path_columns(clean(spark, d).select("event_id", "price", "venue", "instrument"), ["venue", "instrument"])
+    to = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/bare-{uuid.uuid4().hex}"
+    return lake.drop_path_columns(clean(spark, d).select("event_id", "price", "venue", "instrument"), ["venue", "instrument"], to)
 
 
 @query("compat_view", f"SELECT asset, bucket, log_return, realized_vol_10800s, 'v2' AS feature_version FROM ({FEATURES})", SYNTHETIC)

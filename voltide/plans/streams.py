@@ -180,42 +180,67 @@ def warmup_replay(spark, d):
     return spark.read.parquet(f"{at}/out").where(F.col("bucket") >= MIDDLE).select("bucket", "synthetic_price", "log_return", "realized_vol_10800s", "log_buy_volume_10800s")
 
 
-@query("event_rollover", "SELECT event_ticker, min(quoted_on) AS started, lead(min(quoted_on)) OVER (ORDER BY min(quoted_on)) AS ended FROM quotes GROUP BY event_ticker")
+ROLL = """ev AS (SELECT hour, hour // 3600 AS h, event_ticker FROM quotes GROUP BY ALL),
+turn AS (SELECT min(hour) + 600 AS moment, event_ticker FROM ev WHERE h % 3 = 0 GROUP BY event_ticker),
+msg AS (SELECT hour + 600 AS moment, event_ticker, h FROM ev UNION ALL SELECT hour + 900, lag(event_ticker) OVER (ORDER BY hour), h FROM ev WHERE h % 3 = 0)"""
+
+
+@query("event_rollover", """SELECT moment, event_ticker, coalesce(event_ticker = active, false) AS accepted, coalesce(active, '') AS active, coalesce(generation, 0) AS generation FROM (
+  SELECT m.moment, m.event_ticker, t.event_ticker AS active, t.generation FROM (SELECT * FROM msg WHERE event_ticker IS NOT NULL) m ASOF LEFT JOIN (SELECT *, row_number() OVER (ORDER BY moment) AS generation FROM turn) t ON m.moment >= t.moment)""", ROLL)
 def event_rollover(spark, d):
-    """When each event of the series became the active one, by its first message, and when the next took over."""
+    """Every third event is staged and confirmed by its own first message; the others' messages are refused, and so are the old event's after the switch."""
     from pyspark.sql import Window
 
+    from voltide.operators import pricing as P
     from voltide.sources.adapters import quotes
 
-    first = quotes(spark, d).groupBy(F.lit("SER").alias("series"), "event_ticker").agg(F.min("quoted_on").alias("started"))
-    return first.select("event_ticker", "started", F.lead("started").over(Window.partitionBy("series").orderBy("started")).alias("ended"))
+    series = F.lit("SER").alias("series")
+    ev = quotes(spark, d).select("hour", "event_ticker").distinct()
+    third = ev.where(F.floor(F.col("hour") / HOUR) % 3 == 0)
+    staged = third.select(series, "event_ticker", (F.col("hour") + 300).alias("at"))
+    # staging again what is active changes nothing
+    staged = staged.unionByName(third.select(series, "event_ticker", (F.col("hour") + 1200).alias("at")))
+    before = third.withColumn("event_ticker", F.lag("event_ticker").over(Window.partitionBy(F.lit(1)).orderBy("hour"))).where("event_ticker IS NOT NULL")
+    messages = ev.select(series, "event_ticker", (F.col("hour") + 600).alias("at")).unionByName(before.select(series, "event_ticker", (F.col("hour") + 900).alias("at")))
+    return P.rollover(staged, messages).drop("series").withColumnRenamed("at", "moment")
+
+
+CURVES = """curves AS (SELECT * FROM (VALUES (0, 0.3::DOUBLE, 0.35::DOUBLE, 0.5::DOUBLE, 0.45::DOUBLE), (1704067200 + 864000, 0.3, NULL, 0.5, 0.45), (1704067200 + 1728000, 0.6, 0.7, 0.8, 0.9)) c(feature_at, sigma_300, sigma_900, sigma_1800, sigma_3600))"""
 
 
 def _stream_pricing(spark, d):
-    """Each micro-batch of tickers joined with contract metadata and the curve, and priced."""
+    """Each micro-batch of tickers joined with contract metadata and the curve of its time, and priced; without a valid
+    curve its prices are retracted: rows without a price, with the reason.
+    """
     from voltide.operators import pricing as P
     from voltide.sources.adapters import quotes
 
-    from .book import curve, metadata
+    from .book import metadata
 
     at = folder(spark, "pricing")
     tickers = quotes(spark, d).withColumn("quoted_at", F.col("quoted_on") - F.when(F.col("j") % 4 == 0, 100).otherwise(10)).drop("strike", "expiry")
     tickers.write.parquet(f"{at}/in")
     stream = spark.readStream.schema(tickers.schema).parquet(f"{at}/in")
+    rows = [(0, 0.3, 0.35, 0.5, 0.45), (1704067200 + 864_000, 0.3, None, 0.5, 0.45), (1704067200 + 1_728_000, 0.6, 0.7, 0.8, 0.9)]
+    curves = spark.createDataFrame(rows, "feature_at long, sigma_300 double, sigma_900 double, sigma_1800 double, sigma_3600 double")
 
     def price(batch, _):
-        P.price_contracts(batch, metadata(spark, d), curve(spark), F.col("quoted_on")).select("market_ticker", "reason", "model", "edge").write.mode("append").parquet(f"{at}/out")
+        P.price_contracts(batch, metadata(spark, d), curves, F.col("quoted_on")).select("market_ticker", "reason", "model", "edge").write.mode("append").parquet(f"{at}/out")
 
     stream.writeStream.foreachBatch(price).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out")
 
 
 def _register_pricing():
-    from .base import ORACLE_SQL, QUERIES
-    from . import book  # noqa: F401  its SQL is the batch form's
-
-    QUERIES["stream_pricing"] = _stream_pricing
-    ORACLE_SQL["stream_pricing"] = ORACLE_SQL["price_contracts"]
+    from .book import META, cdf, interpolated
+
+    year = 31_536_000
+    priced = f"""pr AS (SELECT q.*, m.strike AS k, status, m.expiry - quoted_on AS tau FROM quotes q LEFT JOIN meta m USING (event_ticker, market_ticker)),
+pc AS (SELECT pr.*, c.* EXCLUDE (feature_at) FROM pr ASOF LEFT JOIN curves c ON pr.quoted_on >= c.feature_at),
+ps AS (SELECT *, {interpolated('tau')} AS sigma FROM pc),
+pq AS (SELECT *, CASE WHEN k IS NULL THEN 'no_metadata' WHEN status <> 'active' THEN 'not_open' WHEN sigma_900 IS NULL THEN 'bad_curve' WHEN tau <= 0 THEN 'expired' WHEN sigma IS NULL THEN 'beyond_curve' END AS reason, ln(spot / k) / (sigma * sqrt(tau / {year})) AS x FROM ps),
+priced AS (SELECT market_ticker, reason, CASE WHEN reason IS NULL THEN {cdf('x')} END AS model, bid, ask, j FROM pq)"""
+    query("stream_pricing", "SELECT market_ticker, reason, model, CASE WHEN j % 4 <> 0 THEN model - (bid + ask) / 2 END AS edge FROM priced", META + "," + CURVES + "," + priced)(_stream_pricing)
 
 
 _register_pricing()

@@ -7,8 +7,17 @@ from pyspark.sql import functions as F
 
 
 def scan_partitioned(spark: SparkSession, root: str, start: str, end: str, venues: list[str] | None = None) -> DataFrame:
-    """Rows of dates from `start` to `end` (inclusive, yyyy-MM-dd) by partition pruning; none at all is an error."""
-    rows = spark.read.option("recursiveFileLookup", "false").parquet(root).where((F.col("date") >= F.lit(start).cast("date")) & (F.col("date") <= F.lit(end).cast("date")))
+    """Rows from `start` to `end` (inclusive) by partition pruning; none at all is an error.
+
+    Both are dates (yyyy-MM-dd), or hours (yyyy-MM-dd HH) of a lake that has `hour` partitions, across midnight too.
+    """
+    rows = spark.read.option("recursiveFileLookup", "false").parquet(root)
+    for text, inside in ((start, lambda c, x: c > x), (end, lambda c, x: c < x)):
+        day, _, hour = text.partition(" ")
+        date = F.lit(day).cast("date")
+        at = F.col("hour").cast("int") if hour else None
+        edge = F.lit(True) if at is None else at >= int(hour) if text is start else at <= int(hour)
+        rows = rows.where(inside(F.col("date"), date) | ((F.col("date") == date) & edge))
     rows = rows.where(F.col("venue").isin(venues)) if venues else rows
     if rows.isEmpty():
         raise ValueError(f"no partitions from {start} to {end}")
@@ -25,8 +34,17 @@ def replace_partition(rows: DataFrame, root: str, by: list[str]) -> None:
     rows.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(root)
 
 
-def drop_path_columns(rows: DataFrame, names: list[str]) -> DataFrame:
-    return rows.drop(*names)
+def drop_path_columns(rows: DataFrame, names: list[str], to: str | None = None) -> DataFrame:
+    """The rows without columns that the path has as well; with `to`, written there, and read back if no row was lost."""
+    out = rows.drop(*names)
+    if to is None:
+        return out
+    out.write.parquet(to)
+    written = rows.sparkSession.read.schema(out.schema).parquet(to)
+    before, after = rows.count(), written.count()
+    if before != after:
+        raise ValueError(f"{before} rows became {after}")
+    return written
 
 
 def compat_view(newest: DataFrame, columns: list[str], version: str) -> DataFrame:
