@@ -6,9 +6,9 @@ shingles among the first n - ceil(t * n) + c of either, so texts that share fewe
 share one are a block; shingles with the same texts and blocks with the same smallest text count as one, and texts leave
 that share too few of their first shingles or have none of like size beside them. Over each block stands a signature tree
 (nodes: OR-combined bitmaps, size ranges, component ranges), and a dual traversal drops node pairs that can't hold a link
-between components. In each of ROUNDS rounds every component has the one pair verified that the bounds rate highest, which
-is linear and joins most of what is linked. Then all pairs are verified that may still link two components, and those
-alone.
+between components. In each of ROUNDS rounds every text has the one pair with another component verified that the bounds
+rate highest, which is linear and joins most of what is linked. Then all pairs are verified that may still link two
+components, and those alone.
 
 Defined cases: a text of fewer than `words` words is one shingle; a null or empty text has none and is linked with
 nothing; repeated rows form a class; ids may be null or repeat (a component's id is the smallest that is not null, if
@@ -39,6 +39,7 @@ COMMON = 40  # so many shingles of a set ask for one more that its prefix shares
 TILE = 4096  # texts of a block that one tree stands over; larger blocks are pairs of tiles
 TASK_BYTES = 32 << 20  # bitmaps of a task's blocks, on average
 ROUNDS = 2  # of best pairs
+FEW = 100_000  # ids, at most, that are broadcast
 Portion = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
@@ -57,6 +58,10 @@ class Rule:
         """Shingles that the prefix of a set of n must share, for a number or a column of them."""
         return 1 + (n // COMMON if isinstance(n, int) else F.floor(n / COMMON))
 
+    def near(self, less: str, more: str):
+        """Whether sets of these sizes (columns, the first no larger) can be linked; not, if one is missing."""
+        return F.coalesce(100 * F.col(less) >= self.percent * F.col(more), F.lit(False))
+
     def linked(self, a: np.ndarray, b: np.ndarray) -> bool:
         both = len(np.intersect1d(a, b, assume_unique=True))
         return 100 * both >= self.percent * (len(a) + len(b) - both)
@@ -166,6 +171,7 @@ def _marked(texts: DataFrame, rule: Rule) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Of (a, b) pairs those that are links, by their whole sets. texts: id, packed."""
+    texts = _only(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     one = texts.select(F.col("id").alias("a"), F.col("packed").alias("left"))
     two = texts.select(F.col("id").alias("b"), F.col("packed").alias("right"))
 
@@ -294,10 +300,10 @@ def leaf_pairs(level: tuple[np.ndarray, ...], edges: np.ndarray, percent: int) -
 
 
 class Best:
-    """For each of a task's components the pair rated highest so far."""
+    """For each of a task's texts the pair rated highest so far."""
 
-    def __init__(self, comp: np.ndarray):
-        self.names, self.label = np.unique(comp, return_inverse=True)
+    def __init__(self, ids: np.ndarray):
+        self.names, self.label = np.unique(ids, return_inverse=True)
         self.high, self.one, self.two = np.zeros(len(self.names)), np.full(len(self.names), -1), np.full(len(self.names), -1)
 
     def add(self, i: np.ndarray, j: np.ndarray, rated: np.ndarray) -> None:
@@ -330,16 +336,22 @@ def task_pairs(n: np.ndarray, own: list[np.ndarray], comp: np.ndarray, key: np.n
 
 
 def _admitted(rule: Rule, best: bool):
-    """u, v, a, b, rated: pairs of texts (a, b) of components (u, v) that bounds don't exclude; if `best`, one for each component."""
+    """u, v, a, b, rated: pairs of texts (a, b) of components (u, v) that bounds don't exclude.
+
+    If `best`, one for each text, and a row without u for each text a of block b that has any pair: all others can
+    have none later on, when components are larger.
+    """
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "n", "id"], ignore_index=True)
         key, n, ids, comp = (rows[c].to_numpy() for c in ("key", "n", "id", "comp"))
         portions = task_pairs(n, [np.frombuffer(x, dtype=np.uint16) for x in rows["marks"]], comp, key, rule.percent)
+        alive = np.zeros(len(rows), dtype=bool)
         if best:
-            top = Best(comp)
+            top = Best(ids)
             for portion in portions:
                 top.add(*portion)
+                alive[portion[0]] = alive[portion[1]] = True
             has = top.one >= 0
             i, j, rated = top.one[has], top.two[has], top.high[has]
         else:
@@ -348,15 +360,25 @@ def _admitted(rule: Rule, best: bool):
         a, b = np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])
         swap = ids[i] < ids[j]
         out = pd.DataFrame({"u": np.where(swap, comp[j], comp[i]), "v": np.where(swap, comp[i], comp[j]), "a": a, "b": b, "rated": rated.astype(float)})
-        return out.drop_duplicates(["a", "b"])
+        out = out.drop_duplicates(["a", "b"])
+        if not best:
+            return out
+        left = pd.DataFrame({"u": None, "v": None, "a": ids[alive], "b": key[alive], "rated": n[alive].astype(float)})
+        return pd.concat([out.astype({"u": object, "v": object}), left], ignore_index=True)
 
     return pairs
 
 
-def _candidates(blocks: DataFrame, reps: DataFrame, rule: Rule, best: bool) -> DataFrame:
-    size = blocks.agg(F.sum(F.least(F.greatest(F.col("n") * (SPREAD // 4), F.lit(BITS // 8)), F.lit(MOST_BITS // 8)))).first()[0] or 0
-    tasks = max(shuffle_partitions(blocks.sparkSession), int(size) // TASK_BYTES)
-    described = blocks.join(reps.select("id", "marks"), "id")
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the ids; these are broadcast where they are few, by count."""
+    few = ids.limit(FEW + 1).count() <= FEW
+    return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+
+
+def _candidates(blocks: DataFrame, held: DataFrame, rule: Rule, best: bool) -> DataFrame:
+    of_set = F.least(F.greatest(F.col("n") * (SPREAD // 4), F.lit(BITS // 8)), F.lit(MOST_BITS // 8))
+    tasks = max(shuffle_partitions(blocks.sparkSession), int(blocks.agg(F.sum(of_set)).first()[0] or 0) // TASK_BYTES)
+    described = blocks.join(_only(held.select("id", "marks"), blocks.select("id").distinct()), "id")
     return described.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks))).applyInPandas(_admitted(rule, best), "u long, v long, a long, b long, rated double")
 
 
@@ -377,19 +399,20 @@ def often(counts: np.ndarray) -> int:
 def _blocks(reps: DataFrame, rule: Rule, hot: int) -> DataFrame:
     """key, id, n: blocks of two texts or more, so that any two linked texts share one.
 
-    A shingle's texts are told by the exclusive or of their hashes; shingles with the same texts are one block. Shingles of
-    a level above `hot` are counted before the shuffle, so that none is one task's work; the sketch never counts too few,
-    so windows over the others are bounded. Then all blocks with the same smallest text are laid together, which only
-    adds pairs to look at and leaves far fewer rows.
+    A shingle's texts are told by the exclusive or of their hashes; shingles with the same texts are one block. A shingle
+    of a level above `hot` is a block of its own whose rows are dealt out, with as many texts as its level stands for; the
+    sketch never counts too few, so windows over the others are bounded. Then all blocks with the same smallest text are
+    laid together, which only adds pairs to look at and leaves far fewer rows.
     """
-    each = reps.select("id", "n", F.explode("keys").alias("key"))
-    count, same, of_key = F.count(F.lit(1)), F.bit_xor(F.xxhash64("id")), Window.partitionBy("key")
-    is_hot = F.shiftright("key", 56) > hot
-    rare = each.where(~is_hot).select("key", "id", "n", count.over(of_key).alias("m"), same.over(of_key).alias("same")).where("m > 1")
-    common = each.where(is_hot)
-    common = common.join(common.groupBy("key").agg(count.alias("m"), same.alias("same")).where("m > 1"), "key").select(rare.columns)
-    blocks = rare.unionByName(common).groupBy("same", "m", "id", "n").agg(F.count(F.lit(1)).alias("shared"))
-    blocks = _tiled(blocks, "same", "m").select("key", "id", "n", "shared")
+    level = F.shiftright("key", 56)
+    is_hot, texts = level > hot, F.pow(F.lit(2.0), (level + 1) / 2).cast("long")
+    each = reps.select("id", "n", F.explode("keys").alias("key")).withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(1024))).otherwise(0))
+    whole = Window.partitionBy("key", "salt").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by_size = Window.partitionBy("key", "salt").orderBy("n", "id")
+    each = each.select("id", "n", "key", is_hot.alias("hot"), texts.alias("texts"), F.count(F.lit(1)).over(whole).alias("m"), F.bit_xor(F.xxhash64("id")).over(whole).alias("same"), F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
+    each = each.where(F.col("hot") | rule.near("less", "n") | rule.near("n", "more"))
+    each = each.select("id", "n", F.when(F.col("hot"), F.col("key")).otherwise(F.col("same")).alias("same"), F.when(F.col("hot"), F.col("texts")).otherwise(F.col("m")).alias("m"))
+    blocks = _tiled(each.groupBy("same", "m", "id", "n").agg(F.count(F.lit(1)).alias("shared")), "same", "m").select("key", "id", "n", "m", "shared")
     blocks = _sized(_sharing(_sized(_sharing(blocks, rule), rule), rule), rule)
     least = F.min("id").over(Window.partitionBy("key"))  # a block has two tiles at most
     blocks = blocks.select(least.alias("least"), "id", "n").distinct()
@@ -397,17 +420,25 @@ def _blocks(reps: DataFrame, rule: Rule, hot: int) -> DataFrame:
 
 
 def _sharing(blocks: DataFrame, rule: Rule) -> DataFrame:
-    """Without texts that share fewer of their first shingles with others than a link to the smallest text in reach asks for."""
-    all_shared = F.sum("shared").over(Window.partitionBy("id"))  # a row a text and block: a prefix at most
-    return blocks.withColumn("all", all_shared).where(F.col("all") >= rule.common(F.floor(rule.percent * F.col("n") / 100))).drop("all")
+    """Without texts that share fewer of their first shingles with others than a link to the smallest text in reach asks
+    for; adds what such a link asks for, and how many are shared in blocks of more than two texts.
+    """
+    own = Window.partitionBy("id")  # a row a text and block: a prefix at most
+    asked = rule.common(F.floor(rule.percent * F.col("n") / 100))
+    many = F.sum(F.when(F.col("m") > 2, F.col("shared")).otherwise(0)).over(own)
+    rows = blocks.select("key", "id", "n", "m", "shared", F.sum("shared").over(own).alias("all"), many.alias("many"), asked.alias("asked"))
+    return rows.where(F.col("all") >= F.col("asked")).drop("all")
 
 
 def _sized(blocks: DataFrame, rule: Rule) -> DataFrame:
-    """Without texts whose size is too far from all others of the block: in order of size, the next one is then too far."""
+    """Without texts whose size is too far from all others of the block: in order of size, the next one is then too far.
+    Two texts alone in a block share its shingles and at most what either shares in larger blocks.
+    """
     by_size = Window.partitionBy("key").orderBy("n", "id")  # a block has two tiles at most
-    near = lambda a, b: F.coalesce(100 * a >= rule.percent * b, F.lit(False))
-    rows = blocks.select("*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"))
-    return rows.where(near(F.col("less"), F.col("n")) | near(F.col("n"), F.col("more"))).drop("less", "more")
+    whole = by_size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = blocks.select("*", F.lag("n").over(by_size).alias("less"), F.lead("n").over(by_size).alias("more"), F.min("many").over(whole).alias("fewest"))
+    rows = rows.where((rule.near("less", "n") | rule.near("n", "more")) & ((F.col("m") > 2) | (F.col("shared") + F.col("fewest") >= F.col("asked"))))
+    return rows.drop("less", "more", "fewest", "many", "asked")
 
 
 def _open(blocks: DataFrame, comps: DataFrame) -> DataFrame:
@@ -428,18 +459,20 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
     reps = rows.join(classes.select("id"), "id", "left_semi")
     blocks = cut(_blocks(reps, rule, often(counts)))
     swept(docs.sparkSession)
-    held = written(_marked(rows.select("id", "packed").join(blocks.select("id").distinct(), "id", "left_semi"), rule), "jaccard-blocks")
+    held = written(_marked(_only(rows.select("id", "packed"), blocks.select("id").distinct()), rule), "jaccard-blocks")
     comps = held.select("id", F.col("id").alias("comp"))
     tried = None
     for k in range(ROUNDS + 1):
         swept(docs.sparkSession)
         open_ = cut(_open(blocks, comps))
         if open_.isEmpty():
-            continue
+            break
         pairs = _candidates(open_, held, rule, best=k < ROUNDS)
         if k < ROUNDS:
-            # the best pair of each component, of all its blocks
-            sides = pairs.select(F.explode(F.array("u", "v")).alias("of"), F.struct("rated", "a", "b", "u", "v").alias("pair"))
+            found = cut(pairs)
+            blocks = found.where("u IS NULL").select(F.col("b").alias("key"), F.col("a").alias("id"), F.col("rated").cast("long").alias("n"))
+            # the best pair of each text, of all its blocks
+            sides = found.where("u IS NOT NULL").select(F.explode(F.array("a", "b")).alias("of"), F.struct("rated", "a", "b", "u", "v").alias("pair"))
             pairs = sides.groupBy("of").agg(F.max("pair").alias("pair")).select("pair.*")
         pairs = pairs.select("a", "b", "u", "v").dropDuplicates(["a", "b"])
         if tried is not None:
