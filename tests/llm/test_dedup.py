@@ -154,6 +154,7 @@ def test_signature_tree_drops_no_link():
     sets = [sets[i] for i in order]
     rule = jaccard_join.Rule(5, 80)
     marks = [jaccard_join.marks(s) for s in sets]
+    assert all((jaccard_join.unpack_marks(jaccard_join.pack_marks(m)) == m).all() for m in [*marks, np.zeros(0, np.uint16)])
     found = set()
     for i, j, _ in jaccard_join.task_pairs(np.array([len(s) for s in sets]), marks, np.arange(300), np.zeros(300, np.int64), 80):
         found |= {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}

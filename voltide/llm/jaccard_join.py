@@ -116,6 +116,16 @@ def marks(h: np.ndarray) -> np.ndarray:
     return np.sort(((h >> np.uint64(20)) & np.uint64(MOST_BITS - 1)).astype(np.uint16))
 
 
+def pack_marks(own: np.ndarray) -> bytes:
+    """Marks as steps from one to the next, low bytes before high ones, of which most are 0 and cost a shuffle little."""
+    return np.diff(own, prepend=np.uint16(0)).view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def unpack_marks(packed: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(2, -1).T).view(np.uint16).ravel()
+    return np.cumsum(steps, dtype=np.uint16)
+
+
 def width(n: np.ndarray | int) -> np.ndarray:
     """Bits of the bitmap of a set of n shingles: a power of two."""
     return np.clip(1 << np.ceil(np.log2(np.maximum(np.asarray(n) * SPREAD, 1))).astype(np.int64), BITS, MOST_BITS)
@@ -163,7 +173,7 @@ def _marked(texts: DataFrame, rule: Rule) -> DataFrame:
             texts = [unpack.decompress(x) for x in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 flat, begin = shingle_sets(texts[a:b], rule.words)
-                own = [marks(flat[x:y]).tobytes() for x, y in zip(begin[:-1].tolist(), begin[1:].tolist())]
+                own = [pack_marks(marks(flat[x:y])) for x, y in zip(begin[:-1].tolist(), begin[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(own, pa.binary())], names=["id", "packed", "marks"])
 
     return texts.select("id", "packed").mapInArrow(mark, "id long, packed binary, marks binary")
@@ -345,7 +355,7 @@ def _admitted(rule: Rule, best: bool):
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["key", "n", "id"], ignore_index=True)
         key, n, ids, comp = (rows[c].to_numpy() for c in ("key", "n", "id", "comp"))
-        portions = task_pairs(n, [np.frombuffer(x, dtype=np.uint16) for x in rows["marks"]], comp, key, rule.percent)
+        portions = task_pairs(n, [unpack_marks(x) for x in rows["marks"]], comp, key, rule.percent)
         alive = np.zeros(len(rows), dtype=bool)
         if best:
             top = Best(ids)
@@ -375,10 +385,12 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
-def _candidates(blocks: DataFrame, held: DataFrame, rule: Rule, best: bool) -> DataFrame:
+def _candidates(blocks: DataFrame, held: DataFrame, rule: Rule, best: bool, some: bool) -> DataFrame:
+    """Pairs of the blocks' texts (some, or about all of those held), as `_admitted` gives them."""
     of_set = F.least(F.greatest(F.col("n") * (SPREAD // 4), F.lit(BITS // 8)), F.lit(MOST_BITS // 8))
     tasks = max(shuffle_partitions(blocks.sparkSession), int(blocks.agg(F.sum(of_set)).first()[0] or 0) // TASK_BYTES)
-    described = blocks.join(_only(held.select("id", "marks"), blocks.select("id").distinct()), "id")
+    own = held.select("id", "marks")
+    described = blocks.join(_only(own, blocks.select("id").distinct()) if some else own, "id")
     return described.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks))).applyInPandas(_admitted(rule, best), "u long, v long, a long, b long, rated double")
 
 
@@ -413,7 +425,7 @@ def _blocks(reps: DataFrame, rule: Rule, hot: int) -> DataFrame:
     each = each.where(F.col("hot") | rule.near("less", "n") | rule.near("n", "more"))
     each = each.select("id", "n", F.when(F.col("hot"), F.col("key")).otherwise(F.col("same")).alias("same"), F.when(F.col("hot"), F.col("texts")).otherwise(F.col("m")).alias("m"))
     blocks = _tiled(each.groupBy("same", "m", "id", "n").agg(F.count(F.lit(1)).alias("shared")), "same", "m").select("key", "id", "n", "m", "shared")
-    blocks = _sized(_sharing(_sized(_sharing(blocks, rule), rule), rule), rule)
+    blocks = _sized(_sharing(blocks, rule), rule)
     least = F.min("id").over(Window.partitionBy("key"))  # a block has two tiles at most
     blocks = blocks.select(least.alias("least"), "id", "n").distinct()
     return _tiled(blocks.join(blocks.groupBy("least").agg(F.count(F.lit(1)).alias("m")), "least"), "least").select("key", "id", "n")
@@ -459,7 +471,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
     reps = rows.join(classes.select("id"), "id", "left_semi")
     blocks = cut(_blocks(reps, rule, often(counts)))
     swept(docs.sparkSession)
-    held = written(_marked(_only(rows.select("id", "packed"), blocks.select("id").distinct()), rule), "jaccard-blocks")
+    held = written(_marked(rows.select("id", "packed").join(blocks.select("id").distinct(), "id", "left_semi"), rule), "jaccard-blocks")
     comps = held.select("id", F.col("id").alias("comp"))
     tried = None
     for k in range(ROUNDS + 1):
@@ -467,7 +479,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), text_col: str = "te
         open_ = cut(_open(blocks, comps))
         if open_.isEmpty():
             break
-        pairs = _candidates(open_, held, rule, best=k < ROUNDS)
+        pairs = _candidates(open_, held, rule, best=k < ROUNDS, some=k > 0)
         if k < ROUNDS:
             found = cut(pairs)
             blocks = found.where("u IS NULL").select(F.col("b").alias("key"), F.col("a").alias("id"), F.col("rated").cast("long").alias("n"))
