@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from voltide.functions.columns import normal_cdf
 from voltide.operators import bars, book, ingest, joins, models, pricing
-from voltide.operators import features as X
 from voltide.operators.timeseries import carry_scan, halo_window
 from voltide.plans import registry
 

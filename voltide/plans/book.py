@@ -8,7 +8,6 @@ from voltide.functions.columns import ERF_A, ERF_P
 from voltide.operators import bars as B
 from voltide.operators import book as K
 from voltide.operators import features as X
-from voltide.operators import ingest as G
 from voltide.operators import models as M
 from voltide.operators import pricing as P
 from voltide.operators import quality as Q
