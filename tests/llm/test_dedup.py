@@ -6,7 +6,6 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from voltide.llm import exact_dedup, jaccard_join, substring_dedup, suffix_dedup
