@@ -31,8 +31,20 @@ def ship(spark: SparkSession) -> None:
     context._voltide_shipped = True
 
 
+#: Rows and bytes that a Python worker is given at once.
+BATCH_ROWS, BATCH_BYTES = 2000, "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's own, for rows that are whole texts, unless the session has others set."""
+    for name, given, own in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", None) == given:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", own)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
