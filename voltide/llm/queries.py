@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, jaccard_join, mixing, quality_knn, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity
+from . import byte_bpe, exact_dedup, jaccard_join, mixing, prefix_trie, quality_knn, quality_rules, secrets, sharding, substring_dedup, suffix_dedup, toxicity, whitening
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_byte_bpe": byte_bpe.op9_byte_bpe,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op11_byte_shards": sharding.op11_byte_shards,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,5 @@ ORACLE_SQL = {
     "op3_substring_dedup": substring_dedup.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op8_jaccard_join": jaccard_join.SQL,
+    "op11_byte_shards": sharding.SQL,
 }
