@@ -60,7 +60,7 @@ class DigestIndex:
         rows = cut(digests_of(rows, row, id_col, text_col))
         best = rows.groupBy("digest").agg(
             F.count(F.lit(1)).alias("group_size"),
-            F.max_by(F.struct("doc_id", "row"), F.struct("n_chars", (-F.col("row")).alias("by_row"))).alias("best"),
+            F.min_by(F.struct("doc_id", "row"), F.struct((-F.col("n_chars")).alias("shorter"), "row")).alias("best"),
         )
         best = cut(best.select("digest", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row")))
         batch = batch or uuid.uuid4().hex

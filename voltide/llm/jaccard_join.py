@@ -346,35 +346,46 @@ def task_pairs(n: np.ndarray, own: list[np.ndarray], comp: np.ndarray, key: np.n
 
 
 def _admitted(rule: Rule, best: bool):
-    """u, v, a, b, rated: pairs of texts (a, b) of components (u, v) that bounds don't exclude.
+    """u, v, a, b, rated: pairs of texts (a, b) of components (u, v) that bounds don't exclude, as they are found.
 
     If `best`, one for each text, and a row without u for each text a of block b that has any pair: all others can
     have none later on, when components are larger.
     """
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["key", "n", "id"], ignore_index=True)
-        key, n, ids, comp = (rows[c].to_numpy() for c in ("key", "n", "id", "comp"))
-        portions = task_pairs(n, [unpack_marks(x) for x in rows["marks"]], comp, key, rule.percent)
-        alive = np.zeros(len(rows), dtype=bool)
-        if best:
-            top = Best(ids)
-            for portion in portions:
-                top.add(*portion)
-                alive[portion[0]] = alive[portion[1]] = True
-            has = top.one >= 0
-            i, j, rated = top.one[has], top.two[has], top.high[has]
-        else:
-            held = [p for p in portions if len(p[0])]
-            i, j, rated = (np.concatenate([p[k] for p in held]) if held else np.zeros(0, np.int64) for k in range(3))
+    def named(ids: np.ndarray, comp: np.ndarray, i: np.ndarray, j: np.ndarray, rated: np.ndarray) -> pd.DataFrame:
         a, b = np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])
         swap = ids[i] < ids[j]
         out = pd.DataFrame({"u": np.where(swap, comp[j], comp[i]), "v": np.where(swap, comp[i], comp[j]), "a": a, "b": b, "rated": rated.astype(float)})
-        out = out.drop_duplicates(["a", "b"])
+        return out.drop_duplicates(["a", "b"])
+
+    def task(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows = rows.sort_values(["key", "n", "id"], ignore_index=True)
+        key, n, ids, comp = (rows[c].to_numpy() for c in ("key", "n", "id", "comp"))
+        portions = task_pairs(n, [unpack_marks(x) for x in rows["marks"]], comp, key, rule.percent)
+        del rows
         if not best:
-            return out
-        left = pd.DataFrame({"u": None, "v": None, "a": ids[alive], "b": key[alive], "rated": n[alive].astype(float)})
-        return pd.concat([out.astype({"u": object, "v": object}), left], ignore_index=True)
+            yield from (named(ids, comp, *p) for p in portions if len(p[0]))
+            return
+        alive, top = np.zeros(len(ids), dtype=bool), Best(ids)
+        for portion in portions:
+            top.add(*portion)
+            alive[portion[0]] = alive[portion[1]] = True
+        has = top.one >= 0
+        yield named(ids, comp, top.one[has], top.two[has], top.high[has]).astype({"u": object, "v": object})
+        yield pd.DataFrame({"u": None, "v": None, "a": ids[alive], "b": key[alive], "rated": n[alive].astype(float)})
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Tasks follow each other in a partition; one is held at a time, and its pairs leave in portions."""
+        held, now = [], None
+        for batch in batches:
+            for one, rows in batch.groupby("task", sort=False):
+                if held and one != now:
+                    yield from task(pd.concat(held, ignore_index=True))
+                    held = []
+                now = one
+                held.append(rows.drop(columns="task"))
+        if held:
+            yield from task(pd.concat(held, ignore_index=True))
 
     return pairs
 
@@ -391,7 +402,8 @@ def _candidates(blocks: DataFrame, held: DataFrame, rule: Rule, best: bool, some
     tasks = max(shuffle_partitions(blocks.sparkSession), int(blocks.agg(F.sum(of_set)).first()[0] or 0) // TASK_BYTES)
     own = held.select("id", "marks")
     described = blocks.join(_only(own, blocks.select("id").distinct()) if some else own, "id")
-    return described.groupBy(F.pmod(F.xxhash64("key"), F.lit(tasks))).applyInPandas(_admitted(rule, best), "u long, v long, a long, b long, rated double")
+    described = described.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks))).repartition(tasks, "task").sortWithinPartitions("task")
+    return described.mapInPandas(_admitted(rule, best), "u long, v long, a long, b long, rated double")
 
 
 def _tiled(blocks: DataFrame, *of: str) -> DataFrame:
