@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltide.functions.columns import time_bucket
+from voltide.sources.shared import cut
 
-from .timeseries import DAY, before_chunk, carried
+from .timeseries import DAY, carried, previous
 
 KEYS = ("venue", "instrument")
 SIDES = ("bid", "ask")
@@ -46,11 +47,9 @@ def volume_by_side(trades: DataFrame, seconds: int) -> DataFrame:
 
 def with_fill_interval(trades: DataFrame, chunk: int = DAY) -> DataFrame:
     """Adds dt_ms, the milliseconds since the previous trade of the venue and instrument, across buckets."""
-    us = F.unix_micros("event_timestamp")
-    rows = trades.withColumns({"__us": us, "__chunk": F.floor(us / (chunk * 1_000_000))})
-    rows = before_chunk(rows, list(KEYS), {"__carried": F.max("__us")})
-    order = Window.partitionBy(*KEYS, "__chunk").orderBy("event_timestamp", "received_timestamp", "trade_id")
-    return rows.withColumn("dt_ms", (F.col("__us") - F.coalesce(F.lag("__us").over(order), "__carried")) / 1000).drop("__us", "__chunk", "__carried")
+    rows = trades.withColumn("__us", F.unix_micros("event_timestamp"))
+    rows = previous(rows, "__us", list(KEYS), {"__last_us": F.col("__us")}, chunk, ("received_timestamp", "trade_id"), 1_000_000)
+    return rows.withColumn("dt_ms", (F.col("__us") - F.col("__last_us")) / 1000).drop("__us", "__last_us")
 
 
 def fill_aggregates() -> list[Column]:
@@ -123,7 +122,7 @@ def resample_bars(trades: DataFrame, levels: DataFrame, seconds: int, depth: int
 
     fill="state" carries prices forward too.
     """
-    clean = dedupe_trades(trades)
+    clean, levels = cut(dedupe_trades(trades)), cut(levels.select("event_timestamp", "received_timestamp", *KEYS, "side", "level", "price", "quantity"))
     bars, book = trade_bars(clean, seconds), book_wide(latest_book(levels, seconds), depth)
     keys = clean.select(*KEYS).unionByName(levels.select(*KEYS)).distinct()
     bounds = bounds_of(clean.select("event_timestamp").unionByName(levels.select("event_timestamp")), seconds)

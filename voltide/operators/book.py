@@ -90,18 +90,34 @@ def apply_level_updates(updates: DataFrame, key: list[str]) -> DataFrame:
     return last.where("quantity > 0")
 
 
-def apply_book_deltas(updates: DataFrame, key: list[str]) -> DataFrame:
-    """The book after the last snapshot and the signed deltas behind it, each sequence once, gaps allowed; empty levels go.
+def apply_book_deltas(updates: DataFrame, key: list[str], at: str = "seq") -> DataFrame:
+    """The book after the last snapshot and the signed deltas behind it, by the gate of the whole book: in order of arrival
+    (`at`) each delta's sequence must be above the last one taken, gaps allowed. Empty levels go.
 
-    A delta that would take its level below 0 is refused, and the level stays as it was: `rejected` tells how many were.
+    updates: key, seq, kind (snapshot or delta), side, price, quantity, and `at` if arrivals differ from sequences; rows of a
+    snapshot share its seq. A stale delta, or one that would take its level below 0, is refused, and the book stays as it
+    was: `rejected` tells how many were. A snapshot with a level below 0 is refused whole.
     """
-    epoch = updates.where("kind = 'snapshot'").groupBy(*key).agg(F.max("seq").alias("epoch"))
-    live = updates.join(epoch, key).where("seq = epoch OR (seq > epoch AND kind = 'delta')").dropDuplicates([*key, "seq", "side", "price"])
-    # a level's updates in order, folded: the running quantity, and how many were refused
-    steps = live.groupBy(*key, "side", "price").agg(F.array_sort(F.collect_list(F.struct("seq", "quantity"))).alias("steps"))
-    start = F.struct(F.lit(0.0).alias("quantity"), F.lit(0).alias("rejected"))
-    apply = lambda s, x: F.when(s["quantity"] + x["quantity"] < 0, F.struct(s["quantity"].alias("quantity"), (s["rejected"] + 1).alias("rejected"))).otherwise(F.struct((s["quantity"] + x["quantity"]).alias("quantity"), s["rejected"].alias("rejected")))
-    out = steps.select(*key, "side", "price", F.aggregate("steps", start, apply).alias("x")).select(*key, "side", "price", "x.*")
+    from .running_book import running_books
+
+    price = F.struct(F.col("side"), F.col("price").cast("string").alias("price"), F.col("quantity").cast("string").alias("quantity"))
+    snapshots = updates.where("kind = 'snapshot'").groupBy(*key, at, "seq", "kind").agg(F.collect_list(price).alias("levels"))  # of one book
+    deltas = updates.where("kind <> 'snapshot'").select(*key, at, "seq", "kind", F.array(price).alias("levels"), "side", "price", "quantity")
+    # of deltas that arrive at once the first by side and price counts first
+    order = Window.partitionBy(*key, at).orderBy("seq", "side", "price")
+    deltas = deltas.withColumn("__nth", F.row_number().over(order))
+    fine = ~F.exists("levels", lambda x: F.coalesce(x["quantity"].try_cast("double") < 0, F.lit(True)))
+    epoch = snapshots.where(fine).groupBy(*key).agg(F.max(at).alias("__epoch"))
+    start = snapshots.join(epoch, key).where(F.col(at) == F.col("__epoch"))
+    live = deltas.join(epoch, key).where(F.col(at) >= F.col("__epoch"))
+    messages = start.select(*key, F.struct(F.col(at), F.lit(0).alias("nth")).alias("__order"), F.col("seq").alias("sequence"), "kind", "levels").unionByName(
+        live.select(*key, F.struct(F.col(at), F.col("__nth").alias("nth")).alias("__order"), F.col("seq").alias("sequence"), "kind", "levels"))
+    place = Window.partitionBy(*key).orderBy("__order")  # messages since the last snapshot of a book
+    messages = messages.withColumn("place", F.row_number().over(place))
+    verdicts = running_books(messages.drop("__order"), key, "place", True, (("bid", True), ("ask", False)), 0).select(*key, "place", "reason")
+    taken = messages.join(verdicts, [*key, "place"]).select(*key, "reason", F.inline("levels"))
+    amount = F.when(F.col("reason").isNull(), F.col("quantity").cast("double")).otherwise(0.0)
+    out = taken.groupBy(*key, "side", F.col("price").cast("double").alias("price")).agg(F.sum(amount).alias("quantity"), F.count_if(F.col("reason").isNotNull()).cast("int").alias("rejected"))
     return out.where("quantity > 0 OR rejected > 0")
 
 

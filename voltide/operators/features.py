@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voltide.functions.columns import YEAR_SECONDS, log_ratio, ratio
 
 from .bars import KEYS, time_grid
-from .timeseries import DAY, carried, carry_scan, halo_window, in_chunks
+from .timeseries import DAY, carried, carry_scan, halo_window, in_chunks, previous
 
 
 def synthetic(bars: DataFrame, asset: str = "SYN") -> DataFrame:
@@ -75,20 +75,18 @@ def features(bars: DataFrame, bar: int, windows: list[int], volumes: list[int],
     return out.withColumn("feature_version", F.lit(version))
 
 
-def ewma(df: DataFrame, at: str, by: list[str], value: Column, decay: float, out: str, chunk: int = DAY) -> DataFrame:
-    """Exponential average of `value`: the first value, then decay * before + (1 - decay) * value; nulls count as 0."""
+def ewma(df: DataFrame, at: str, by: list[str], value: Column, decay: float, out: str, before: str | None = None) -> DataFrame:
+    """Exponential average of `value`: the first value, then decay * before + (1 - decay) * value; nulls count as 0.
+    `before` names a column for the average before each row's own value (null in the first row).
+    """
     x = F.coalesce(value, F.lit(0.0))
-    return carry_scan(df, at, by, F.lit(decay), (1 - decay) * x, out, chunk, first=x)
+    return carry_scan(df, at, by, F.lit(decay), (1 - decay) * x, out, first=x, before=before)
 
 
-def ewma_variance(returns: DataFrame, decay: float = 0.96, chunk: int = DAY) -> DataFrame:
+def ewma_variance(returns: DataFrame, decay: float = 0.96) -> DataFrame:
     """variance: after each return; forecast: the variance before it (the first row's own square)."""
-    out = ewma(returns, "bucket", ["asset"], F.col("log_return") ** 2, decay, "variance", chunk)
-    # variance_t = decay * before + (1 - decay) * r^2, so the one before needs no neighbour
-    r2 = F.coalesce(F.col("log_return") ** 2, F.lit(0.0))
-    begins = returns.groupBy("asset").agg(F.min("bucket").alias("bucket")).withColumn("__begins", F.lit(True))
-    out = out.join(begins, ["asset", "bucket"], "left")
-    return out.withColumn("forecast", F.when(F.col("__begins"), r2).otherwise((F.col("variance") - (1 - decay) * r2) / decay)).drop("__begins")
+    out = ewma(returns, "bucket", ["asset"], F.col("log_return") ** 2, decay, "variance", "forecast")
+    return out.withColumn("forecast", F.coalesce("forecast", "variance"))
 
 
 def annualized(variance: Column, bar: int, horizon: int) -> Column:
@@ -99,10 +97,9 @@ def annualized(variance: Column, bar: int, horizon: int) -> Column:
 def sampled_ewma(prices: DataFrame, horizon: int, bar: int, decay: float) -> DataFrame:
     """Prices sampled at ends that the horizon divides; the published variance is the one before each update."""
     ends = prices.where(((F.col("bucket") + bar) % horizon == 0) & F.col("synthetic_price").isNotNull()).select("asset", "bucket", "synthetic_price")
-    w = Window.partitionBy("asset").orderBy("bucket")
-    sampled = ends.withColumn("log_return", log_ratio("synthetic_price", F.lag("synthetic_price").over(w))).where("log_return IS NOT NULL")
-    out = ewma(sampled, "bucket", ["asset"], F.col("log_return") ** 2, decay, "variance", chunk=30 * DAY)
-    return out.select("asset", "bucket", "log_return", "variance", F.lag("variance").over(w).alias("published"))
+    sampled = previous(ends, "bucket", ["asset"], {"__p": F.col("synthetic_price")}, 30 * DAY).withColumn("log_return", log_ratio("synthetic_price", "__p")).where("log_return IS NOT NULL")
+    out = ewma(sampled.drop("__p"), "bucket", ["asset"], F.col("log_return") ** 2, decay, "variance", "published")
+    return out.select("asset", "bucket", "log_return", "variance", "published")
 
 
 def rows_back(n: int, by: list[str] | tuple[str, ...] = KEYS):

@@ -122,17 +122,26 @@ def _levels(side: str, best_is_high: bool) -> Column:
     return F.coalesce(F.transform(F.slice(F.array_sort(keyed), 1, DEPTH), lambda p: p["level"]), F.array())
 
 
+def _bad_levels(side: str) -> Column:
+    """Whether a side has a level that isn't a pair of finite numbers, price and quantity, neither below 0."""
+    number = lambda p, i: F.get(p, F.lit(i)).try_cast("double")
+    fine = lambda x: (x >= 0) & ~F.isnan(x) & (x < float("inf"))
+    bad = F.exists(F.from_json(_field(side), LEVELS), lambda p: ~F.coalesce(fine(number(p, 0)) & fine(number(p, 1)), F.lit(False)))
+    return F.coalesce(bad, F.lit(False))
+
+
 def normalize_book_frames(frames: DataFrame) -> DataFrame:
     """event_id, venue, instrument, sequence, bids, asks (arrays of price, quantity, best first), depth, received_ts_ms, error.
 
-    Asks at or below the best bid go; a book that has none left, or lacks a side, is refused.
+    Asks at or below the best bid go; a book that has none left, or lacks a side, is refused, and so is one with a level
+    that isn't a pair of finite numbers of at least 0 (error levels).
     """
     x = _items(frames, BOOK_LAYOUTS)
     stream = F.upper(F.split_part(F.get_json_object("raw", "$.stream"), F.lit("@"), F.lit(1)))
-    out = x.select("venue", F.when(F.col("venue") == "binance", stream).otherwise(_instruments(BOOK_LAYOUTS)).alias("instrument"), _named(BOOK_LAYOUTS, "id").try_cast("long").alias("sequence"), _levels("bids", True).alias("bids"), _levels("asks", False).alias("asks"), "received_ts_ms", F.col("x").isNull().alias("__unread"))
-    best = F.get("bids", F.lit(0))["price"].cast("double")
-    out = out.withColumn("__sides", (F.size("bids") > 0) & (F.size("asks") > 0)).withColumn("asks", F.filter("asks", lambda a: F.coalesce(a["price"].cast("double") > best, F.lit(True))))
-    out = out.withColumn("error", first_error(("frame", F.col("__unread")), ("sequence", F.col("sequence").isNull()), ("sides", ~F.col("__sides")), ("crossed", F.size("asks") == 0)))
+    out = x.select("venue", F.when(F.col("venue") == "binance", stream).otherwise(_instruments(BOOK_LAYOUTS)).alias("instrument"), _named(BOOK_LAYOUTS, "id").try_cast("long").alias("sequence"), _levels("bids", True).alias("bids"), _levels("asks", False).alias("asks"), "received_ts_ms", F.col("x").isNull().alias("__unread"), (_bad_levels("bids") | _bad_levels("asks")).alias("__bad"))
+    best = F.get("bids", F.lit(0))["price"].try_cast("double")
+    out = out.withColumn("__sides", (F.size("bids") > 0) & (F.size("asks") > 0)).withColumn("asks", F.filter("asks", lambda a: F.coalesce(a["price"].try_cast("double") > best, F.lit(True))))
+    out = out.withColumn("error", first_error(("frame", F.col("__unread")), ("sequence", F.col("sequence").isNull()), ("levels", F.col("__bad")), ("sides", ~F.col("__sides")), ("crossed", F.size("asks") == 0)))
     return out.select(F.concat_ws(":", "venue", "instrument", F.lit("book"), "sequence").alias("event_id"), "venue", "instrument", "sequence", "bids", "asks", F.greatest(F.size("bids"), F.size("asks")).alias("depth"), "received_ts_ms", "error")
 
 

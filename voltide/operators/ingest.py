@@ -118,9 +118,16 @@ def replace_slice(target: DataFrame, new: DataFrame, inside: Column) -> DataFram
     return target.where(~F.coalesce(inside, F.lit(False))).unionByName(new.where(inside))
 
 
-def append_dedup(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    both = existing.withColumn("__late", F.lit(0)).unionByName(new.withColumn("__late", F.lit(1)))
-    return latest_by(both, keys, F.desc("__late")).drop("__late")
+def append_dedup(existing: DataFrame, new: DataFrame, keys: list[str], ordinal: str | None = None) -> DataFrame:
+    """Existing rows and new ones, of each key the last: a new row before an existing one, and of new rows of a key the one
+    with the largest `ordinal` (a column of `new`, which goes unless `existing` has it); without one, the largest by all
+    other columns, so that the choice is the same on every run.
+    """
+    place = F.col(ordinal) if ordinal else F.struct(*[c for c in sorted(new.columns) if c not in keys])
+    late = new.withColumn("__at", F.struct(F.lit(1), F.rank().over(Window.partitionBy(*keys).orderBy(place))))
+    late = late.drop(ordinal) if ordinal and ordinal not in existing.columns else late
+    both = existing.withColumn("__at", F.struct(F.lit(0), F.lit(0))).unionByName(late)
+    return latest_by(both, keys, F.desc("__at")).drop("__at")
 
 
 def prepare_bars(raw: DataFrame, numeric: list[str]) -> DataFrame:
@@ -144,6 +151,67 @@ def validate_features(rows: DataFrame, required: list[str], as_of: int) -> DataF
     return one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*kinds))).alias("violation", "n"))
 
 
+def training_violations(rows: DataFrame, targets: list[str], at: str = "bucket", frequencies: list[str] | None = None) -> DataFrame:
+    """One row with what is wrong with a training set, in one pass: n_rows, n_null_time, a count of usable rows for each
+    target (usable_<target>), and missing_frequencies (of those asked for).
+    """
+    has = [F.count_if(F.col(c).isNotNull() & ~F.isnan(c)).alias(f"usable_{c}") for c in targets]
+    wanted = F.array(*map(F.lit, frequencies or [])).cast("array<string>")
+    seen = F.collect_set(F.when(F.col("frequency").isin(frequencies), F.col("frequency"))) if frequencies else F.first(wanted)
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(at).isNull()).alias("n_null_time"), *has, F.array_except(wanted, F.coalesce(seen, F.array().cast("array<string>"))).alias("missing_frequencies"))
+
+
+def validate_training(rows: DataFrame, targets: list[str], at: str = "bucket", frequencies: list[str] | None = None) -> DataFrame:
+    """The rows, if they can be trained on; else an error that says why not: a target column that isn't there, no rows, a
+    null time, a target without a usable row, a frequency (column frequency) without a row.
+    """
+    if missing := sorted(set(targets) - set(rows.columns)):
+        raise ValueError(f"training data has no {', '.join(missing)}")
+    if frequencies and "frequency" not in rows.columns:
+        raise ValueError("training data has no frequency")
+    found = training_violations(rows, targets, at, frequencies).first()
+    if not found.n_rows:
+        raise ValueError("training data is empty")
+    if found.n_null_time:
+        raise ValueError(f"training data has {found.n_null_time} rows without a time")
+    if empty := [c for c in targets if not found[f"usable_{c}"]]:
+        raise ValueError(f"training data has no usable row of {', '.join(empty)}")
+    if found.missing_frequencies:
+        raise ValueError(f"training data lacks {', '.join(sorted(found.missing_frequencies))}")
+    return rows
+
+
+def envelope(rows: DataFrame, fields: dict[str, str], version: str, feature_set: str = "market_features", created: Column | None = None) -> DataFrame:
+    """Feature rows (asset, bucket in epoch seconds, available in epoch seconds, the fields) as JSON in a column envelope."""
+    stamp = lambda c: F.date_format(F.timestamp_seconds(c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    made = F.col("available") if created is None else created
+    head = [F.lit(feature_set).alias("feature_set"), F.lit(version).alias("feature_version"), F.col("asset").alias("asset")]
+    times = [x for name, c in (("event", F.col("bucket")), ("available", F.col("available")), ("created", made)) for x in (stamp(c).alias(f"{name}_timestamp"), (c * 1000).alias(f"{name}_timestamp_ms"))]
+    values = F.struct(*[F.col(name).cast(kind).alias(name) for name, kind in fields.items()])
+    return rows.select(F.to_json(F.struct(*head, *times, values.alias("values")), {"ignoreNullFields": "false"}).alias("envelope"))
+
+
+def flatten_envelope(rows: DataFrame, fields: dict[str, str], version: str, feature_set: str = "market_features", text: str = "envelope") -> DataFrame:
+    """One typed row an envelope: asset, bucket, available and created (epoch seconds), the fields (name: type), and error.
+
+    error is the first of: json (no object), feature_set, feature_version, asset, event_timestamp, values (no object), and
+    missing:<field> or type:<field> for a field that isn't there or isn't of its type; a field given as null is null.
+    Times count as milliseconds where these are given, else as ISO texts.
+    """
+    x = rows.withColumn("__e", F.from_json(text, "map<string,string>")).withColumn("__v", F.from_json(F.col("__e")["values"], "map<string,string>"))
+    of = lambda name: F.try_element_at("__e", F.lit(name))
+    seconds = lambda name: F.coalesce(F.floor(of(f"{name}_timestamp_ms").try_cast("long") / 1000), F.unix_seconds(F.try_to_timestamp(of(f"{name}_timestamp"))))
+    asset = F.coalesce(of("asset"), F.get_json_object(of("entity"), "$.asset"), F.try_element_at("__v", F.lit("asset")))
+    rules = [("json", F.col("__e").isNull()), ("feature_set", F.coalesce(of("feature_set") != feature_set, F.lit(True))), ("feature_version", F.coalesce(of("feature_version") != version, F.lit(True))),
+             ("asset", F.coalesce(F.trim(asset) == "", F.lit(True))), ("event_timestamp", seconds("event").isNull()), ("values", F.col("__v").isNull())]
+    out = {}
+    for name, kind in fields.items():
+        given = F.try_element_at("__v", F.lit(name))
+        out[name] = given.try_cast(kind)
+        rules += [(f"missing:{name}", ~F.coalesce(F.map_contains_key("__v", F.lit(name)), F.lit(False))), (f"type:{name}", given.isNotNull() & out[name].isNull())]
+    return x.select(asset.alias("asset"), seconds("event").alias("bucket"), seconds("available").alias("available"), seconds("created").alias("created"), *[c.alias(n) for n, c in out.items()], first_error(*rules).alias("error"))
+
+
 def contract_metadata(rows: DataFrame) -> DataFrame:
     """Strike from the first field that has one, checked against the ticker's suffix; only above-strike types."""
     strike = F.coalesce(*[F.expr(f"try_cast({c} AS DOUBLE)") for c in ("floor_strike", "functional_strike", "strike")])

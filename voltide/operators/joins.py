@@ -50,3 +50,34 @@ def chosen_venues(bars: DataFrame, venues: list[str]) -> DataFrame:
     if missing := sorted(set(venues) - present):
         raise ValueError(f"no bars of {', '.join(missing)}")
     return out
+
+
+def training_table(features: DataFrame, labels: DataFrame, now: int, required: list[str], by: tuple[str, ...] = ("asset", "bucket")) -> DataFrame:
+    """Features with the labels of their moment, point in time: only labels whose window has ended by `now` (epoch seconds)
+    and that have every target of `required`.
+    """
+    full = F.lit(True)
+    for c in required:
+        full = full & F.col(c).isNotNull()
+    return features.join(labels.where((F.col("label_window_end") <= now) & full), list(by))
+
+
+def latest_state(rows: DataFrame, state: DataFrame, at: str, state_at: str, values: list[str], most: int = 60, skew: int = 2) -> DataFrame:
+    """Rows with the newest state's values, null where the state is more than `most` seconds older than the row or more than
+    `skew` seconds newer; `at` and `state_at` in epoch seconds. However many rows the state has, one is joined.
+    """
+    newest = state.agg(F.max_by(F.struct(*values), state_at).alias("__state"), F.max(state_at).alias("__state_at"))
+    age = F.col(at) - F.col("__state_at")
+    out = rows.join(F.broadcast(newest))  # one row
+    return out.select(*rows.columns, *[F.when(age.between(-skew, most), F.col(f"__state.{c}")).alias(c) for c in values])
+
+
+def with_metadata(tickers: DataFrame, metadata: DataFrame, by: tuple[str, ...] = ("event_ticker", "market_ticker")) -> DataFrame:
+    """Tickers with their contract's metadata (strike, status and what else there is), and metadata_reason: no_metadata,
+    not_open, or null. Of several rows of a contract the one with the latest `updated_at` counts, or any where there is none.
+    """
+    rest = [c for c in metadata.columns if c not in by]
+    newest = F.max_by(F.struct(*rest), "updated_at") if "updated_at" in rest else F.any_value(F.struct(*rest))
+    one = metadata.groupBy(*by).agg(newest.alias("__m")).select(*by, "__m.*")
+    out = tickers.join(one, list(by), "left")
+    return out.withColumn("metadata_reason", F.when(F.col("strike").isNull(), "no_metadata").when(~F.coalesce(F.col("status").isin("open", "active"), F.lit(False)), "not_open"))

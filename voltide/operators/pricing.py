@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from voltide.functions.columns import YEAR_SECONDS, normal_cdf
 
 from .joins import asof
+from .timeseries import previous
 
 HORIZONS = (300, 900, 1800, 3600)
+#: Seconds of tickers that one task joins with their curves.
+CURVE_CHUNK = 300
 
 
 def valid_curve(curve: DataFrame) -> DataFrame:
@@ -98,14 +101,23 @@ def price_contracts(tickers: DataFrame, metadata: DataFrame, curve: DataFrame, n
     knots = valid_curve(curve)
     if "feature_at" in curve.columns:
         names = [c for c in knots.columns if c != "feature_at"]
-        rows = asof(rows.withColumn("__curve", F.lit(1)), knots.withColumns({"__now": F.col("feature_at"), "__curve": F.lit(1)}), ["__curve"], "__now", names).drop("__curve", "matched_at")
+        rows = asof(rows, knots.withColumn("__now", F.col("feature_at")), [], "__now", names, chunk=CURVE_CHUNK).drop("matched_at")
     else:
         one = knots.agg(*[F.any_value(c).alias(c) for c in knots.columns], F.count(F.lit(1)).alias("__n"))
         rows = rows.join(F.broadcast(one)).where(F.when(F.col("__n") > 1, F.raise_error(F.lit("the curve has several rows without feature_at"))).otherwise(F.lit("")).isNotNull()).drop("__n")
+    return priced(rows, stale)
+
+
+def priced(rows: DataFrame, stale: int, failure: Column | None = None) -> DataFrame:
+    """Adds tau, sigma, reason, model, mid and edges to rows that hold a contract's quote, its metadata, spot and curve at
+    `__now`, which goes. failure: why spot or curve can't be used, where that is told already.
+    """
+    rows = rows if "valid" in rows.columns else valid_curve(rows)
     tau = F.col("expiry") - F.col("__now")
     rows = rows.withColumn("tau", tau).withColumn("sigma", interpolate_vol(F.col("tau")))
-    reason = (F.when(F.col("strike").isNull(), "no_metadata").when(~F.col("status").isin("open", "active"), "not_open").when(F.col("spot").isNull(), "no_spot")
-              .when(~F.col("valid"), "bad_curve").when(F.col("tau") <= 0, "expired").when(F.col("sigma").isNull(), "beyond_curve"))
+    reason = F.when(F.col("strike").isNull(), "no_metadata").when(~F.col("status").isin("open", "active"), "not_open")
+    reason = reason.when(failure.isNotNull(), failure) if failure is not None else reason.when(F.col("spot").isNull(), "no_spot").when(~F.col("valid"), "bad_curve")
+    reason = reason.when(F.col("tau") <= 0, "expired").when(F.col("sigma").isNull(), "beyond_curve")
     rows = rows.withColumn("reason", reason)
     rows = rows.withColumn("model", F.when(F.col("reason").isNull(), above_strike(F.col("spot"), F.col("strike"), deviation(F.col("sigma"), F.col("tau")))))
     rows = with_edges(rows)
@@ -113,12 +125,24 @@ def price_contracts(tickers: DataFrame, metadata: DataFrame, curve: DataFrame, n
     return rows.withColumns({c: F.when(~late, F.col(c)) for c in ("edge", "buy_edge", "sell_edge")}).drop("__now")
 
 
+def expire_contracts(contracts: DataFrame, events: DataFrame, now: Column | int) -> DataFrame:
+    """Adds reason: expired (the expiry is `now` or before), unknown_event (events are known, and this one is not among
+    them), or null for contracts that stay. Without any known event none is unknown.
+    """
+    known = events.select("event_ticker").distinct().withColumn("__known", F.lit(True))
+    some = known.agg((F.count(F.lit(1)) > 0).alias("__some"))  # one row
+    rows = contracts.join(known, "event_ticker", "left").join(F.broadcast(some))
+    reason = F.when(F.col("expiry") <= now, "expired").when(F.col("__some") & F.col("__known").isNull(), "unknown_event")
+    return rows.select(*contracts.columns, reason.alias("reason"))
+
+
 def last_distinct_trade(rows: DataFrame, key: str, at: str, fingerprint: list[str]) -> DataFrame:
-    """Since when the newest fingerprint has stood unchanged."""
-    w = Window.partitionBy(key).orderBy(at)
-    f = F.struct(*fingerprint)
-    changed = rows.withColumn("new", F.coalesce((F.lag(f).over(w) != f).cast("int"), F.lit(1)))
-    return changed.where("new = 1").groupBy(key).agg(F.max(at).alias("since"))
+    """Since when the newest fingerprint has stood unchanged; `at` in microseconds."""
+    before = previous(rows, at, [key], {f"__was_{c}": F.col(c) for c in fingerprint} | {"__was": F.lit(True)}, unit=1_000_000)
+    same = F.col("__was").isNotNull()
+    for c in fingerprint:
+        same = same & F.col(c).eqNullSafe(F.col(f"__was_{c}"))
+    return before.where(~same).groupBy(key).agg(F.max(at).alias("since"))
 
 
 def contract_monitor(tickers: DataFrame, trades: DataFrame, books: DataFrame, now_ms: int, most_ms: int = 300_000) -> DataFrame:
@@ -137,9 +161,8 @@ def contract_monitor(tickers: DataFrame, trades: DataFrame, books: DataFrame, no
     newest = ours(tickers).groupBy("event_ticker", "market_ticker").agg(F.max_by(F.struct("yes_bid_dollars", "yes_ask_dollars", "last_price_dollars", "volume", "open_interest", "received_ts_ms"), "received_ts_ms").alias("t"))
     whole = ours(trades).where("yes_price_dollars IS NOT NULL AND count IS NOT NULL AND taker_side IS NOT NULL")
     mark = F.struct("yes_price_dollars", "count", "taker_side")
-    w = Window.partitionBy("market_ticker").orderBy("received_ts_ms")
-    begins = whole.withColumn("new", F.coalesce(F.lag(mark).over(w) != mark, F.lit(True)))
-    last = begins.where("new").groupBy("market_ticker").agg(F.max_by(F.struct("yes_price_dollars", "count", "taker_side", "received_ts_ms"), "received_ts_ms").alias("x"))
+    begins = previous(whole, "received_ts_ms", ["market_ticker"], {"__was": mark}, unit=1000)
+    last = begins.where(F.coalesce(F.col("__was") != mark, F.lit(True))).groupBy("market_ticker").agg(F.max_by(F.struct("yes_price_dollars", "count", "taker_side", "received_ts_ms"), "received_ts_ms").alias("x"))
     book = ours(books).groupBy("market_ticker").agg(F.max("received_ts_ms").alias("booked"))
     cents = lambda c: F.round(100 * c.try_cast("double"), 6)
     out = newest.join(last, "market_ticker", "left").join(book, "market_ticker", "left")
@@ -160,9 +183,9 @@ def rollover(staged: DataFrame, messages: DataFrame) -> DataFrame:
     event that is active already is ignored. Times of a series differ; messages at the time of a staging come after it.
     """
     series = Window.partitionBy("series").orderBy("at")
-    # an event is confirmed by its first message while it waits: after its staging and before the next one
-    until = staged.withColumn("until", F.lead("at").over(series)).withColumnsRenamed({"at": "from", "event_ticker": "candidate"})
-    hit = messages.join(until, "series").where((F.col("event_ticker") == F.col("candidate")) & (F.col("at") >= F.col("from")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    # an event is confirmed by its first message while it waits: the last staging at or before that message is its own
+    waits = staged.select("series", "at", F.col("event_ticker").alias("candidate"), F.col("at").alias("from"))
+    hit = asof(messages, waits, ["series"], "at", ["candidate", "from"]).where("event_ticker = candidate")
     turns = hit.groupBy("series", F.col("candidate").alias("event_ticker"), "from").agg(F.min("at").alias("at"))
     # of turns in a row to the same event the first counts: the others staged what was active
     turns = turns.withColumn("again", F.coalesce(F.lag("event_ticker").over(series) == F.col("event_ticker"), F.lit(False))).where("NOT again")

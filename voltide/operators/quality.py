@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .timeseries import previous
+
 FLOW = ("v_trade", "v_buy", "v_sell")
 
 
@@ -21,13 +23,12 @@ def conservation(trades: DataFrame, bars: DataFrame) -> DataFrame:
 
 def invariants(bars: DataFrame, seconds: int) -> DataFrame:
     """Violations by kind."""
-    w = Window.partitionBy("venue", "instrument").orderBy("bucket")
-    gap = F.col("bucket") - F.lag("bucket").over(w)
     kinds = {
         "high": "p_high < p_close OR p_high < p_open", "low": "p_low > p_close OR p_low > p_open", "book": "p_bid_1 > p_ask_1",
         "fill": "dt_fill_min_ms > dt_fill_mean_ms + 1e-6 OR dt_fill_mean_ms > dt_fill_max_ms + 1e-6", "cadence": f"gap <> {seconds}", "volume": "abs(v_buy + v_sell - v_trade) > 1e-6",
     }
-    one = bars.withColumn("gap", gap).agg(*[F.count_if(F.expr(e)).alias(k) for k, e in kinds.items()])
+    spaced = previous(bars, "bucket", ["venue", "instrument"], {"before": F.col("bucket")}).withColumn("gap", F.col("bucket") - F.col("before"))
+    one = spaced.agg(*[F.count_if(F.expr(e)).alias(k) for k, e in kinds.items()])
     return one.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, kinds)), F.array(*kinds))).alias("violation", "n"))
 
 
@@ -90,3 +91,25 @@ def ranges(plan: DataFrame, state: str = "pending", step: int = 3600) -> DataFra
     rows = plan.where(F.col("state") == state).withColumn("new", new)
     rows = rows.withColumn("run", F.sum("new").over(w))
     return rows.groupBy("phase", F.floor(F.col("hour") / 86_400).alias("day"), "run").agg(F.min("hour").alias("start"), (F.max("hour") + step).alias("end"), F.count(F.lit(1)).alias("n")).drop("day", "run")
+
+
+def compare_buckets(raw: DataFrame, bars: DataFrame, by: list[str], measure: str = "quantity", volume: str = "v_trade", rel: float = 1e-9, most: float = 1e-6) -> DataFrame:
+    """Raw rows against bars, bucket by bucket, whichever side lacks one: n_raw, raw, bars, equal (within tolerance, what a side
+    lacks counting as 0) and delta (raw - bars; 0 where equal). Both are summed before they meet.
+    """
+    r = raw.groupBy(*by).agg(F.sum(measure).alias("raw"), F.count(F.lit(1)).alias("n_raw"))
+    b = bars.groupBy(*by).agg(F.sum(volume).alias("bars"))
+    both = r.join(b, by, "full")
+    x, y = F.coalesce("raw", F.lit(0.0)), F.coalesce("bars", F.lit(0.0))
+    equal = close_to(x, y, rel, most)
+    return both.select(*by, "n_raw", "raw", "bars", F.when(equal, 0.0).otherwise(x - y).alias("delta"), equal.alias("equal"))
+
+
+def profile(rows: DataFrame, by: list[str], numbers: list[str]) -> DataFrame:
+    """A row a group: n, and of each number its least, largest and mean value, how many are null and how many not finite."""
+    out = [F.count(F.lit(1)).alias("n")]
+    for c in numbers:
+        odd = F.isnan(c) | (F.abs(c) == float("inf"))
+        x = F.when(~odd, F.col(c))
+        out += [F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max"), F.avg(x).alias(f"{c}_mean"), F.count_if(F.col(c).isNull()).alias(f"{c}_nulls"), F.count_if(odd).alias(f"{c}_odd")]
+    return rows.groupBy(*by).agg(*out)

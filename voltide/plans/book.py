@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltide.functions.columns import ERF_A, ERF_P
 from voltide.operators import bars as B
 from voltide.operators import book as K
 from voltide.operators import features as X
+from voltide.operators import joins as J
 from voltide.operators import models as M
 from voltide.operators import pricing as P
 from voltide.operators import quality as Q
+from voltide.operators import running_book as R
 from voltide.sources.adapters import book_levels, quotes, trades
 
 from .bars import clean, flat, hourly
@@ -136,12 +139,74 @@ def apply_level_updates(spark, d):
     return K.apply_level_updates(updates(spark, d), ["venue"])
 
 
-@query("apply_book_deltas", """SELECT venue, side, price, quantity, quantity <> plain AS rejected FROM (SELECT venue, side, price, sum(quantity) AS plain,
-  list_reduce(list_prepend(0.0::DOUBLE, list(quantity::DOUBLE ORDER BY seq)), lambda a, x: CASE WHEN a + x < 0 THEN a ELSE a + x END) AS quantity FROM live GROUP BY ALL) WHERE quantity > 0 OR quantity <> plain""", UPDATES)
+@query("apply_book_deltas", """SELECT venue, side, price, coalesce(book[place], 0) AS quantity, rejected > 0 AS rejected FROM (SELECT venue, side, price, any_value(place) AS place, count(reason) AS rejected FROM (SELECT venue, side, price, side || price AS place, NULL AS reason FROM live
+    UNION ALL SELECT d.venue, side, price, d.place, reason FROM d JOIN r USING (venue, n)) GROUP BY ALL) JOIN (SELECT venue, arg_max(book, n) AS book FROM r GROUP BY venue) USING (venue) WHERE coalesce(book[place], 0) > 0 OR rejected > 0""", UPDATES + """,
+d AS (SELECT *, side || price AS place, row_number() OVER (PARTITION BY venue ORDER BY seq, side, price) AS n FROM live WHERE kind = 'delta'),
+r AS (WITH RECURSIVE v AS (SELECT venue, 0::BIGINT AS n, any_value(seq) AS last, map_from_entries(list((side || price, quantity))) AS book, NULL::VARCHAR AS reason FROM live WHERE kind = 'snapshot' AND seq = epoch GROUP BY venue
+  UNION ALL SELECT venue, n, CASE WHEN reason IS NULL THEN seq ELSE last END, CASE WHEN reason IS NULL THEN map_concat(book, map([place], [coalesce(book[place], 0) + quantity])) ELSE book END, reason
+  FROM (SELECT d.*, v.last, v.book, CASE WHEN d.seq <= v.last THEN 'stale' WHEN coalesce(v.book[d.place], 0) + d.quantity < 0 THEN 'negative' END AS reason FROM v JOIN d ON d.venue = v.venue AND d.n = v.n + 1)) SELECT * FROM v)""")
 def apply_book_deltas(spark, d):
+    """Every sequence comes with a delta of either side; of two that fit, the book takes the first."""
     return K.apply_book_deltas(updates(spark, d), ["venue"]).withColumn("rejected", F.col("rejected") > 0)
 
 
+def book_messages(spark, d, quantity):
+    """Messages of a book a venue, by event: every hundredth event's book is a snapshot, others change one level."""
+    b = book_levels(spark, d)
+    level = F.struct("side", F.col("level").cast("string").alias("price"), quantity.cast("long").cast("string").alias("quantity"))
+    rows = b.where("event_id % 100 = 0 OR level = event_id % 10 + 1").groupBy("venue", "event_id").agg(F.array_sort(F.collect_list(level)).alias("levels"))
+    kind = F.when(F.col("event_id") % 100 == 0, "snapshot").otherwise("delta")
+    return rows.select("venue", (F.col("event_id") * 4).alias("at"), F.col("event_id").alias("sequence"), kind.alias("kind"), "levels", "event_id")
+
+
+@query("running_books", """SELECT m.venue, m.event_id AS sequence, count(*) FILTER (s.side = 'bid' AND u.q > 0)::INT AS n_bids, count(*) FILTER (s.side = 'ask' AND u.q > 0)::INT AS n_asks, max(CASE WHEN s.side = 'bid' AND u.q > 0 THEN s.level END)::DOUBLE AS best_bid,
+  min(CASE WHEN s.side = 'ask' AND u.q > 0 THEN s.level END)::DOUBLE AS best_ask, sum(CASE WHEN u.q > 0 THEN u.q ELSE 0 END)::DOUBLE AS total
+  FROM msg m CROSS JOIN (SELECT side, unnest(range(1, 11)) AS level FROM (VALUES ('bid'), ('ask')) x(side)) s
+  ASOF LEFT JOIN upd u ON u.venue = m.venue AND u.side = s.side AND u.level = s.level AND u.epoch = m.epoch AND u.event_id <= m.event_id GROUP BY ALL""",
+       """upd0 AS (SELECT venue, event_id, side, level, greatest(quantity - 3, 0) AS q FROM book_levels WHERE event_id % 100 = 0 OR level = event_id % 10 + 1),
+msg AS (SELECT *, max(CASE WHEN event_id % 100 = 0 THEN event_id ELSE -1 END) OVER (PARTITION BY venue ORDER BY event_id) AS epoch FROM (SELECT DISTINCT venue, event_id FROM upd0)),
+upd AS (SELECT upd0.*, epoch FROM upd0 JOIN msg USING (venue, event_id))""")
+def running_books(spark, d):
+    """The book of each venue after each of its messages, which name quantities; 0 takes a level out."""
+    messages = book_messages(spark, d, F.greatest(F.col("quantity") - 3, F.lit(0)))
+    books = R.running_books(messages, ["venue"], "at", signed=False)
+    price = lambda side: F.get(side, F.lit(0))["price"].cast("double")
+    both = F.concat("bid", "ask")
+    return books.select("venue", "sequence", F.size("bid").alias("n_bids"), F.size("ask").alias("n_asks"), price("bid").alias("best_bid"), price("ask").alias("best_ask"), F.aggregate(both, F.lit(0.0), lambda t, x: t + x["quantity"].cast("double")).alias("total"))
+
+
+@query("contract_books", """SELECT venue, n AS place, sequence, reason, len(map_keys(book))::INT AS n_levels, list_sum(map_values(book))::DOUBLE AS total FROM r WHERE n > 0""",
+       """flow AS (SELECT venue, event_id * 4 AS "at", event_id AS sequence, false AS fresh, side, level, (quantity - 3)::BIGINT AS q FROM book_levels WHERE event_id % 100 <> 0 AND level = event_id % 10 + 1 AND side = 'bid'
+  UNION ALL SELECT venue, event_id * 4 + 1, event_id, false, side, level, (quantity - 3)::BIGINT FROM book_levels WHERE event_id % 100 <> 0 AND event_id % 6 = 0 AND level = (event_id + 1) % 10 + 1 AND side = 'ask'
+  UNION ALL SELECT venue, event_id * 4 + 2, event_id - 8, false, side, level, 1 FROM book_levels WHERE event_id % 100 <> 0 AND event_id % 14 = 0 AND level = 1 AND side = 'ask'),
+snap AS (SELECT venue, event_id * 4 AS "at", event_id AS sequence, map_from_entries(list((side || level, (quantity - CASE WHEN event_id % 300 = 0 THEN 13 ELSE 0 END)::BIGINT))) AS levels, min(quantity - CASE WHEN event_id % 300 = 0 THEN 13 ELSE 0 END) < 0 AS bad FROM book_levels WHERE event_id % 100 = 0 GROUP BY venue, event_id),
+msg AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY "at") AS n FROM (SELECT venue, "at", sequence, false AS fresh, NULL AS levels, false AS bad, side || level AS place, q FROM flow UNION ALL SELECT venue, "at", sequence, true, levels, bad, NULL, NULL FROM snap)),
+r AS (WITH RECURSIVE v AS (SELECT DISTINCT venue, 0::BIGINT AS n, 0::BIGINT AS sequence, NULL::BIGINT AS last, map_from_entries([]::STRUCT(k VARCHAR, v BIGINT)[]) AS book, NULL::VARCHAR AS reason FROM msg
+  UNION ALL SELECT venue, n, sequence, CASE WHEN reason IS NULL THEN sequence ELSE last END, CASE WHEN reason IS NOT NULL THEN book ELSE map_from_entries(list_filter(map_entries(CASE WHEN fresh THEN levels ELSE map_concat(book, map([place], [have + q])) END), lambda e: e.value <> 0)) END, reason
+  FROM (SELECT m.*, v.last, v.book, coalesce(v.book[m.place], 0) AS have,
+    CASE WHEN m.fresh THEN CASE WHEN m.bad THEN 'negative' END WHEN v.last IS NULL THEN 'before_snapshot' WHEN m.sequence <= v.last THEN 'stale' WHEN coalesce(v.book[m.place], 0) + m.q < 0 THEN 'negative' END AS reason
+    FROM v JOIN msg m ON m.venue = v.venue AND m.n = v.n + 1)) SELECT * FROM v)""")
+def contract_books(spark, d):
+    """Signed deltas behind snapshots, in order of arrival: a second level at a sequence, sequences that come late, deltas
+    and snapshots below 0, each with the reason why it is refused, and what the book holds after every message.
+    """
+    b = book_levels(spark, d).withColumn("id", F.col("event_id"))
+    less = F.when(F.col("id") % 300 == 0, 13).otherwise(0)
+    of = lambda q: F.struct("side", F.col("level").cast("string").alias("price"), q.cast("long").cast("string").alias("quantity"))
+    snap = b.where("id % 100 = 0").groupBy("venue", "id").agg(F.collect_list(of(F.col("quantity") - less)).alias("levels")).select("venue", (F.col("id") * 4).alias("at"), F.col("id").alias("sequence"), F.lit("snapshot").alias("kind"), "levels")
+    deltas = b.where("id % 100 <> 0")
+    flow = lambda rows, later, behind, q: rows.select("venue", (F.col("id") * 4 + later).alias("at"), (F.col("id") - behind).alias("sequence"), F.lit("delta").alias("kind"), F.array(of(q)).alias("levels"))
+    first = flow(deltas.where("level = id % 10 + 1 AND side = 'bid'"), 0, 0, F.col("quantity") - 3)
+    second = flow(deltas.where("id % 6 = 0 AND level = (id + 1) % 10 + 1 AND side = 'ask'"), 1, 0, F.col("quantity") - 3)
+    late = flow(deltas.where("id % 14 = 0 AND level = 1 AND side = 'ask'"), 2, 8, F.lit(1))
+    messages = snap.unionByName(first).unionByName(second).unionByName(late)
+    place = F.row_number().over(Window.partitionBy("venue").orderBy("at"))
+    books = R.running_books(messages, ["venue"], "at", signed=True)
+    both = F.concat("bid", "ask")
+    total = F.when(F.size(both) > 0, F.aggregate(both, F.lit(0.0), lambda t, x: t + x["quantity"].cast("double")))
+    return books.select("venue", place.cast("long").alias("place"), "sequence", "reason", F.size(both).alias("n_levels"), total.alias("total"))
+
+
 # -- contracts
 
 CURVE = (0.3, 0.35, 0.5, 0.45)
@@ -239,8 +304,8 @@ def metadata(spark, d):
 
 @query("ticker_metadata_join", "SELECT market_ticker, m.strike, status, CASE WHEN m.strike IS NULL THEN 'no_metadata' WHEN status <> 'active' THEN 'not_open' END AS reason FROM quotes LEFT JOIN meta m USING (event_ticker, market_ticker)", META)
 def ticker_metadata_join(spark, d):
-    rows = quotes(spark, d).drop("strike", "expiry").join(metadata(spark, d), ["event_ticker", "market_ticker"], "left")
-    return rows.select("market_ticker", "strike", "status", F.when(F.col("strike").isNull(), "no_metadata").when(F.col("status") != "active", "not_open").alias("reason"))
+    rows = J.with_metadata(quotes(spark, d).drop("strike", "expiry"), metadata(spark, d))
+    return rows.select("market_ticker", "strike", "status", F.col("metadata_reason").alias("reason"))
 
 
 PRICED = f"""
@@ -260,8 +325,7 @@ def price_contracts(spark, d):
 @query("expire_contracts", "SELECT market_ticker, CASE WHEN expiry <= 1705000000 THEN 'expired' WHEN hour // 3600 % 3 = 0 THEN 'unknown_event' END AS reason FROM quotes")
 def expire_contracts(spark, d):
     q = quotes(spark, d)
-    known = q.where(F.floor(F.col("hour") / 3600) % 3 != 0).select("event_ticker").distinct().withColumn("known", F.lit(True))
-    return q.join(known, "event_ticker", "left").select("market_ticker", F.when(F.col("expiry") <= 1705000000, "expired").when(F.col("known").isNull(), "unknown_event").alias("reason"))
+    return P.expire_contracts(q, q.where(F.floor(F.col("hour") / 3600) % 3 != 0), 1705000000).select("market_ticker", "reason")
 
 
 @query("ticker_latest", "SELECT j, first(market_ticker ORDER BY quoted_on DESC) AS market_ticker, first(bid ORDER BY quoted_on DESC) AS bid FROM quotes GROUP BY j")
@@ -272,10 +336,10 @@ def ticker_latest(spark, d):
 @query("latest_state_join", """SELECT q.j, q.market_ticker, CASE WHEN age BETWEEN -2 AND 60 THEN p.price END AS price FROM (SELECT j, first(market_ticker ORDER BY quoted_on DESC) AS market_ticker, max(quoted_on) AS quoted_on FROM quotes GROUP BY j) q,
   (SELECT last(price ORDER BY event_timestamp) AS price, max(epoch_us(event_timestamp) // 1000000) AS tm FROM deduped) p, LATERAL (SELECT q.quoted_on + j * 60 - tm AS age) a""")
 def latest_state_join(spark, d):
-    q = quotes(spark, d).groupBy("j").agg(F.max_by("market_ticker", "quoted_on").alias("market_ticker"), F.max("quoted_on").alias("quoted_on"))
-    p = clean(spark, d).agg(F.max_by("price", "event_timestamp").alias("price"), F.max(F.unix_seconds("event_timestamp")).alias("at"))
-    age = F.col("quoted_on") + F.col("j") * 60 - F.col("at")
-    return q.join(F.broadcast(p)).select("j", "market_ticker", F.when(age.between(-2, 60), F.col("price")).alias("price"))
+    q = quotes(spark, d).groupBy("j").agg(F.max_by("market_ticker", "quoted_on").alias("market_ticker"), F.max("quoted_on").alias("quoted_on")).withColumn("at", F.col("quoted_on") + F.col("j") * 60)
+    spots = clean(spark, d).select("price", "event_timestamp", F.unix_seconds("event_timestamp").alias("second"), F.unix_micros("event_timestamp").alias("us"))
+    newest = spots.groupBy("second").agg(F.max_by("price", "us").alias("price"))
+    return J.latest_state(q, newest, "at", "second", ["price"]).select("j", "market_ticker", "price")
 
 
 @query("last_distinct_trade", "SELECT venue, max(tm) AS since FROM (SELECT venue, epoch_us(event_timestamp) AS tm, (round(price), taker_side) IS DISTINCT FROM lag((round(price), taker_side)) OVER (PARTITION BY venue ORDER BY event_timestamp) AS new FROM deduped) WHERE new GROUP BY venue")
@@ -446,9 +510,8 @@ def bar_invariants(spark, d):
 
 @query("hourly_comparison", "SELECT bucket, coalesce(r.v, 0) - coalesce(b.v, 0) AS delta, r.n AS n_raw FROM (SELECT epoch_us(event_timestamp) // 3600000000 * 3600 AS bucket, sum(quantity) AS v, count(*) AS n FROM trades GROUP BY 1) r FULL JOIN (SELECT bucket, sum(v_trade) AS v FROM bars GROUP BY bucket) b USING (bucket)", BARS)
 def hourly_comparison(spark, d):
-    raw = flat(trades(spark, d).groupBy(B.time_bucket("event_timestamp", HOUR).alias("bucket")).agg(F.sum("quantity").alias("rv"), F.count(F.lit(1)).alias("n_raw")))
-    own = flat(hourly(spark, d)).groupBy("bucket").agg(F.sum("v_trade").alias("bv"))
-    return raw.join(own, "bucket", "full").select("bucket", (F.coalesce("rv", F.lit(0.0)) - F.coalesce("bv", F.lit(0.0))).alias("delta"), "n_raw")
+    raw = flat(trades(spark, d).withColumn("bucket", B.time_bucket("event_timestamp", HOUR)))
+    return Q.compare_buckets(raw, flat(hourly(spark, d)), ["bucket"]).select("bucket", "delta", "n_raw")
 
 
 @query("coverage_report", "SELECT venue, count(DISTINCT day) AS n_days, count(*) AS n_rows, min(day) AS first_day, max(day) AS last_day, max(day) - min(day) + 1 - count(DISTINCT day) AS n_missing FROM (SELECT venue, epoch_us(event_timestamp) // 86400000000 AS day FROM trades WHERE event_id % 3 = 0 AND epoch_us(event_timestamp) // 86400000000 % 5 <> 1) GROUP BY venue")
@@ -482,7 +545,8 @@ def parity_left_join(spark, d):
 
 @query("dataset_profile", "SELECT venue, epoch_us(event_timestamp) // 86400000000 AS day, count(*) AS n, min(price) AS low, max(price) AS high FROM trades GROUP BY ALL")
 def dataset_profile(spark, d):
-    return trades(spark, d).groupBy("venue", F.floor(F.unix_seconds("event_timestamp") / 86400).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
+    rows = trades(spark, d).withColumn("day", F.floor(F.unix_seconds("event_timestamp") / 86400))
+    return Q.profile(rows, ["venue", "day"], ["price"]).select("venue", "day", "n", F.col("price_min").alias("low"), F.col("price_max").alias("high"))
 
 
 RUNS = """hs AS (SELECT DISTINCT hour // 3600 AS h, hour FROM quotes),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from voltide.operators import bars as B
 from voltide.operators import features as X
+from voltide.operators import joins as J
 
 from .bars import clean, flat, hourly
 from .base import BARS, HOUR, SYNTHETIC, query
@@ -130,8 +131,7 @@ def pit_training_join(spark, d):
 
 
 def training(spark, d):
-    matured = labels(spark, d).where((F.col("label_window_end") <= NOW) & F.col("target_rv_21600s").isNotNull())
-    return features(spark, d).join(matured, ["asset", "bucket"]).select("bucket", "log_return", "realized_vol_10800s", "log_buy_volume_10800s", "target_rv_3600s", "target_rv_21600s")
+    return J.training_table(features(spark, d), labels(spark, d), NOW, ["target_rv_21600s"]).select("bucket", "log_return", "realized_vol_10800s", "log_buy_volume_10800s", "target_rv_3600s", "target_rv_21600s")
 
 
 EWMA = """,

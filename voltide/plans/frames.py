@@ -51,13 +51,16 @@ BOOKS = ("binance", "bitstamp", "crypto_com", "gemini")
 
 
 @query("normalize_book_frames", f"""SELECT venue, CASE WHEN NOT cut THEN event_id END AS sequence, CASE WHEN cut THEN 0 ELSE n END AS n_bids, CASE WHEN cut OR empty OR crossed THEN 0 ELSE n END AS n_asks,
-  CASE WHEN NOT cut THEN bid END AS best_bid, CASE WHEN NOT (cut OR empty OR crossed) THEN ask END AS best_ask, CASE WHEN cut THEN 'frame' WHEN empty THEN 'sides' WHEN crossed THEN 'crossed' END AS error
+  CASE WHEN NOT cut THEN bid END AS best_bid, CASE WHEN NOT (cut OR empty OR crossed) THEN ask END AS best_ask, CASE WHEN cut THEN 'frame' WHEN odd THEN 'levels' WHEN empty THEN 'sides' WHEN crossed THEN 'crossed' END AS error
   FROM (SELECT event_id, [{', '.join(f"'{v}'" for v in BOOKS)}][event_id // 2 % 4 + 1] AS venue, count(*) FILTER (side = 'bid')::INT AS n, max(price) FILTER (side = 'bid') AS bid, min(price) FILTER (side = 'ask') AS ask,
-    event_id % 34 = 0 AS cut, event_id % 22 = 0 AS empty, event_id % 26 = 0 AS crossed FROM book_levels GROUP BY event_id)""")
+    event_id % 34 = 0 AS cut, event_id % 22 = 0 AS empty, event_id % 26 = 0 AS crossed, event_id % 38 = 0 AND event_id % 22 <> 0 AND event_id % 26 <> 0 AS odd FROM book_levels GROUP BY event_id)""")
 def normalize_book_frames(spark, d):
     pair = F.struct("level", F.array(F.col("price").cast("string"), F.col("quantity").cast("string")).alias("l"))
     of = lambda side: F.transform(F.reverse(F.array_sort(F.collect_list(F.when(F.col("side") == side, pair)))), lambda x: x["l"])  # noqa: E731  worst first
     b = book_levels(spark, d).groupBy("event_id").agg(of("bid").alias("bids"), of("ask").alias("asks"))
+    # a quantity that is no number, below 0, or not finite, in the last ask
+    odd = F.get(F.array(*map(F.lit, ("x", "-1", "NaN"))), (F.col("event_id") % 3).cast("int"))
+    b = b.withColumn("asks", F.when(F.col("event_id") % 38 == 0, F.concat(F.slice("asks", 2, 20), F.array(F.array(F.get(F.get("asks", F.lit(0)), F.lit(0)), odd)))).otherwise(F.col("asks")))
     b = b.withColumn("asks", F.when(F.col("event_id") % 22 == 0, F.array()).when(F.col("event_id") % 26 == 0, F.col("bids")).otherwise(F.col("asks")))
     b = b.withColumn("venue", F.get(F.array(*map(F.lit, BOOKS)), (F.floor(F.col("event_id") / 2) % 4).cast("int")))
     sides, i = [F.col("bids"), F.col("asks")], F.col("event_id")

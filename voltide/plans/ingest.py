@@ -18,21 +18,25 @@ from .features import FEATURES, LABELS, features, labels
 DAY = "(epoch_us(event_timestamp) // 86400000000)"
 
 
+def folder_of(spark) -> str:
+    """Where queries put tables of their own: the shared folder of a cluster, below the warehouse where none is named."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
 def lake_of(spark, d):
     """The trades, written to a lake of our own below the warehouse or checkpoint folder."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/lake-{uuid.uuid4().hex}"
+    root = f"{folder_of(spark)}/lake-{uuid.uuid4().hex}"
     rows = G.partition_keys(clean(spark, d).drop("source_object"), "venue")
-    lake.write_hive(rows, root, ["date", "venue"])
+    lake.write_hive(rows, root, ["date", "venue"], cluster=["instrument", "event_timestamp"])
     return root
 
 
-@query("scan_partitioned", "SELECT venue, epoch_us(event_timestamp) // 3600000000 AS hour, trade_id, price FROM deduped WHERE epoch_us(event_timestamp) // 3600000000 BETWEEN 19727 * 24 + 20 AND 19728 * 24 + 3 AND venue IN ('click', 'view')")
+@query("scan_partitioned", "SELECT venue, epoch_us(event_timestamp) // 3600000000 AS hour, trade_id, price FROM deduped WHERE (epoch_us(event_timestamp) // 3600000000 BETWEEN 19727 * 24 + 20 AND 19728 * 24 + 3 OR epoch_us(event_timestamp) // 3600000000 = 19740 * 24 + 20) AND venue IN ('click', 'view')")
 def scan_partitioned(spark, d):
-    """Eight hours across midnight, of a lake by date, hour and venue that has three days."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/hours-{uuid.uuid4().hex}"
-    rows = clean(spark, d).where("event_timestamp >= TIMESTAMP '2024-01-05 00:00:00' AND event_timestamp < TIMESTAMP '2024-01-08 00:00:00'")
-    lake.write_hive(G.partition_keys(rows.drop("source_object"), "venue"), root, ["date", "hour", "venue"])
-    found = lake.scan_partitioned(spark, root, "2024-01-05 20", "2024-01-06 03", ["click", "view"])
+    """Eight hours across midnight, and one hour alone, of a lake by date and hour."""
+    root = f"{folder_of(spark)}/hours-{uuid.uuid4().hex}"
+    lake.write_hive(G.partition_keys(clean(spark, d).drop("source_object"), "venue"), root, ["date", "hour"], cluster=["venue", "event_timestamp"])
+    found = lake.scan_partitioned(spark, root, "2024-01-05 20", "2024-01-06 03", ["click", "view"]).unionByName(lake.scan_partitioned(spark, root, "2024-01-18 20", "2024-01-18 20", ["click", "view"]))
     return found.select("venue", F.floor(F.unix_seconds("event_timestamp") / 3600).alias("hour"), "trade_id", "price")
 
 
@@ -155,7 +159,7 @@ def archive_trade_csv(spark, d):
 
 @query("drop_path_columns", "SELECT event_id, price FROM deduped")
 def drop_path_columns(spark, d):
-    to = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/bare-{uuid.uuid4().hex}"
+    to = f"{folder_of(spark)}/bare-{uuid.uuid4().hex}"
     return lake.drop_path_columns(clean(spark, d).select("event_id", "price", "venue", "instrument"), ["venue", "instrument"], to)
 
 
@@ -183,7 +187,10 @@ def prepare_bars(spark, d):
 
 @query("validate_training", f"SELECT count(*) AS n_rows, count(target_rv_3600s) AS n_1h, count(target_rv_21600s) AS n_6h, count(*) FILTER (bucket IS NULL) AS n_null_time FROM ({LABELS})", SYNTHETIC)
 def validate_training(spark, d):
-    return labels(spark, d).agg(F.count(F.lit(1)).alias("n_rows"), F.count("target_rv_3600s").alias("n_1h"), F.count("target_rv_21600s").alias("n_6h"), F.count_if(F.col("bucket").isNull()).alias("n_null_time"))
+    """Counts of a training set that is found fit; one that isn't is an error."""
+    rows = G.validate_training(labels(spark, d), ["target_rv_3600s", "target_rv_21600s"])
+    found = G.training_violations(rows, ["target_rv_3600s", "target_rv_21600s"])
+    return found.select("n_rows", F.col("usable_target_rv_3600s").alias("n_1h"), F.col("usable_target_rv_21600s").alias("n_6h"), "n_null_time")
 
 
 @query("validate_features", f"""SELECT unnest(['blank_asset', 'after_as_of', 'null_log_return', 'null_realized_vol_86400s']) AS violation, unnest([count(*) FILTER (trim(asset) = ''), count(*) FILTER (bucket > 1706000000), count(*) FILTER (log_return IS NULL), count(*) FILTER (realized_vol_86400s IS NULL)]) AS n FROM ({FEATURES})""", SYNTHETIC)
@@ -209,10 +216,30 @@ def choose_event(spark, d):
     return G.choose_event(rows, 1704500000)
 
 
-@query("flatten_envelope", f"SELECT asset, bucket, log_return, bucket + 3600 AS available FROM ({FEATURES})", SYNTHETIC)
+@query("flatten_envelope", f"""SELECT asset, bucket, CASE WHEN h % 11 <> 3 THEN log_return END AS log_return, CASE WHEN h % 11 NOT IN (4, 5) THEN venue_count END AS venue_count, bucket + 3600 AS available,
+  CASE h % 11 WHEN 1 THEN 'feature_version' WHEN 2 THEN 'feature_set' WHEN 3 THEN 'missing:log_return' WHEN 4 THEN 'type:venue_count' END AS error FROM (SELECT *, bucket // 3600 AS h FROM ({FEATURES}))""", SYNTHETIC)
 def flatten_envelope(spark, d):
-    f = features(spark, d)
-    text = f.select(F.to_json(F.struct(F.lit("market").alias("feature_set"), "feature_version", F.col("bucket").alias("event_timestamp"), (F.col("bucket") + 3600).alias("available_timestamp"), F.struct("asset", "log_return").alias("values"))).alias("envelope"))
-    schema = "feature_set string, feature_version string, event_timestamp long, available_timestamp long, values struct<asset: string, log_return: double>"
-    x = text.select(F.from_json("envelope", schema).alias("e")).where("e.feature_set = 'market' AND e.feature_version = 'v4'")
-    return x.select("e.values.asset", F.col("e.event_timestamp").alias("bucket"), "e.values.log_return", F.col("e.available_timestamp").alias("available"))
+    """Envelopes made from features and read again: some of another version or set, with a field left out, of the wrong type, or null."""
+    h = F.floor(F.col("bucket") / 3600) % 11
+    fields = {"log_return": "double", "venue_count": "long"}
+    rows = features(spark, d).withColumn("available", F.col("bucket") + 3600)
+    made = rows.where(h != 5).withColumn("h", h)
+    text = G.envelope(made.where("h NOT IN (1, 2)"), fields, "v4").unionByName(G.envelope(made.where("h = 1"), fields, "v3")).unionByName(G.envelope(made.where("h = 2"), fields, "v4", "other"))
+    none = rows.where(h == 5).withColumn("venue_count", F.lit(None).cast("long"))
+    text = text.unionByName(G.envelope(none, fields, "v4")).withColumn("at", F.floor(F.get_json_object("envelope", "$.event_timestamp_ms").cast("long") / 3_600_000) % 11)
+    text = text.withColumn("envelope", F.when(F.col("at") == 3, F.regexp_replace("envelope", '"log_return":', '"log_ret":')).when(F.col("at") == 4, F.regexp_replace("envelope", '"venue_count":[0-9]+', '"venue_count":"some"')).otherwise(F.col("envelope")))
+    return G.flatten_envelope(text, fields, "v4").select("asset", "bucket", "log_return", "venue_count", "available", "error")
+
+
+@query("atomic_replace", f"""SELECT venue, {DAY} AS day, count(*) AS n, sum(CASE WHEN {DAY} = 19728 THEN price + 1 WHEN event_id BETWEEN 100 AND 5000 AND venue = 'view' THEN price * 2 ELSE price END) AS total FROM deduped
+  WHERE {DAY} = 19728 OR NOT (event_id BETWEEN 100 AND 5000 AND venue = 'view') OR event_id % 2 = 0 GROUP BY ALL""")
+def atomic_replace(spark, d):
+    """Three versions of a table: all trades, one day replaced, a slice of a venue replaced (all but that day); each in one step."""
+    rows = G.partition_keys(clean(spark, d).select("event_id", "event_timestamp", "received_timestamp", "venue", "instrument", "price"), "venue").drop("hour")
+    lakes = lake.AtomicTable(spark, f"{folder_of(spark)}/atomic-{uuid.uuid4().hex}", ["date", "venue"], ["instrument", "event_timestamp"])
+    lakes.replace_partitions(rows)
+    lakes.replace_partitions(lakes.read().where("date = '2024-01-06'").withColumn("price", F.col("price") + 1))
+    inside = F.col("event_id").between(100, 5000) & (F.col("venue") == "view") & (F.col("date") != "2024-01-06")
+    lakes.replace_slice(rows.where("event_id % 2 = 0").withColumn("price", F.col("price") * 2), inside)
+    lakes.vacuum()
+    return lakes.read().groupBy("venue", F.datediff(F.col("date").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))

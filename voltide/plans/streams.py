@@ -103,18 +103,23 @@ def coalesce_latest(spark, d):
     return out.where("kind = 'trade'").agg(F.lit("trade").alias("kind"), F.count(F.lit(1)).alias("n"), F.max("price").alias("price")).unionByName(books)
 
 
-LIVE = """sy AS (SELECT bucket, avg(p_trade_mean) AS p, count(*) AS n, sum(v_buy) AS vb FROM trade_bars GROUP BY bucket),
-sr AS (SELECT *, ln(p / lag(p) OVER (ORDER BY bucket)) AS r, row_number() OVER (ORDER BY bucket) AS k FROM sy),
+#: Bars of two hours in every fifty, and the second venue by name of another hour, don't come.
+LIVE = """sy AS (SELECT bucket, avg(p_trade_mean) AS p, count(*) AS n, sum(v_buy) AS vb FROM trade_bars WHERE bucket // 3600 % 50 NOT IN (7, 8) AND (bucket // 3600 % 50 <> 20 OR venue <> 'click') GROUP BY bucket),
+sr AS (SELECT *, ln(p / lag(p) OVER (ORDER BY bucket)) AS r, CASE WHEN bucket - lag(bucket) OVER (ORDER BY bucket) = 3600 THEN ln(p / lag(p) OVER (ORDER BY bucket)) END AS r1, row_number() OVER (ORDER BY bucket) AS k FROM sy),
 sv AS (WITH RECURSIVE v AS (SELECT k, NULL::DOUBLE AS before, NULL::DOUBLE AS after FROM sr WHERE k = 1
   UNION ALL SELECT sr.k, v.after, CASE WHEN v.after IS NULL THEN sr.r * sr.r ELSE 0.96::DOUBLE * v.after + 0.04::DOUBLE * sr.r * sr.r END FROM v JOIN sr ON sr.k = v.k + 1) SELECT k, before FROM v),
-live AS (SELECT bucket, p AS synthetic_price, n AS venue_count, r AS log_return, before AS variance, CASE WHEN count(r) OVER w = 3 THEN sqrt(sum(r * r) OVER w * 31536000 / 10800) END AS realized_vol_10800s,
-  CASE WHEN count(*) OVER w = 3 THEN ln(1 + sum(vb) OVER w) END AS log_buy_volume_10800s, k = max(k) OVER () AS open FROM sr JOIN sv USING (k) WINDOW w AS (ORDER BY bucket ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))"""
-LIVE_COLUMNS = ["bucket", "synthetic_price", "venue_count", "log_return", "variance", "realized_vol_10800s", "log_buy_volume_10800s"]
+sh AS (SELECT *, ln(p / lag(p) OVER (ORDER BY bucket)) AS r, row_number() OVER (ORDER BY bucket) AS k FROM sy WHERE (bucket + 3600) % 14400 = 0),
+hv AS (WITH RECURSIVE v AS (SELECT k, bucket, NULL::DOUBLE AS after FROM sh WHERE k = 1
+  UNION ALL SELECT sh.k, sh.bucket, CASE WHEN v.after IS NULL THEN sh.r * sh.r ELSE 0.96::DOUBLE * v.after + 0.04::DOUBLE * sh.r * sh.r END FROM v JOIN sh ON sh.k = v.k + 1) SELECT bucket, after FROM v),
+live AS (SELECT s.bucket, p AS synthetic_price, n AS venue_count, r AS log_return, before AS variance, hv.after AS variance_14400s, CASE WHEN count(r1) OVER w = 3 THEN sqrt(sum(r1 * r1) OVER w * 31536000 / 10800) END AS realized_vol_10800s,
+  CASE WHEN count(*) OVER w = 3 THEN ln(1 + sum(vb) OVER w) END AS log_buy_volume_10800s, k = max(k) OVER () AS open FROM sr s JOIN sv USING (k) ASOF LEFT JOIN hv ON s.bucket > hv.bucket WINDOW w AS (ORDER BY s.bucket RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW))"""
+LIVE_COLUMNS = ["bucket", "synthetic_price", "venue_count", "log_return", "variance", "variance_14400s", "realized_vol_10800s", "log_buy_volume_10800s"]
 
 
 def live_bars(spark, d) -> DataFrame:
     t = clean(spark, d)
-    bars = B.ohlc(t, HOUR).join(B.volume_by_side(t, HOUR), ["bucket", *B.KEYS])
+    hour = F.floor(F.unix_seconds("bucket") / HOUR) % 50
+    bars = B.ohlc(t, HOUR).join(B.volume_by_side(t, HOUR), ["bucket", *B.KEYS]).where(~hour.isin(7, 8) & ((hour != 20) | (F.col("venue") != "click")))
     return bars.select(F.lit("SYN").alias("asset"), "venue", F.unix_seconds("bucket").alias("bucket"), F.col("p_trade_mean").alias("price"), "v_buy")
 
 
@@ -122,7 +127,7 @@ def _live(spark, at: str, schema, history=None) -> None:
     """One run of the live features over what lies in the input folder, from the state of the run before."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = L.stream_features(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{at}/in"), HOUR, [3 * HOUR], [3 * HOUR], history=history)
+        out = L.stream_features(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{at}/in"), HOUR, [3 * HOUR], [3 * HOUR], history=history, horizons=(4 * HOUR,))
         out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")

@@ -59,9 +59,56 @@ def flush(batch: DataFrame, lossless: Column, keys: list[str], order: list[str])
     return batch.where(lossless).unionByName(coalesce_latest(batch.where(~lossless), keys, order))
 
 
+#: What the archive holds of each kind of event beside its path's columns, and what its path is made of, before date and hour.
+KINDS = {
+    "trade": (("event_id", "trade_id", "price", "quantity", "taker_side", "exchange_ts_ms", "received_ts_ms"), ("venue", "instrument")),
+    "book": (("event_id", "sequence", "bids", "asks", "depth", "exchange_ts_ms", "received_ts_ms"), ("venue", "instrument")),
+    "contract_ticker": (("event_id", "yes_bid_dollars", "yes_ask_dollars", "last_price_dollars", "volume", "open_interest", "exchange_ts_ms", "received_ts_ms"), ("series_ticker", "event_ticker", "market_ticker")),
+    "contract_trade": (("event_id", "trade_id", "yes_price_dollars", "count", "taker_side", "exchange_ts_ms", "received_ts_ms"), ("series_ticker", "event_ticker", "market_ticker")),
+    "contract_book": (("event_id", "event_type", "sequence", "yes_bids", "no_bids", "delta_price_dollars", "delta_fp", "delta_side", "exchange_ts_ms", "received_ts_ms"), ("series_ticker", "event_ticker", "market_ticker")),
+}
+FLUSH_ROWS = 10_000
+
+
+def archive_batch(batch: DataFrame, root: str, name: str, number: int, kinds: dict = KINDS, most: int = FLUSH_ROWS) -> None:
+    """Writes a micro-batch: each kind (column kind) below <root>/<kind>/batch=<name>-<number>/, by its path's columns, date
+    and hour, files of at most `most` rows that hold one partition each, in order of arrival; rows with an error, or of no
+    known kind, to <root>/dead/ likewise. A part that is there in full stays as it is, so a batch that is replayed leaves
+    the files that it has made; a part that broke off is written again whole.
+    """
+    spark = batch.sparkSession
+    held = batch.persist()  # read once for all kinds
+    try:
+        good = F.col("error").isNull() & F.coalesce(F.col("kind").isin(list(kinds)), F.lit(False)) if "error" in batch.columns else F.coalesce(F.col("kind").isin(list(kinds)), F.lit(False))
+        at = F.timestamp_millis(F.coalesce("exchange_ts_ms", "received_ts_ms"))
+        for kind, (columns, path) in (kinds | {"dead": ((), ())}).items():
+            target = f"{root.rstrip('/')}/{kind}/batch={name}-{number}"
+            done = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+            if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+                continue
+            if kind == "dead":
+                rows, by = held.where(~good), []
+            else:
+                by = [*path, "date", "hour"]
+                safe = [F.regexp_replace(F.coalesce(c, F.lit("unknown")), "[^A-Za-z0-9_.-]+", "_").alias(c) for c in path]
+                rows = held.where(good & (F.col("kind") == kind)).select(*columns, *safe, F.date_format(at, "yyyy-MM-dd").alias("date"), F.date_format(at, "HH").alias("hour"))
+                rows = rows.hint("rebalance", *by).sortWithinPartitions(*by, "received_ts_ms", "event_id")
+            if by or not rows.isEmpty():
+                rows.write.mode("overwrite").option("maxRecordsPerFile", most).partitionBy(*by).parquet(target)
+    finally:
+        held.unpersist()
+
+
+def archive_kinds(events: DataFrame, root: str, name: str, checkpoint: str, trigger: dict | None = None, kinds: dict = KINDS, most: int = FLUSH_ROWS):
+    """The archive of all kinds as a streaming query of this name: a flush every 60 seconds, or as `trigger` says. Batches are
+    named by the query and their number, so what a failure makes it write again is in its place already.
+    """
+    return events.writeStream.queryName(name).foreachBatch(lambda batch, number: archive_batch(batch, root, name, number, kinds, most)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+
+
 def archive_stream(events: DataFrame, root: str, checkpoint: str, by: list[str], trigger: dict | None = None):
-    """Exactly-once archive to partitioned Parquet."""
-    return events.writeStream.format("parquet").option("path", root).option("checkpointLocation", checkpoint).partitionBy(*by).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+    """Exactly-once archive of one kind to partitioned Parquet."""
+    return events.writeStream.format("parquet").option("path", root).option("checkpointLocation", checkpoint).option("maxRecordsPerFile", FLUSH_ROWS).partitionBy(*by).trigger(**(trigger or {"processingTime": "60 seconds"})).start()
 
 
 def split_stream(events: DataFrame, checkpoint: str, good: Callable[[DataFrame], None], dead: Callable[[DataFrame], None], trigger: dict | None = None):
