@@ -159,13 +159,17 @@ def book_messages(spark, d, quantity):
     return rows.select("venue", (F.col("event_id") * 4).alias("at"), F.col("event_id").alias("sequence"), kind.alias("kind"), "levels", "event_id")
 
 
-@query("running_books", """SELECT m.venue, m.event_id AS sequence, count(*) FILTER (s.side = 'bid' AND u.q > 0)::INT AS n_bids, count(*) FILTER (s.side = 'ask' AND u.q > 0)::INT AS n_asks, max(CASE WHEN s.side = 'bid' AND u.q > 0 THEN s.level END)::DOUBLE AS best_bid,
+#: SQL of the book of each venue after each message.
+BOOK_AFTER_MESSAGES = ("""SELECT m.venue, m.event_id AS sequence, count(*) FILTER (s.side = 'bid' AND u.q > 0)::INT AS n_bids, count(*) FILTER (s.side = 'ask' AND u.q > 0)::INT AS n_asks, max(CASE WHEN s.side = 'bid' AND u.q > 0 THEN s.level END)::DOUBLE AS best_bid,
   min(CASE WHEN s.side = 'ask' AND u.q > 0 THEN s.level END)::DOUBLE AS best_ask, sum(CASE WHEN u.q > 0 THEN u.q ELSE 0 END)::DOUBLE AS total
   FROM msg m CROSS JOIN (SELECT side, unnest(range(1, 11)) AS level FROM (VALUES ('bid'), ('ask')) x(side)) s
   ASOF LEFT JOIN upd u ON u.venue = m.venue AND u.side = s.side AND u.level = s.level AND u.epoch = m.epoch AND u.event_id <= m.event_id GROUP BY ALL""",
        """upd0 AS (SELECT venue, event_id, side, level, greatest(quantity - 3, 0) AS q FROM book_levels WHERE event_id % 100 = 0 OR level = event_id % 10 + 1),
 msg AS (SELECT *, max(CASE WHEN event_id % 100 = 0 THEN event_id ELSE -1 END) OVER (PARTITION BY venue ORDER BY event_id) AS epoch FROM (SELECT DISTINCT venue, event_id FROM upd0)),
 upd AS (SELECT upd0.*, epoch FROM upd0 JOIN msg USING (venue, event_id))""")
+
+
+@query("running_books", *BOOK_AFTER_MESSAGES)
 def running_books(spark, d):
     """The book of each venue after each of its messages, which name quantities; 0 takes a level out."""
     messages = book_messages(spark, d, F.greatest(F.col("quantity") - 3, F.lit(0)))

@@ -11,6 +11,8 @@ from voltide.operators import bars as B
 from voltide.sources.adapters import later
 from voltide.streaming import bars as S
 from voltide.streaming import features as L
+from voltide.streaming import pricing as T
+from voltide.streaming.pricing import KNOTS as P_KNOTS
 
 from .bars import clean
 from .base import HOUR, TRADE_BARS, query
@@ -190,13 +192,14 @@ turn AS (SELECT min(hour) + 600 AS moment, event_ticker FROM ev WHERE h % 3 = 0
 msg AS (SELECT hour + 600 AS moment, event_ticker, h FROM ev UNION ALL SELECT hour + 900, lag(event_ticker) OVER (ORDER BY hour), h FROM ev WHERE h % 3 = 0)"""
 
 
-@query("event_rollover", """SELECT moment, event_ticker, coalesce(event_ticker = active, false) AS accepted, coalesce(active, '') AS active, coalesce(generation, 0) AS generation FROM (
-  SELECT m.moment, m.event_ticker, t.event_ticker AS active, t.generation FROM (SELECT * FROM msg WHERE event_ticker IS NOT NULL) m ASOF LEFT JOIN (SELECT *, row_number() OVER (ORDER BY moment) AS generation FROM turn) t ON m.moment >= t.moment)""", ROLL)
-def event_rollover(spark, d):
-    """Every third event is staged and confirmed by its own first message; the others' messages are refused, and so are the old event's after the switch."""
+ROLLED = """SELECT moment, event_ticker, coalesce(event_ticker = active, false) AS accepted, coalesce(active, '') AS active, coalesce(generation, 0) AS generation FROM (
+  SELECT m.moment, m.event_ticker, t.event_ticker AS active, t.generation FROM (SELECT * FROM msg WHERE event_ticker IS NOT NULL) m ASOF LEFT JOIN (SELECT *, row_number() OVER (ORDER BY moment) AS generation FROM turn) t ON m.moment >= t.moment)"""
+
+
+def stagings(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Every third event is staged and confirmed by its own first message; the others' messages are to be refused, and so are the old event's after the switch."""
     from pyspark.sql import Window
 
-    from voltide.operators import pricing as P
     from voltide.sources.adapters import quotes
 
     series = F.lit("SER").alias("series")
@@ -207,33 +210,100 @@ def event_rollover(spark, d):
     staged = staged.unionByName(third.select(series, "event_ticker", (F.col("hour") + 1200).alias("at")))
     before = third.withColumn("event_ticker", F.lag("event_ticker").over(Window.partitionBy(F.lit(1)).orderBy("hour"))).where("event_ticker IS NOT NULL")
     messages = ev.select(series, "event_ticker", (F.col("hour") + 600).alias("at")).unionByName(before.select(series, "event_ticker", (F.col("hour") + 900).alias("at")))
-    return P.rollover(staged, messages).drop("series").withColumnRenamed("at", "moment")
+    return staged, messages
+
+
+@query("event_rollover", ROLLED, ROLL)
+def event_rollover(spark, d):
+    from voltide.operators import pricing as P
+
+    return P.rollover(*stagings(spark, d)).drop("series").withColumnRenamed("at", "moment")
+
+
+def in_runs(spark, name: str, parts: list[DataFrame], step) -> DataFrame:
+    """What a streaming query puts out over several runs, each from the state of the one before, over a part of its input each."""
+    at = folder(spark, name)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for i, part in enumerate(parts):
+            part.write.parquet(f"{at}/in/{i}")
+            out = step(spark.readStream.schema(part.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in"))
+            out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+@query("stream_rollover", ROLLED, ROLL)
+def stream_rollover(spark, d):
+    """The same on a stream, in two runs."""
+    staged, messages = stagings(spark, d)
+    rows = staged.withColumn("kind", F.lit("staged")).unionByName(messages.withColumn("kind", F.lit("message")))
+    out = in_runs(spark, "rollover", [rows.where(F.col("at") < MIDDLE), rows.where(F.col("at") >= MIDDLE)], T.stream_rollover)
+    return out.select(F.col("at").alias("moment"), "event_ticker", "accepted", "active", "generation")
+
+
+def _stream_books(spark, d):
+    """The book of each venue after each message, in two runs of a stream."""
+    from voltide.operators import running_book as R
+
+    from .book import book_messages
+
+    messages = book_messages(spark, d, F.greatest(F.col("quantity") - 3, F.lit(0)))
+    out = in_runs(spark, "books", [messages.where("event_id < 4000"), messages.where("event_id >= 4000")], lambda rows: R.stream_books(rows, ["venue"], "at", signed=False))
+    price = lambda side: F.get(side, F.lit(0))["price"].cast("double")
+    return out.select("venue", "sequence", F.size("bid").alias("n_bids"), F.size("ask").alias("n_asks"), price("bid").alias("best_bid"), price("ask").alias("best_ask"), F.aggregate(F.concat("bid", "ask"), F.lit(0.0), lambda t, x: t + x["quantity"].cast("double")).alias("total"))
+
+
+ARCHIVED = "['trade', 'book', 'contract_ticker', 'contract_trade', 'contract_book'][(event_id % 5) + 1]"
+
+
+@query("archive_kinds", f"""SELECT CASE WHEN event_id % 97 = 0 THEN 'dead' ELSE {ARCHIVED} END AS kind, CASE WHEN event_id % 97 <> 0 THEN venue END AS part, CASE WHEN event_id % 97 <> 0 THEN epoch_us(event_timestamp) // 3600000000 % 24 END AS hour, count(*) AS n, sum(event_id)::BIGINT AS ids FROM one GROUP BY ALL""", ONE)
+def archive_kinds(spark, d):
+    """An archive of five kinds and of rows with an error, by the hour of the day, in two runs of a stream."""
+    from voltide.sources.adapters import trades
+
+    kinds, at = list(S.KINDS), folder(spark, "kinds")
+    columns = {c for own, path in S.KINDS.values() for c in (*own, *path)} - {"event_id", "venue", "instrument", "series_ticker", "exchange_ts_ms", "received_ts_ms"}
+    t = trades(spark, d).where("ingested_at = received_timestamp")
+    rows = t.select(F.get(F.array(*map(F.lit, kinds)), (F.col("event_id") % 5).cast("int")).alias("kind"), F.when(F.col("event_id") % 97 == 0, "price").alias("error"), "event_id", "venue", "instrument", F.col("venue").alias("series_ticker"),
+                    (F.unix_millis("event_timestamp") % 86_400_000).alias("exchange_ts_ms"), F.unix_millis("received_timestamp").alias("received_ts_ms"), *[F.lit("x").alias(c) for c in sorted(columns)])
+    for i, part in enumerate((rows.where("event_id < 3000"), rows.where("event_id >= 3000"))):
+        part.write.parquet(f"{at}/in/{i}")
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in")
+        S.archive_kinds(stream, f"{at}/out", "events", f"{at}/state", {"availableNow": True}).awaitTermination()
+    out = None
+    for kind, (_, path) in (S.KINDS | {"dead": ((), ())}).items():
+        part = spark.read.parquet(f"{at}/out/{kind}")
+        name, hour = (F.col(path[0]), F.floor(F.col("exchange_ts_ms") / 3_600_000)) if path else (F.lit(None).cast("string"), F.lit(None).cast("long"))
+        counts = part.groupBy(F.lit(kind).alias("kind"), name.alias("part"), hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+        out = counts if out is None else out.unionByName(counts)
+    return out
 
 
 CURVES = """curves AS (SELECT * FROM (VALUES (0, 0.3::DOUBLE, 0.35::DOUBLE, 0.5::DOUBLE, 0.45::DOUBLE), (1704067200 + 864000, 0.3, NULL, 0.5, 0.45), (1704067200 + 1728000, 0.6, 0.7, 0.8, 0.9)) c(feature_at, sigma_300, sigma_900, sigma_1800, sigma_3600))"""
 
 
 def _stream_pricing(spark, d):
-    """Each micro-batch of tickers joined with contract metadata and the curve of its time, and priced; without a valid
-    curve its prices are retracted: rows without a price, with the reason.
+    """Each event a series: its tickers, spot and the curves of its time as a stream, in two runs; without a valid curve its
+    prices are taken back: rows without a price, with the reason.
     """
-    from voltide.operators import pricing as P
+    from voltide.operators import joins as J
     from voltide.sources.adapters import quotes
 
     from .book import metadata
 
-    at = folder(spark, "pricing")
-    tickers = quotes(spark, d).withColumn("quoted_at", F.col("quoted_on") - F.when(F.col("j") % 4 == 0, 100).otherwise(10)).drop("strike", "expiry")
-    tickers.write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(tickers.schema).parquet(f"{at}/in")
+    q = quotes(spark, d).withColumn("quoted_at", F.col("quoted_on") - F.when(F.col("j") % 4 == 0, 100).otherwise(10)).drop("strike", "expiry")
+    tickers = J.with_metadata(q, metadata(spark, d)).select(F.col("event_ticker").alias("series"), F.lit("ticker").alias("kind"), F.col("quoted_on").alias("at"), "market_ticker", "event_ticker", "bid", "ask", "quoted_at", "strike", "expiry", "status")
+    events = q.groupBy("event_ticker", "quoted_on").agg(F.max("spot").alias("spot"))
+    spots = events.select(F.col("event_ticker").alias("series"), F.lit("spot").alias("kind"), F.col("quoted_on").alias("at"), "spot")
     rows = [(0, 0.3, 0.35, 0.5, 0.45), (1704067200 + 864_000, 0.3, None, 0.5, 0.45), (1704067200 + 1_728_000, 0.6, 0.7, 0.8, 0.9)]
     curves = spark.createDataFrame(rows, "feature_at long, sigma_300 double, sigma_900 double, sigma_1800 double, sigma_3600 double")
-
-    def price(batch, _):
-        P.price_contracts(batch, metadata(spark, d), curves, F.col("quoted_on")).select("market_ticker", "reason", "model", "edge").write.mode("append").parquet(f"{at}/out")
-
-    stream.writeStream.foreachBatch(price).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    known = events.join(F.broadcast(curves), F.col("feature_at") <= F.col("quoted_on"))  # three rows
+    curves = known.select(F.col("event_ticker").alias("series"), F.lit("curve").alias("kind"), F.col("quoted_on").alias("at"), "feature_at", *P_KNOTS)
+    stream = tickers.unionByName(spots, allowMissingColumns=True).unionByName(curves, allowMissingColumns=True)
+    out = in_runs(spark, "pricing", [stream.where(F.col("at") < MIDDLE), stream.where(F.col("at") >= MIDDLE)], lambda rows: T.stream_pricing(rows, spot_age=None, curve_age=None))
+    return out.select("market_ticker", "reason", "model", "edge")
 
 
 def _register_pricing():
@@ -249,3 +319,12 @@ priced AS (SELECT market_ticker, reason, CASE WHEN reason IS NULL THEN {cdf('x')
 
 
 _register_pricing()
+
+
+def _register_books():
+    from .book import BOOK_AFTER_MESSAGES
+
+    query("stream_books", *BOOK_AFTER_MESSAGES)(_stream_books)
+
+
+_register_books()

@@ -141,12 +141,14 @@ class AtomicTable:
     def vacuum(self, keep: int = 1) -> int:
         """Deletes folders that none of the newest `keep` manifests names, and older manifests; returns how many folders went."""
         newest = self.version()
-        used = {f.split("/", 1)[0] for v in range(max(1, newest - keep + 1), newest + 1) for f in self.manifest(v)["folders"]}
-        gone = 0
-        for s in self._fs.listStatus(self._path(self.root)):
-            name = s.getPath().getName()
-            if name.startswith("version=") and name not in used:
-                gone += self._fs.delete(s.getPath(), True)
+        used = {f for v in range(max(1, newest - keep + 1), newest + 1) for f in self.manifest(v)["folders"]}
+        versions, gone = {f.split("/", 1)[0] for f in used}, 0
+        for name in [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]:
+            if name.startswith("version="):
+                old = [f for f in self._folders(name, len(self.by)) if f not in used]
+                gone += len(old)
+                for f in old if name in versions else [name]:
+                    self._fs.delete(self._path(f"{self.root}/{f}"), True)
         for v in range(1, newest - keep + 1):
             self._fs.delete(self._path(f"{self.root}/_manifests/{v}.json"), False)
         return gone
@@ -182,3 +184,14 @@ def touched(new: DataFrame, existing: DataFrame, by: list[str], inside: Column)
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
     return existing.join(parts, on, "left_semi").where(~within).unionByName(new.where(within))
+
+
+def write_clustered(rows: DataFrame, table: str, by: list[str], at: str, buckets: int | None = None, mode: str = "errorifexists") -> None:
+    """Saves rows as a table in `buckets` buckets by `by` and day (a new column, days since 1970 of the timestamp `at`), each
+    sorted by these and time. Joins and windows by key and day then read a bucket as it lies, without a shuffle; a key's days
+    lie in different buckets, so a hot key is spread.
+    """
+    n = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [*by, "day"]
+    placed = rows.withColumn("day", F.floor(F.unix_seconds(at) / 86_400))
+    placed.repartition(n, *keys).write.mode(mode).bucketBy(n, *keys).sortBy(*keys, at).saveAsTable(table)

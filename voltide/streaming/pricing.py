@@ -16,6 +16,7 @@ from voltide.operators.pricing import HORIZONS, priced
 
 KNOTS = [f"sigma_{h}" for h in HORIZONS]
 TICKER = {"event_ticker": "string", "bid": "double", "ask": "double", "quoted_at": "long", "strike": "double", "expiry": "long", "status": "string"}
+MARKET = {"market_ticker": "string"} | TICKER | {"published": "boolean"}
 HELD = {"spot": "double", "spot_at": "long", "feature_at": "long"} | {k: "double" for k in KNOTS}
 
 
@@ -38,8 +39,9 @@ class PricingCycle(StatefulProcessor):
         self.spot_age, self.curve_age, self.names = spot_age, curve_age, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("held", ", ".join(f"{n} {t}" for n, t in (HELD | {"now": "long"}).items()))
-        self.markets = handle.getMapState("markets", "market_ticker string", ", ".join(f"{n} {t}" for n, t in (TICKER | {"published": "boolean"}).items()))
+        # one value holds a series whole: its markets are as many as an event has strikes
+        fields = HELD | {"now": "long"} | {n: f"array<{t}>" for n, t in MARKET.items()}
+        self.state = handle.getValueState("series", ", ".join(f"{n} {t}" for n, t in fields.items()))
 
     def failure(self, held: dict, now: int) -> str | None:
         if held["spot"] is None:
@@ -55,9 +57,9 @@ class PricingCycle(StatefulProcessor):
         return None
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.now.get() if self.now.exists() else [None] * (len(HELD) + 1)
+        state = self.state.get() if self.state.exists() else [*[None] * (len(HELD) + 1), *[[] for _ in MARKET]]
         held = dict(zip([*HELD, "now"], state))
-        markets = {k[0]: dict(zip([*TICKER, "published"], v)) for k, v in self.markets.iterator()}
+        markets = {name: dict(zip([*TICKER, "published"], m)) for name, *m in zip(*state[len(HELD) + 1 :])}
         arrived = set()
         for r in pd.concat(list(rows), ignore_index=True).sort_values("at", kind="stable").to_dict("records"):
             r = {k: _given(v) for k, v in r.items()}
@@ -83,13 +85,9 @@ class PricingCycle(StatefulProcessor):
             m["published"] = price
             if left is not None and left <= 0:
                 gone.append(name)
-        for name, m in markets.items():
-            if name in gone:
-                if self.markets.containsKey((name,)):
-                    self.markets.removeKey((name,))
-            else:
-                self.markets.updateValue((name,), tuple(m[n] if TICKER.get(n) != "long" or m[n] is None else int(m[n]) for n in [*TICKER, "published"]))
-        self.now.update(tuple(held.values()))
+        kept = {name: m for name, m in markets.items() if name not in gone}
+        whole = lambda n, x: int(x) if MARKET[n] == "long" and x is not None else x
+        self.state.update((*held.values(), list(kept), *[[whole(n, m[n]) for m in kept.values()] for n in [*TICKER, "published"]]))
         frame = pd.DataFrame(out, columns=self.names)
         yield frame.astype({n: "Int64" for n in ("at", "quoted_at", "expiry", "spot_at", "feature_at")} | {n: float for n in ("bid", "ask", "strike", "spot", *KNOTS)})
 
