@@ -95,14 +95,15 @@ def apply_book_deltas(updates: DataFrame, key: list[str], at: str = "seq") -> Da
     (`at`) each delta's sequence must be above the last one taken, gaps allowed. Empty levels go.
 
     updates: key, seq, kind (snapshot or delta), side, price, quantity, and `at` if arrivals differ from sequences; rows of a
-    snapshot share its seq. A stale delta, or one that would take its level below 0, is refused, and the book stays as it
+    snapshot share its seq; sides are those of a venue's or a contract's book. A delta that comes twice, its sequence with it,
+    counts once. A stale delta, or one that would take its level below 0, is refused, and the book stays as it
     was: `rejected` tells how many were. A snapshot with a level below 0 is refused whole.
     """
-    from .running_book import running_books
+    from .running_book import CONTRACT_SIDES, VENUE_SIDES, running_books
 
     price = F.struct(F.col("side"), F.col("price").cast("string").alias("price"), F.col("quantity").cast("string").alias("quantity"))
     snapshots = updates.where("kind = 'snapshot'").groupBy(*key, at, "seq", "kind").agg(F.collect_list(price).alias("levels"))  # of one book
-    deltas = updates.where("kind <> 'snapshot'").select(*key, at, "seq", "kind", F.array(price).alias("levels"), "side", "price", "quantity")
+    deltas = updates.where("kind <> 'snapshot'").select(*key, at, "seq", "kind", F.array(price).alias("levels"), "side", "price", "quantity").dropDuplicates([*key, at, "seq", "side", "price"])
     # of deltas that arrive at once the first by side and price counts first
     order = Window.partitionBy(*key, at).orderBy("seq", "side", "price")
     deltas = deltas.withColumn("__nth", F.row_number().over(order))
@@ -114,7 +115,7 @@ def apply_book_deltas(updates: DataFrame, key: list[str], at: str = "seq") -> Da
         live.select(*key, F.struct(F.col(at), F.col("__nth").alias("nth")).alias("__order"), F.col("seq").alias("sequence"), "kind", "levels"))
     place = Window.partitionBy(*key).orderBy("__order")  # messages since the last snapshot of a book
     messages = messages.withColumn("place", F.row_number().over(place))
-    verdicts = running_books(messages.drop("__order"), key, "place", True, (("bid", True), ("ask", False)), 0).select(*key, "place", "reason")
+    verdicts = running_books(messages.drop("__order"), key, "place", True, VENUE_SIDES + CONTRACT_SIDES, 0).select(*key, "place", "reason")
     taken = messages.join(verdicts, [*key, "place"]).select(*key, "reason", F.inline("levels"))
     amount = F.when(F.col("reason").isNull(), F.col("quantity").cast("double")).otherwise(0.0)
     out = taken.groupBy(*key, "side", F.col("price").cast("double").alias("price")).agg(F.sum(amount).alias("quantity"), F.count_if(F.col("reason").isNotNull()).cast("int").alias("rejected"))
