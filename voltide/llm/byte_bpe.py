@@ -4,7 +4,8 @@ A text of more than CHUNK code points is dealt as chunks that overlap by OVERLAP
 own first character. Two neighbours resynchronise at the first pre-token boundary that both place in their overlap:
 from there both see the same text from the same start, so the left one's pre-tokens go on as the right one's. The text
 is cut at these boundaries into pieces, which are encoded in parallel and put together by document. A text of which two
-neighbours share no boundary (a blank run or a word longer than the overlap) is encoded whole.
+neighbours share no boundary (a blank run or a word longer than the overlap) is encoded whole. A text is cut up in one pass
+over it, so work grows with its length.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded each; ids may be
 null or repeat; an empty table gives an empty result; further columns are ignored.
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +47,12 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.start() for m in regex.finditer(pattern, text)]
 
 
+def _frames(rows: Iterator[tuple], columns: list[str], most: int = 256) -> Iterator[pd.DataFrame]:
+    """Rows as they come, in frames of at most `most`."""
+    while part := list(itertools.islice(rows, most)):
+        yield pd.DataFrame(part, columns=columns)
+
+
 def _encoder(path: str, pattern: str):
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoding(path, pattern)
@@ -61,8 +69,13 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", chunk
     short = rows.where(F.length("text") <= chunk).select("row", "doc_id", F.lit(0).alias("at"), F.col("text").alias("piece"))
     # the long texts are written once: the pieces are cut from the rows that the chunks were
     long = cut(rows.where(F.length("text") > chunk))
-    starts = F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk)))
-    chunks = long.select("row", starts.alias("start"), "text").select("row", "start", F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("chunk"))
+
+    def chunked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row, text in zip(batch["row"], batch["text"]):
+                yield from _frames(((row, k, text[k : k + chunk + overlap]) for k in range(0, len(text), chunk)), ["row", "start", "chunk"])
+
+    chunks = long.select("row", "text").mapInPandas(chunked, "row long, start int, chunk string")
 
     def edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -80,9 +93,14 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", chunk
     cuts = near.select("row", "start", F.when(F.col("start") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(by_start)))).alias("cut"))
     cuts = cuts.groupBy("row").agg(F.array_sort(F.collect_list("cut")).alias("cuts"), F.count(F.when(F.col("cut").isNull(), 1)).alias("unmet"))
     cuts = cuts.select(F.col("row").alias("of"), F.when(F.col("unmet") == 0, F.col("cuts")).otherwise(F.array(F.lit(0))).alias("cuts"))
-    pieces = long.join(cuts, F.col("row") == F.col("of")).select("row", "doc_id", "text", F.posexplode("cuts").alias("k", "at"), "cuts")
-    end = F.coalesce(F.get("cuts", F.col("k") + 1), F.length("text"))
-    pieces = pieces.select("row", "doc_id", "at", F.substring("text", F.col("at") + 1, end - F.col("at")).alias("piece")).repartition("row", "at")
+
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row, doc_id, text, cuts in zip(batch["row"], batch["doc_id"], batch["text"], batch["cuts"]):
+                ends = [*cuts[1:], len(text)]
+                yield from _frames(((row, doc_id, a, text[a:b]) for a, b in zip(cuts, ends)), ["row", "doc_id", "at", "piece"])
+
+    pieces = long.join(cuts, F.col("row") == F.col("of")).select("row", "doc_id", "text", "cuts").mapInPandas(cut_up, "row long, doc_id string, at int, piece string").repartition("row", "at")
     schema = "row long, doc_id string, at int, ids binary"
     whole = short.mapInPandas(_encoder(path, pattern), schema).select("row", "doc_id", "ids")
     parts = pieces.mapInPandas(_encoder(path, pattern), schema).groupBy("row").agg(
