@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -194,6 +195,23 @@ def test_toxicity_decodes_obfuscation(docs):
     assert "therrrr" not in restore("therrrre")
 
 
+def test_toxicity_decodes_spacing_word_ends_and_look_alikes():
+    """Under a model of the word alone, every way of hiding it gives it back."""
+    codes = toxicity._codes()
+    n = np.full(toxicity.LETTERS**3, 0.02)
+    c = codes[np.frombuffer(b"\n\n" + b"there is good there " * 200, dtype=np.uint8)].astype(np.int64)
+    n += np.bincount((c[:-2] * toxicity.LETTERS + c[1:-1]) * toxicity.LETTERS + c[2:], minlength=len(n))
+    n = n.reshape((toxicity.LETTERS,) * 3)
+    restore = toxicity.restorer(-np.log(n / n.sum(axis=2, keepdims=True)).astype(np.float32))
+    for hidden in ("t h e r e", "t.h.e.r.e", "t  h  e  r  e", "t, h, e, r, e", "t/h/e/r/e", "t\nh\ne\nr\ne", "th3r3", "7h3r3", "ther3", "th.ere", "the_re", "thеrе", "THERRRE"):
+        assert restore(f"is {hidden} is") == "is there is", hidden
+    assert restore("good 3.14 in 2000, мир is") == "good 3.14 in 2000, мир is"
+    for text in ("a.b" * 100_000, "a1" * 100_000, "aa" * 150_000, "x" * 300_000, "а" * 300_000 + "a"):  # linear in the text
+        began = time.process_time()
+        restore(text)
+        assert time.process_time() - began < 8
+
+
 def test_toxicity_decodes_long_spans(docs):
     model = toxicity.language_model(docs)
     restore = toxicity.restorer(model)

@@ -1,9 +1,10 @@
 """Toxicity of text restored from obfuscation.
 
-A character trigram model is counted over the whole corpus. Suspicious spans of a text (letters mixed with leetspeak
-signs, single letters with separators between them, characters three or more times over) become character lattices:
-a sign may stand for the letters it resembles, a run for one or two of its character, a separator for nothing. Viterbi
-decoding under the trigram model picks the restored span. The restored text is scored by a logistic model over
+A character trigram model is counted over the whole corpus. Suspicious spans of a text become character lattices: words
+with leetspeak signs in them or at either end, single letters with separators between them, words that separators cut,
+and letters three or more times in a row. A sign may stand for the letters it resembles, a run for one or two of its
+letter, a separator between single letters for nothing, and one within a word for nothing or for itself; letters of other scripts that look Latin count as Latin in words that have Latin letters too. Each of these
+has a cost, and Viterbi decoding under the trigram model picks the restored span. The restored text is scored by a logistic model over
 character n-grams, found by one automaton pass; n-grams and weights are learned from a bounded sample of labelled rows
 outside the held-out fold.
 
@@ -37,14 +38,20 @@ LETTERS = 28  # 0: all but letters, 1-26: a-z, 27: bytes of letters beyond ASCII
 
 # The letters that a sign resembles.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
-SIGN_COST, RUN_COST, GAP_COST = 0.7, 0.5, 0.1
+# Cyrillic and Greek letters that look like Latin ones.
+LOOKS = str.maketrans("асеорхуіјѕһԁοαενι", "aceopxyijshdoaevi")
+SIGN_COST, RUN_COST, GAP_COST, JOIN_COST = 0.7, 0.5, 0.1, 1.0
 CACHED = 60  # characters of a part that a worker keeps decoded
 SIGN = re.escape("".join(LEET))
-#: Single letters with separators between them, or a run of letters and signs; one pass, linear in the text.
-TOKEN = re.compile(rf"(?P<spaced>(?<![a-z0-9])(?:[a-z{SIGN}][ ._*-]){{3,}}[a-z{SIGN}](?![a-z0-9]))|[a-z{SIGN}]+")
-INSIDE = re.compile(rf"[a-z][{SIGN}]+[a-z]|([a-z])\1\1")  # signs within a word, long runs
+BETWEEN = r"[\s.,:;_*/\\~-]"  # separators between single letters
+WITHIN = "._*~"  # separators within a word
+#: Single letters with separators between them, or a run of letters, signs and separators within; one pass, linear in the text.
+TOKEN = re.compile(rf"(?P<spaced>(?<![a-z0-9])(?:[a-z{SIGN}]{BETWEEN}{{1,3}}){{3,}}[a-z{SIGN}](?![a-z0-9]))|[a-z{SIGN}]+(?:[{WITHIN}]+[a-z{SIGN}]+)*")
+INSIDE = re.compile(rf"[a-z][{SIGN}]+[a-z]|([a-z])\1\1|[a-z][{WITHIN}]+[a-z]")  # signs or separators within a word, long runs
 LEADING = re.compile(rf"[{SIGN}]+[a-z]{{2,}}")  # signs at the start of a word
-OPEN = re.compile(rf"(?:[{SIGN}]|([a-z])\1\1+)(?:[a-z]?(?:[{SIGN}]|([a-z])\2\2+))*")  # what has a choice, less than two fixed letters apart
+TRAILING = re.compile(r"[a-z]{2}[013457@$]{1,2}$")  # or at its end
+OPEN = re.compile(rf"(?:[{SIGN}{WITHIN}]|([a-z])\1\1+)(?:[a-z]?(?:[{SIGN}{WITHIN}]|([a-z])\2\2+))*")  # what has a choice, less than two fixed letters apart
+LOOKALIKE, WORDS = re.compile("[асеорхуіјѕһԁοαενι]"), re.compile(r"\w+")
 
 
 def _codes() -> np.ndarray:
@@ -83,8 +90,8 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return -np.log(n / n.sum(axis=2, keepdims=True)).astype(np.float32)
 
 
-def _lattice(span: str) -> Iterator[tuple[int, int, str, float]]:
-    """Arcs (from, to, letters, cost) over the span's characters, in order of `from`."""
+def _lattice(span: str, spaced: bool = False) -> Iterator[tuple[int, int, str, float]]:
+    """Arcs (from, to, letters, cost) over the span's characters, in order of `from`. spaced: separators stand for nothing."""
     i = 0
     while i < len(span):
         j = i + 1
@@ -92,8 +99,10 @@ def _lattice(span: str) -> Iterator[tuple[int, int, str, float]]:
             j += 1
         ch = span[i]
         stands = [(ch, 0.0)] if ch.isalpha() else [(x, SIGN_COST) for x in LEET.get(ch, "")]
-        if not stands:
-            yield i, j, "", GAP_COST  # a separator, however often
+        if not stands:  # a separator, however often
+            yield i, j, "", GAP_COST if spaced else JOIN_COST
+            if not spaced:
+                yield i, j, span[i:j], 0.0
         elif j - i >= 3:
             yield from ((i, j, x * k, cost + RUN_COST) for x, cost in stands for k in (1, 2))
         else:
@@ -102,10 +111,10 @@ def _lattice(span: str) -> Iterator[tuple[int, int, str, float]]:
 
 
 def _code(letter: str) -> int:
-    return ord(letter) - 96 if "a" <= letter <= "z" else 27
+    return ord(letter) - 96 if "a" <= letter <= "z" else 27 if letter.isalpha() else 0
 
 
-def decode(span: str, model: np.ndarray, before: str = "", after: str = "") -> str:
+def decode(span: str, model: np.ndarray, before: str = "", after: str = "", spaced: bool = False) -> str:
     """The cheapest restored span: channel costs plus the trigram model, from the fixed letters before it to those after it.
 
     Without letters before or after, a word starts or ends there. A state has its cost, its last letters and the state
@@ -113,7 +122,7 @@ def decode(span: str, model: np.ndarray, before: str = "", after: str = "") -> s
     """
     first = (0, 0, *map(_code, before[-2:]))[-2:]
     best: dict[int, dict] = {0: {first: (0.0, "", None)}}
-    for at, arcs in itertools.groupby(_lattice(span), key=operator.itemgetter(0)):
+    for at, arcs in itertools.groupby(_lattice(span, spaced), key=operator.itemgetter(0)):
         arcs = list(arcs)
         for (p, q), state in best.pop(at, {}).items():
             cost = state[0]
@@ -158,14 +167,21 @@ def restorer(model: np.ndarray):
     def restore(m: re.Match) -> str:
         span = m[0]
         if m["spaced"]:
-            return decode(span, model)
+            return decode(span, model, spaced=True)
+        word = span.rstrip("!|+")  # punctuation
         starts = m.start() == 0 or m.string[m.start() - 1].isspace()
-        if not (INSIDE.search(span) or starts and LEADING.match(span)):
+        if not (INSIDE.search(word) or TRAILING.search(word[-4:]) or starts and LEADING.match(word)):
             return span
-        word = span.rstrip("!|+")  # punctuation
         return OPEN.sub(lambda part: part_of(word, part), word) + span[len(word) :]
 
-    return lambda text: TOKEN.sub(restore, text.lower())
+    def latin(m: re.Match) -> str:
+        return m[0].translate(LOOKS) if re.search("[a-z]", m[0]) else m[0]
+
+    def whole(text: str) -> str:
+        text = text.lower()
+        return TOKEN.sub(restore, WORDS.sub(latin, text) if LOOKALIKE.search(text) else text)
+
+    return whole
 
 
 def restored(docs: DataFrame, model: np.ndarray, columns: list[str], text_col: str = "text") -> DataFrame:
@@ -189,8 +205,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: dict[i
     for value, most in rows.items():
         part = own.where(F.col("label") == value).orderBy(draw, "doc_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
-    # `rows` bounds the broadcast; a repeated id counts once
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    # `rows` bounds the broadcast; a repeated id counts once, with its least text
+    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
 
 
 def _matcher(grams: list[str]):
