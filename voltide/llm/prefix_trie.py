@@ -184,3 +184,23 @@ def prefix_trie(turns: DataFrame, convs: DataFrame | None = None) -> DataFrame:
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(*rebuilt(turns_of(table(spark, sf_dir, "conversations"))))
+
+
+#: Every prefix of every conversation as a list, with CRC-32 from its polynomial as in `sharding.SQL`.
+SQL = r"""
+WITH b AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda r, k: xor(r >> 1, (r & 1) * 3988292384)) ORDER BY n) AS rest FROM (SELECT unnest(range(256)) AS n)),
+h AS (SELECT c, xor(list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT FOR x IN regexp_extract_all(c::VARCHAR, '.')]), lambda r, x: xor(r >> 8, rest[(xor(r, x) & 255) + 1])), 4294967295) % 6 AS h
+      FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL), b),
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, {r: coalesce(role, ''), x: coalesce(text, '')} AS turn FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+re AS (SELECT h.c, p AS d, turn FROM h JOIN t ON t.c = h.c - h.c % 100 AND p <= h
+  UNION ALL SELECT h.c, p - h + least(h, coalesce(n, 0)), turn FROM h JOIN t ON t.c = h.c AND p > h LEFT JOIN n ON n.c = h.c - h.c % 100),
+s AS (SELECT h.c, coalesce(list(turn ORDER BY d) FILTER (d IS NOT NULL), []) AS s FROM h LEFT JOIN re ON re.c = h.c GROUP BY h.c),
+pre AS (SELECT c, d = len(s) AS ends, d, s[1:d] AS k FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM s)),
+node AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM pre GROUP BY k, d),
+kid AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+every AS (SELECT node.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(k[d].x) ELSE 0 END AS saved FROM node LEFT JOIN kid USING (k)),
+below AS (SELECT k[1:e] AS k, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM every) GROUP BY 1)
+SELECT a.conv_id, a.d AS depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, n_leaves, saved_tokens, a.ends_sha256
+FROM every a JOIN below USING (k) LEFT JOIN node p ON a.d > 0 AND p.k = a.k[1:a.d - 1]
+"""

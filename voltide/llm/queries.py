@@ -26,4 +26,5 @@ ORACLE_SQL = {
     "op7_exact_dedup": exact_dedup.SQL,
     "op8_jaccard_join": jaccard_join.SQL,
     "op11_byte_shards": sharding.SQL,
+    "op13_prefix_trie": prefix_trie.SQL,
 }
