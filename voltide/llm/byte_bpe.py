@@ -47,24 +47,38 @@ def boundaries(text: str, pattern: str) -> list[int]:
     return [m.start() for m in regex.finditer(pattern, text)]
 
 
-def _frames(rows: Iterator[tuple], columns: list[str], most: int = 256) -> Iterator[pd.DataFrame]:
+def _frames(rows: Iterator[tuple], columns: list[str], most: int = 32) -> Iterator[pd.DataFrame]:
     """Rows as they come, in frames of at most `most`."""
     while part := list(itertools.islice(rows, most)):
         yield pd.DataFrame(part, columns=columns)
 
 
-def _encoder(path: str, pattern: str):
+DIGESTS = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digested(doc_ids, ids: list[bytes], path: str, pattern: str) -> pd.DataFrame:
+    return pd.DataFrame({
+        "doc_id": doc_ids,
+        "n_tokens": [len(x) // 4 for x in ids],
+        "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+        "decoded_sha256": [hashlib.sha256(decode(x, path, pattern)).hexdigest() for x in ids],
+    })
+
+
+def _encoder(path: str, pattern: str, digested: bool = False):
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoding(path, pattern)
         for batch in batches:
             ids = [np.asarray(own.encode_ordinary(t), dtype="<u4").tobytes() if t else b"" for t in batch["piece"]]
-            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "at": batch["at"], "ids": ids})
+            yield _digested(batch["doc_id"], ids, path, pattern) if digested else pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "at": batch["at"], "ids": ids})
 
     return encode
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """row, doc_id, ids: a text's token ids as little-endian unsigned 32-bit integers."""
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP, digested: bool = False) -> DataFrame:
+    """row, doc_id, ids: a text's token ids as little-endian unsigned 32-bit integers; or, if `digested`, doc_id, n_tokens,
+    ids_sha256 and decoded_sha256, made where the ids are, so that a task has one Python worker.
+    """
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string").alias("doc_id"), text_of(text_col).alias("text"))
     short = rows.where(F.length("text") <= chunk).select("row", "doc_id", F.lit(0).alias("at"), F.col("text").alias("piece"))
     # the long texts are written once: the pieces are cut from the rows that the chunks were
@@ -102,7 +116,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", chunk
 
     pieces = long.join(cuts, F.col("row") == F.col("of")).select("row", "doc_id", "text", "cuts").mapInPandas(cut_up, "row long, doc_id string, at int, piece string").repartition("row", "at")
     schema = "row long, doc_id string, at int, ids binary"
-    whole = short.mapInPandas(_encoder(path, pattern), schema).select("row", "doc_id", "ids")
+    whole = short.mapInPandas(_encoder(path, pattern, digested), DIGESTS if digested else schema)
     parts = pieces.mapInPandas(_encoder(path, pattern), schema).groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"),
@@ -110,9 +124,11 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", chunk
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "ids": [b"".join(p["ids"] for p in parts) for parts in batch["parts"]]})
+            ids = [b"".join(p["ids"] for p in parts) for parts in batch["parts"]]
+            yield _digested(batch["doc_id"], ids, path, pattern) if digested else pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"], "ids": ids})
 
-    return whole.unionByName(parts.mapInPandas(joined, "row long, doc_id string, ids binary"))
+    parts = parts.mapInPandas(joined, DIGESTS if digested else "row long, doc_id string, ids binary")
+    return whole.unionByName(parts) if digested else whole.select("row", "doc_id", "ids").unionByName(parts)
 
 
 def decode(ids: bytes, path: str, pattern: str) -> bytes:
@@ -120,26 +136,12 @@ def decode(ids: bytes, path: str, pattern: str) -> bytes:
     return encoding(path, pattern).decode_bytes(np.frombuffer(ids, dtype="<u4").tolist())
 
 
-def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"],
-                "n_tokens": [len(x) // 4 for x in batch["ids"]],
-                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in batch["ids"]],
-                "decoded_sha256": [hashlib.sha256(decode(x, path, pattern)).hexdigest() for x in batch["ids"]],
-            })
-
-    return encoded.mapInPandas(digest, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumn("doc_id", F.col("doc_id").cast("long"))
-
-
 def encode_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
     import public_tokenizers
 
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    return digests(encode(docs, path, pattern), path, pattern)
+    return encode(docs, path, pattern, digested=True).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
