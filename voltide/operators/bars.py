@@ -122,10 +122,13 @@ def resample_bars(trades: DataFrame, levels: DataFrame, seconds: int, depth: int
 
     fill="state" carries prices forward too.
     """
-    clean, levels = cut(dedupe_trades(trades)), cut(levels.select("event_timestamp", "received_timestamp", *KEYS, "side", "level", "price", "quantity"))
+    clean = cut(dedupe_trades(trades))
     bars, book = trade_bars(clean, seconds), book_wide(latest_book(levels, seconds), depth)
-    keys = clean.select(*KEYS).unionByName(levels.select(*KEYS)).distinct()
-    bounds = bounds_of(clean.select("event_timestamp").unionByName(levels.select("event_timestamp")), seconds)
+    # keys and bounds in one pass over either table: a row a key is left of each
+    ends = lambda df: df.groupBy(*KEYS).agg(F.min("event_timestamp").alias("first"), F.max("event_timestamp").alias("last"))
+    spans = cut(ends(clean).unionByName(ends(levels)))
+    keys = spans.select(*KEYS).distinct()
+    bounds = bounds_of(spans.select(F.explode(F.array("first", "last")).alias("event_timestamp")), seconds)
     out = time_grid(keys, bounds, seconds).join(bars, ["bucket", *KEYS], "left").join(book, ["bucket", *KEYS], "left")
     carried = book_columns(depth) + (["p_open", "p_high", "p_low", "p_close"] if fill == "state" else [])
     return zero_fill(ffill(out, carried, list(KEYS)))
