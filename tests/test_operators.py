@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+from decimal import ROUND_HALF_UP, Decimal
 
 import duckdb
 import numpy as np
@@ -209,6 +210,29 @@ def test_queries_match_sql(spark, sf_dir, name):
     assert all(alike(a, b) for a, b in zip(got, want)), [p for p in zip(got, want) if not alike(*p)][:3]
 
 
+def test_means_that_tie_are_rounded_as_exact_numbers(spark, tmp_path):
+    from fractions import Fraction
+
+    rng, start = np.random.default_rng(4), 1704067200
+    # sixteen prices of three decimals an hour and venue: every eighth mean or so ends in a half of the sixth decimal
+    values = [(h, v, int(x)) for h in range(40) for v in ("a", "b") for x in rng.integers(0, 50_000, 16)]
+    values += [(40, "a", None), (41, "a", -300_000), (41, "a", -150_001), (42, None, 5), (42, "b", 7), (43, "a", None), (43, "b", "inf"), (43, "c", 9)]
+    rows = [(i, start + 3600 * h + i % 3600, v, float(x) if isinstance(x, str) else None if x is None else x / 100) for i, (h, v, x) in enumerate(values)]
+    events = spark.createDataFrame(rows, "event_id long, s long, event_type string, value double").orderBy(F.xxhash64("event_id"))
+    events.select("event_id", F.timestamp_seconds("s").cast("timestamp_ntz").alias("ts"), F.lit(2).cast("long").alias("user_id"), "event_type", "value", F.lit('{"k": 1}').alias("props")).coalesce(1).write.parquet(str(tmp_path / "x"))
+    os.rename(glob.glob(f"{tmp_path}/x/*.parquet")[0], tmp_path / "events.parquet")
+    got = {r.bucket: r.venue_prices for r in registry.QUERIES["venue_prices_map"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert got == dict(con.sql(registry.ORACLE_SQL["venue_prices_map"]).fetchall())
+    want = {}
+    for h in range(40):
+        of = {v: Fraction(sum(100_000 + x for hour, venue, x in values if (hour, venue) == (h, v)), 16_000) for v in ("a", "b")}
+        want[start + 3600 * h] = ",".join(f"{v}={(Decimal(m.numerator) / m.denominator).quantize(Decimal('0.000001'), ROUND_HALF_UP)}" for v, m in of.items())
+    late = {start + 3600 * h: shown for h, shown in ((40, None), (41, "a=-125.000500"), (42, "b=100.007000"), (43, "c=100.009000"))}
+    assert got == want | late
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

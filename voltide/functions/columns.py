@@ -29,6 +29,20 @@ def log_ratio(a: Column | str, b: Column | str) -> Column:
     return F.when(r > 0, F.log(r))
 
 
+def exact_mean(price: Column | str) -> Column:
+    """Aggregate: the mean to six decimals, halves away from 0, the same in whatever order rows come; null over prices that
+    aren't all finite.
+
+    Prices count to nine decimals and are summed as whole numbers; a sum of doubles would leave ties to the order of rows.
+    """
+    price = col(price)
+    whole = F.floor(price)
+    billionths = whole.cast("decimal(20,0)") * 1_000_000_000 + F.round((price - whole) * 1e9).try_cast("decimal(10,0)")
+    total, n = F.sum(billionths), F.count(price).cast("decimal(20,0)")
+    millionths = F.signum(total).cast("long") * F.call_function("div", F.abs(total) * 2 + n * 1000, F.nullif(n * 2000, F.lit(0)))
+    return F.when(F.count(billionths) == F.count(price), (millionths.cast("decimal(20,0)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(18,6)"))
+
+
 # The rational approximation 7.1.26 of erf by Abramowitz and Stegun.
 ERF_P = 0.3275911
 ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voltide.functions.columns import exact_mean
 from voltide.operators import bars as B
 from voltide.operators import features as X
 from voltide.operators import joins as J
 
 from .bars import clean, flat, hourly
-from .base import BARS, HOUR, SYNTHETIC, query
+from .base import BARS, BUCKET, HOUR, SYNTHETIC, query
 
 YEAR = "31536000.0::DOUBLE"
 
@@ -237,12 +238,19 @@ def venue_mean_features(spark, d):
     return X.venue_means(bars_of(spark, d), ["p_close", "v_trade", "dt_fill_mean_ms"])
 
 
-@query("venue_prices_map", "SELECT bucket, string_agg(venue || '=' || round(p_trade_mean, 6)::DECIMAL(18, 6), ',' ORDER BY venue) AS venue_prices FROM trade_bars GROUP BY bucket", BARS)
+#: Prices in billionths, summed as whole numbers: a mean of doubles, and with it a rounded tie, depends on the order of rows.
+EXACT = f"""exact AS (SELECT {BUCKET} AS bucket, venue, instrument, price, TRY_CAST(floor(price) AS BIGINT)::HUGEINT * 1000000000 + TRY_CAST(round((price - floor(price)) * 1e9::DOUBLE) AS BIGINT)::HUGEINT AS billionths FROM deduped),
+sums AS (SELECT bucket, venue, sum(billionths)::HUGEINT AS total, count(price)::HUGEINT AS n, count(billionths) = count(price) AS fine FROM exact GROUP BY bucket, venue, instrument),
+means AS (SELECT bucket, venue, CASE WHEN fine AND n > 0 THEN ((sign(total) * ((abs(total) * 2 + n * 1000) // (n * 2000)))::DECIMAL(24, 0) * 0.000001::DECIMAL(7, 6))::DECIMAL(18, 6) END AS mean FROM sums)"""
+
+
+@query("venue_prices_map", "SELECT bucket, string_agg(venue || '=' || mean, ',' ORDER BY venue) AS venue_prices FROM means GROUP BY bucket", EXACT)
 def venue_prices_map(spark, d):
-    pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("venue", "p_trade_mean"))))
-    out = flat(B.ohlc(clean(spark, d), HOUR)).groupBy("bucket").agg(pairs.alias("m"))
-    shown = F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 6).cast("decimal(18,6)").cast("string")))
-    return out.select("bucket", F.array_join(shown, ",").alias("venue_prices"))
+    means = flat(clean(spark, d).groupBy(B.time_bucket("event_timestamp", HOUR).alias("bucket"), *B.KEYS).agg(exact_mean("price").alias("mean")))
+    known = F.when(F.col("venue").isNotNull() & F.col("mean").isNotNull(), F.struct("venue", "mean"))
+    out = means.groupBy("bucket").agg(F.map_from_entries(F.array_sort(F.collect_list(known))).alias("m"))
+    shown = F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return out.select("bucket", F.nullif(F.array_join(shown, ","), F.lit("")).alias("venue_prices"))
 
 
 @query("union_frequencies", "SELECT 3600 AS seconds, bucket, venue, p_close FROM trade_bars UNION ALL SELECT 600, epoch_us(event_timestamp) // 600000000 * 600, venue, last(price ORDER BY event_timestamp) FROM timed GROUP BY ALL", BARS)
