@@ -12,8 +12,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltide.operators import book, frames, ingest, joins, pricing, quality
-from voltide.operators.running_book import CONTRACT_SIDES, running_books, stream_books
+from voltide.operators.running_book import CONTRACT_SIDES, VENUE_SIDES, StreamingBook, running_books, stream_books
 from voltide.operators.timeseries import affine, carry_scan, previous
+from voltide.plans import streams
 from voltide.plans.streams import in_runs
 from voltide.sources import lake
 from voltide.streaming import bars as S
@@ -187,6 +188,46 @@ def test_books_of_a_stream_equal_those_of_a_table(spark):
     assert books_of(got.collect()) == books_of(running_books(rows, ["key"], "at", False).collect())
 
 
+def test_books_of_a_stream_in_portions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "folder", lambda spark, name: str(tmp_path))
+    rows = messages(spark, random_messages(90, 8), "a").unionByName(messages(spark, random_messages(120, 9), "b")).repartition(7)
+    parts = [rows.where("at < 50"), rows.where("at >= 50"), rows.where("at < 0")]
+    got = in_runs(spark, "test-portions", parts, lambda r: stream_books(r, ["key"], "at", False), order="at", portion=20).collect()
+    assert len(got) == 210 and books_of(got) == books_of(running_books(rows, ["key"], "at", False).collect())
+    seen = [[r["at"] for r in spark.read.parquet(f).collect()] for f in sorted(glob.glob(f"{tmp_path}/in/*/*/*.parquet"))]
+    assert max(map(len, seen)) <= 30 and sum(map(len, seen)) == 210
+    # a number lies in one file, files follow in order, and each is a micro-batch of its own
+    filled = [s for s in seen if s]
+    assert all(max(a) < min(b) for a, b in zip(filled, filled[1:]))
+    assert len(glob.glob(f"{tmp_path}/state/commits/[0-9]*")) >= len(filled) >= 10
+
+
+def test_a_book_of_a_stream_goes_out_in_frames():
+    import pandas as pd
+
+    class State:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    sent = random_messages(2500, 10)
+    levels = lambda m: [dict(zip(("side", "price", "quantity"), x)) for x in m[2]]
+    frame = pd.DataFrame({"at": range(2500), "sequence": [m[0] for m in sent], "kind": [m[1] for m in sent], "levels": [levels(m) for m in sent]})
+    step = StreamingBook("at", False, VENUE_SIDES, 3, ["key", "at", "sequence", "reason", "bid", "ask"])
+    step.state = State()
+    out = list(step.handleInputRows(("k",), iter([frame[1700:], frame[:1700]]), None))
+    assert [len(f) for f in out] == [1000, 1000, 500]
+    number = lambda side: [(Decimal(x["price"]), Decimal(x["quantity"])) for x in side]
+    assert [(number(r.bid), number(r.ask)) for f in out for r in f.itertuples()] == replay(sent, 3) and step.state.value[0] == 2500
+
+
 def test_contract_books_of_a_stream_golden_case(spark):
     rows = messages(spark, [(sequence, kind, levels) for kind, sequence, levels in GOLDEN])
     got = in_runs(spark, "test-contract", [rows.where("at < 4"), rows.where("at >= 4")], lambda r: stream_books(r, ["key"], "at", True, CONTRACT_SIDES))

@@ -25,6 +25,8 @@ from voltide.sources.shared import shuffle_partitions
 from .timeseries import carry_scan
 
 DEPTH = 15
+#: Rows of a frame that a stream's step puts out.
+FRAME = 1000
 LEVEL = pa.struct([("price", pa.string()), ("quantity", pa.string())])
 #: Sides of a venue's book and of a contract's, with whether the highest price is the best.
 VENUE_SIDES = (("bid", True), ("ask", False))
@@ -139,7 +141,7 @@ def running_books(messages: DataFrame, key: list[str], at: str, signed: bool, si
 
 
 class StreamingBook(StatefulProcessor):
-    """`Book` as the state of a key; a micro-batch's messages are taken in order of arrival."""
+    """`Book` as the state of a key; a micro-batch's messages are taken in order of arrival, and go out in frames of bounded size."""
 
     def __init__(self, at: str, signed: bool, sides, depth: int, names: list[str]):
         self.at, self.signed, self.sides, self.depth, self.names = at, signed, sides, depth, names
@@ -159,16 +161,24 @@ class StreamingBook(StatefulProcessor):
             levels = None if r.levels is None else [x if x is None or isinstance(x, dict) else x.asDict() for x in r.levels]
             reason = book.apply(r.kind, sequence, levels)
             out.append([*key, getattr(r, self.at), sequence, reason, *[[{"price": p, "quantity": q} for p, q in side] for side in book.best(self.depth)]])
+            if len(out) == FRAME:
+                yield pd.DataFrame(out, columns=self.names)
+                out = []
         flat = [(side, format(p, "f"), format(q, "f")) for side, held in book.levels.items() for p, q in held.items()]
         self.state.update((book.last, *[list(x) for x in (zip(*flat) if flat else ([], [], []))]))
-        yield pd.DataFrame(out, columns=self.names)
+        if out:
+            yield pd.DataFrame(out, columns=self.names)
 
     def close(self) -> None:
         pass
 
 
 def stream_books(messages: DataFrame, key: list[str], at: str, signed: bool, sides=VENUE_SIDES, depth: int = DEPTH) -> DataFrame:
-    """`running_books` of a stream; needs the RocksDB state store. A batch that comes late counts as arriving late."""
+    """`running_books` of a stream; needs the RocksDB state store. A batch that comes late counts as arriving late.
+
+    A worker holds a key's messages of one micro-batch to put them in order, so let the source bound micro-batches
+    (maxFilesPerTrigger, maxOffsetsPerTrigger); rows out and the state don't grow with them.
+    """
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     schema = _schema(messages.schema, key, at, sides)
     step = StreamingBook(at, signed, sides, depth, schema.names)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from voltide.operators import bars as B
 from voltide.sources.adapters import later
+from voltide.sources.shared import shuffle_partitions
 from voltide.streaming import bars as S
 from voltide.streaming import features as L
 from voltide.streaming import pricing as T
@@ -220,14 +222,43 @@ def event_rollover(spark, d):
     return P.rollover(*stagings(spark, d)).drop("series").withColumnRenamed("at", "moment")
 
 
-def in_runs(spark, name: str, parts: list[DataFrame], step) -> DataFrame:
-    """What a streaming query puts out over several runs, each from the state of the one before, over a part of its input each."""
+#: Rows of a micro-batch where a stream's input comes in portions.
+PORTION = 200_000
+
+
+def in_portions(part: DataFrame, staged: str, to: str, order: str, portion: int) -> None:
+    """Writes a part as files of about `portion` rows, one after the other in the order of a whole number; rows of one number
+    stay together. A stream takes the oldest files first. `staged` is a folder for the rows sorted, so that a file's rows lie together.
+    """
+    spark = part.sparkSession
+    part.repartitionByRange(shuffle_partitions(spark), order).sortWithinPartitions(order).write.parquet(staged)
+    rows = spark.read.schema(part.schema).parquet(staged)
+    n = max(1, math.ceil(rows.count() / portion))
+    bounds = sorted({int(b) for b in rows.approxQuantile(order, [k / n for k in range(1, n)], 0.1 / n)}) if n > 1 else []
+    for k, (low, high) in enumerate(zip([None, *bounds], [*bounds, None])):
+        above = F.lit(True) if low is None else F.col(order) >= low
+        below = F.lit(True) if high is None else F.col(order) < high
+        own = above & below if k else below | F.col(order).isNull()
+        rows.where(own).coalesce(1).write.parquet(f"{to}/{k:06}")
+
+
+def in_runs(spark, name: str, parts: list[DataFrame], step, order: str | None = None, portion: int = PORTION) -> DataFrame:
+    """What a streaming query puts out over several runs, each from the state of the one before, over a part of its input each.
+
+    A run takes its part as one micro-batch, or with `order` (a column of whole numbers) in portions in that order, which
+    bounds what a stateful step holds of a key at once.
+    """
     at = folder(spark, name)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         for i, part in enumerate(parts):
-            part.write.parquet(f"{at}/in/{i}")
-            out = step(spark.readStream.schema(part.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in"))
+            source = spark.readStream.schema(part.schema).option("recursiveFileLookup", "true")
+            if order is None:
+                part.write.parquet(f"{at}/in/{i}")
+            else:
+                in_portions(part, f"{at}/staged/{i}", f"{at}/in/{i}", order, portion)
+                source = source.option("maxFilesPerTrigger", 1)
+            out = step(source.parquet(f"{at}/in"))
             out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
@@ -239,18 +270,18 @@ def stream_rollover(spark, d):
     """The same on a stream, in two runs."""
     staged, messages = stagings(spark, d)
     rows = staged.withColumn("kind", F.lit("staged")).unionByName(messages.withColumn("kind", F.lit("message")))
-    out = in_runs(spark, "rollover", [rows.where(F.col("at") < MIDDLE), rows.where(F.col("at") >= MIDDLE)], T.stream_rollover)
+    out = in_runs(spark, "rollover", [rows.where(F.col("at") < MIDDLE), rows.where(F.col("at") >= MIDDLE)], T.stream_rollover, order="at")
     return out.select(F.col("at").alias("moment"), "event_ticker", "accepted", "active", "generation")
 
 
 def _stream_books(spark, d):
-    """The book of each venue after each message, in two runs of a stream."""
+    """The book of each venue after each message, in two runs of a stream whose micro-batches are bounded."""
     from voltide.operators import running_book as R
 
     from .book import book_messages
 
     messages = book_messages(spark, d, F.greatest(F.col("quantity") - 3, F.lit(0)))
-    out = in_runs(spark, "books", [messages.where("event_id < 4000"), messages.where("event_id >= 4000")], lambda rows: R.stream_books(rows, ["venue"], "at", signed=False))
+    out = in_runs(spark, "books", [messages.where("event_id < 4000"), messages.where("event_id >= 4000")], lambda rows: R.stream_books(rows, ["venue"], "at", signed=False), order="at")
     price = lambda side: F.get(side, F.lit(0))["price"].cast("double")
     return out.select("venue", "sequence", F.size("bid").alias("n_bids"), F.size("ask").alias("n_asks"), price("bid").alias("best_bid"), price("ask").alias("best_ask"), F.aggregate(F.concat("bid", "ask"), F.lit(0.0), lambda t, x: t + x["quantity"].cast("double")).alias("total"))
 
