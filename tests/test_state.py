@@ -11,8 +11,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from voltide.operators import book, frames, ingest, joins, pricing, quality
-from voltide.operators.running_book import CONTRACT_SIDES, VENUE_SIDES, StreamingBook, running_books, stream_books
+from voltide.operators import book, frames, ingest, joins, pricing, quality, running_book
+from voltide.operators.running_book import CONTRACT_SIDES, VENUE_SIDES, Book, StreamingBook, running_books, stream_books
 from voltide.operators.timeseries import affine, carry_scan, previous
 from voltide.plans import streams
 from voltide.plans.streams import in_runs
@@ -228,6 +228,49 @@ def test_a_book_of_a_stream_goes_out_in_frames():
     assert [(number(r.bid), number(r.ask)) for f in out for r in f.itertuples()] == replay(sent, 3) and step.state.value[0] == 2500
 
 
+def test_one_book_of_a_stream_is_made_in_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "folder", lambda spark, name: str(tmp_path))
+    monkeypatch.setattr(running_book, "BLOCK", 20, raising=False)
+    rows = messages(spark, random_messages(400, 11)).repartition(3)
+    got = in_runs(spark, "test-tasks", [rows.where("at < 300"), rows.where("at >= 300")], lambda r: stream_books(r, ["key"], "at", False)).collect()
+    assert len(got) == 400 and books_of(got) == books_of(running_books(rows, ["key"], "at", False).collect())
+    tasks = [spark.read.parquet(f).count() for f in glob.glob(f"{tmp_path}/out/*.parquet")]
+    assert sum(tasks) == 400 and max(tasks) <= 200 and len([n for n in tasks if n]) > 2  # of two micro-batches
+
+
+@pytest.mark.parametrize("signed", [False, True])
+def test_books_of_a_stream_in_blocks_equal_a_plain_loop(spark, monkeypatch, signed):
+    monkeypatch.setattr(running_book, "BLOCK", 5, raising=False)
+    rng, sent = np.random.default_rng(12), {}
+    text = lambda x: {0: None, 1: "x", 2: "-1", 3: "0.0", 4: "1e1"}.get(x, f"{x / 10}")
+    for key in (("a", 1), ("a", None), ("b", 1)):
+        level = lambda: None if rng.random() < 0.02 else (["bid", "ask", "up", None][rng.choice(4, p=[0.49, 0.49, 0.01, 0.01])], text(rng.integers(20, 30)), text(rng.integers(0, 60)))
+        sequence = lambda i: [None, 2**53 + i, i - 3][rng.choice(3, p=[0.1, 0.8, 0.1])]
+        sent[key] = [(sequence(i), [None, "snapshot", "delta"][rng.choice(3, p=[0.02, 0.08, 0.9])], None if rng.random() < 0.03 else [level() for _ in range(rng.integers(0, 4))]) for i in range(150)]
+    schema = "key string, k2 int, at int, sequence long, kind string, levels array<struct<side: string, price: string, quantity: string>>"
+    rows = spark.createDataFrame([(*key, 3 * i, *m) for key, own in sent.items() for i, m in enumerate(own)], schema).repartition(3)
+    parts = [rows.where("at < 200"), rows.where("at >= 200")]
+    got = in_runs(spark, "test-blocks", parts, lambda r: stream_books(r, ["key", "k2"], "at", signed, depth=2), order="at", portion=200).collect()
+    want = {}
+    for key, own in sent.items():
+        held = Book(signed, VENUE_SIDES)
+        for i, (n, kind, levels) in enumerate(own):
+            reason = held.apply(kind, n, None if levels is None else [x or (None, None, None) for x in levels])
+            want[(*key, 3 * i)] = (n, reason, *[list(zip(*side)) for side in held.best(2)])
+    assert len(got) == 450 and {(r.key, r.k2, r["at"]): (r.sequence, r.reason, [tuple(x) for x in r.bid], [tuple(x) for x in r.ask]) for r in got} == want
+    assert len({x[1] for x in want.values()}) >= 4
+
+
+def test_levels_are_in_order_of_price_and_keep_their_first_text():
+    held = Book(True, VENUE_SIDES)
+    assert held.apply("snapshot", 1, [("bid", "1.50", "2"), ("bid", "0.9", "1"), ("ask", "3", "1e1"), ("ask", "2", "0"), ("bid", "10", "4.0")]) is None
+    assert held.best(2) == [[["10", "1.50"], ["4.0", "2"]], [["3"], ["10"]]] and held.best(0) == [[[], []], [[], []]]
+    assert held.apply("delta", 2, [("bid", "1.5", "-0.5"), ("ask", "3.0", "-10"), ("bid", "1.500", "0.25")]) is None
+    assert held.best(9) == [[["10", "1.50", "0.9"], ["4.0", "1.75", "1"]], [[], []]]
+    again = Book(True, VENUE_SIDES, *held.whole())
+    assert again.best(9) == held.best(9) and again.last == 2 and again.apply("delta", 2, [("bid", "1", "1")]) == "stale"
+
+
 def test_contract_books_of_a_stream_golden_case(spark):
     rows = messages(spark, [(sequence, kind, levels) for kind, sequence, levels in GOLDEN])
     got = in_runs(spark, "test-contract", [rows.where("at < 4"), rows.where("at >= 4")], lambda r: stream_books(r, ["key"], "at", True, CONTRACT_SIDES))

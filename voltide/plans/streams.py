@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -226,9 +227,9 @@ def event_rollover(spark, d):
 PORTION = 200_000
 
 
-def in_portions(part: DataFrame, staged: str, to: str, order: str, portion: int) -> None:
-    """Writes a part as files of about `portion` rows, one after the other in the order of a whole number; rows of one number
-    stay together. A stream takes the oldest files first. `staged` is a folder for the rows sorted, so that a file's rows lie together.
+def in_portions(part: DataFrame, staged: str, order: str, portion: int) -> Iterator[DataFrame]:
+    """A part in portions of about `portion` rows, one after the other in the order of a whole number; rows of one number stay
+    together. `staged` is a folder for the rows sorted, so that a portion's rows lie together.
     """
     spark = part.sparkSession
     part.repartitionByRange(shuffle_partitions(spark), order).sortWithinPartitions(order).write.parquet(staged)
@@ -238,31 +239,46 @@ def in_portions(part: DataFrame, staged: str, to: str, order: str, portion: int)
     for k, (low, high) in enumerate(zip([None, *bounds], [*bounds, None])):
         above = F.lit(True) if low is None else F.col(order) >= low
         below = F.lit(True) if high is None else F.col(order) < high
-        own = above & below if k else below | F.col(order).isNull()
-        rows.where(own).coalesce(1).write.parquet(f"{to}/{k:06}")
+        yield rows.where(above & below if k else below | F.col(order).isNull())
 
 
 def in_runs(spark, name: str, parts: list[DataFrame], step, order: str | None = None, portion: int = PORTION) -> DataFrame:
     """What a streaming query puts out over several runs, each from the state of the one before, over a part of its input each.
 
     A run takes its part as one micro-batch, or with `order` (a column of whole numbers) in portions in that order, which
-    bounds what a stateful step holds of a key at once.
+    bounds what a stateful step holds of a key at once. A portion is a file, and a stream takes the oldest files first; it
+    runs while the next ones are written.
     """
     at = folder(spark, name)
+
+    def started(part: DataFrame, **how):
+        source = spark.readStream.schema(part.schema).option("recursiveFileLookup", "true")
+        out = step((source.option("maxFilesPerTrigger", 1) if order else source).parquet(f"{at}/in"))
+        return out.schema, out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(**how).start()
+
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         for i, part in enumerate(parts):
-            source = spark.readStream.schema(part.schema).option("recursiveFileLookup", "true")
             if order is None:
                 part.write.parquet(f"{at}/in/{i}")
-            else:
-                in_portions(part, f"{at}/staged/{i}", f"{at}/in/{i}", order, portion)
-                source = source.option("maxFilesPerTrigger", 1)
-            out = step(source.parquet(f"{at}/in"))
-            out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+                schema, run = started(part, availableNow=True)
+                run.awaitTermination()
+                continue
+            run = None
+            try:
+                for k, rows in enumerate(in_portions(part, f"{at}/staged/{i}", order, portion)):
+                    rows.coalesce(1).write.parquet(f"{at}/in/{i}/{k:06}")
+                    if run is None:
+                        schema, run = started(part, processingTime="0 seconds")
+                    if not run.isActive:  # it failed, which the next line tells
+                        break
+                run.processAllAvailable()
+            finally:
+                if run is not None:
+                    run.stop()
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    return spark.read.schema(out.schema).parquet(f"{at}/out")
+    return spark.read.schema(schema).parquet(f"{at}/out")
 
 
 @query("stream_rollover", ROLLED, ROLL)
@@ -281,7 +297,7 @@ def _stream_books(spark, d):
     from .book import book_messages
 
     messages = book_messages(spark, d, F.greatest(F.col("quantity") - 3, F.lit(0)))
-    out = in_runs(spark, "books", [messages.where("event_id < 4000"), messages.where("event_id >= 4000")], lambda rows: R.stream_books(rows, ["venue"], "at", signed=False), order="at")
+    out = in_runs(spark, "books", [messages.where("event_id < 4000"), messages.where("event_id >= 4000")], lambda rows: R.stream_books(rows, ["venue"], "at", signed=False), order="at", portion=5 * PORTION)
     price = lambda side: F.get(side, F.lit(0))["price"].cast("double")
     return out.select("venue", "sequence", F.size("bid").alias("n_bids"), F.size("ask").alias("n_asks"), price("bid").alias("best_bid"), price("ask").alias("best_ask"), F.aggregate(F.concat("bid", "ask"), F.lit(0.0), lambda t, x: t + x["quantity"].cast("double")).alias("total"))
 
